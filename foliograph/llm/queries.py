@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read
+from .html import html_text
+from .media import text_as_media
 from .quality import quality_rules
+from .secrets import secret_scan
+from .token_counts import token_counts
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +21,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select("doc_id", *(q[n].alias(n) for n in names))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_quality_rules": op8_quality_rules}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each line of each document."""
+    c = F.col("token_counts")
+    rows = token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", c["n_tokens"].alias("doc_tokens"), F.posexplode(F.arrays_zip(c["starts"], c["ends"], c["tokens"])).alias("section", "s"))
+    return rows.select("doc_id", "doc_tokens", F.col("section").cast("long").alias("section"), F.col("s")["starts"].alias("start_char"), F.col("s")["ends"].alias("end_char"), F.col("s")["tokens"].cast("long").alias("n_tokens"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(read(spark, sf_dir, "pages")).select("page_id", "url", "extracted.text", "extracted.n_chars")
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_as_media(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
 
 SQL: dict[str, str] = {}
 
