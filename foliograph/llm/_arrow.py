@@ -27,7 +27,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield begin, len(column)
 
 
-def with_struct(df: DataFrame, column: str, out_col: str, fields: pa.StructType, of: Callable[[pa.Array], Iterable[dict]]) -> DataFrame:
+def with_struct(df: DataFrame, column: str, out_col: str, fields: pa.StructType, of: Callable[[pa.Array], Iterable[dict] | pa.Array]) -> DataFrame:
     """df with out_col, the structs that `of` makes of a slice of `column`, one for each row, in place of a column of that name."""
     kept = [f for f in df.schema.fields if f.name != out_col]
     inner = from_arrow_schema(pa.schema(list(fields)))
@@ -39,7 +39,8 @@ def with_struct(df: DataFrame, column: str, out_col: str, fields: pa.StructType,
         for batch in batches:
             for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                made = pa.array(of(part.column(at)), type=fields)
+                made = of(part.column(at))
+                made = made if isinstance(made, pa.Array) else pa.array(made, type=fields)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), made], names=[*(batch.schema.names[i] for i in keep), out_col])
 
     return df.mapInArrow(run, schema)

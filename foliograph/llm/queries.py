@@ -12,6 +12,7 @@ from .html import html_text
 from .media import text_as_media
 from .quality import quality_rules
 from .secrets import secret_scan
+from .sentencepieces import encode_column
 from .token_counts import token_counts
 
 
@@ -21,6 +22,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select("doc_id", *(q[n].alias(n) for n in names))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_column(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pieces.*")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line of each document."""
     c = F.col("token_counts")
@@ -40,7 +45,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_as_media(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op4_token_counts, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
 
 SQL: dict[str, str] = {}
 
