@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._common import read
 from .html import html_text
 from .media import text_as_media
+from .near_duplicates import ngram_jaccard_join
 from .quality import quality_rules
 from .secrets import secret_scan
 from .sentencepieces import encode_column
@@ -22,6 +23,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select("doc_id", *(q[n].alias(n) for n in names))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pieces.*")
 
@@ -45,7 +50,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_as_media(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op4_token_counts, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op4_token_counts, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
 
 SQL: dict[str, str] = {}
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import with_struct
+from ._hash import BASE, INVERSE, MIX, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
@@ -25,15 +26,6 @@ META = "▁"
 STORE_WORDS = 1_000_000
 #: Units above this length are also split where no piece spans two neighbouring characters.
 LONG = 48
-BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-
-@functools.lru_cache(maxsize=8)
-def powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
 
 
 def coded(chars: np.ndarray) -> np.ndarray:
