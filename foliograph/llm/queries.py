@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ._common import read
 from .html import html_text
+from .line_dedup import line_dedup
 from .media import text_as_media
 from .near_duplicates import ngram_jaccard_join
 from .quality import quality_rules
@@ -38,6 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "doc_tokens", F.col("section").cast("long").alias("section"), F.col("s")["starts"].alias("start_char"), F.col("s")["ends"].alias("end_char"), F.col("s")["tokens"].cast("long").alias("n_tokens"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(read(spark, sf_dir, "pages")).select("page_id", "url", "extracted.text", "extracted.n_chars")
 
@@ -50,7 +55,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_as_media(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op4_token_counts, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op4_token_counts, op5_line_dedup, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
 
 SQL: dict[str, str] = {}
 
@@ -73,3 +78,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 2 * upper > letters OR 2 * letters < word_chars OR 4 * bangs > n_words) AS kept
 FROM b
 """
+
+SQL["op5_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+     l AS (SELECT r, doc_id, i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM d))),
+     m AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len([x FOR x IN regexp_split_to_array(line, '[ \t-\r]+') IF x <> '']) >= 50 AS long FROM l),
+     b AS (SELECT *, CASE WHEN i = 1 OR long OR lag(long) OVER w OR (2 * lag(h) OVER w + h) % 2 = 0 THEN 1 ELSE 0 END AS cut FROM m WINDOW w AS (PARTITION BY r ORDER BY i)),
+     k AS (SELECT *, sum(cut) OVER (PARTITION BY r ORDER BY i) AS pos FROM b),
+     c AS (SELECT r, any_value(doc_id) AS doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk,
+                  CASE WHEN count(*) > 1 THEN bool_or(regexp_matches(line, '[^ \t-\r]')) ELSE bool_or(long) END AS asked FROM k GROUP BY r, pos),
+     f AS (SELECT chunk, count(*) AS times, min(doc_id) AS first FROM c WHERE asked GROUP BY chunk),
+     g AS (SELECT c.*, asked AND times > 1 AND (doc_id <> first OR row_number() OVER (PARTITION BY r, c.chunk ORDER BY pos) > 1) AS gone FROM c LEFT JOIN f ON c.chunk = f.chunk)
+SELECT any_value(doc_id) AS doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, false)), '') AS text,
+       CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed
+FROM g GROUP BY r
+"""
