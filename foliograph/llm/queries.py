@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ._common import read
 from .html import html_text
+from .licenses import license_scan
 from .line_dedup import line_dedup
 from .media import text_as_media
+from .mixing import mix
 from .near_duplicates import ngram_jaccard_join
 from .quality import quality_rules
 from .secrets import secret_scan
@@ -32,6 +34,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pieces.*")
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: each lies in a folder of its language in the folder of its source."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    return license_scan(read(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line of each document."""
     c = F.col("token_counts")
@@ -43,6 +51,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
 
 
+#: Shares of tokens that op6 mixes to.
+TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("low")
+    labelled = read(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+    m = F.col("mix")
+    mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "text"), labelled, TARGETS, with_text=False)
+    return mixed.select("doc_id", m["n_tokens"].alias("n_tokens"), *(m["posterior"][d].alias(f"p_{d}") for d in TARGETS), m["rate"].alias("rate"), m["copies"].alias("copies"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(read(spark, sf_dir, "pages")).select("page_id", "url", "extracted.text", "extracted.n_chars")
 
@@ -55,7 +75,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_as_media(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op4_token_counts, op5_line_dedup, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_license_scans, op4_token_counts, op5_line_dedup, op6_mixing, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
 
 SQL: dict[str, str] = {}
 
