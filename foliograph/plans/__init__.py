@@ -1 +1,6 @@
+"""The layout queries by name."""
 
+from . import geometry, scalars
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "geometry", "scalars"]
