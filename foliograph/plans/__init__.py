@@ -1,6 +1,6 @@
 """The layout queries by name."""
 
-from . import geometry, scalars
+from . import geometry, relations, scalars
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "geometry", "scalars"]
+__all__ = ["QUERIES", "SQL", "geometry", "relations", "scalars"]
