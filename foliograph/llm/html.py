@@ -71,6 +71,7 @@ class Lines(HTMLParser):
     def _break(self) -> None:
         if self.lines[-1].parts:
             self.lines.append(Line())
+        self.lines[-1].tags = 0  # tags between blocks belong to none
         self.lines[-1].main = self.mains if self.main else 0
 
     def _pop(self, k: int) -> None:
