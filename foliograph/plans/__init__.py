@@ -1,6 +1,6 @@
 """The layout queries by name."""
 
-from . import geometry, pages, raster, relations, scalars
+from . import files, geometry, pages, raster, relations, scalars
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "geometry", "pages", "raster", "relations", "scalars"]
+__all__ = ["QUERIES", "SQL", "files", "geometry", "pages", "raster", "relations", "scalars"]
