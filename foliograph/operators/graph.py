@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ..session import cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

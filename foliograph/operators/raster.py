@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 STEPS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
@@ -52,8 +54,8 @@ def runs(df: DataFrame, mask: Column) -> DataFrame:
 def components(df: DataFrame, mask: Column) -> DataFrame:
     """(page_id, px, py, label): 8-connected components; the label is the least place, py * 1000000 + px, of the component.
 
-    A page's mask is folded in place: its pixels are a bounded array, and labels spread until nothing changes. That
-    needs no shuffle beyond the one that gathers the page.
+    For tiles: a page's mask is folded in place, in time that grows with the square of its pixels, and no shuffle is
+    needed beyond the one that gathers the page. run_components() is for whole images.
     """
     places = df.where(mask).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("py", "px"))).alias("ps"))
     start = F.transform("ps", lambda p: (p["py"] * 1_000_000 + p["px"]).cast("long"))
@@ -73,6 +75,20 @@ def components(df: DataFrame, mask: Column) -> DataFrame:
     return places.select("page_id", F.explode(F.arrays_zip("ps", labels.alias("l"))).alias("x")).select("page_id", F.col("x.ps.px").alias("px"), F.col("x.ps.py").alias("py"), F.col("x.l").alias("label"))
 
 
+def run_components(df: DataFrame, mask: Column) -> DataFrame:
+    """(page_id, py, first, last, label): components() for images of any size, over runs of pixels instead of pixels.
+
+    Runs of neighbouring rows that touch are edges of a graph whose components are found by joins; the label is the
+    component's first run in scan order.
+    """
+    r = runs(df, mask).withColumn("node", F.struct("page_id", "py", "first"))
+    below = r.select("page_id", (F.col("py") - 1).alias("py"), F.col("first").alias("f"), F.col("last").alias("l"), F.col("node").alias("other"))
+    edges = r.join(below, ["page_id", "py"]).where("first <= l + 1 AND f <= last + 1").select("node", "other")
+    roots = graph.components(edges, "node", "other").withColumnRenamed("root", "top")
+    label = F.coalesce("top", "node")
+    return r.join(roots, "node", "left").select("page_id", "py", "first", "last", (label["py"] * 1_000_000 + label["first"]).cast("long").alias("label"))
+
+
 def composite(below: Column, above: Column, alpha: Column) -> Column:
     """Source over ground, alpha from 0 to 1."""
     return above * alpha + below * (1 - alpha)

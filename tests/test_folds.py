@@ -3,7 +3,11 @@
 import random
 from statistics import median
 
+from pyspark.sql import functions as F
+
 from foliograph.operators import folds as K
+from foliograph.operators import raster as P
+from foliograph.operators.graph import components
 
 
 def lines(seed):
@@ -50,3 +54,28 @@ def test_row_clusters(spark):
         want[(p, pos)] = k
     got = {(r["page_id"], r["pos"]): r["row_no"] for r in K.row_clusters(spark.createDataFrame(rows, COLS), 15.0).collect()}
     assert got == want
+
+
+def test_components(spark):
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_run_components(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(p, x, y, rnd.randrange(2)) for p in range(3) for x in range(9) for y in range(9)], "page_id int, px int, py int, v int")
+    small = {(r["page_id"], r["px"], r["py"]): r["label"] for r in P.components(df, F.col("v") > 0).collect()}
+    wide = {(r["page_id"], x, r["py"]): r["label"] for r in P.run_components(df, F.col("v") > 0).collect() for x in range(r["first"], r["last"] + 1)}
+    assert wide == small
