@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm._common import shared_folder
 from foliograph.llm.line_dedup import line_dedup
 from foliograph.llm.mixing import mix
 from foliograph.llm.near_duplicates import keep_one
 from foliograph.llm.quality import quality_rules
 from foliograph.llm.sentencepieces import encode_column
+from foliograph.session import shared_folder
 
 #: Shares of tokens after mixing.
 TARGETS = {"clean": 0.99, "toxic": 0.01}
