@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+__all__ = ["cut", "let", "read", "words_of"]
+
 #: Words are runs of characters other than the ASCII white space 0x20 and 0x09-0x0D.
 SPACE = "[ \\t-\\r]+"
 
@@ -27,21 +30,3 @@ def words_of(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one in spark.checkpoint.dir.
-
-    Only where the session names none (a local test session) a temporary folder is taken.
-    """
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliograph-"))
-    return context.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ._arrow import slices
 from ._common import cut
-from ._graph import components
 from ._hash import shingles
 
 TREES, DEPTH = 16, 8

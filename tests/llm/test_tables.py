@@ -13,7 +13,6 @@ from foliograph.llm import licenses as L
 from foliograph.llm import line_dedup as D
 from foliograph.llm import mixing as M
 from foliograph.llm import near_duplicates as N
-from foliograph.llm._graph import components
 
 
 def shingle_set(text):
@@ -105,23 +104,6 @@ def test_shingle_hashes():
     assert np.array_equal(again, h[bounds[2] : bounds[6]]) and np.array_equal(other, bounds[2:7] - bounds[2])
 
 
-def test_components(spark):
-    rnd = random.Random(3)
-    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        x, y = sorted((root(a), root(b)))
-        parent[y] = x
-    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
-
-
 def brute_chunks(text):
     import hashlib
 
