@@ -44,9 +44,14 @@ def features(text: Column) -> Column:
     return let(F.split(F.lower(text), "[ \\t-\\r.,;:]+"), of)
 
 
-def _numbers(rows: Sequence[Sequence[float]]) -> Column:
-    """array<array<double>> as one constant."""
-    return F.expr("array(" + ", ".join("array(" + ", ".join(f"double('{x!r}')" for x in row) + ")" for row in rows) + ")")
+def _logs(had: Column, rows: Sequence[Sequence[float]], k: int) -> Column:
+    """For each domain the sum of row 0, the constant, and of the rows whose numbers are in had."""
+
+    def of(i: int) -> Column:
+        weights = F.expr("array(" + ", ".join(f"double('{row[i]!r}')" for row in rows) + ")")
+        return F.aggregate(had, F.lit(float(rows[0][i])), lambda acc, f: acc + F.get(weights, f))
+
+    return F.array(*map(of, range(k)))
 
 
 def _texts(values: Sequence[str]) -> Column:
@@ -72,14 +77,10 @@ class Classifier:
 
     def posterior(self, text: Column) -> Column:
         """array<double>: the probability of each domain."""
-        start = F.array(*(F.lit(x) for x in self.score))
-        if self.weight:
-            names, rows = _texts(list(self.weight)), _numbers(list(self.weight.values()))
-            had = F.array_intersect(features(text), names)
-            total = F.aggregate(had, start, lambda acc, f: F.zip_with(acc, F.get(rows, F.array_position(names, f).cast("int") - 1), lambda a, b: a + b))
-        else:
-            total = start
-
+        names = _texts(list(self.weight))
+        had = F.transform(F.array_intersect(features(text), names), lambda f: F.array_position(names, f).cast("int"))
+        rows = [self.score, *self.weight.values()]
+        total = let(had, lambda x: _logs(x, rows, len(self.domains)))
         return _softmax(total)
 
 
@@ -124,13 +125,11 @@ def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
     rows = cut(known.select("domain", F.transform(F.array_intersect("f", names), lambda f: F.array_position(names, f).cast("int")).alias("had")))
     w = [list(model.score), *([0.0] * k for _ in order)]  # row 0 is the constant
     first, second = [[0.0] * k for _ in w], [[0.0] * k for _ in w]
-    wrong = F.array(*((F.col("domain") == d).cast("double") for d in model.domains))
     for step in range(1, FIT_STEPS + 1):
-        table = _numbers(w)
-        logs = F.aggregate(F.concat(F.array(F.lit(0)), F.col("had")), F.array(*[F.lit(0.0)] * k), lambda acc, f: F.zip_with(acc, F.get(table, f), lambda a, b: a + b))
-        residual = F.zip_with(_softmax(logs), wrong, lambda a, b: a - b)
-        each = rows.select(residual.alias("r"), F.explode(F.concat(F.array(F.lit(0)), F.col("had"))).alias("f"))
-        slope = {r["f"]: r for r in each.groupBy("f").agg(*(F.sum(F.get("r", F.lit(i))).alias(f"g{i}") for i in range(k))).collect()}
+        judged = rows.select(_softmax(_logs(F.col("had"), w, k)).alias("p"), "domain", F.concat(F.array(F.lit(0)), F.col("had")).alias("had"))
+        each = judged.select("p", "domain", F.explode("had").alias("f"))  # apart, or p would be computed for each feature
+        wrong = [F.sum(F.get("p", F.lit(i)) - (F.col("domain") == d).cast("double")).alias(f"g{i}") for i, d in enumerate(model.domains)]
+        slope = {r["f"]: r for r in each.groupBy("f").agg(*wrong).collect()}
         for f, x in enumerate(w):
             for i in range(k):
                 g = (slope[f][f"g{i}"] if f in slope else 0.0) / n + (DECAY * x[i] if f else 0.0)
