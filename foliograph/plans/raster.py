@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import raster as P
@@ -34,10 +34,15 @@ def pair(name: str, run, sql: str) -> None:
     add(name, lambda spark, sf_dir: run(both(spark, sf_dir)), f"{CTE} {sql}")
 
 
-D = F.col("v") - F.col("w")
+
+
+def diff() -> Column:
+    return F.col("v") - F.col("w")
+
+
 tile("ras01_mask", lambda p: p.where((F.col("v") >= 150) | ((F.col("v") < 100) & (F.col("px") > 2))).select(*KEY), "SELECT page_id, px, py FROM px WHERE v >= 150 OR (v < 100 AND px > 2)")
-pair("ras02_difference", lambda c: c.groupBy("page_id").agg(F.avg(F.abs(D)).alias("mean"), P.similarity((D * D).cast("double")).alias("similarity")), "SELECT page_id, avg(abs(v - w)) AS mean, 1 / (1 + avg(CAST((v - w) * (v - w) AS DOUBLE)) / 65025.0) AS similarity FROM c GROUP BY page_id")
-pair("ras03_masked_similarity", lambda c: c.groupBy("page_id").agg(P.masked_mean(1 - F.abs(D) / 255, F.col("v") >= 180, 1.0).alias("s")).select("page_id", F.floor(F.col("s") * 1e9).cast("long").alias("s")), "SELECT page_id, CAST(floor(coalesce(avg(CASE WHEN v >= 180 THEN 1 - abs(v - w) / 255 END), 1.0) * 1e9) AS BIGINT) AS s FROM c GROUP BY page_id")
+pair("ras02_difference", lambda c: c.groupBy("page_id").agg(F.avg(F.abs(diff())).alias("mean"), P.similarity((diff() * diff()).cast("double")).alias("similarity")), "SELECT page_id, avg(abs(v - w)) AS mean, 1 / (1 + avg(CAST((v - w) * (v - w) AS DOUBLE)) / 65025.0) AS similarity FROM c GROUP BY page_id")
+pair("ras03_masked_similarity", lambda c: c.groupBy("page_id").agg(P.masked_mean(1 - F.abs(diff()) / 255, F.col("v") >= 180, 1.0).alias("s")).select("page_id", F.floor(F.col("s") * 1e9).cast("long").alias("s")), "SELECT page_id, CAST(floor(coalesce(avg(CASE WHEN v >= 180 THEN 1 - abs(v - w) / 255 END), 1.0) * 1e9) AS BIGINT) AS s FROM c GROUP BY page_id")
 tile("ras04_element_mask", lambda p: p.where("px BETWEEN page_id % 4 AND page_id % 4 + 3 AND py BETWEEN 2 AND 5").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("v").alias("s")), "SELECT page_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS s FROM px WHERE px BETWEEN page_id % 4 AND page_id % 4 + 3 AND py BETWEEN 2 AND 5 GROUP BY page_id")
 pair("ras05_colour_similarity", lambda c: c.groupBy("page_id").agg((1 - F.abs(F.avg("v") - F.avg("w")) / 255.0).alias("s")), "SELECT page_id, 1 - abs(avg(v) - avg(w)) / 255.0 AS s FROM c GROUP BY page_id")
 tile("ras07_border", lambda p: p.where("px IN (0, 7) OR py IN (0, 7)").groupBy("page_id").agg(F.median("v").alias("border")), "SELECT page_id, median(v) AS border FROM px WHERE px IN (0, 7) OR py IN (0, 7) GROUP BY page_id")
@@ -56,14 +61,14 @@ tile("ras11_dilate", lambda p: P.dilated(p, F.expr(INK)), f"SELECT DISTINCT a.pa
 tile("ras11_erode", lambda p: P.eroded(p, F.expr(INK)), f"SELECT page_id, px, py FROM px a WHERE a.{INK} AND NOT EXISTS (SELECT 1 FROM px b WHERE a.page_id = b.page_id AND {_NEAR} AND NOT b.{INK})")
 tile("ras13_background_profile", lambda p: p.where("px IN (0, 7) OR py IN (0, 7)").groupBy("page_id").agg(F.median("v").alias("mid"), F.max("v").alias("hi"), F.min("v").alias("lo")).select("page_id", "mid", F.when(F.col("hi") - F.col("lo") < 40, "solid").when(F.col("hi") - F.col("lo") < 80, "gradient").otherwise("complex").alias("kind")), "SELECT page_id, mid, CASE WHEN hi - lo < 40 THEN 'solid' WHEN hi - lo < 80 THEN 'gradient' ELSE 'complex' END AS kind FROM (SELECT page_id, median(v) AS mid, max(v) AS hi, min(v) AS lo FROM px WHERE px IN (0, 7) OR py IN (0, 7) GROUP BY page_id)")
 pair("ras15_mask_f1", lambda c: c.groupBy("page_id").agg(F.count_if(F.expr(INK) & (F.col("w") >= 136)).alias("tp"), F.count_if(F.expr(INK)).alias("a"), F.count_if(F.col("w") >= 136).alias("b")).select("page_id", (2 * F.col("tp") / F.greatest(F.col("a") + F.col("b"), F.lit(1))).alias("f1")), f"SELECT page_id, 2 * count_if({INK} AND w >= 136) / greatest(count_if({INK}) + count_if(w >= 136), 1) AS f1 FROM c GROUP BY page_id")
-pair("ras16_changed_centroid", lambda c: c.where(F.abs(D) > 12).groupBy("page_id").agg(F.count("*").alias("n"), F.median("px").alias("mx"), F.median("py").alias("my")), "SELECT page_id, count(*) AS n, median(px) AS mx, median(py) AS my FROM c WHERE abs(v - w) > 12 GROUP BY page_id")
-pair("ras17_edges_retained", lambda c: c.where(INK).groupBy("page_id").agg((F.count_if(F.abs(D) <= 8) / F.count("*")).alias("share")), f"SELECT page_id, count_if(abs(v - w) <= 8) / count(*) AS share FROM c WHERE {INK} GROUP BY page_id")
+pair("ras16_changed_centroid", lambda c: c.where(F.abs(diff()) > 12).groupBy("page_id").agg(F.count("*").alias("n"), F.median("px").alias("mx"), F.median("py").alias("my")), "SELECT page_id, count(*) AS n, median(px) AS mx, median(py) AS my FROM c WHERE abs(v - w) > 12 GROUP BY page_id")
+pair("ras17_edges_retained", lambda c: c.where(INK).groupBy("page_id").agg((F.count_if(F.abs(diff()) <= 8) / F.count("*")).alias("share")), f"SELECT page_id, count_if(abs(v - w) <= 8) / count(*) AS share FROM c WHERE {INK} GROUP BY page_id")
 pair("ras20_composite", lambda c: c.select(*KEY, P.composite(F.col("v").cast("double"), F.col("w").cast("double"), F.col("px") / 8).alias("out")), "SELECT page_id, px, py, CAST(w AS DOUBLE) * (px / 8) + CAST(v AS DOUBLE) * (1 - px / 8) AS out FROM c")
-pair("ras21_outside_change", lambda c: c.where("NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5)").groupBy("page_id").agg((F.count_if(F.abs(D) > 16) / F.count("*")).alias("share")), "SELECT page_id, count_if(abs(v - w) > 16) / count(*) AS share FROM c WHERE NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5) GROUP BY page_id")
-pair("ras23_agreement", lambda c: c.groupBy("page_id").agg((F.count_if(F.abs(D) <= 16) / F.count("*") >= 0.6).alias("agrees")), "SELECT page_id, count_if(abs(v - w) <= 16) / count(*) >= 0.6 AS agrees FROM c GROUP BY page_id")
-pair("ras24_region_error", lambda c: c.withColumn("region", F.floor(F.col("px") / 4) + 2 * F.floor(F.col("py") / 4)).groupBy("page_id", "region").agg(F.avg(F.abs(D)).alias("error")), "SELECT page_id, CAST(px // 4 + 2 * (py // 4) AS BIGINT) AS region, avg(abs(v - w)) AS error FROM c GROUP BY page_id, region")
-pair("ras35_support", lambda c: c.where("px IN (1, 6) OR py IN (0, 7)").groupBy("page_id").agg((F.count_if(F.abs(D) <= 24) / F.count("*")).alias("share")), "SELECT page_id, count_if(abs(v - w) <= 24) / count(*) AS share FROM c WHERE px IN (1, 6) OR py IN (0, 7) GROUP BY page_id")
-pair("ras46_region_difference", lambda c: c.where("px BETWEEN 2 AND 6").groupBy("page_id").agg(F.avg(F.abs(D)).alias("mean"), F.max(F.abs(D)).alias("most")), "SELECT page_id, avg(abs(v - w)) AS mean, max(abs(v - w)) AS most FROM c WHERE px BETWEEN 2 AND 6 GROUP BY page_id")
+pair("ras21_outside_change", lambda c: c.where("NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5)").groupBy("page_id").agg((F.count_if(F.abs(diff()) > 16) / F.count("*")).alias("share")), "SELECT page_id, count_if(abs(v - w) > 16) / count(*) AS share FROM c WHERE NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5) GROUP BY page_id")
+pair("ras23_agreement", lambda c: c.groupBy("page_id").agg((F.count_if(F.abs(diff()) <= 16) / F.count("*") >= 0.6).alias("agrees")), "SELECT page_id, count_if(abs(v - w) <= 16) / count(*) >= 0.6 AS agrees FROM c GROUP BY page_id")
+pair("ras24_region_error", lambda c: c.withColumn("region", F.floor(F.col("px") / 4) + 2 * F.floor(F.col("py") / 4)).groupBy("page_id", "region").agg(F.avg(F.abs(diff())).alias("error")), "SELECT page_id, CAST(px // 4 + 2 * (py // 4) AS BIGINT) AS region, avg(abs(v - w)) AS error FROM c GROUP BY page_id, region")
+pair("ras35_support", lambda c: c.where("px IN (1, 6) OR py IN (0, 7)").groupBy("page_id").agg((F.count_if(F.abs(diff()) <= 24) / F.count("*")).alias("share")), "SELECT page_id, count_if(abs(v - w) <= 24) / count(*) AS share FROM c WHERE px IN (1, 6) OR py IN (0, 7) GROUP BY page_id")
+pair("ras46_region_difference", lambda c: c.where("px BETWEEN 2 AND 6").groupBy("page_id").agg(F.avg(F.abs(diff())).alias("mean"), F.max(F.abs(diff())).alias("most")), "SELECT page_id, avg(abs(v - w)) AS mean, max(abs(v - w)) AS most FROM c WHERE px BETWEEN 2 AND 6 GROUP BY page_id")
 tile("ras50_flat_surface", lambda p: p.groupBy("page_id").agg((F.count_if(F.abs(F.col("v") - 127) <= 16) / F.count("*") >= 0.5).alias("flat")), "SELECT page_id, count_if(abs(v - 127) <= 16) / count(*) >= 0.5 AS flat FROM px GROUP BY page_id")
 tile("ras56_colour_sample", lambda p: p.where("px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6").groupBy("page_id").agg(F.median("v").alias("mid"), F.percentile("v", 0.9).alias("p90")), "SELECT page_id, median(v) AS mid, quantile_cont(v, 0.9) AS p90 FROM px WHERE px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6 GROUP BY page_id")
 tile("agg16_histogram", lambda p: p.groupBy("page_id", F.floor(F.col("v") / 16).alias("bucket")).agg(F.count("*").alias("n")), "SELECT page_id, CAST(v // 16 AS BIGINT) AS bucket, count(*) AS n FROM px GROUP BY page_id, bucket")
