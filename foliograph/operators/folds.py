@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.binding import let
 from . import relations as R
 from .sequence import ordered
 
@@ -34,11 +35,14 @@ def merged_lines(lines: DataFrame, last: int = 8) -> DataFrame:
 
         # the latest first: positions n - 1 down to n - last
         open_ = F.filter(F.sequence(F.lit(1), F.lit(last)), lambda j: (j <= n) & F.coalesce(fits(n - j), F.lit(False)))
-        at = n - F.get(open_, F.lit(0))
         wide = lambda b: F.struct(F.least(b["x1"], r["x1"]).alias("x1"), F.least(b["y1"], r["y1"]).alias("y1"), F.greatest(b["x2"], r["x2"]).alias("x2"), F.greatest(b["y2"], r["y2"]).alias("y2"), b["role"].alias("role"))
         fresh = F.struct(*(r[c].alias(c) for c in ("x1", "y1", "x2", "y2", "role")))
-        grown = F.when(at.isNull(), F.concat(blocks, F.array(fresh))).otherwise(F.transform(blocks, lambda b, k: F.when(k == at, wide(b)).otherwise(b)))
-        return F.struct(grown.alias("blocks"), F.concat(F.coalesce(acc["of"], F.array().cast("array<int>")), F.array(F.coalesce(at, n))).alias("of"))
+
+        def joined(at: Column) -> Column:
+            grown = F.when(at.isNull(), F.concat(blocks, F.array(fresh))).otherwise(F.transform(blocks, lambda b, k: F.when(k == at, wide(b)).otherwise(b)))
+            return F.struct(grown.alias("blocks"), F.concat(F.coalesce(acc["of"], F.array().cast("array<int>")), F.array(F.coalesce(at, n))).alias("of"))
+
+        return let(n - F.get(open_, F.lit(0)), joined)
 
     return _assigned(pages, f"blocks array<struct<{box}>>, of array<int>", step, "block")
 
@@ -55,10 +59,13 @@ def row_clusters(elements: DataFrame, tolerance: float) -> DataFrame:
         rows = F.coalesce(acc["rows"], F.array().cast("array<array<double>>"))
         n = F.size(rows)
         near = F.filter(F.sequence(F.lit(0), n), lambda k: F.coalesce(F.abs(middle(F.get(rows, k)) - r["cy"]) <= tolerance, F.lit(False)))
-        at = F.get(near, F.lit(0))
         own = F.array(r["cy"])
-        grown = F.when(at.isNull(), F.concat(rows, F.array(own))).otherwise(F.transform(rows, lambda x, k: F.when(k == at, F.concat(x, own)).otherwise(x)))
-        return F.struct(grown.alias("rows"), F.concat(F.coalesce(acc["of"], F.array().cast("array<int>")), F.array(F.coalesce(at, n))).alias("of"))
+
+        def joined(at: Column) -> Column:
+            grown = F.when(at.isNull(), F.concat(rows, F.array(own))).otherwise(F.transform(rows, lambda x, k: F.when(k == at, F.concat(x, own)).otherwise(x)))
+            return F.struct(grown.alias("rows"), F.concat(F.coalesce(acc["of"], F.array().cast("array<int>")), F.array(F.coalesce(at, n))).alias("of"))
+
+        return let(F.get(near, F.lit(0)), joined)
 
     return _assigned(pages, "rows array<array<double>>, of array<int>", step, "row_no")
 
@@ -85,7 +92,8 @@ def grouped_by_gap(elements: DataFrame, gap: float) -> DataFrame:
     def step(acc: Column, i: Column) -> Column:
         me = F.get(F.col("rows"), i)
         found = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), i), lambda j: near(F.get(F.col("rows"), j), me)), lambda j: F.get(acc, j)))
-        return F.transform(acc, lambda x: F.when(F.array_contains(found, x), F.array_min(found)).otherwise(x))
+        both = F.struct(found.alias("all"), F.array_min(found).alias("least"))
+        return let(both, lambda f: F.transform(acc, lambda x: F.when(F.array_contains(f["all"], x), f["least"]).otherwise(x)))
 
     labels = F.aggregate(F.sequence(F.lit(0), F.size("rows") - 1), F.transform("rows", lambda r: r["pos"]), step)
     return pages.select("page_id", F.explode(F.arrays_zip(F.col("rows"), labels.alias("l"))).alias("x")).select("page_id", F.col("x.rows.pos").alias("pos"), F.col("x.l").alias("grp"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from . import graph
 
 STEPS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
@@ -68,8 +69,8 @@ def components(df: DataFrame, mask: Column) -> DataFrame:
         me = F.get(F.col("ps"), i)
         near = F.filter(F.sequence(F.lit(0), i), lambda j: touching(F.get(F.col("ps"), j), me))
         found = F.array_distinct(F.transform(near, lambda j: F.get(acc, j)))
-        least = F.array_min(found)
-        return F.transform(acc, lambda x: F.when(F.array_contains(found, x), least).otherwise(x))
+        both = F.struct(found.alias("all"), F.array_min(found).alias("least"))
+        return let(both, lambda f: F.transform(acc, lambda x: F.when(F.array_contains(f["all"], x), f["least"]).otherwise(x)))
 
     labels = F.aggregate(F.sequence(F.lit(0), F.size("ps") - 1), start, step)
     return places.select("page_id", F.explode(F.arrays_zip("ps", labels.alias("l"))).alias("x")).select("page_id", F.col("x.ps.px").alias("px"), F.col("x.ps.py").alias("py"), F.col("x.l").alias("label"))
