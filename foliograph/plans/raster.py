@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import raster as P
-from ..sources.views import PIXELS, pixels
+from ..sources.views import ELEMENTS, PIXELS, elements, pixels
 from .registry import add, query
 
 INK = "v >= 136"
@@ -81,3 +81,36 @@ SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py"""
 add("itr02_components", lambda s, d: P.components(pixels(s, d), F.expr(INK)), ITR02)
 add("itr03_holes", lambda s, d: P.components(pixels(s, d), F.expr("v < 136")).groupBy("page_id", "label").agg(F.count("*").alias("size"), F.bool_or(F.col("px").isin(0, 7) | F.col("py").isin(0, 7)).alias("open")).where("NOT open").select("page_id", "label", "size"),
     ITR02.replace(INK, "v < 136").replace("SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py", ", l AS (SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py) SELECT page_id, label, count(*) AS size FROM l GROUP BY page_id, label HAVING NOT bool_or(px IN (0, 7) OR py IN (0, 7))"))
+
+# shapes, profiles, audits
+_ELLIPSE = "(px - 3.5) * (px - 3.5) / 12.25 + (py - 3.5) * (py - 3.5) / 9.0 <= 1.0"
+tile("ras49_ellipse_mask", lambda p: p.where(_ELLIPSE).groupBy("page_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), f"SELECT page_id, count(*) AS n, avg(v) AS mean FROM px WHERE {_ELLIPSE} GROUP BY page_id")
+tile("ras52_profiles", lambda p: p.groupBy("page_id", "py").agg(F.count_if(F.expr(INK)).alias("n")).groupBy("page_id").agg(F.max("n").alias("fullest"), F.count_if(F.col("n") == 0).alias("blank")), f"SELECT page_id, max(n) AS fullest, count_if(n = 0) AS blank FROM (SELECT page_id, py, count_if({INK}) AS n FROM px GROUP BY page_id, py) GROUP BY page_id")
+pair("ras57_still_original", lambda c: c.groupBy("page_id").agg(((F.avg(F.abs(diff())) < 35) & (F.stddev_pop("v") > 10)).alias("original")), "SELECT page_id, avg(abs(v - w)) < 35 AND stddev_pop(v) > 10 AS original FROM c GROUP BY page_id")
+tile("ras58_ring", lambda p: p.where("(px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6) AND NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5)").groupBy("page_id").agg(F.median("v").alias("ring")), "SELECT page_id, median(v) AS ring FROM px WHERE px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6 AND NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5) GROUP BY page_id")
+pair("ras22_new_loss", lambda c: c.where("v >= 150 AND w < 120").groupBy("page_id").agg(F.count("*").alias("lost")), "SELECT page_id, count(*) AS lost FROM c WHERE v >= 150 AND w < 120 GROUP BY page_id")
+pair(
+    "ras25_audit",
+    lambda c: c.groupBy("page_id").agg(F.count_if(F.abs(diff()) > 48).alias("mismatch"), F.count_if((F.col("v") < 110) & (F.col("w") > 140)).alias("pale")).select("page_id", F.explode(F.array_compact(F.array(F.when(F.col("mismatch") >= 2, F.lit("visualContentMismatch")), F.when(F.col("pale") >= 3, F.lit("paleAssetGap"))))).alias("problem")),
+    "SELECT page_id, 'visualContentMismatch' AS problem FROM c GROUP BY page_id HAVING count_if(abs(v - w) > 48) >= 2 UNION ALL SELECT page_id, 'paleAssetGap' FROM c GROUP BY page_id HAVING count_if(v < 110 AND w > 140) >= 3",
+)
+pair("ras38_duplicate_contour", lambda c: c.groupBy("page_id").agg((F.count_if(F.expr(INK) & (F.col("w") >= 136)) / F.greatest(F.least(F.count_if(F.expr(INK)), F.count_if(F.col("w") >= 136)), F.lit(1)) >= 0.94).alias("same")), f"SELECT page_id, count_if({INK} AND w >= 136) / greatest(least(count_if({INK}), count_if(w >= 136)), 1) >= 0.94 AS same FROM c GROUP BY page_id")
+tile("ras36_occupancy", lambda p: p.where("px BETWEEN 2 AND 5").groupBy("page_id").agg((F.count_if(F.expr(INK)) / F.count("*")).alias("share")), f"SELECT page_id, count_if({INK}) / count(*) AS share FROM px WHERE px BETWEEN 2 AND 5 GROUP BY page_id")
+DOMINANT = "SELECT page_id, CAST(max(n) AS DOUBLE) / sum(n) AS share, count(*) AS parts FROM (SELECT page_id, label, count(*) AS n FROM l GROUP BY page_id, label) GROUP BY page_id"
+add("ras41_dominant_component", lambda s, d: P.components(pixels(s, d), F.expr(INK)).groupBy("page_id", "label").agg(F.count("*").alias("n")).groupBy("page_id").agg((F.max("n").cast("double") / F.sum("n")).alias("share"), F.count("*").alias("parts")),
+    ITR02.replace("SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py", f", l AS (SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py) {DOMINANT}"))
+add("ras32_island_counts", lambda s, d: P.components(pixels(s, d), F.expr("v >= 150")).groupBy("page_id", "label").agg(F.count("*").alias("n"), F.max("px").alias("r"), F.min("px").alias("l")).where("n >= 2").groupBy("page_id").agg(F.count("*").alias("islands"), F.max(F.col("r") - F.col("l") + 1).alias("widest")),
+    ITR02.replace(INK, "v >= 150").replace("SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py", ", l AS (SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py), g AS (SELECT page_id, label, count(*) AS n, max(px) AS r2, min(px) AS l2 FROM l GROUP BY page_id, label HAVING count(*) >= 2) SELECT page_id, count(*) AS islands, max(r2 - l2 + 1) AS widest FROM g GROUP BY page_id"))
+
+
+@query(
+    "snk03_preview",
+    f"""WITH {ELEMENTS}, c AS (SELECT page_id, pos, z_index, cx, unnest(range(CAST(floor(y1 / 20) AS INT), CAST(floor((y2 - 1) / 20) AS INT) + 1)) AS cy FROM (SELECT *, unnest(range(CAST(floor(x1 / 20) AS INT), CAST(floor((x2 - 1) / 20) AS INT) + 1)) AS cx FROM e WHERE visible))
+    SELECT page_id, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, arg_max(pos, struct_pack(z := z_index, p := pos)) AS top FROM c GROUP BY page_id, cx, cy""",
+)
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each cell of 20 x 20 pixels shows: the element that is painted last there."""
+    e = elements(spark, sf_dir).where("visible")
+    span = lambda c: F.sequence(F.floor(F.col(f"{c}1") / 20), F.floor((F.col(f"{c}2") - 1) / 20))
+    cells = e.select("page_id", "pos", "z_index", "y1", "y2", F.explode(span("x")).alias("cx")).select("page_id", "pos", "z_index", "cx", F.explode(span("y")).alias("cy"))
+    return cells.groupBy("page_id", "cx", "cy").agg(F.max_by("pos", F.struct("z_index", "pos")).alias("top"))
