@@ -96,7 +96,7 @@ def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, fit_rows / max(1, labelled.count()))
     sample = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     parts = df.sparkSession.sparkContext.defaultParallelism
-    known = cut(sample.repartition(parts, "id").select("domain", features(F.col("text")).alias("f")))
+    known = cut(sample.repartition(parts).select("domain", features(F.col("text")).alias("f")))
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     names = tuple(domains) if domains is not None else tuple(sorted(sizes))
     n = sum(sizes.values())
@@ -140,11 +140,15 @@ def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
 
 
 def _rate(p: Column, steps: Sequence[Sequence[float]]) -> Column:
-    """The rate of a document after projected steps from 1; each step is a vector over the domains."""
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.get(p, F.lit(k)) * F.lit(x) for k, x in enumerate(step)), F.lit(0.0)))
-    return rate
+    """The rate of a document after projected steps from 1; each step is a vector over the domains.
+
+    A fold over a constant, so that the plan and its compiled code stay the same size for any number of steps.
+    """
+    if not steps:
+        return F.lit(1.0)
+    said = F.expr("array(" + ", ".join("array(" + ", ".join(f"double('{x!r}')" for x in step) + ")" for step in steps) + ")")
+    along = lambda s: sum((F.get(p, F.lit(k)) * F.get(s, F.lit(k)) for k in range(len(steps[0]))), F.lit(0.0))
+    return F.aggregate(said, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), rate - along(s)))
 
 
 def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None = None) -> list[list[float]]:
@@ -174,7 +178,8 @@ def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None =
     now, error = list(mass), math.inf
     for _ in range(STEPS):
         steps.append([(now[i] - aim[i]) / mass[i] / bound if i in live else 0.0 for i in range(k)])
-        got = posteriors.agg(*(F.sum(n * x * _rate(F.col("p"), steps)).alias(f"s{i}") for i, x in enumerate(p))).first()
+        moved = posteriors.select("p", (n * _rate(F.col("p"), steps)).alias("kept"))
+        got = moved.agg(*(F.sum(F.col("kept") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
         now = [got[f"s{i}"] or 0.0 for i in range(k)]
         before, error = error, sum((now[i] - aim[i]) ** 2 / mass[i] for i in live) / total
         if error < TOLERANCE or before - error < 0.01 * before:
