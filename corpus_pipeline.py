@@ -37,13 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say, for the target shares of clean and toxic tokens.
+    """Documents that are likelier clean than toxic once, and of the others as many as the share of toxic tokens allows.
 
-    The scale is the largest at which nothing has to be repeated on average, so clean documents stay once.
+    That share is an upper bound: where it isn't reached nothing goes, and nothing is repeated.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     domain = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
-    mixed = mix(docs, labels.select("doc_id", domain.alias("domain")), TARGETS, out_col="__mix")
+    mixed = mix(docs, labels.select("doc_id", domain.alias("domain")), TARGETS, out_col="__mix", whole="clean", once=True)
     return mixed.where("__mix.copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __mix.copies)"))).drop("__mix", "__copy")
 
 

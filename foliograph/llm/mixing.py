@@ -139,25 +139,30 @@ def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
     return Classifier(model.domains, tuple(w[0]), {f: tuple(x) for f, x in zip(order, w[1:], strict=True)})
 
 
-def _rate(p: Column, steps: Sequence[Sequence[float]]) -> Column:
+def _rate(p: Column, steps: Sequence[Sequence[float]], once: int | None = None) -> Column:
     """The rate of a document after projected steps from 1; each step is a vector over the domains.
 
-    A fold over a constant, so that the plan and its compiled code stay the same size for any number of steps.
+    once: the number of a domain. Documents for which no other is likelier keep rate 1, and no rate goes above 1. A fold over a constant, so that the plan and its compiled code stay the same size for any number of steps.
     """
     if not steps:
         return F.lit(1.0)
     said = F.expr("array(" + ", ".join("array(" + ", ".join(f"double('{x!r}')" for x in step) + ")" for step in steps) + ")")
     along = lambda s: sum((F.get(p, F.lit(k)) * F.get(s, F.lit(k)) for k in range(len(steps[0]))), F.lit(0.0))
-    return F.aggregate(said, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), rate - along(s)))
+    most = F.lit(math.inf if once is None else 1.0)
+    rate = F.aggregate(said, F.lit(1.0), lambda rate, s: F.least(most, F.greatest(F.lit(0.0), rate - along(s))))
+    return rate if once is None else F.when(F.get(p, F.lit(once)) >= F.array_max(p), F.lit(1.0)).otherwise(rate)
 
 
-def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None = None) -> list[list[float]]:
+def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None = None, whole: int | None = None, once: bool = False) -> list[list[float]]:
     """Steps of projected-gradient least squares for rates r >= 0 of documents; posteriors has n_tokens and p.
 
     With c[k] = sum of n * p[k], the expected tokens of domain k, it lessens the sum over k of (S[k] - T[k])^2 / c[k], where
     S[k] = sum of r * n * p[k] and T[k] = scale * weight[k] * (all tokens). All documents move at once, each by p . (S - T) / c,
     so a step is a vector over the domains and one aggregate gives the next. scale None: the most for which no domain
     needs more tokens than it has. A domain without tokens is left out.
+
+    whole: the number of a domain, whose T is all its tokens; T of the others is their share next to it, or all that they
+    have if that is less, so a scarce domain doesn't shrink the rest. once: as in _rate, for that domain.
     """
     k = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(k)]
@@ -170,15 +175,17 @@ def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None =
         return []
     weight = sum(targets[i] for i in live) or 1.0
     aim = [targets[i] / weight * total if i in live else 0.0 for i in range(k)]
-    scale = min(mass[i] / aim[i] for i in live if aim[i] > 0) if scale is None else scale
-    aim = [scale * x for x in aim]
+    anchored = whole is not None and aim[whole] > 0
+    if scale is None:
+        scale = mass[whole] / aim[whole] if anchored else min(mass[i] / aim[i] for i in live if aim[i] > 0)
+    aim = [min(scale * x, mass[i]) if anchored else scale * x for i, x in enumerate(aim)]
     # the largest row sum of the scaled moment matrix bounds its largest eigenvalue
     bound = max(sum((row[f"m{min(i, j)}_{max(i, j)}"] or 0.0) / mass[j] for j in live) for i in live)
     steps: list[list[float]] = []
     now, error = list(mass), math.inf
     for _ in range(STEPS):
         steps.append([(now[i] - aim[i]) / mass[i] / bound if i in live else 0.0 for i in range(k)])
-        moved = posteriors.select("p", (n * _rate(F.col("p"), steps)).alias("kept"))
+        moved = posteriors.select("p", (n * _rate(F.col("p"), steps, whole if once else None)).alias("kept"))
         got = moved.agg(*(F.sum(F.col("kept") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
         now = [got[f"s{i}"] or 0.0 for i in range(k)]
         before, error = error, sum((now[i] - aim[i]) ** 2 / mass[i] for i in live) / total
@@ -187,7 +194,7 @@ def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None =
     return steps
 
 
-def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", out_col: str = "mix", scale: float | None = None, fit_rows: int = FIT_ROWS, with_text: bool = True) -> DataFrame:
+def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", out_col: str = "mix", scale: float | None = None, fit_rows: int = FIT_ROWS, with_text: bool = True, whole: str | None = None, once: bool = False) -> DataFrame:
     """df with out_col: struct<n_tokens, posterior: map<domain, double>, rate, copies>; without text_col unless with_text.
 
     Tokens are words. copies is rate rounded up or down by a hash of id and text, with an expectation of rate. A null
@@ -195,8 +202,12 @@ def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col
     df gives no rows; with no labelled rows the domains are equally likely. An out_col already there is replaced,
     other columns pass through. The sums that fit the rates are made of a stored table, which has posteriors and,
     unless with_text, all columns but the text, so the text is then read no more.
+
+    whole: a domain that keeps all its tokens; the targets of the others are upper bounds next to it, and none needs
+    more than it has. once: documents for which no domain is likelier than whole have rate 1 and one copy, the others one at most.
     """
     domains = tuple(targets)
+    kept = None if whole is None else domains.index(whole)
     model = fit(df, labelled, id_col, text_col, domain_col, domains, fit_rows)
     text = F.col(text_col)
     chance = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), text), F.lit(1 << 52)) / float(1 << 52)
@@ -206,10 +217,10 @@ def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col
     else:
         judged = cut(judged.drop(text_col))
         stored = judged.select(f"{out_col}.*")
-    steps = solve(stored, [targets[d] for d in domains], scale)
+    steps = solve(stored, [targets[d] for d in domains], scale, kept, once)
 
     def of(x: Column) -> Column:
         posterior = F.map_from_arrays(F.array(*(F.lit(d) for d in domains)), x["p"])
-        return let(_rate(x["p"], steps), lambda rate: F.struct(x["n_tokens"], posterior.alias("posterior"), rate.alias("rate"), F.floor(rate + x["u"]).cast("long").alias("copies")))
+        return let(_rate(x["p"], steps, kept if once else None), lambda rate: F.struct(x["n_tokens"], posterior.alias("posterior"), rate.alias("rate"), F.floor(rate + x["u"]).cast("long").alias("copies")))
 
     return judged.withColumn(out_col, let(F.col(out_col), of))
