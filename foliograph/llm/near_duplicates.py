@@ -1,8 +1,8 @@
 """N-gram Jaccard join of a table with itself: a MinHash LSH forest, then exact verification.
 
 Texts become sets of word shingles. Each tree of the forest is a sorted trie over its own MinHash values; texts that
-share a prefix of a given length in some tree are candidates. The prefix is shortened step by step until the estimated
-share of links found reaches the target. Candidates are gathered to groups by a union of similar ones, and within a
+share a prefix of a given length in some tree are candidates. The prefix is so short that a pair at the threshold is found
+with the target's probability, whatever else the table holds. Candidates are gathered to groups by a union of similar ones, and within a
 group all pairs of texts are verified on their whole shingle sets. Nothing is made for each pair: tasks return, for
 each text, its number of links and one edge, so a group of m texts makes a number of rows that grows with m alone.
 """
@@ -102,12 +102,20 @@ def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return (np.flatnonzero(first), np.flatnonzero(~first)) if table["two"][0].as_py() else (np.arange(len(block)), np.arange(len(block)))
 
 
-def _similar(depth: int, threshold: float):
-    """For each trie node: edges between texts with similar signatures, and what the estimate of recall needs."""
+def prefix(threshold: float, target_recall: float, start_depth: int) -> int:
+    """The longest prefix, start_depth at most, at which one pair with a similarity of threshold is found with the target's probability.
+
+    Similar pairs are found more often, so the rarest link counts and no number of easy ones can outvote it.
+    """
+    reach = (d for d in range(start_depth, 1, -1) if 1 - (1 - threshold**d) ** TREES >= target_recall)
+    return next(reach, 1)
+
+
+def _similar(threshold: float):
+    """For each trie node: edges between texts with similar signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, roots = [], []
-        weight = found = 0.0
         for table in grouped(batches, "gid"):
             left, right = _across(table)
             two = table["two"][0].as_py()
@@ -122,12 +130,6 @@ def _similar(depth: int, threshold: float):
                 hit = right[near]
                 some_a.append(np.full(len(hit), i))
                 some_b.append(hit)
-                s = np.minimum(likeness[near], 1.0)
-                s = s[s >= threshold]
-                # a pair stands in TREES * s^depth trees on average, and in at least one with the probability below
-                w = 1 / (TREES * s**depth)
-                weight += float(w.sum())
-                found += float((w * (1 - (1 - s**depth) ** TREES)).sum())
             a, b = np.concatenate(some_a), np.concatenate(some_b)
             if len(a):
                 root = _roots(len(own), a, b)
@@ -135,11 +137,9 @@ def _similar(depth: int, threshold: float):
                     uids.append(own[k])
                     roots.append(own[root[k]])
             if len(uids) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(roots, pa.binary()), pa.array([0.0] * len(uids)), pa.array([0.0] * len(uids))], names=["uid", "root", "weight", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(roots, pa.binary())], names=["uid", "root"])
                 uids, roots = [], []
-        uids.append(None)
-        roots.append(None)
-        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(roots, pa.binary()), pa.array([*[0.0] * (len(uids) - 1), weight]), pa.array([*[0.0] * (len(uids) - 1), found])], names=["uid", "root", "weight", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), pa.array(roots, pa.binary())], names=["uid", "root"])
 
     return run
 
@@ -221,22 +221,15 @@ def text_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = docs.mapInArrow(_sign, f"uid binary, id {kind}, n bigint, signature binary, low binary")
     texts = cut(signed.groupBy("uid").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("low").alias("low")))
 
-    depth, edges = start_depth, None
-    while True:
-        trees = F.array(*(F.xxhash64(F.lit(t), F.substring("signature", 4 * DEPTH * t + 1, 4 * depth)) for t in range(TREES)))
-        nodes = texts.where("n > 0").select("uid", F.explode(trees).alias("node"))
-        shared = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        members = nodes.join(shared, "node").join(texts.select("uid", "low"), "uid")
-        tasks = _dealt(members, "node", F.ceil(F.col("size") / BLOCK)).select("gid", "block", "two", "uid", "low")
-        edges = cut(tasks.mapInArrow(_similar(depth, threshold), "uid binary, root binary, weight double, found double"))
-        seen = edges.agg(F.sum("weight").alias("weight"), F.sum("found").alias("found")).first()
-        at_threshold = 1 - (1 - threshold**depth) ** TREES
-        recall = seen["found"] / seen["weight"] if seen["weight"] else at_threshold
-        if recall >= target_recall or at_threshold >= target_recall or depth == 1:
-            break
-        depth -= 1
-
-    groups = cut(components(edges.where("uid IS NOT NULL"), "uid", "root").withColumnRenamed("root", "grp"))
+    depth = prefix(threshold, target_recall, start_depth)
+    trees = F.array(*(F.xxhash64(F.lit(t), F.substring("signature", 4 * DEPTH * t + 1, 4 * depth)) for t in range(TREES)))
+    nodes = texts.where("n > 0").select("uid", F.explode(trees).alias("node"))
+    shared = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    members = nodes.join(shared, "node").join(texts.select("uid", "low"), "uid")
+    tasks = _dealt(members, "node", F.ceil(F.col("size") / BLOCK)).select("gid", "block", "two", "uid", "low")
+    edges = cut(tasks.mapInArrow(_similar(threshold), "uid binary, root binary"))
+
+    groups = cut(components(edges, "uid", "root").withColumnRenamed("root", "grp"))
     members = groups.withColumnRenamed("node", "uid").join(texts.select("uid", "id", "copies", "n"), "uid")
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("all"))
     with_text = members.join(sizes, "grp").join(docs.select("uid", F.col("id").alias("row_id"), "text"), "uid").where("row_id <=> id")
