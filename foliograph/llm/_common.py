@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..session import cut
 
-__all__ = ["cut", "let", "read", "words_of"]
+__all__ = ["cut", "let", "read", "spare", "words_of"]
 
 #: Words are runs of characters other than the ASCII white space 0x20 and 0x09-0x0D.
 SPACE = "[ \\t-\\r]+"
@@ -21,3 +21,14 @@ def words_of(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """names, each with so many _ before it that df has no column of that name."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out

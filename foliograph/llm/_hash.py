@@ -13,11 +13,24 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@functools.lru_cache(maxsize=8)
-def powers(base: int, size: int) -> np.ndarray:
+#: Powers that a worker keeps of each base; longer texts have theirs made anew, so they don't stay in memory.
+KEPT_POWERS = 1 << 19
+
+
+@functools.cache
+def _kept(base: int) -> np.ndarray:
+    return _powers(base, KEPT_POWERS)
+
+
+def _powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    return np.multiply.accumulate(out, out=out)
+
+
+def powers(base: int, size: int) -> np.ndarray:
+    """base to the power 0, 1, ... size - 1, modulo 2 to the 64."""
+    return _kept(base)[:size] if size <= KEPT_POWERS else _powers(base, size)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,10 +57,9 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     edge[ends] = True  # a text's end ends its last word
     begins = np.flatnonzero(black & (edge[:-1] | ~np.concatenate([[False], black[:-1]])))
     stops = np.flatnonzero(black & (edge[1:] | ~np.append(black[1:], False))) + 1
-    room = 1 << max(16, len(raw).bit_length())
-    sums = np.cumsum(BYTES[raw] * powers(int(BASE), room)[: len(raw)])
+    sums = np.cumsum(BYTES[raw] * powers(int(BASE), len(raw)))
     before = np.where(begins > 0, sums[begins - 1], np.uint64(0))
-    hashes = mixed((sums[stops - 1] - before) * powers(int(INVERSE), room)[begins] + (stops - begins).astype(np.uint64))
+    hashes = mixed((sums[stops - 1] - before) * powers(int(INVERSE), len(raw))[begins] + (stops - begins).astype(np.uint64))
     return hashes, np.searchsorted(begins, ends)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._arrow import slices
+from ._arrow import slices, small_batches
 from ._common import cut
 from ._hash import shingles
 

@@ -101,15 +101,22 @@ FROM b
 
 SQL["op5_line_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-     l AS (SELECT r, doc_id, i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM d))),
-     m AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len([x FOR x IN regexp_split_to_array(line, '[ \t-\r]+') IF x <> '']) >= 50 AS long FROM l),
-     b AS (SELECT *, CASE WHEN i = 1 OR long OR lag(long) OVER w OR (2 * lag(h) OVER w + h) % 2 = 0 THEN 1 ELSE 0 END AS cut FROM m WINDOW w AS (PARTITION BY r ORDER BY i)),
-     k AS (SELECT *, sum(cut) OVER (PARTITION BY r ORDER BY i) AS pos FROM b),
-     c AS (SELECT r, any_value(doc_id) AS doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk,
-                  CASE WHEN count(*) > 1 THEN bool_or(regexp_matches(line, '[^ \t-\r]')) ELSE bool_or(long) END AS asked FROM k GROUP BY r, pos),
+     p AS (SELECT r, doc_id, nr, ls[nr] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS nr FROM (SELECT *, string_split(text, chr(10)) AS ls FROM d))),
+     q AS (SELECT r, doc_id, nr, CASE WHEN line = '' THEN [''] ELSE regexp_extract_all(line, '[^ ]+(?: +[^ ]+){0,9} *| +') END AS us FROM p),
+     u AS (SELECT r, doc_id, nr, k, us[k] AS unit FROM (SELECT *, unnest(range(1, len(us) + 1)) AS k FROM q)),
+     h AS (SELECT *, CAST('0x' || substr(md5(unit), 1, 7) AS BIGINT) AS h, row_number() OVER (PARTITION BY r ORDER BY nr, k) AS i FROM u),
+     m AS (SELECT *, i = 1 OR (k = 1 AND (coalesce(lead(nr, 2) OVER w = nr, false) OR coalesce(lag(nr, 3) OVER w = lag(nr) OVER w, false))) AS starts,
+                  coalesce((lag(h, 2) OVER w * 961 + lag(h) OVER w * 31 + h) % 1000003 % 3 = 0, false) AS hit FROM h WINDOW w AS (PARTITION BY r ORDER BY i)),
+     n AS (SELECT *, hit AND NOT starts AND NOT coalesce(lag(starts) OVER (PARTITION BY r ORDER BY i), true) AS inside FROM m),
+     b AS (SELECT *, starts OR (inside AND NOT coalesce(lag(starts, 2) OVER w, true) AND NOT coalesce(lead(starts) OVER w, true) AND NOT coalesce(lead(starts, 2) OVER w, true)
+                     AND NOT coalesce(lag(inside) OVER w, false) AND NOT coalesce(lag(inside, 2) OVER w, false)) AS begins FROM n WINDOW w AS (PARTITION BY r ORDER BY i)),
+     k AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS pos FROM b),
+     c AS (SELECT r, any_value(doc_id) AS doc_id, pos, string_agg(CASE WHEN k = 1 AND NOT begins THEN chr(10) ELSE '' END || unit, '' ORDER BY i) AS chunk,
+                  count(*) >= 3 AND bool_or(regexp_matches(unit, '[^ \t-\r]')) AS asked, min(nr) AS first_nr, max(nr) AS last_nr FROM k GROUP BY r, pos),
      f AS (SELECT chunk, count(*) AS times, min(doc_id) AS first FROM c WHERE asked GROUP BY chunk),
-     g AS (SELECT c.*, asked AND times > 1 AND (doc_id <> first OR row_number() OVER (PARTITION BY r, c.chunk ORDER BY pos) > 1) AS gone FROM c LEFT JOIN f ON c.chunk = f.chunk)
-SELECT any_value(doc_id) AS doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, false)), '') AS text,
-       CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed
-FROM g GROUP BY r
+     g AS (SELECT c.*, asked AND times > 1 AND (doc_id <> first OR row_number() OVER (PARTITION BY r, c.chunk ORDER BY pos) > 1) AS gone FROM c LEFT JOIN f ON c.chunk = f.chunk),
+     s AS (SELECT *, CASE WHEN lag(last_nr) OVER (PARTITION BY r ORDER BY pos) <> first_nr THEN chr(10) ELSE '' END AS apart FROM g WHERE NOT coalesce(gone, false)),
+     t AS (SELECT r, string_agg(apart || chunk, '' ORDER BY pos) AS text FROM s GROUP BY r),
+     x AS (SELECT r, any_value(doc_id) AS doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed FROM g GROUP BY r)
+SELECT doc_id, coalesce(text, '') AS text, n_removed FROM x LEFT JOIN t USING (r)
 """

@@ -22,8 +22,10 @@ from ._hash import BASE, INVERSE, MIX, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-#: Words kept by a worker; at this number its store starts anew.
-STORE_WORDS = 1_000_000
+#: What a worker keeps: words (16 bytes and 4 for each piece) and pairs of pieces (9 bytes). At these numbers a store starts anew.
+STORE_WORDS, STORE_PAIRS = 300_000, 500_000
+#: Bytes of text that are encoded at a time; about forty times as many are held while it lasts.
+SLICE_BYTES = 1 << 20
 #: Units above this length are also split where no piece spans two neighbouring characters.
 LONG = 48
 
@@ -74,7 +76,7 @@ class Pairs:
         known[inside] = self.keys[at[inside]] == key[inside]
         if not known.all():
             new = np.unique(key[~known])
-            if len(self.keys) > 4_000_000:
+            if len(self.keys) > STORE_PAIRS:
                 self.keys, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
                 new = np.unique(key)
             where = np.searchsorted(self.keys, new)
@@ -171,7 +173,7 @@ class Codec:
 
     def _forget(self) -> None:
         self.seen = np.zeros(0, np.uint64)
-        self.seen_at, self.seen_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.seen_at, self.seen_n = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, np.int32)
         self.pool_n = 0
 
@@ -243,7 +245,7 @@ class Codec:
         edges = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
         for a, b in zip(edges, edges[1:]):
             size = int(sizes[order[a]])
-            step = max(1, 400_000 // size)
+            step = max(1, 100_000 // size)
             for c in range(a, b, step):
                 rows = order[c : min(b, c + step)]
                 codes = chars[starts[rows][:, None] + np.arange(size)]
@@ -290,10 +292,9 @@ class Codec:
         text_ends = np.cumsum(text_sizes)
         starts = self._bounds(chars, (text_ends - text_sizes)[text_sizes > 0])
         sizes = np.diff(starts, append=len(chars))
-        room = 1 << max(16, int(len(chars)).bit_length())
-        sums = np.cumsum(coded(chars) * powers(int(BASE), room)[: len(chars)])
+        sums = np.cumsum(coded(chars) * powers(int(BASE), len(chars)))
         before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-        hashes = (sums[starts + sizes - 1] - before) * powers(int(INVERSE), room)[starts]
+        hashes = (sums[starts + sizes - 1] - before) * powers(int(INVERSE), len(chars))[starts]
         hashes ^= sizes.astype(np.uint64) * MIX
         own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.seen) > STORE_WORDS:
@@ -305,7 +306,7 @@ class Codec:
         if new.any():
             self._learn(chars, starts[first[new]], sizes[first[new]], own[new])
             at = np.searchsorted(self.seen, own)
-        unit_at, unit_n = self.seen_at[at][inverse], self.seen_n[at][inverse]
+        unit_at, unit_n = self.seen_at[at][inverse].astype(np.int64), self.seen_n[at][inverse].astype(np.int64)
         ends = np.cumsum(unit_n)
         ids = self.pool[np.repeat(unit_at - (ends - unit_n), unit_n) + np.arange(ends[-1])]
         return np.concatenate([[0], np.append(0, ends)[np.searchsorted(starts, text_ends)]]), ids
@@ -341,7 +342,7 @@ def encode_column(df: DataFrame, text_col: str = "text", out_col: str = "pieces"
         back = own.decode(offsets, ids)
         return pa.StructArray.from_arrays([pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array([a == (b or "") for a, b in zip(back, texts)])], fields=list(ENCODED))
 
-    return with_struct(df, text_col, out_col, ENCODED, of)
+    return with_struct(df, text_col, out_col, ENCODED, of, SLICE_BYTES)
 
 
 def decode_column(df: DataFrame, ids_col: str = "ids", out_col: str = "text", path: str = MODEL) -> DataFrame:

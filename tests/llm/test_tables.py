@@ -1,6 +1,7 @@
 """Operators that relate rows to each other, against brute force on small tables."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,25 +105,54 @@ def test_shingle_hashes():
     assert np.array_equal(again, h[bounds[2] : bounds[6]]) and np.array_equal(other, bounds[2:7] - bounds[2])
 
 
+def brute_lines(text):
+    """(number of the physical line, text) of ten-word lines, cut by hand."""
+    out = []
+    for row, line in enumerate(text.split("\n")):
+        held, words = "", 0
+        for piece in re.findall(r" +|[^ ]+", line):
+            if piece[0] != " ":
+                if words == 10:
+                    out.append((row, held))
+                    held, words = "", 0
+                words += 1
+            held += piece
+            if words == 0:  # spaces before the first word
+                out.append((row, held))
+                held = ""
+        if held or not line:
+            out.append((row, held))
+    return out
+
+
 def brute_chunks(text):
+    """(text, whether it is looked up, first row, last row) of the chunks: stretches first, then boundaries inside each."""
     import hashlib
 
-    lines = text.split("\n")
-    code = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
-    long = lambda x: len(x.split()) >= D.PASSAGE_WORDS
-    out = [[lines[0]]]
-    for a, b in zip(lines, lines[1:]):
-        if long(a) or long(b) or (2 * code(a) + code(b)) % D.MODULUS == 0:
-            out.append([])
-        out[-1].append(b)
-    return [("\n".join(c), len(c) > 1 and any(x.strip(D.BLANK) for x in c) or len(c) == 1 and long(c[0])) for c in out]
+    lines = brute_lines(text)
+    size = Counter(row for row, _ in lines)
+    stretches = []
+    for row in range(len(text.split("\n"))):
+        own = [x for x in lines if x[0] == row]
+        if not stretches or size[row] >= D.LEAST or size[row - 1] >= D.LEAST:
+            stretches.append([])
+        stretches[-1] += own
+    out = []
+    for s in stretches:
+        code = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for _, x in s]
+        rolls = [j >= 2 and (code[j - 2] * D.BASE**2 + code[j - 1] * D.BASE + code[j]) % D.PRIME % D.MODULUS == 0 for j in range(len(s))]
+        cuts = [j for j in range(len(s)) if rolls[j] and j >= D.LEAST and len(s) - j >= D.LEAST and not any(rolls[j - d] for d in range(1, D.LEAST))]
+        for a, b in zip([0, *cuts], [*cuts, len(s)]):
+            joined = "".join(("\n" if k > a and s[k][0] != s[k - 1][0] else "") + s[k][1] for k in range(a, b))
+            out.append((joined, b - a >= D.LEAST and bool(joined.strip(" \t\x0b\x0c\r\n")), s[a][0], s[b - 1][0]))
+    return out
 
 
 def brute_dedup(rows):
     found, times = {}, Counter()
     order = lambda i: -(1 << 63) if i is None else i
     for i, t in rows:
-        for c, asked in brute_chunks(t) if t is not None else []:
+        for c, asked, _, _ in brute_chunks(t) if t is not None else []:
             if asked:
                 times[c] += 1
                 found[c] = min(found.get(c, 1 << 63), order(i))
@@ -131,20 +161,21 @@ def brute_dedup(rows):
         if t is None:
             out.append((i, None))
             continue
-        kept, seen = [], set()
-        for c, asked in brute_chunks(t):
+        kept, seen, last = "", set(), None
+        for c, asked, first, end in brute_chunks(t):
             if asked and times[c] > 1 and (found[c] != order(i) or c in seen):
                 continue
             seen.add(c)
-            kept.append(c)
-        out.append((i, "\n".join(kept)))
+            kept += c if last in (None, first) else "\n" + c
+            last = end
+        out.append((i, kept))
     return Counter(out)
 
 
 def test_line_dedup_as_brute_force(spark):
     rnd = random.Random(4)
     pool = [f"line {i} of the pool" for i in range(30)] + [" ".join(f"w{j}" for j in range(60)), ""]
-    passage = [f"passage line {i}" for i in range(12)]
+    passage = [f"passage line {i}" for i in range(40)]
     rows = []
     for i in range(80):
         lines = [rnd.choice(pool) if rnd.random() < 0.3 else f"own {i} {j}" for j in range(rnd.randrange(1, 20))]
@@ -154,10 +185,46 @@ def test_line_dedup_as_brute_force(spark):
         rows.append((i, "\n".join(lines)))
     got = D.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), count_col="n")
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == brute_dedup(rows)
-    inner = "\n".join(passage[4:8])
+    inner = "\n".join(passage[16:26])
     assert sum(inner in r["text"] for r in got.collect()) == 1
 
 
+def test_line_dedup_of_passages(spark):
+    """A passage of over 50 words goes whole but for its first place, on a line of its own or on several; what is around it stays."""
+    rnd = random.Random(8)
+    word = lambda: rnd.choice("abcdefgh") + str(rnd.randrange(5000))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passages = [own(51), own(75), own(140), f"{own(30)}\n{own(35)}\n{own(41)}"]
+    rows = []
+    for i in range(60):
+        parts = [own(rnd.randrange(1, 70)) for _ in range(4)]
+        rows.append((i, "\n".join([parts[0], parts[1], passages[i % 4], parts[2], parts[3]]), "\n".join(parts)))
+    got = {r["doc_id"]: r["text"] for r in D.line_dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()}
+    for i, text, rest in rows:
+        assert got[i] == (text if i < 4 else rest)
+
+
+def test_line_boundaries_roll(spark):
+    """Every line of the window counts: other lines before one make other boundaries; lines put in at the front shift all but the first."""
+    lines = [f"line number {i}" for i in range(400)]
+    other = [x + "!" if i % 2 == 0 else x for i, x in enumerate(lines)]
+    texts = ["\n".join(x) for x in (lines, other, ["new", "lines"] + lines)]
+    cuts = [[c["text"].split("\n")[0] for c in r[0]] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(D.chunks(F.col("t"))).collect()]
+    at = [{int(re.search(r"\d+", x)[0]) for x in c[1:]} for c in cuts]
+    assert at[0] != at[1] and len(at[0] & at[1]) < 0.6 * len(at[0])
+    assert {x for x in at[0] if x > 8} == {x for x in at[2] if x > 8}
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,0)"])
+def test_line_dedup_of_any_id(spark, kind):
+    text = " ".join(f"w{i}" for i in range(60))
+    ids = {"string": ["b", "a", None], "date": ["2024-01-02", "2024-01-01", None], "decimal(20,0)": ["2", "1", None]}[kind]
+    for some, kept in ((ids[:2], ids[1]), (ids, None)):
+        df = spark.createDataFrame([(i, text) for i in some], "own_id string, text string").withColumn("own_id", F.col("own_id").cast(kind))
+        got = D.line_dedup(df.withColumn("gone", F.lit(1)).withColumn("h1", F.lit("x")), "own_id").where("text <> ''").select(F.col("own_id").cast("string")).collect()
+        assert [r[0] for r in got] == [kept]
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     rows = [(r["id"], r["text"]) for r in odd.collect()]
     got = D.line_dedup(odd, "id", count_col="s")
