@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from foliograph.llm.mixing import mix
 from foliograph.llm.near_duplicates import keep_one
 from foliograph.llm.quality import quality_rules
 from foliograph.llm.sentencepieces import encode_column
-from foliograph.session import shared_folder
+from foliograph.session import new_folder
 
 #: Shares of tokens after mixing.
 TARGETS = {"clean": 0.99, "toxic": 0.01}
@@ -62,8 +61,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the documents of sf_dir; stages are stored in the shared checkpoint folder."""
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage over the documents of sf_dir; stages are stored in the shared checkpoint folder until the driver ends."""
+    at = new_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")

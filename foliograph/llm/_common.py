@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from ..session import cut
+from ..session import cut, stored
 
-__all__ = ["cut", "let", "read", "spare", "words_of"]
+__all__ = ["cut", "let", "read", "spare", "stored", "words_of"]
 
 #: Words are runs of characters other than the ASCII white space 0x20 and 0x09-0x0D.
 SPACE = "[ \\t-\\r]+"

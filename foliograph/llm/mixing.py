@@ -9,13 +9,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, let, words_of
+from ._common import cut, let, stored, words_of
 
-#: The classifier is fitted on so many labelled rows at most, chosen by a hash of the row; it keeps so many features.
+#: The classifier is fitted on so many labelled rows at most, chosen by a hash of the row.
 FIT_ROWS = 20_000
-FEATURES = 256
-FIT_STEPS, RATE, DECAY = 30, 0.4, 1e-5
-STEPS, TOLERANCE = 25, 1e-8
+#: The features that tell domains apart best have a weight of their own, so many; all others share this many weights by a hash.
+FEATURES, SHARED = 256, 4096
+#: The steps of a fit; how far one moves an own and a shared weight.
+FIT_STEPS, RATE, SHARED_RATE, DECAY = 30, 0.4, 0.002, 1e-5
+#: Steps for the rates at most; they end before at this residual, or where a step lowers it by less than this share.
+STEPS, TOLERANCE, STALL = 40, 1e-4, 1e-3
 SEED = 11
 
 
@@ -44,11 +47,16 @@ def features(text: Column) -> Column:
     return let(F.split(F.lower(text), "[ \\t-\\r.,;:]+"), of)
 
 
+def _numbers(values: Sequence[float]) -> Column:
+    """array<double> as one constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def _logs(had: Column, rows: Sequence[Sequence[float]], k: int) -> Column:
     """For each domain the sum of row 0, the constant, and of the rows whose numbers are in had."""
 
     def of(i: int) -> Column:
-        weights = F.expr("array(" + ", ".join(f"double('{row[i]!r}')" for row in rows) + ")")
+        weights = _numbers([row[i] for row in rows])
         return F.aggregate(had, F.lit(float(rows[0][i])), lambda acc, f: acc + F.get(weights, f))
 
     return F.array(*map(of, range(k)))
@@ -59,6 +67,13 @@ def _texts(values: Sequence[str]) -> Column:
     return F.split(F.lit(chr(0).join(values)), chr(0)) if values else F.array().cast("array<string>")
 
 
+def _rows_of(found: Column, names: Sequence[str], shared: int) -> Column:
+    """The numbers of a text's features among the weights: 1 and on for names, then those of the shared weights."""
+    own = _texts(names)
+    rest = F.transform(F.array_except(found, own), lambda f: (F.pmod(F.xxhash64(F.lit(SEED), f), F.lit(shared)) + len(names) + 1).cast("int"))
+    return F.concat(F.transform(F.array_intersect(found, own), lambda f: F.array_position(own, f).cast("int")), F.array_distinct(rest))
+
+
 def _softmax(logs: Column) -> Column:
     def normal(x: Column) -> Column:
         raised = F.transform(x, lambda y: F.exp(y - F.array_max(x)))
@@ -69,26 +84,27 @@ def _softmax(logs: Column) -> Column:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Log scores of domains: score[d] plus weight[f][d] of every feature f that a text has."""
+    """Log scores of domains: score[d], plus weight[f][d] of every feature f in weight that a text has, plus shared[h][d] of the hash h of every other one."""
 
     domains: tuple[str, ...]
     score: tuple[float, ...]
     weight: Mapping[str, tuple[float, ...]]
+    shared: tuple[tuple[float, ...], ...] = ()
 
     def posterior(self, text: Column) -> Column:
         """array<double>: the probability of each domain."""
-        names = _texts(list(self.weight))
-        had = F.transform(F.array_intersect(features(text), names), lambda f: F.array_position(names, f).cast("int"))
-        rows = [self.score, *self.weight.values()]
-        total = let(had, lambda x: _logs(x, rows, len(self.domains)))
-        return _softmax(total)
+        if not self.shared:
+            return _softmax(F.array(*(F.lit(float(x)) for x in self.score)))
+        had = let(features(text), lambda found: _rows_of(found, list(self.weight), len(self.shared)))
+        rows = [self.score, *self.weight.values(), *self.shared]
+        return _softmax(let(had, lambda x: _logs(x, rows, len(self.domains))))
 
 
 def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", domains: Sequence[str] | None = None, fit_rows: int = FIT_ROWS, n_features: int = FEATURES) -> Classifier:
-    """A logistic regression over the features that tell the domains apart best by their G statistic.
+    """A logistic regression over all features; the n_features that tell domains apart best, by their G statistic, have own weights.
 
     labelled has id_col and domain_col; rows of it without a domain or without a text don't count. At most about
-    fit_rows rows are used. What reaches the driver are n_features rows and a count for each domain.
+    fit_rows rows are used. What reaches the driver are the weights' slopes and a count for each domain.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labelled.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain")).where("domain IS NOT NULL"), "id").where("text IS NOT NULL")
     if domains is not None:
@@ -113,30 +129,35 @@ def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: st
         return part(with_it, F.col("all") * size / n) + part(size - with_it, (n - F.col("all")) * size / n)
 
     score = sum((g(k, d) for k, d in enumerate(names) if sizes.get(d)), F.lit(0.0))
-    best = [r["feature"] for r in table.withColumn("g", score).where("g > 20").orderBy(F.desc("g"), "feature").limit(n_features).select("feature").collect()]
+    best = [r["feature"] for r in table.withColumn("g", score).orderBy(F.desc("g"), "feature").limit(n_features).select("feature").collect()]
     start = tuple(math.log((sizes.get(d, 0) + 1) / (n + len(names))) for d in names)
     return _descend(known, Classifier(names, start, {f: (0.0,) * len(names) for f in best}), n)
 
 
 def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
-    """Multinomial logistic regression by Adam on the whole fitted sample; a step is one aggregate of a row for each feature."""
-    names = _texts(list(model.weight))
-    order, k = list(model.weight), len(model.domains)
-    rows = cut(known.select("domain", F.transform(F.array_intersect("f", names), lambda f: F.array_position(names, f).cast("int")).alias("had")))
-    w = [list(model.score), *([0.0] * k for _ in order)]  # row 0 is the constant
+    """Multinomial logistic regression by Adam on the whole fitted sample; a step is one aggregate of a row for each feature.
+
+    Slopes are summed as whole numbers of 1e-9, so their sums don't depend on the order of rows.
+    """
+    own, k = list(model.weight), len(model.domains)
+    rows = cut(known.select("domain", _rows_of(F.col("f"), own, SHARED).alias("had")))
+    w = [list(model.score), *([0.0] * k for _ in range(len(own) + SHARED))]  # row 0 is the constant
     first, second = [[0.0] * k for _ in w], [[0.0] * k for _ in w]
     for step in range(1, FIT_STEPS + 1):
-        judged = rows.select(_softmax(_logs(F.col("had"), w, k)).alias("p"), "domain", F.concat(F.array(F.lit(0)), F.col("had")).alias("had"))
-        each = judged.select("p", "domain", F.explode("had").alias("f"))  # apart, or p would be computed for each feature
-        wrong = [F.sum(F.get("p", F.lit(i)) - (F.col("domain") == d).cast("double")).alias(f"g{i}") for i, d in enumerate(model.domains)]
-        slope = {r["f"]: r for r in each.groupBy("f").agg(*wrong).collect()}
+        p = _softmax(_logs(F.col("had"), w, k))
+        off = F.array(*(F.round(1e9 * (F.get("p", F.lit(i)) - (F.col("domain") == d).cast("double"))).cast("long") for i, d in enumerate(model.domains)))
+        judged = rows.select(p.alias("p"), "domain", "had").select(off.alias("off"), F.concat(F.array(F.lit(0)), F.col("had")).alias("had"))
+        each = judged.select("off", F.explode("had").alias("f"))  # apart, or p would be computed for each feature
+        slope = {r["f"]: r for r in each.groupBy("f").agg(*(F.sum(F.get("off", F.lit(i))).alias(f"g{i}") for i in range(k))).collect()}
         for f, x in enumerate(w):
             for i in range(k):
-                g = (slope[f][f"g{i}"] if f in slope else 0.0) / n + (DECAY * x[i] if f else 0.0)
+                g = (slope[f][f"g{i}"] / 1e9 if f in slope else 0.0) / n + (DECAY * x[i] if f else 0.0)
                 first[f][i] = 0.9 * first[f][i] + 0.1 * g
                 second[f][i] = 0.99 * second[f][i] + 0.01 * g * g
-                x[i] -= RATE * (first[f][i] / (1 - 0.9**step)) / (math.sqrt(second[f][i] / (1 - 0.99**step)) + 1e-8)
-    return Classifier(model.domains, tuple(w[0]), {f: tuple(x) for f, x in zip(order, w[1:], strict=True)})
+                rate = RATE if f <= len(own) else SHARED_RATE
+                x[i] -= rate * (first[f][i] / (1 - 0.9**step)) / (math.sqrt(second[f][i] / (1 - 0.99**step)) + 1e-8)
+    at = [tuple(round(y, 9) for y in x) for x in w]
+    return Classifier(model.domains, at[0], dict(zip(own, at[1:], strict=False)), tuple(at[len(own) + 1 :]))
 
 
 def _rate(p: Column, steps: Sequence[Sequence[float]], once: int | None = None) -> Column:
@@ -153,13 +174,27 @@ def _rate(p: Column, steps: Sequence[Sequence[float]], once: int | None = None)
     return rate if once is None else F.when(F.get(p, F.lit(once)) >= F.array_max(p), F.lit(1.0)).otherwise(rate)
 
 
-def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None = None, whole: int | None = None, once: bool = False) -> list[list[float]]:
+@dataclass(frozen=True)
+class Rates:
+    """The steps that make a document's rate, and how far the totals then are from their aims: the sum of differences as a share of the aims."""
+
+    steps: list[list[float]]
+    residual: float
+
+
+def _exact(x: Column) -> Column:
+    """A sum that doesn't depend on the order of rows: to nine places."""
+    return F.sum(x.cast("decimal(28,9)")).cast("double")
+
+
+def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None = None, whole: int | None = None, once: bool = False) -> Rates:
     """Steps of projected-gradient least squares for rates r >= 0 of documents; posteriors has n_tokens and p.
 
     With c[k] = sum of n * p[k], the expected tokens of domain k, it lessens the sum over k of (S[k] - T[k])^2 / c[k], where
     S[k] = sum of r * n * p[k] and T[k] = scale * weight[k] * (all tokens). All documents move at once, each by p . (S - T) / c,
     so a step is a vector over the domains and one aggregate gives the next. scale None: the most for which no domain
-    needs more tokens than it has. A domain without tokens is left out.
+    needs more tokens than it has. A domain without tokens is left out. Where the targets can't be met (a domain's tokens
+    all stand in documents of another), the residual says so.
 
     whole: the number of a domain, whose T is all its tokens; T of the others is their share next to it, or all that they
     have if that is less, so a scarce domain doesn't shrink the rest. once: as in _rate, for that domain.
@@ -167,12 +202,12 @@ def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None =
     k = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(k)]
     n = F.col("n_tokens").cast("double")
-    row = posteriors.agg(*(F.sum(n * x).alias(f"c{i}") for i, x in enumerate(p)), *(F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+    row = posteriors.agg(*(_exact(n * x).alias(f"c{i}") for i, x in enumerate(p)), *(_exact(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
     mass = [row[f"c{i}"] or 0.0 for i in range(k)]
     total = sum(mass)
     live = [i for i in range(k) if mass[i] > 0 and total > 0]
     if not live:
-        return []
+        return Rates([], 0.0)
     weight = sum(targets[i] for i in live) or 1.0
     aim = [targets[i] / weight * total if i in live else 0.0 for i in range(k)]
     anchored = whole is not None and aim[whole] > 0
@@ -182,26 +217,28 @@ def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None =
     # the largest row sum of the scaled moment matrix bounds its largest eigenvalue
     bound = max(sum((row[f"m{min(i, j)}_{max(i, j)}"] or 0.0) / mass[j] for j in live) for i in live)
     steps: list[list[float]] = []
-    now, error = list(mass), math.inf
-    for _ in range(STEPS):
-        steps.append([(now[i] - aim[i]) / mass[i] / bound if i in live else 0.0 for i in range(k)])
+    off = lambda now: sum(abs(now[i] - aim[i]) for i in live) / (sum(aim) or total)
+    now, residual = list(mass), off(mass)
+    while len(steps) < STEPS and residual >= TOLERANCE:
+        steps.append([round((now[i] - aim[i]) / mass[i] / bound, 12) if i in live else 0.0 for i in range(k)])
         moved = posteriors.select("p", (n * _rate(F.col("p"), steps, whole if once else None)).alias("kept"))
-        got = moved.agg(*(F.sum(F.col("kept") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
+        got = moved.agg(*(_exact(F.col("kept") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
         now = [got[f"s{i}"] or 0.0 for i in range(k)]
-        before, error = error, sum((now[i] - aim[i]) ** 2 / mass[i] for i in live) / total
-        if error < TOLERANCE or before - error < 0.01 * before:
+        before, residual = residual, off(now)
+        if abs(before - residual) < STALL * before:
             break
-    return steps
+    return Rates(steps, residual)
 
 
 def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", out_col: str = "mix", scale: float | None = None, fit_rows: int = FIT_ROWS, with_text: bool = True, whole: str | None = None, once: bool = False) -> DataFrame:
-    """df with out_col: struct<n_tokens, posterior: map<domain, double>, rate, copies>; without text_col unless with_text.
+    """df with out_col: struct<n_tokens, posterior: map<domain, double>, rate, copies, residual>; without text_col unless with_text.
 
-    Tokens are words. copies is rate rounded up or down by a hash of id and text, with an expectation of rate. A null
-    or empty text has no tokens and is judged like a text with no words. Repeated rows get equal results. An empty
-    df gives no rows; with no labelled rows the domains are equally likely. An out_col already there is replaced,
-    other columns pass through. The sums that fit the rates are made of a stored table, which has posteriors and,
-    unless with_text, all columns but the text, so the text is then read no more.
+    Tokens are words. copies is rate rounded up or down by a hash of id and text, with an expectation of rate. residual,
+    the same in every row, is how far the expected totals are from the targets, as a share of them. A null or empty text
+    has no tokens and is judged like a text with no words. Repeated rows get equal results. An empty df gives no
+    rows; with no labelled rows the domains are equally likely. An out_col already there is replaced, other columns pass
+    through, whatever their names. Posteriors are computed once and stored by columns next to the row in the shared
+    folder; the sums that fit the rates read those columns alone. A text of any length is one row.
 
     whole: a domain that keeps all its tokens; the targets of the others are upper bounds next to it, and none needs
     more than it has. once: documents for which no domain is likelier than whole have rate 1 and one copy, the others one at most.
@@ -209,18 +246,15 @@ def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col
     domains = tuple(targets)
     kept = None if whole is None else domains.index(whole)
     model = fit(df, labelled, id_col, text_col, domain_col, domains, fit_rows)
-    text = F.col(text_col)
-    chance = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), text), F.lit(1 << 52)) / float(1 << 52)
-    judged = df.withColumn(out_col, F.struct(F.size(words_of(text)).cast("long").alias("n_tokens"), model.posterior(text).alias("p"), chance.alias("u")))
-    if with_text:
-        stored = cut(judged.select(f"{out_col}.*"))
-    else:
-        judged = cut(judged.drop(text_col))
-        stored = judged.select(f"{out_col}.*")
-    steps = solve(stored, [targets[d] for d in domains], scale, kept, once)
+    text = F.col(f"`{text_col}`")
+    chance = F.pmod(F.xxhash64(F.lit(SEED), F.col(f"`{id_col}`"), text), F.lit(1 << 52)) / float(1 << 52)
+    p = F.transform(model.posterior(text), lambda x: F.round(x, 9))
+    judged = df.withColumn(out_col, F.struct(F.size(words_of(text)).cast("long").alias("n_tokens"), p.alias("p"), chance.alias("u")))
+    judged = stored(judged if with_text else judged.drop(text_col))
+    rates = solve(judged.select(f"{out_col}.*"), [targets[d] for d in domains], scale, kept, once)
 
     def of(x: Column) -> Column:
         posterior = F.map_from_arrays(F.array(*(F.lit(d) for d in domains)), x["p"])
-        return let(_rate(x["p"], steps, kept if once else None), lambda rate: F.struct(x["n_tokens"], posterior.alias("posterior"), rate.alias("rate"), F.floor(rate + x["u"]).cast("long").alias("copies")))
+        return let(_rate(x["p"], rates.steps, kept if once else None), lambda rate: F.struct(x["n_tokens"], posterior.alias("posterior"), rate.alias("rate"), F.floor(rate + x["u"]).cast("long").alias("copies"), F.lit(rates.residual).alias("residual")))
 
     return judged.withColumn(out_col, let(F.col(out_col), of))

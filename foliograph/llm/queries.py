@@ -56,11 +56,12 @@ TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_tokens counts words; the targets are shares of them."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("low")
     labelled = read(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
     m = F.col("mix")
     mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "text"), labelled, TARGETS, with_text=False, whole="good")
-    return mixed.select("doc_id", m["n_tokens"].alias("n_tokens"), *(m["posterior"][d].alias(f"p_{d}") for d in TARGETS), m["rate"].alias("rate"), m["copies"].alias("copies"))
+    return mixed.select("doc_id", m["n_tokens"].alias("n_tokens"), *(m["posterior"][d].alias(f"p_{d}") for d in TARGETS), m["rate"].alias("rate"), m["copies"].alias("copies"), m["residual"].alias("residual"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,7 +280,7 @@ def test_mixing_solver(spark):
     p = rnd.dirichlet([0.3, 0.3, 0.3], 60)
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens bigint, p array<double>")
     for targets, scale in (((0.5, 0.3, 0.2), None), ((0.9, 0.1, 0.0), 1.0), ((1.0, 1.0, 1.0), 2.0)):
-        steps = M.solve(df, targets, scale)
+        steps = M.solve(df, targets, scale).steps
         r = np.array([x[0] for x in df.select(M._rate(F.col("p"), steps)).collect()])
         _, aim = brute_rates(n, p, targets, scale)
         mass = (n[:, None] * p).sum(0)
