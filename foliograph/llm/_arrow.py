@@ -19,7 +19,7 @@ BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 <<
 
 def small_batches(spark: SparkSession) -> None:
     """Sets the session's size of Arrow batches, which else is 64 MB in the task and again in the worker, unless the user has set it."""
-    if spark.conf.get(BATCH_CONF, "").rstrip("b") in ("", str(BATCH_DEFAULT)):
+    if spark.conf.get(BATCH_CONF, str(BATCH_DEFAULT)).rstrip("b") == str(BATCH_DEFAULT):
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 

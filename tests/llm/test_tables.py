@@ -323,6 +323,28 @@ def test_licenses(spark):
     assert got[(2, "a/b/x.txt")]["inherited_from"] == "a"
 
 
+def test_licenses_without_ids_or_paths(spark):
+    """Null ids and paths lose nothing, and null isn't the other's value."""
+    said = "Released under the MIT License."
+    rows = [(None, "d/x", said), (None, "d/x", said), (7, None, said), (None, None, said), (8, "d/y", "words"), (9, None, "words")]
+    got = Counter((r["doc_id"], r["path"], r["header"], r["file"], r["inherited"], r["license"]) for r in L.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect())
+    assert got == Counter({(None, "d/x", "MIT", "MIT", "MIT", "MIT"): 2, (7, None, "MIT", "MIT", None, "MIT"): 1, (None, None, "MIT", "MIT", None, "MIT"): 1, (8, "d/y", None, None, "MIT", "MIT"): 1, (9, None, None, None, None, None): 1})
+
+
+def test_licence_texts_and_blocks(spark):
+    """Whole licence texts, wrapped and with names filled in, are licence files that hand down; a notice may go over several comment lines."""
+    import textwrap
+
+    mit, bsd = (textwrap.fill(L.TEXTS[k][0].replace("Copyright (c)", "Copyright (c) 2024 Some Body and Others"), 70) for k in ("MIT", "BSD-3-Clause"))
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "Everyone is permitted to copy and distribute verbatim copies of this document.\n" * 40
+    apache = "\n".join("# " + x for x in ["Licensed under the Apache License, Version 2.0 (the License);", "you may not use this file except in compliance", "with the License."]) + "\n\nimport os\n" + "x = f(y)\n" * 50
+    rows = [(1, "m/LICENSE", mit), (2, "m/src/a.py", "import os"), (3, "b/LICENSE", bsd), (4, "b/c.py", "x"), (5, "g/COPYING", gpl), (6, "g/deep/er/f.c", "int x;"), (7, "m/src/b.py", apache)] + [(k, f"z/{k}", " ".join(f"w{k}x{j}" for j in range(40))) for k in range(10, 60)]
+    got = {r["doc_id"]: r for r in L.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert {k: got[k]["file"] for k in (1, 3, 5, 7)} == {1: "MIT", 3: "BSD-3-Clause", 5: "GPL-3.0", 7: None}
+    assert {k: (got[k]["inherited"], got[k]["inherited_from"]) for k in (2, 4, 6)} == {2: ("MIT", "m"), 4: ("BSD-3-Clause", "b"), 6: ("GPL-3.0", "g")}
+    assert (got[7]["header"], got[7]["header_line"], got[7]["license"]) == ("Apache-2.0", 0, "Apache-2.0") and got[20]["license"] is None
+
+
 def test_licenses_as_brute_force(spark):
     """Cosines of every line to every template by dictionaries."""
     import math
@@ -330,12 +352,13 @@ def test_licenses_as_brute_force(spark):
     rnd = random.Random(7)
     words = "the of and license licensed under work version released terms copy software apache mit public general 2.0 other plain".split()
     rows = [(i, f"d{i % 7}/f{i}", "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 5)))) for i in range(150)]
-    vocabulary = {t for forms in L.TEMPLATES.values() for f in forms for t in L.tokens_of(f)}
+    whole = {k: L.TEMPLATES.get(k, ()) + L.TEXTS.get(k, ()) for k in [*L.TEMPLATES, *(x for x in L.TEXTS if x not in L.TEMPLATES)]}
+    vocabulary = {t for group in (whole, L.TITLES) for forms in group.values() for f in forms for t in L.tokens_of(f)}
     seen = Counter(t for _, _, x in rows for t in set(L.tokens_of(x)) & vocabulary)
     idf = {t: math.log((1 + len(rows)) / (1 + seen[t])) + 1 for t in vocabulary}
-    made = L.vectors(L.TEMPLATES, idf)
 
-    def best(text):
+    def best(text, group=L.TEMPLATES):
+        made = L.vectors(group, idf)
         tf = Counter(L.tokens_of(text))
         norm = math.sqrt(sum((n * idf.get(t, math.log(1 + len(rows)) + 1)) ** 2 for t, n in tf.items()))
         scores = [round(sum(n * idf[t] * v["weights"].get(t, 0) for t, n in tf.items() if t in idf) / norm, 9) if norm else 0 for v in made]
@@ -343,9 +366,11 @@ def test_licenses_as_brute_force(spark):
 
     for r in L.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect():
         text = rows[r["doc_id"]][2]
-        s, name = best(text)
-        assert (r["file"], r["file_score"]) == ((name, pytest.approx(s)) if s >= L.THRESHOLD else (None, None))
-        lines = [best(x) for x in text.split("\n")]
+        parts = text.split("\n") + [text] * ("\n" in text)  # no line is empty, so all of them are one block
+        said = [x for x in [best(text, whole)] if x[0] >= L.THRESHOLD] + [x for x in (best(p, L.TITLES) for p in parts) if x[0] >= L.TITLE_THRESHOLD]
+        top = max((x[0] for x in said), default=None)
+        assert (r["file"], r["file_score"]) == (min((x[1] for x in said if x[0] == top), default=None), top and pytest.approx(top))
+        lines = [best(x) for x in parts]
         top = max(x[0] for x in lines)
         assert r["header"] == (lines[[x[0] for x in lines].index(top)][1] if top >= L.THRESHOLD else None)
 
