@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..session import cut, stored
 
-__all__ = ["cut", "let", "read", "spare", "stored", "words_of"]
+__all__ = ["cut", "let", "here", "read", "ship", "spare", "stored", "words_of"]
 
 #: Words are runs of characters other than the ASCII white space 0x20 and 0x09-0x0D.
 SPACE = "[ \\t-\\r]+"
@@ -32,3 +35,19 @@ def spare(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Has executors fetch a file of the driver's; here() finds it in a task. A path that the driver lacks is left for executors to have."""
+    if os.path.isfile(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
+def here(path: str) -> str:
+    """Where a task finds a file that ship() was given."""
+    try:
+        fetched = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no Spark in this process
+        return path
+    return fetched if os.path.isfile(fetched) else path

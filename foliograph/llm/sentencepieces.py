@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import with_struct
+from ._common import here, ship, spare
 from ._hash import BASE, INVERSE, MIX, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -113,7 +114,7 @@ class Codec:
         from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
         model = model_pb2.ModelProto()
-        with open(path, "rb") as f:
+        with open(here(path), "rb") as f:
             model.ParseFromString(f.read())
         norm = model.normalizer_spec
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
@@ -332,8 +333,9 @@ ENCODED = pa.struct([("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("
 def encode_column(df: DataFrame, text_col: str = "text", out_col: str = "pieces", path: str = MODEL) -> DataFrame:
     """df with out_col: struct<n_pieces, ids, round_trip> of each whole text; round_trip: decoding gives the text back.
 
-    A null or empty text has no ids. A text that holds U+2581 or a lone surrogate can't come back as it was. Rows are
-    independent: repeats get equal results; an out_col already there is replaced, other columns pass through.
+    A null or empty text has no ids, a text of any length is encoded whole. A text that holds U+2581 or a lone surrogate
+    can't come back as it was. Rows are independent: repeats get equal results, an empty df stays empty; an out_col
+    already there is replaced, other columns pass through, whatever their names.
     """
 
     def of(column: pa.Array) -> pa.Array:
@@ -342,18 +344,25 @@ def encode_column(df: DataFrame, text_col: str = "text", out_col: str = "pieces"
         back = own.decode(offsets, ids)
         return pa.StructArray.from_arrays([pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array([a == (b or "") for a, b in zip(back, texts)])], fields=list(ENCODED))
 
+    ship(df.sparkSession, path)
     return with_struct(df, text_col, out_col, ENCODED, of, SLICE_BYTES)
 
 
 def decode_column(df: DataFrame, ids_col: str = "ids", out_col: str = "text", path: str = MODEL) -> DataFrame:
-    """df with out_col, the text of the ids in ids_col; null and empty lists give ""."""
-    pair = "__ids_in"
+    """df with out_col, the text of the ids in ids_col; null and empty lists give "".
+
+    Lists of any length are decoded whole. Rows are independent: repeats get equal results, an empty df stays empty.
+    An out_col already there is replaced; other columns pass through, whatever their names.
+    """
+    pair, made_col = spare(df, "ids_in", "ids_out")
 
     def of(column: pa.Array) -> list[dict]:
         lists = [x or [] for x in column.field(1).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         return [{"text": t} for t in codec(path).decode(offsets, np.array([k for x in lists for k in x], np.int64))]
 
-    size = F.lpad(F.lit(""), 4 * F.greatest(F.size(ids_col), F.lit(0)), " ")  # rows are sliced by the first field's bytes
-    made = with_struct(df.withColumn(pair, F.struct(size.alias("size"), F.col(ids_col).alias("ids"))), pair, "__ids_out", pa.struct([("text", pa.string())]), of)
-    return made.withColumn(out_col, F.col("__ids_out")["text"]).drop(pair, "__ids_out")
+    ship(df.sparkSession, path)
+    ids = F.col(f"`{ids_col}`")
+    size = F.lpad(F.lit(""), 4 * F.greatest(F.size(ids), F.lit(0)), " ")  # rows are sliced by the first field's bytes
+    made = with_struct(df.withColumn(pair, F.struct(size.alias("size"), ids.alias("ids"))), pair, made_col, pa.struct([("text", pa.string())]), of)
+    return made.withColumn(out_col, F.col(made_col)["text"]).drop(pair, made_col)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._arrow import with_struct
+from ._common import here, ship
 
 #: Ranks of a byte-level vocabulary, and the pattern that splits a text before its pieces are merged.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -19,17 +20,22 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 RULES = ("start", "majority", "split")
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    """The tokens of a vocabulary file, each with its rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @functools.cache
 def encoder(path: str):
     """(encoding, bytes of each token) of a vocabulary file."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-    for piece, rank in ranks.items():
+    by_piece = ranks(here(path))
+    sizes = np.zeros(max(by_piece.values()) + 1, np.int64)
+    for piece, rank in by_piece.items():
         sizes[rank] = len(piece)
-    return tiktoken.Encoding(hashlib.sha256(path.encode()).hexdigest(), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+    return tiktoken.Encoding(hashlib.sha256(path.encode()).hexdigest(), pat_str=PATTERN, mergeable_ranks=by_piece, special_tokens={}), sizes
 
 
 def spans_of(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +101,10 @@ def token_counts(df: DataFrame, text_col: str = "text", out_col: str = "token_co
     """df with out_col: struct<n_tokens, starts, ends, tokens>: of the whole text, and of each line by `rule`.
 
     The text is encoded once, so the sections' tokens add up to n_tokens. A null or empty text has no tokens and one
-    empty section. Rows are independent: repeats get equal results. An out_col already there is replaced; other
-    columns pass through.
+    empty section; a text of any length is encoded whole. Rows are independent: repeats get equal results, an empty df
+    stays empty. An out_col already there is replaced; other columns pass through, whatever their names.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    ship(df.sparkSession, path)
     return with_struct(df, text_col, out_col, COUNTS, lambda column: counts(column.to_pylist(), path, rule))
