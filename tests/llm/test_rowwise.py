@@ -245,10 +245,68 @@ def test_html_random_articles():
         assert H.main_text(page) == " ".join(paras)
 
 
+def sentence(rnd, low, high):
+    return " ".join(rnd.choice(["plain", "words", "of", "some", "length", "é", "a&b"]) for _ in range(rnd.randrange(low, high)))
+
+
+def test_html_pages_without_article():
+    """Menus, adverts, notices and footers around a body of paragraphs, in elements that no name gives away."""
+    rnd = random.Random(12)
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{i}>{html.escape(sentence(rnd, 1, 4))}</a></li>" for i in range(n)) + "</ul>"
+    for _ in range(100):
+        paras = [sentence(rnd, 12, 70) for _ in range(rnd.randrange(3, 12))]
+        body = "".join(f"<p>{html.escape(p[:20])}<b>{html.escape(p[20:25])}</b>{html.escape(p[25:])}</p>" for p in paras)
+        title = sentence(rnd, 2, 6)
+        head = rnd.choice([f"<h1>{html.escape(title)}</h1>", f"<div class=post-header><h1>{html.escape(title)}</h1></div>", f"<div><h1>{html.escape(title)}</h1></div>"])
+        wrap = rnd.choice(["<div>{}</div>", "<div class=legal-text>{}</div>", "<section><div>{}</div></section>", "{}"])
+        end = rnd.choice(["", "<div class=comments><p>So nice to read, this article is a joy for all of us here.</p></div>", "<aside><p>Buy two things now and get a third one for no money at all.</p></aside>"])
+        page = f"<html><body><div>{links(6)}</div>{wrap.format(head + body)}{end}<footer><p>All rights are held by us.</p></footer></body></html>"
+        assert H.main_text(page) == " ".join([title, *paras]), page
+
+
+PARAS = [f"Paragraph number {i} has a fair number of plain words in it, more than a menu has." for i in range(6)]
+TEXT, BODY = " ".join(PARAS), "".join(f"<p>{p}</p>" for p in PARAS)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div class=legal-text>{BODY}</div></body>", TEXT),
+        (f"<body><div class=post-header><h1>Title here</h1></div>{BODY}<div class=footer>c</div></body>", "Title here " + TEXT),
+        (f"<body><div id=w><div>{BODY}</div><div><p>Nice post, I liked it very much indeed and will read it again.</p><p>So did I.</p></div></div></body>", TEXT),
+        (f"<body><main>{BODY}<a href=x>Some other page</a><h3>Related</h3><ul><li><a href=y>One thing</a><li><a href=z>Two things</a></ul></main></body>", TEXT),
+        (f"<body><article>{BODY}<h2>3 Comments</h2><p>I read it all and have a long opinion of it, which I now give to everybody here.</p></article></body>", TEXT),
+        (f"<body><div class=ad>Buy now, and buy a lot of it, as it's cheap today and won't be tomorrow</div><article><p>Short.</p></article></body>", "Short."),
+        (f"<body><div><p>{'One long block. ' * 400}</p><p>With <b>bold</b> and <i>italic</i> words in a paragraph of some length.</p></div></body>", " ".join(("One long block. " * 400).split()) + " With bold and italic words in a paragraph of some length."),
+    ],
+)
+def test_html_regions(page, want):
+    assert H.main_text(page) == want
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    began = time.perf_counter()
+    assert H.main_text("<ul>" * 50_000 + "x") == "x" and H.main_text("<b><div>" * 30_000 + "x" + "</b>" * 30_000) == "x"
+    assert time.perf_counter() - began < 30
+
+
 def test_smoothing_and_clusters():
-    v = np.array([0, 0, 100, 120, 90, 0, 0], float)
-    s = H.smoothed(v)
-    assert s.sum() == pytest.approx(v.sum(), rel=0.01) and 0 < H.threshold(v) < 90
+    """Against sums by hand, and against all ways to split the values."""
+    rnd = np.random.default_rng(3)
+    for _ in range(50):
+        v = rnd.random(rnd.integers(1, 30)) * 5
+        want = []
+        for i in range(len(v)):
+            weights = [np.exp(-0.5 * d * d) for d in range(-3, 4)]
+            want.append(sum(w * v[min(max(i + d, 0), len(v) - 1)] for d, w in zip(range(-3, 4), weights)) / sum(weights))
+        assert np.allclose(H.smoothed(v), want)
+        two = np.concatenate([rnd.normal(1, 0.2, rnd.integers(2, 20)), rnd.normal(4, 0.2, rnd.integers(2, 20))])
+        order = np.sort(two)
+        spread = lambda x: ((x - x.mean()) ** 2).sum()
+        k = min(range(1, len(order)), key=lambda k: spread(order[:k]) + spread(order[k:]))
+        assert order[k - 1] <= H.threshold(two) < order[k]
 
 
 def png():
