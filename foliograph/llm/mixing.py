@@ -13,10 +13,10 @@ from ._common import cut, let, stored, words_of
 
 #: The classifier is fitted on so many labelled rows at most, chosen by a hash of the row.
 FIT_ROWS = 20_000
-#: The features that tell domains apart best have a weight of their own, so many; all others share this many weights by a hash.
-FEATURES, SHARED = 256, 4096
-#: The steps of a fit; every so many of them also move the shared weights; how far one moves an own and a shared weight.
-FIT_STEPS, SHARED_EVERY, RATE, SHARED_RATE, DECAY = 30, 5, 0.4, 0.001, 1e-5
+#: The features that tell domains apart best, by more than this G statistic, have a weight of their own, so many; all others share this many weights by a hash.
+FEATURES, OWN_G, SHARED = 256, 20.0, 4096
+#: The steps of a fit; how far one moves an own and a shared weight.
+FIT_STEPS, RATE, SHARED_RATE, DECAY = 30, 0.4, 0.002, 1e-5
 #: Steps for the rates at most; they end before at this residual, or where a step lowers it by less than this share.
 STEPS, TOLERANCE, STALL = 40, 1e-3, 1e-3
 SEED = 11
@@ -129,7 +129,7 @@ def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: st
         return part(with_it, F.col("all") * size / n) + part(size - with_it, (n - F.col("all")) * size / n)
 
     score = sum((g(k, d) for k, d in enumerate(names) if sizes.get(d)), F.lit(0.0))
-    best = [r["feature"] for r in table.withColumn("g", score).orderBy(F.desc("g"), "feature").limit(n_features).select("feature").collect()]
+    best = [r["feature"] for r in table.withColumn("g", score).where(F.col("g") > OWN_G).orderBy(F.desc("g"), "feature").limit(n_features).select("feature").collect()]
     start = tuple(math.log((sizes.get(d, 0) + 1) / (n + len(names))) for d in names)
     return _descend(known, Classifier(names, start, {f: (0.0,) * len(names) for f in best}), n)
 
@@ -142,22 +142,20 @@ def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
     own, k = list(model.weight), len(model.domains)
     rows = cut(known.select("domain", _rows_of(F.col("f"), own, SHARED).alias("had")))
     w = [list(model.score), *([0.0] * k for _ in range(len(own) + SHARED))]  # row 0 is the constant
-    first, second, moves = [[0.0] * k for _ in w], [[0.0] * k for _ in w], [0] * len(w)
-    for step in range(FIT_STEPS):
-        moved = len(w) if step % SHARED_EVERY == 0 else len(own) + 1
+    first, second = [[0.0] * k for _ in w], [[0.0] * k for _ in w]
+    for step in range(1, FIT_STEPS + 1):
         p = _softmax(_logs(F.col("had"), w, k))
         off = F.array(*(F.round(1e9 * (F.get("p", F.lit(i)) - (F.col("domain") == d).cast("double"))).cast("long") for i, d in enumerate(model.domains)))
-        judged = rows.select(p.alias("p"), "domain", "had").select(off.alias("off"), F.concat(F.array(F.lit(0)), F.filter("had", lambda f: f < moved)).alias("had"))
+        judged = rows.select(p.alias("p"), "domain", "had").select(off.alias("off"), F.concat(F.array(F.lit(0)), F.col("had")).alias("had"))
         each = judged.select("off", F.explode("had").alias("f"))  # apart, or p would be computed for each feature
         slope = {r["f"]: r for r in each.groupBy("f").agg(*(F.sum(F.get("off", F.lit(i))).alias(f"g{i}") for i in range(k))).collect()}
-        for f, x in enumerate(w[:moved]):
-            moves[f] += 1
+        for f, x in enumerate(w):
             for i in range(k):
                 g = (slope[f][f"g{i}"] / 1e9 if f in slope else 0.0) / n + (DECAY * x[i] if f else 0.0)
                 first[f][i] = 0.9 * first[f][i] + 0.1 * g
                 second[f][i] = 0.99 * second[f][i] + 0.01 * g * g
                 rate = RATE if f <= len(own) else SHARED_RATE
-                x[i] -= rate * (first[f][i] / (1 - 0.9 ** moves[f])) / (math.sqrt(second[f][i] / (1 - 0.99 ** moves[f])) + 1e-8)
+                x[i] -= rate * (first[f][i] / (1 - 0.9**step)) / (math.sqrt(second[f][i] / (1 - 0.99**step)) + 1e-8)
     at = [tuple(round(y, 9) for y in x) for x in w]
     return Classifier(model.domains, at[0], dict(zip(own, at[1:], strict=False)), tuple(at[len(own) + 1 :]))
 
