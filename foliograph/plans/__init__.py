@@ -1,6 +1,6 @@
 """The layout queries by name."""
 
-from . import files, geometry, more, pages, raster, relations, scalars
+from . import files, geometry, more, pages, raster, relations, rules, scalars
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "files", "geometry", "more", "pages", "raster", "relations", "scalars"]
+__all__ = ["QUERIES", "SQL", "files", "geometry", "more", "pages", "raster", "relations", "rules", "scalars"]

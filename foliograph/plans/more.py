@@ -56,23 +56,12 @@ add("sca40_validate", lambda s, d: payloads(s, d).select("event_id", F.when(F.co
 add("sca46_error_text", lambda s, d: payloads(s, d).select("event_id", F.concat_ws("; ", F.when(F.col("weight").isNull(), "weight: missing"), F.when(F.col("alignment").isNull(), "alignment: missing")).alias("said")), f"WITH {PAYLOADS} SELECT event_id, concat_ws('; ', CASE WHEN weight IS NULL THEN 'weight: missing' END, CASE WHEN alignment IS NULL THEN 'alignment: missing' END) AS said FROM k")
 
 # filters, projections
-add("fil07_unplanned_proposal", lambda s, d: R.covered(elements(s, d).where("type <> 'text' AND width >= 24 AND height >= 24"), elements(s, d).where(RECTS), 0.5, "left_anti").select("page_id", "pos"), q(f"a_pos <> b_pos AND {INTER} / greatest({AREA_A}, 1.0) >= 0.5", "type <> 'text' AND width >= 24 AND height >= 24", RECTS) + " SELECT page_id, pos FROM e WHERE type <> 'text' AND width >= 24 AND height >= 24 AND NOT EXISTS (SELECT 1 FROM q WHERE q.page_id = e.page_id AND q.a_pos = e.pos)")
 _STRATEGY = {"rectangle": "surface", "image": "asset", "ellipse": "badge"}
-add("prj11_module_row", lambda s, d: elements(s, d).where("type <> 'text'").select("page_id", "pos", S.lookup(F.col("type"), _STRATEGY, F.lit("stroke")).alias("role"), (F.col("confidence") >= 0.9).alias("whole")), f"WITH {ELEMENTS} SELECT page_id, pos, {case('type', _STRATEGY, chr(39) + 'stroke' + chr(39))} AS role, confidence >= 0.9 AS whole FROM e WHERE type <> 'text'")
 add("prj14_settings_view", lambda s, d: elements(s, d).select("page_id", "pos", S.mask_key(F.md5(F.col("element_id").cast("string"))).alias("key")), f"WITH {ELEMENTS} SELECT page_id, pos, left(md5(CAST(element_id AS VARCHAR)), 5) || repeat('*', 24) || right(md5(CAST(element_id AS VARCHAR)), 3) AS key FROM e")
 add("prj15_text_style", lambda s, d: ocr_lines(s, d).select("page_id", "pos", S.font_class(F.col("text"), F.col("role")).alias("kind"), S.lookup(F.col("role"), {"main_title": 700}, F.lit(400)).alias("weight"), S.lookup(F.col("role"), S.LINE_SPACINGS, F.lit(1.0)).alias("spacing")), f"WITH {OCR_LINES} SELECT page_id, pos, CASE WHEN regexp_matches(text, '^[0-9\\s.,%+\\-/:]+$') THEN 'monospace' WHEN role = 'main_title' THEN 'display' WHEN role = 'caption' THEN 'serif' ELSE 'sans' END AS kind, CASE role WHEN 'main_title' THEN 700 ELSE 400 END AS weight, {case('role', S.LINE_SPACINGS, '1.0')} AS spacing FROM o")
 add("prj16_refine_text", lambda s, d: elements(s, d).where(TEXTS).select("page_id", "pos", F.least(F.col("width") * 1.15, F.lit(float(W)) - F.col("x1")).alias("w"), (F.col("height") * F.least(F.greatest(F.col("width") / 100, F.lit(0.85)), F.lit(1.15))).alias("size")), f"WITH {ELEMENTS} SELECT page_id, pos, least(width * 1.15, {W}.0 - x1) AS w, height * least(greatest(width / 100, 0.85), 1.15) AS size FROM e WHERE type = 'text'")
 
 # joins
-add("joi12_module_members", lambda s, d: R.pairs(elements(s, d).where(RECTS), elements(s, d), (F.col("b_element_id") - F.col("a_element_id")).between(1, 6) & (G.coverage(B(), A()) >= 0.1)).select("page_id", F.col("a_pos").alias("module"), F.col("b_pos").alias("member")), q(f"b_element_id - a_element_id BETWEEN 1 AND 6 AND {INTER} / greatest({AREA_B}, 1.0) >= 0.1", RECTS) + " SELECT page_id, a_pos AS module, b_pos AS member FROM q")
-
-
-@query("joi16_text_like_asset", q(f"a_pos <> b_pos AND {INTER} / greatest({AREA_A}, 1.0) >= 0.5", IMAGES, TEXTS) + " SELECT page_id, pos, suppressed OR EXISTS (SELECT 1 FROM q WHERE q.page_id = e.page_id AND q.a_pos = e.pos) AS suppressed FROM e WHERE type = 'image'")
-def text_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images that are mostly covered by a text are hidden."""
-    e = elements(spark, sf_dir)
-    hit = R.covered(e.where(IMAGES), e.where(TEXTS), 0.5).select("page_id", "pos", F.lit(True).alias("hit"))
-    return e.where(IMAGES).join(hit, ["page_id", "pos"], "left").select("page_id", "pos", (F.col("suppressed") | F.coalesce("hit", F.lit(False))).alias("suppressed"))
 
 
 @query("joi25_align_to_icon", q("a_group_id = b_group_id", TEXTS, "type = 'ellipse'") + f", g AS (SELECT page_id, a_pos, min(b_pos) AS icon FROM q GROUP BY page_id, a_pos) SELECT t.page_id, t.pos, CASE WHEN o.pos IS NULL THEN t.x1 ELSE least(greatest(greatest(t.x1 - 24.0, least(t.x1 + 24.0, o.x1 + o.width / 2 - t.width / 2)), 0.0), {W}.0) END AS x FROM e t LEFT JOIN g ON g.page_id = t.page_id AND g.a_pos = t.pos LEFT JOIN e o ON o.page_id = t.page_id AND o.pos = g.icon WHERE t.type = 'text'")
@@ -88,7 +77,6 @@ def align_to_icon(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("joi27_group_anchor", lambda s, d: R.best(R.pairs(elements(s, d).where("type = 'ellipse'"), elements(s, d).where(TEXTS), F.col("a_group_id") == F.col("b_group_id")), ["page_id", "a_pos"], -F.col("b_pos"), b_pos=F.col("b_pos")), q("a_group_id = b_group_id", "type = 'ellipse'", TEXTS) + _arg("page_id, a_pos", "-b_pos", "b_pos"))
 
 # aggregates
-add("agg10_enriched", lambda s, d: elements(s, d).groupBy("page_id").agg(F.count_if(F.col("visible")).alias("v"), F.count_if(F.col("type") == "text").alias("t"), F.count_if(F.col("suppressed")).alias("s")).select("page_id", (0.65 * (F.col("v") / 40) + 0.21 * (F.col("t") / 40) + 0.14 - F.least(F.lit(0.35), F.col("s") * 0.05)).alias("score")), f"WITH {ELEMENTS} SELECT page_id, CAST(0.65 AS DOUBLE) * (count_if(visible) / 40) + CAST(0.21 AS DOUBLE) * (count_if(type = 'text') / 40) + CAST(0.14 AS DOUBLE) - least(CAST(0.35 AS DOUBLE), count_if(suppressed) * CAST(0.05 AS DOUBLE)) AS score FROM e GROUP BY page_id")
 add("agg06_movable_assets", lambda s, d: elements(s, d).where("type <> 'text'").groupBy("page_id").agg(F.count_if(F.col("visible")).alias("assets"), F.count_if(~F.col("visible")).alias("residual"), (F.sum(F.when(F.col("visible"), F.col("width") * F.col("height")).otherwise(0.0)) / F.sum(F.col("width") * F.col("height"))).alias("coverage")), f"WITH {ELEMENTS} SELECT page_id, count_if(visible) AS assets, count_if(NOT visible) AS residual, sum(CASE WHEN visible THEN width * height ELSE 0.0 END) / sum(width * height) AS coverage FROM e WHERE type <> 'text' GROUP BY page_id")
 
 # folds

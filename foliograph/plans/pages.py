@@ -26,7 +26,6 @@ def simple(name: str, run, sql: str, cte: str = ELEMENTS) -> None:
 # filters
 simple("fil01_visible", lambda e: e.where("visible").select("page_id", "pos"), "SELECT page_id, pos FROM e WHERE visible")
 simple("fil02_membership", lambda e: e.where(F.col("type").isin("image", "ellipse")).select("page_id", "pos", "type"), "SELECT page_id, pos, type FROM e WHERE type IN ('image', 'ellipse')")
-simple("fil03_ordinary_text", lambda e: e.where(TEXTS + " AND (group_id IS NULL OR group_id <> 'g4')").select("page_id", "pos"), "SELECT page_id, pos FROM e WHERE type = 'text' AND (group_id IS NULL OR group_id <> 'g4')")
 simple(
     "fil04_editable_in_asset",
     lambda e: R.covered(e.where(TEXTS + " AND visible AND confidence >= 0.5"), e.where(IMAGES), 0.85, "left_anti").select("page_id", "pos"),
@@ -47,13 +46,7 @@ def ranked_sql(where: str, order: str, n: int) -> str:
     return f"SELECT page_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS rn FROM e WHERE {where}) WHERE rn <= {n}"
 
 
-simple("fil05_module_admissible", lambda e: ranked(e, RECTS + " AND confidence >= 0.65", ["pos"], 3), ranked_sql(RECTS + " AND confidence >= 0.65", "pos", 3))
-simple("fil06_region_admissible", lambda e: ranked(e, "type <> 'text' AND confidence >= CASE type WHEN 'image' THEN 0.55 WHEN 'ellipse' THEN 0.60 ELSE 0.65 END AND least(width, height) >= 24", [F.desc(F.col("width") * F.col("height")), "pos"], 12), ranked_sql("type <> 'text' AND confidence >= CASE type WHEN 'image' THEN 0.55 WHEN 'ellipse' THEN 0.60 ELSE 0.65 END AND least(width, height) >= 24", "width * height DESC, pos", 12))
-simple("fil08_segment_proposal", lambda e: ranked(e, f"width * height BETWEEN {0.0003 * W * H!r}D AND {0.30 * W * H!r}D AND confidence BETWEEN 0.15 AND 0.98", [F.desc(F.col("width") * F.col("height")), "pos"], 24), ranked_sql(f"width * height BETWEEN {0.0003 * W * H!r} AND {0.30 * W * H!r} AND confidence BETWEEN 0.15 AND 0.98", "width * height DESC, pos", 24))
 simple("fil09_uncertain_visual", lambda e: e.where("type <> 'text' AND (confidence < 0.5 OR (confidence < 0.75 AND type = 'image'))").select("page_id", "pos"), "SELECT page_id, pos FROM e WHERE type <> 'text' AND (confidence < 0.5 OR (confidence < 0.75 AND type = 'image'))")
-simple("fil10_flow_module", lambda e: e.where(F.concat_ws("_", "type", "group_id").rlike("(?i)ellipse_g[0-2]|flow|流程")).select("page_id", "pos"), "SELECT page_id, pos FROM e WHERE regexp_matches(concat_ws('_', type, group_id), '(?i)ellipse_g[0-2]|flow|流程')")
-simple("fil11_flow_needs_image", lambda e: e.where("group_id IS NOT NULL").groupBy("page_id", "group_id").agg((F.bool_or(F.col("confidence") < 0.2) | ~F.bool_or(F.col("type").isin("rectangle", "ellipse"))).alias("needs")), "SELECT page_id, group_id, bool_or(confidence < 0.2) OR NOT bool_or(type IN ('rectangle', 'ellipse')) AS needs FROM e WHERE group_id IS NOT NULL GROUP BY page_id, group_id")
-simple("fil13_small_solid", lambda e: e.where("width >= 3 AND height >= 3 AND width * height >= 9 AND width <= 40 AND height <= 40 AND confidence >= 0.75").select("page_id", "pos"), "SELECT page_id, pos FROM e WHERE width >= 3 AND height >= 3 AND width * height >= 9 AND width <= 40 AND height <= 40 AND confidence >= 0.75")
 
 
 @query("fil15_page_gate", f"WITH {ELEMENTS}, p AS (SELECT page_id, avg(confidence) >= 0.49 AS approved FROM e GROUP BY page_id), l AS (SELECT *, lag(approved) OVER (ORDER BY page_id) AS before FROM p) SELECT page_id, approved, page_id = 0 OR coalesce(before, false) AS open FROM l")
@@ -64,7 +57,6 @@ def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(before, "page_id", "left").select("page_id", "approved", ((F.col("page_id") == 0) | F.coalesce("before", F.lit(False))).alias("open"))
 
 
-simple("fil16_quality_gates", lambda e: e.groupBy("page_id").agg((F.count_if(F.col("visible")) / F.count("*") < 0.85).alias("coverage"), (F.count_if(F.col("suppressed")) > 3).alias("ghosts"), (F.avg("confidence") < 0.49).alias("overall")), "SELECT page_id, count_if(visible) / count(*) < 0.85 AS coverage, count_if(suppressed) > 3 AS ghosts, avg(confidence) < 0.49 AS overall FROM e GROUP BY page_id")
 
 # projections
 add("prj01_text_element", lambda s, d: ocr_lines(s, d).select("page_id", F.format_string("text_%03d", F.col("pos") + 1).alias("id"), F.greatest(F.lit(4.0), F.col("x2") - F.col("x1")).alias("w"), F.greatest(F.lit(4.0), F.col("y2") - F.col("y1")).alias("h"), F.lit(20).alias("z")), f"WITH {OCR_LINES} SELECT page_id, printf('text_%03d', pos + 1) AS id, greatest(4.0, x2 - x1) AS w, greatest(4.0, y2 - y1) AS h, 20 AS z FROM o")
@@ -80,8 +72,6 @@ simple("prj08_textbox", lambda e: e.where(TEXTS).select("page_id", "pos", F.grea
 simple("prj09_refined_box", lambda e: e.where(TEXTS).select("page_id", "pos", G.bounded_move(F.col("x1"), F.col("x1") + F.col("width") / 2 - 40, F.lit(0.03 * W), F.lit(0.0), W - F.col("width")).alias("x"), F.least(F.col("width") * 1.15, F.lit(80.0)).alias("w")), f"SELECT page_id, pos, least(greatest(greatest(x1 - {0.03 * W!r}, least(x1 + {0.03 * W!r}, x1 + width / 2 - 40)), 0.0), {W} - width) AS x, least(width * 1.15, 80.0) AS w FROM e WHERE type = 'text'")
 simple("prj10_refined_size", lambda e: e.where(TEXTS).select("page_id", "pos", (F.col("height") * (0.62 + 0.38 * F.least(F.greatest(F.least(F.col("width") / 100, F.col("height") / 40), F.lit(0.85)), F.lit(1.15)))).alias("size")), "SELECT page_id, pos, height * (0.62 + CAST(0.38 AS DOUBLE) * least(greatest(least(width / 100, height / 40), 0.85), 1.15)) AS size FROM e WHERE type = 'text'")
 simple("prj12_region_weight", lambda e: e.select("page_id", "pos", S.lookup(F.col("type"), S.REGION_WEIGHTS, F.lit(1.0)).alias("w")), f"SELECT page_id, pos, {case('type', S.REGION_WEIGHTS, '1.0')} AS w FROM e")
-simple("prj13_editor_mutation", lambda e: e.where("NOT (type <> 'image' AND pos % 10 = 3)").select("page_id", "pos", F.col("z_index").alias("z")).unionByName(e.where("pos % 10 = 5").select("page_id", (F.col("pos") + 1000).alias("pos"), (F.col("z_index") + 1).alias("z"))), "SELECT page_id, pos, z_index AS z FROM e WHERE NOT (type <> 'image' AND pos % 10 = 3) UNION ALL SELECT page_id, pos + 1000, z_index + 1 FROM e WHERE pos % 10 = 5")
-simple("prj17_audit_trail", lambda e: e.select("page_id", "pos", F.col("x2").alias("raw"), F.least(F.col("x2"), F.lit(float(W))).alias("refined")), f"SELECT page_id, pos, x2 AS raw, least(x2, {W}.0) AS refined FROM e")
 
 # aggregates
 simple("agg01_alignment", lambda e: C.buckets(e, {"top": F.bround(F.col("y1") / 12, 0)}), "SELECT page_id, round_even(y1 / 12, 0) AS top, count(*) AS n, array_to_string(list(pos ORDER BY pos), ',') AS members FROM e GROUP BY page_id, top HAVING count(*) >= 2")
@@ -89,11 +79,8 @@ simple("agg02_repetition", lambda e: C.buckets(e, {"type": F.col("type"), "w": F
 simple("agg03_grid", lambda e: C.buckets(e.where("visible"), {}), "SELECT page_id, count(*) AS n, array_to_string(list(pos ORDER BY pos), ',') AS members FROM e WHERE visible GROUP BY page_id HAVING count(*) >= 2")
 simple("agg04_groups", lambda e: e.where("group_id IS NOT NULL").groupBy("page_id", "group_id").agg(F.min_by("type", "pos").alias("role"), F.count("*").alias("n")), "SELECT page_id, group_id, arg_min(type, pos) AS role, count(*) AS n FROM e WHERE group_id IS NOT NULL GROUP BY page_id, group_id")
 simple("agg05_text_coverage", lambda e: e.where(TEXTS).groupBy("page_id").agg(F.count_distinct("text").alias("found"), F.count_distinct(F.when(F.col("visible"), F.col("text"))).alias("kept")).withColumn("ratio", F.col("kept") / F.col("found")), "SELECT page_id, count(DISTINCT text) AS found, count(DISTINCT CASE WHEN visible THEN text END) AS kept, count(DISTINCT CASE WHEN visible THEN text END) / count(DISTINCT text) AS ratio FROM e WHERE type = 'text' GROUP BY page_id")
-simple("agg07_structure", lambda e: e.groupBy("page_id").agg(F.sum(F.floor(G.in_canvas(G.box(), W, H) * 1000)).alias("inside"), F.count_if(F.col("suppressed")).alias("bad")).withColumn("score", F.col("inside") / 40000 - C.capped(F.col("bad"), 0.05, 0.25)), f"SELECT page_id, inside, bad, inside / 40000 - least(bad * 0.05, 0.25) AS score FROM (SELECT page_id, CAST(sum(CAST(floor(greatest(least(x2, {W}.0) - greatest(x1, 0.0), 0) * greatest(least(y2, {H}.0) - greatest(y1, 0.0), 0) / greatest((x2 - x1) * (y2 - y1), 1.0) * 1000) AS BIGINT)) AS BIGINT) AS inside, count_if(suppressed) AS bad FROM e GROUP BY page_id)")
 simple("agg08_critical", lambda e: e.groupBy("page_id").agg(C.weighted_mean(F.floor(F.col("confidence") * 100).cast("double"), S.lookup(F.col("type"), S.REGION_WEIGHTS, F.lit(1.0))).alias("score")), f"SELECT page_id, sum(floor(confidence * 100) * {case('type', S.REGION_WEIGHTS, '1.0')}) / greatest(1.0, sum({case('type', S.REGION_WEIGHTS, '1.0')})) AS score FROM e GROUP BY page_id")
-simple("agg09_overall", lambda e: e.groupBy("page_id").agg(F.count_if(F.col("visible")).alias("v"), F.count_if(F.col("suppressed")).alias("s")).select("page_id", C.unit(F.col("v") / 40 - C.capped(F.col("s"), 0.02, 0.1)).alias("score")), "SELECT page_id, least(greatest(count_if(visible) / 40 - least(count_if(suppressed) * 0.02, 0.1), 0.0), 1.0) AS score FROM e GROUP BY page_id")
 simple("agg11_badge_penalty", lambda e: e.groupBy("page_id").agg(C.capped(F.count_if(F.col("visible") & (F.col("type") == "ellipse") & F.col("group_id").isNotNull()), 0.05, 0.25).alias("penalty")), "SELECT page_id, least(count_if(visible AND type = 'ellipse' AND group_id IS NOT NULL) * 0.05, 0.25) AS penalty FROM e GROUP BY page_id")
-simple("agg12_structural_counts", lambda e: e.groupBy("page_id").agg(*(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("text", "image", "rectangle", "ellipse", "line"))), "SELECT page_id, " + ", ".join(f"count_if(type = '{t}') AS n_{t}" for t in ("text", "image", "rectangle", "ellipse", "line")) + " FROM e GROUP BY page_id")
 simple("agg13_layout_counters", lambda e: e.agg(F.count_if(F.col("suppressed")).alias("suppressed"), F.count_if(F.col("owned_by").isNotNull()).alias("owned"), F.count_if(F.col("group_id").isNotNull()).alias("grouped"), F.count_if(F.col("confidence") < 0.5).alias("unsure"), F.count_if(F.col("visible")).alias("visible")), "SELECT count_if(suppressed) AS suppressed, count_if(owned_by IS NOT NULL) AS owned, count_if(group_id IS NOT NULL) AS grouped, count_if(confidence < 0.5) AS unsure, count_if(visible) AS visible FROM e")
 simple("agg14_stage_rollup", lambda e: e.groupBy("page_id").pivot("type", ["text", "image", "line"]).agg(F.count(F.lit(1))).na.fill(0), "SELECT page_id, count_if(type = 'text') AS text, count_if(type = 'image') AS image, count_if(type = 'line') AS line FROM e GROUP BY page_id")
 simple("agg15_statistics", lambda e: e.groupBy("page_id").agg(F.median("width").alias("mid"), F.percentile("height", 0.85).alias("p85")), "SELECT page_id, median(width) AS mid, quantile_cont(height, 0.85) AS p85 FROM e GROUP BY page_id")
@@ -102,7 +89,6 @@ add("agg19_text_occupancy", lambda s, d: R.pairs(elements(s, d).where(RECTS), el
 add("agg20_foreign_groups", lambda s, d: R.pairs(elements(s, d).where(RECTS), elements(s, d), G.center_inside(B(), A()) & F.col("b_group_id").isNotNull() & ~F.col("b_group_id").eqNullSafe(F.col("a_group_id"))).groupBy("page_id", F.col("a_pos").alias("pos")).agg(F.count_distinct("b_group_id").alias("groups")), q(f"{CX['b']} BETWEEN a_x1 AND a_x2 AND {CY['b']} BETWEEN a_y1 AND a_y2 AND b_group_id IS NOT NULL AND b_group_id IS DISTINCT FROM a_group_id", RECTS) + " SELECT page_id, a_pos AS pos, count(DISTINCT b_group_id) AS groups FROM q GROUP BY page_id, a_pos")
 simple("agg21_issue_counts", lambda e: e.groupBy("page_id").agg(F.count_if((F.col("x2") > W) | (F.col("y2") > H)).alias("outside"), F.bool_or(F.col("suppressed") & (F.col("type") == "text")).alias("lost_text")), f"SELECT page_id, count_if(x2 > {W} OR y2 > {H}) AS outside, bool_or(suppressed AND type = 'text') AS lost_text FROM e GROUP BY page_id")
 add("agg22_module_extent", lambda s, d: R.pairs(elements(s, d).where(RECTS), elements(s, d), on=(G.coverage(B(), A()) >= 0.35) & (F.col("a_pos") != F.col("b_pos")), how="left").groupBy("page_id", F.col("a_pos").alias("pos")).agg(F.coalesce(F.max("b_z_index") + 1, F.lit(0)).alias("top"), F.coalesce(F.min("b_z_index") - 1, F.lit(0)).alias("bottom")), q(f"a_pos <> b_pos AND {INTER} / greatest({AREA_B}, 1.0) >= 0.35", RECTS) + ", m AS (SELECT page_id, a_pos, max(b_z_index) + 1 AS top, min(b_z_index) - 1 AS bottom FROM q GROUP BY page_id, a_pos) SELECT e.page_id, e.pos, coalesce(top, 0) AS top, coalesce(bottom, 0) AS bottom FROM e LEFT JOIN m ON e.page_id = m.page_id AND e.pos = m.a_pos WHERE type = 'rectangle'")
-simple("agg23_inventory", lambda e: e.where(IMAGES).groupBy("page_id").agg(F.count_if(F.col("visible")).alias("shown"), F.count_if(F.col("element_id") % 7 == 0).alias("missing")), "SELECT page_id, count_if(visible) AS shown, count_if(element_id % 7 = 0) AS missing FROM e WHERE type = 'image' GROUP BY page_id")
 
 
 # sequences
@@ -157,15 +143,12 @@ def greedy_sql(order: str, least: str) -> str:
 add("win09_greedy_selection", lambda s, d: Q.select_greedily(elements(s, d), ["pos"], lambda a, b: Q.overlap_of(a, b) >= 0.05, BOX), greedy_sql("pos", "0.05"))
 add("win10_container_selection", lambda s, d: Q.select_greedily(elements(s, d).withColumn("size", -F.col("width") * F.col("height")), ["size", "pos"], lambda a, b: Q.overlap_of(a, b) >= 0.75, BOX), greedy_sql("-(width * height), pos", "0.75"))
 add("set09_candidate_dedup", lambda s, d: Q.select_greedily(elements(s, d).withColumn("sure", -F.col("confidence")), ["sure", "pos"], lambda a, b: Q.overlap_of(a, b) >= 0.85, BOX), greedy_sql("-confidence, pos", "0.85"))
-simple("win12_revision_number", lambda e: e.where("suppressed").select("page_id", "pos", F.row_number().over(Window.partitionBy("page_id", "type").orderBy("pos")).alias("round")), "SELECT page_id, pos, CAST(row_number() OVER (PARTITION BY page_id, type ORDER BY pos) AS INT) AS round FROM e WHERE suppressed")
 
 # sorts
-simple("srt01_targets", lambda e: ranked(e, "confidence < 0.6", [F.when(F.col("type") == "text", 0).otherwise(F.col("z_index")), F.desc(F.col("width") * F.col("height")), "pos"], 4), ranked_sql("confidence < 0.6", "CASE WHEN type = 'text' THEN 0 ELSE z_index END, width * height DESC, pos", 4))
 simple("srt02_largest", lambda e: ranked(e, "true", [F.desc(F.col("width") * F.col("height")), "pos"], 12), ranked_sql("true", "width * height DESC, pos", 12))
 simple("srt03_scan_order", lambda e: ranked(e, "visible", ["y1", "x1", "width", "height", "pos"], 24), ranked_sql("visible", "y1, x1, width, height, pos", 24))
 simple("srt04_first_best", lambda e: e.groupBy("page_id").agg(F.min_by("pos", F.struct(-F.col("confidence"), "pos")).alias("best"), F.min_by("pos", F.struct("confidence", "pos")).alias("worst")), "SELECT page_id, arg_min(pos, struct_pack(a := -confidence, b := pos)) AS best, arg_min(pos, struct_pack(a := confidence, b := pos)) AS worst FROM e GROUP BY page_id")
 simple("srt05_page_names", lambda e: e.select("page_id").distinct().select("page_id", F.row_number().over(Window.partitionBy(F.floor(F.col("page_id") / 100)).orderBy(F.regexp_extract(F.concat(F.lit("page_"), F.col("page_id").cast("string")), "(\\d+)$", 1).cast("int"))).alias("nth")), "SELECT page_id, CAST(row_number() OVER (PARTITION BY floor(page_id / 100.0) ORDER BY page_id) AS INT) AS nth FROM (SELECT DISTINCT page_id FROM e)")
-simple("srt06_even_sample", lambda e: e.where(F.col("pos") % 4 == 0).select("page_id", "pos"), "SELECT page_id, pos FROM e WHERE pos % 4 = 0")
 
 # versions
 _LATEST = f"WITH {ELEMENTS} SELECT group_id, max(element_id) AS last, arg_max(type, element_id) AS type, count(*) AS events FROM e WHERE group_id IS NOT NULL GROUP BY group_id"

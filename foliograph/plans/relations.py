@@ -212,13 +212,6 @@ def z_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(owner, ["page_id", "owned_by"]).where("z_index <= oz").select("page_id", "pos")
 
 
-@query("joi26_image_ellipse", q(f"a_group_id = b_group_id AND {COVER_B} >= 0.3", IMAGES, "type = 'ellipse'") + " SELECT page_id, a_pos AS image, min(b_pos) AS ellipse FROM q GROUP BY page_id, a_pos")
-def image_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = elements(spark, sf_dir)
-    p = R.pairs(e.where(IMAGES), e.where("type = 'ellipse'"), (F.col("a_group_id") == F.col("b_group_id")) & (G.coverage(B(), A()) >= 0.3))
-    return p.groupBy("page_id", F.col("a_pos").alias("image")).agg(F.min("b_pos").alias("ellipse"))
-
-
 @query("fil12_glyph_candidate", q(f"{AREA_A} <= 0.45 * {AREA_B} AND {COVER_A} >= 0.90 AND a_pos <> b_pos", "type <> 'text'", TEXTS) + " SELECT DISTINCT page_id, a_pos AS pos FROM q")
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements(spark, sf_dir)

@@ -45,6 +45,34 @@ e0 AS (SELECT CAST(floor(event_id / 40.0) AS BIGINT) AS page_id, event_id AS ele
 e AS (SELECT *, x1 + width AS x2, y1 + height AS y2, NOT suppressed AND owned_by IS NULL AS visible FROM e0)"""
 
 
+ROLES = "title,subtitle,body_text,caption,label,logo,decorative_text,badge,icon,flow_step,process_arrow,container,card_title,chart"
+STRATEGIES = "editable,whole_image,hybrid,native_shape,background,movable_image,mystery,ignore"
+
+
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """elements with a role, a strategy and measures of their pixels."""
+    x1, y1, w, h = (f"cast({c} as bigint)" for c in ("x1", "y1", "width", "height"))
+    cols = {
+        "role": f"element_at(split('{ROLES}', ','), cast((element_id * 5 + {x1}) % 14 + 1 as int))",
+        "strategy": f"element_at(split('{STRATEGIES}', ','), cast((element_id * 3 + {y1}) % 8 + 1 as int))",
+        "complexity": f"cast((element_id * 11 + {x1}) % 100 as double) / 100",
+        "fill": f"cast((element_id * 17 + {w}) % 100 as double) / 100",
+        "alike": f"cast((element_id * 31 + {y1}) % 100 as double) / 100",
+        "saturation": f"(element_id * 19 + {h}) % 256",
+        "delta": f"(element_id * 23 + {x1}) % 256",
+        "intrinsic": f"cast(8 + (element_id * 3 + {w}) % 90 as double) / cast(8 + (element_id * 7 + {h}) % 40 as double)",
+        "art": "element_id % 13 = 0", "whole": "element_id % 4 = 0", "near_twin": "element_id % 6 = 1",
+    }
+    return elements(spark, sf_dir).selectExpr("*", *(f"{sql} AS {name}" for name, sql in cols.items()))
+
+
+RICH = f"""x AS (SELECT *, string_split('{ROLES}', ',')[CAST((element_id * 5 + CAST(x1 AS BIGINT)) % 14 + 1 AS INT)] AS role, string_split('{STRATEGIES}', ',')[CAST((element_id * 3 + CAST(y1 AS BIGINT)) % 8 + 1 AS INT)] AS strategy,
+  CAST((element_id * 11 + CAST(x1 AS BIGINT)) % 100 AS DOUBLE) / 100 AS complexity, CAST((element_id * 17 + CAST(width AS BIGINT)) % 100 AS DOUBLE) / 100 AS fill, CAST((element_id * 31 + CAST(y1 AS BIGINT)) % 100 AS DOUBLE) / 100 AS alike,
+  (element_id * 19 + CAST(height AS BIGINT)) % 256 AS saturation, (element_id * 23 + CAST(x1 AS BIGINT)) % 256 AS delta,
+  CAST(8 + (element_id * 3 + CAST(width AS BIGINT)) % 90 AS DOUBLE) / CAST(8 + (element_id * 7 + CAST(height AS BIGINT)) % 40 AS DOUBLE) AS intrinsic,
+  element_id % 13 = 0 AS art, element_id % 4 = 0 AS whole, element_id % 6 = 1 AS near_twin FROM e)"""
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An 8 x 8 grey tile for each embedding: page_id, px, py, v."""
     long = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "e"))
