@@ -8,8 +8,4 @@ from ..sources import store
 from ..sources.views import ELEMENTS, elements, table
 from .registry import add
 
-add("src01_image_allow_list", lambda s, d: elements(s, d).select("page_id", "pos", F.element_at(F.array(F.lit("png"), F.lit("gif"), F.lit("webp"), F.lit("pdf")), F.col("pos") % 4 + 1).alias("ext")).where(F.col("ext").isin(*store.IMAGES)), f"WITH {ELEMENTS} SELECT page_id, pos, CASE pos % 4 WHEN 0 THEN 'png' ELSE 'webp' END AS ext FROM e WHERE pos % 4 IN (0, 2)")
-add("snk04_report_rows", lambda s, d: store.report(elements(s, d).select("page_id", "pos", "type")), f"""WITH {ELEMENTS} SELECT '{{"page_id":' || CAST(page_id AS VARCHAR) || ',"pos":' || CAST(pos AS VARCHAR) || ',"type":"' || type || '"}}' AS value FROM e""")
 add("snk05_fetch_allow_list", lambda s, d: elements(s, d).select("page_id", "pos", F.concat("type", F.lit("_"), F.col("pos").cast("string"), F.when(F.col("pos") % 3 == 0, ".png").when(F.col("pos") % 3 == 1, ".json").otherwise(".exe")).alias("name")).where(store.may_be_fetched(F.col("name"))), f"WITH {ELEMENTS} SELECT page_id, pos, type || '_' || CAST(pos AS VARCHAR) || CASE WHEN pos % 3 = 0 THEN '.png' ELSE '.json' END AS name FROM e WHERE pos > 0 AND pos % 3 < 2")
-add("snk06_localised_name", lambda s, d: table(s, d, "documents").select("doc_id", store.localised_name(F.concat("source", F.lit(".png")), F.col("text").cast("binary")).alias("name")), "SELECT doc_id, source || '_' || left(sha256(text), 12) || '.png' AS name FROM documents")
-add("snk07_repaired_urls", lambda s, d: store.repaired_urls(elements(s, d).select("page_id", "pos", F.concat(F.lit("/old/"), "type", F.lit(".png?v=2")).alias("src")), s.createDataFrame([("text.png", "/new/text.png"), ("line.png", "/new/line.png")], "name string, url string")), f"WITH {ELEMENTS} SELECT page_id, pos, CASE WHEN type IN ('text', 'line') THEN '/new/' || type || '.png' ELSE '/old/' || type || '.png?v=2' END AS src FROM e")

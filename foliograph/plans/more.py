@@ -33,16 +33,6 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # payloads
-add("sca35_coerce_array", lambda s, d: payloads(s, d).select("event_id", F.size(F.when(F.col("k") % 3 == 0, F.array(F.col("probability"), F.col("k").cast("string"))).when(F.col("k") % 3 == 1, F.array(F.col("probability"))).otherwise(F.array())).cast("long").alias("n")), f"WITH {PAYLOADS} SELECT event_id, CAST(CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS n FROM k")
-
-
-@query("sca37_scene_payload", f"WITH {PAYLOADS}, g AS (SELECT event_id // 50 AS scene, event_id, weight, row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS rn FROM k) SELECT scene, count_if(rn <= 40 AND weight IS NOT NULL) AS kept, count(*) - count_if(rn <= 40 AND weight IS NOT NULL) AS dropped FROM g GROUP BY scene")
-def scene_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a scene's modules the first 40, without the malformed ones; the others are counted."""
-    scene = F.expr("event_id div 50")
-    g = payloads(spark, sf_dir).withColumn("scene", scene).withColumn("rn", F.row_number().over(Window.partitionBy("scene").orderBy("event_id")))
-    kept = F.count_if((F.col("rn") <= 40) & F.col("weight").isNotNull())
-    return g.groupBy("scene").agg(kept.alias("kept"), (F.count("*") - kept).alias("dropped"))
 
 
 def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +41,6 @@ def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads(spark, sf_dir).select(F.coalesce(o["elementId"], o["element_id"]).alias("element"), F.lower(o["fix"]).isin("true", "yes", "1").alias("fix"))
 
 
-add("sca39_critic_payload", _coerced, f"WITH {PAYLOADS} SELECT event_id AS element, k % 2 = 0 AS fix FROM k")
-add("sca40_validate", lambda s, d: payloads(s, d).select("event_id", F.when(F.col("weight").isNull(), "defaults").otherwise("valid").alias("row"), F.coalesce(S.font_weight(F.col("weight")), F.lit(400)).alias("w")), f"WITH {PAYLOADS} SELECT event_id, CASE WHEN weight IS NULL THEN 'defaults' ELSE 'valid' END AS row, CASE weight WHEN 'bold' THEN 700 WHEN '650' THEN 600 ELSE 400 END AS w FROM k")
-add("sca46_error_text", lambda s, d: payloads(s, d).select("event_id", F.concat_ws("; ", F.when(F.col("weight").isNull(), "weight: missing"), F.when(F.col("alignment").isNull(), "alignment: missing")).alias("said")), f"WITH {PAYLOADS} SELECT event_id, concat_ws('; ', CASE WHEN weight IS NULL THEN 'weight: missing' END, CASE WHEN alignment IS NULL THEN 'alignment: missing' END) AS said FROM k")
 
 # filters, projections
 _STRATEGY = {"rectangle": "surface", "image": "asset", "ellipse": "badge"}
@@ -91,8 +78,6 @@ add("itr01_component_grouping", lambda s, d: K.grouped_by_gap(elements(s, d).whe
 add("win14_seam", lambda s, d: pixels(s, d).groupBy("page_id", "px").agg(F.count_if(F.col("v") >= 136).alias("n")).groupBy("page_id").agg(F.min(F.struct("n", "px")).alias("m")).select("page_id", F.col("m.px").alias("seam"), F.col("m.n").alias("n")), f"WITH {PIXELS}, c AS (SELECT page_id, px, count_if(v >= 136) AS n FROM px GROUP BY page_id, px) SELECT page_id, arg_min(px, struct_pack(n := n, p := px)) AS seam, min(n) AS n FROM c GROUP BY page_id")
 
 # versions
-add("sta08_accept_result", lambda s, d: elements(s, d).select("page_id", "pos", F.when(F.col("page_id") % 3 == 0, "user_accepted").otherwise("proposed").alias("status")), f"WITH {ELEMENTS} SELECT page_id, pos, CASE WHEN page_id % 3 = 0 THEN 'user_accepted' ELSE 'proposed' END AS status FROM e")
-add("sta10_settings_merge", lambda s, d: elements(s, d).select("page_id", "pos", F.coalesce(F.when(~F.col("group_id").rlike("^g[01]$"), F.col("group_id")), F.col("text"), F.lit("default")).alias("kept")), f"WITH {ELEMENTS} SELECT page_id, pos, coalesce(CASE WHEN NOT regexp_matches(group_id, '^g[01]$') THEN group_id END, text, 'default') AS kept FROM e")
 add("sta12_routing_record", lambda s, d: elements(s, d).groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]), ">").alias("tried"), F.count_if(F.col("confidence") < 0.1).alias("fallbacks")), f"WITH {ELEMENTS} SELECT page_id, array_to_string(list(type ORDER BY pos), '>') AS tried, count_if(confidence < 0.1) AS fallbacks FROM e GROUP BY page_id")
 
 

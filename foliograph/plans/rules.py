@@ -167,7 +167,7 @@ rule(
 
 # what a page's checks measured: shares, and counts
 _MEASURES = {
-    "visual": "round(avg(confidence), 4)",
+    "visual": "round(avg(confidence), 6)",
     "coverage": "CAST(sum(CASE WHEN type = 'text' AND visible THEN 1 ELSE 0 END) AS DOUBLE) / greatest(sum(CASE WHEN type = 'text' THEN 1 ELSE 0 END), 1)",
     "movable": "CAST(sum(CASE WHEN type = 'image' AND visible THEN 1 ELSE 0 END) AS DOUBLE) / greatest(sum(CASE WHEN type = 'image' THEN 1 ELSE 0 END), 1)",
     "ghosts": "sum(CASE WHEN type = 'text' AND suppressed THEN 1 ELSE 0 END)",
@@ -367,7 +367,7 @@ def drawn(x: DataFrame) -> DataFrame:
     s = x.where("NOT suppressed AND owned_by IS NULL").withColumn("s", strategy).where("s <> 'group'")
     what = F.when(F.col("s").isin("local_image", "cutout_image"), "picture").when(F.col("s") == "editable_text", "textbox").when(F.col("type") == "line", "connector").when(F.col("type").isin("rectangle", "ellipse"), F.col("type"))
     inch = 13.333 / W
-    size = F.when(F.col("s") == "editable_text", F.round(F.greatest(F.lit(5.0), F.col("height") * inch * 72), 5))
+    size = F.when(F.col("s") == "editable_text", F.round(F.greatest(F.lit(5.0), F.col("height") * inch * 72), 2))
     rows = s.withColumn("primitive", what).where("primitive IS NOT NULL").withColumn("seq", F.row_number().over(Window.partitionBy("page_id").orderBy("z_index", "pos")))
     return rows.select("page_id", "seq", "pos", "primitive", *(F.round(F.col(c) * inch, 4).alias(n) for c, n in (("x1", "left"), ("y1", "top"))), *(F.round(F.greatest(F.lit(0.01), F.col(c) * inch), 4).alias(c) for c in ("width", "height")), size.alias("points"))
 
@@ -377,7 +377,7 @@ _DRAWN = f"""d0 AS (SELECT *, CASE WHEN whole AND strategy NOT IN ('cutout_image
       WHEN type = 'text' THEN 'editable_text' WHEN type = 'image' THEN 'cutout_image' ELSE 'native_shape' END AS s FROM x WHERE NOT suppressed AND owned_by IS NULL),
     d1 AS (SELECT *, CASE WHEN s IN ('local_image', 'cutout_image') THEN 'picture' WHEN s = 'editable_text' THEN 'textbox' WHEN type = 'line' THEN 'connector' WHEN type IN ('rectangle', 'ellipse') THEN type END AS primitive FROM d0 WHERE s <> 'group'),
     dr AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY z_index, pos) AS INT) AS seq, pos, primitive, round(x1 * {_INCH}::DOUBLE, 4) AS left, round(y1 * {_INCH}::DOUBLE, 4) AS top, round(greatest(0.01, width * {_INCH}::DOUBLE), 4) AS width, round(greatest(0.01, height * {_INCH}::DOUBLE), 4) AS height,
-      CASE WHEN s = 'editable_text' THEN round(greatest(5.0, height * {_INCH}::DOUBLE * 72), 5) END AS points FROM d1 WHERE primitive IS NOT NULL)"""
+      CASE WHEN s = 'editable_text' THEN round(greatest(5.0, height * {_INCH}::DOUBLE * 72), 2) END AS points FROM d1 WHERE primitive IS NOT NULL)"""
 rule("snk02_draw_ops", drawn, f", {_DRAWN} SELECT * FROM dr")
 rule(
     "agg12_structural_counts",

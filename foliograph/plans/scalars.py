@@ -78,21 +78,16 @@ ele("sca24_component_type", lambda: {"kind": S.lookup(F.col("type"), {"rectangle
 ocr("sca25_font_precedence", lambda: {"kind": F.when((F.col("role") == "main_title") & (F.col("pos") % 2 == 0), "serif").otherwise(S.font_class(T(), F.col("role")))}, {"kind": "CASE WHEN role = 'main_title' AND pos % 2 = 0 THEN 'serif' WHEN regexp_matches(text, '^[0-9\\s.,%+\\-/:]+$') THEN 'monospace' WHEN role = 'main_title' THEN 'display' WHEN role = 'caption' THEN 'serif' ELSE 'sans' END"})
 _V = "CASE WHEN pos % 4 = 0 THEN 0.0 ELSE confidence END"
 ele("sca26_confidence", lambda: {"c": S.final_confidence(F.when(F.col("pos") % 4 == 0, 0.0).otherwise(F.col("confidence")), F.lit(0.8), F.col("z_index") / 25)}, {"c": f"least(greatest(CASE WHEN {_V} > 0 THEN 0.35 * {_V} + CAST(0.4 AS DOUBLE) * 0.8 + 0.25 * (z_index / 25) ELSE z_index / 25 END, 0.0), 1.0)"})
-doc("sca27_redact", lambda: {"said": F.md5(S.redact(F.concat(T(), F.lit(" api_key=abc123, Bearer a.b-c sk-abcdefgh"))))}, {"said": r"md5(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' api_key=abc123, Bearer a.b-c sk-abcdefgh', '(?i)(bearer\s+)[A-Za-z0-9._-]+', '\1***', 'g'), '(?i)(api[_-]?key\s*[=:]\s*)[^\s,;]+', '\1***', 'g'), 'sk-[A-Za-z0-9]{6,}', 'sk-***', 'g'), '(?i)(password\s*[=:]\s*)[^\s,;]+', '\1***', 'g'), 1000))"})
 doc("sca28_mask_key", lambda: {"masked": S.mask_key(F.left(F.md5(T()), (F.col("doc_id") % 20 + 3).cast("int")))}, {"masked": "CASE WHEN doc_id % 20 + 3 <= 8 THEN left(md5(text), 2) || '***' ELSE left(md5(text), 5) || repeat('*', CAST(doc_id % 20 + 3 - 8 AS INT)) || right(left(md5(text), CAST(doc_id % 20 + 3 AS INT)), 3) END"})
-doc("sca29_base_url", lambda: {"url": F.regexp_replace(F.concat(F.lit("https://host/v1"), F.when(F.col("doc_id") % 3 == 0, "/chat/completions").when(F.col("doc_id") % 3 == 1, "/models/").otherwise("/")), "/(chat/completions|models)?/*$", "")}, {"url": "'https://host/v1'"})
-pay("sca30_outer_json", lambda: {"k2": F.get_json_object(S.outer_json(F.concat(F.lit("```json\n{\"k\": "), F.col("k").cast("string"), F.lit("}\n```"))), "$.k").cast("int")}, {"k2": "k"})
 pay("sca31_probability", lambda: {"p": S.probability(F.col("probability"))}, {"p": "CASE probability WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 ELSE coalesce(CASE WHEN (CASE WHEN k % 6 = 3 OR TRY_CAST(replace(probability, '%', '') AS DOUBLE) > 1 THEN TRY_CAST(replace(probability, '%', '') AS DOUBLE) / 100 ELSE TRY_CAST(replace(probability, '%', '') AS DOUBLE) END) BETWEEN 0 AND 1 THEN (CASE WHEN k % 6 = 3 OR TRY_CAST(replace(probability, '%', '') AS DOUBLE) > 1 THEN TRY_CAST(replace(probability, '%', '') AS DOUBLE) / 100 ELSE TRY_CAST(replace(probability, '%', '') AS DOUBLE) END) END, 0.5) END"})
 pay("sca32_plan_score", lambda: {"s": S.plan_score(F.col("probability"))}, {"s": "CASE probability WHEN 'low' THEN 0.2 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.8 ELSE CASE WHEN TRY_CAST(probability AS DOUBLE) IS NULL THEN NULL WHEN TRY_CAST(probability AS DOUBLE) > 1 AND TRY_CAST(probability AS DOUBLE) <= 3 THEN TRY_CAST(probability AS DOUBLE) / 3 ELSE least(greatest(TRY_CAST(probability AS DOUBLE), 0.0), 1.0) END END"})
 pay("sca33_font_weight", lambda: {"w": S.font_weight(F.col("weight"))}, {"w": "CASE weight WHEN 'bold' THEN 700 WHEN 'regular' THEN 400 WHEN '650' THEN 600 END"})
 pay("sca34_alignment", lambda: {"a": S.alignment(F.col("alignment"))}, {"a": "CASE lower(alignment) WHEN 'centre' THEN 'center' WHEN 'right' THEN 'right' ELSE 'left' END"})
 pay("sca36_keep_objects", lambda: {"n": F.size(F.filter(F.array(F.col("probability"), F.col("weight"), F.col("alignment")), lambda x: x.isNotNull())).cast("long")}, {"n": "CAST(1 + CAST(weight IS NOT NULL AS INT) + CAST(alignment IS NOT NULL AS INT) AS BIGINT)"})
 pay("sca38_scene_element", lambda: {"p": S.probability(F.col("weight"), 0.7), "w": F.coalesce(S.font_weight(F.col("weight")), F.lit(400)), "a": S.alignment(F.col("alignment"))}, {"p": "0.7", "w": "CASE weight WHEN 'bold' THEN 700 WHEN '650' THEN 600 ELSE 400 END", "a": "CASE lower(alignment) WHEN 'centre' THEN 'center' WHEN 'right' THEN 'right' ELSE 'left' END"})
-pay("sca41_error_class", lambda: {"kind": F.when(F.col("k").isin(401, 403) | (F.col("k") % 10 == 1), "auth").when(F.col("k") % 10 == 4, "not_found").when(F.col("k") >= 500, "server").otherwise("other")}, {"kind": "CASE WHEN k IN (401, 403) OR k % 10 = 1 THEN 'auth' WHEN k % 10 = 4 THEN 'not_found' WHEN k >= 500 THEN 'server' ELSE 'other' END"})
 pay("sca42_first_set", lambda: {"proxy": F.coalesce(F.col("weight"), F.col("alignment"), F.lit("direct"))}, {"proxy": "coalesce(weight, alignment, 'direct')"})
 doc("sca43_asset_name", lambda: {"name": S.asset_name(F.concat(F.lit("/media/"), F.when(F.col("doc_id") % 7 == 0, "../").otherwise(""), F.col("source"), F.lit("/a"), F.col("doc_id").cast("string"), F.lit(".png?v=1/2")))}, {"name": "CASE WHEN doc_id % 7 <> 0 THEN 'a' || CAST(doc_id AS VARCHAR) || '.png' END"})
 pay("sca44_number", lambda: {"n": S.number(F.col("weight"))}, {"n": "coalesce(TRY_CAST(weight AS DOUBLE), 0.0)"})
 pay("sca45_clamped", lambda: {"n": S.clamped(F.col("probability"), 0.0, 1.0, 0.5)}, {"n": "CASE WHEN TRY_CAST(probability AS DOUBLE) IS NULL THEN 0.5 ELSE least(greatest(TRY_CAST(probability AS DOUBLE), 0.0), 1.0) END"})
 ocr("sca47_size_for_width", lambda: {"size": (F.col("x2") - F.col("x1")) / F.greatest(S.line_width(T(), F.lit(1.0)), F.lit(1.0)) * 0.97}, {"size": "(x2 - x1) / greatest(length(text) * 1.0 * 0.56, 1.0) * 0.97"})
 doc("sca48_masked", lambda: {"masked": F.concat(F.when(F.col("doc_id") % 2 == 0, "masked:").otherwise(""), F.col("source")).rlike("^masked:|\\*")}, {"masked": "doc_id % 2 = 0"})
-doc("sca49_data_url", lambda: {"url": F.md5(S.data_url(F.encode(F.left(T(), F.lit(500)), "UTF-8"), F.concat(F.col("source"), F.lit(".png"))))}, {"url": "md5('data:image/png;base64,' || to_base64(encode(left(text, 500))))"})
