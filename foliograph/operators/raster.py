@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,28 +54,43 @@ def runs(df: DataFrame, mask: Column) -> DataFrame:
     return numbered.groupBy("page_id", "py", "island").agg(F.min("px").alias("first"), F.max("px").alias("last")).drop("island")
 
 
+def _labels(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """For pixels in scan order the number of the first pixel that each hangs together with."""
+    wide = int(cols.max()) + 3
+    key = rows.astype(np.int64) * wide + cols + 1
+    a, b = [], []
+    for step in (1, wide - 1, wide, wide + 1):  # to the right, and the three below
+        at = np.searchsorted(key, key + step)
+        hit = np.flatnonzero((at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + step))
+        a.append(hit)
+        b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(key))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        for side in (root[a], root[b], a, b):
+            np.minimum.at(root, side, low)
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
+
+
 def components(df: DataFrame, mask: Column) -> DataFrame:
     """(page_id, px, py, label): 8-connected components; the label is the least place, py * 1000000 + px, of the component.
 
-    For tiles: a page's mask is folded in place, in time that grows with the square of its pixels, and no shuffle is
-    needed beyond the one that gathers the page. run_components() is for whole images.
+    A page's masked pixels are one group, which an image's size bounds; they are labelled by array operations in a
+    number of rounds that grows with the logarithm of a component's reach. run_components() spreads one image over tasks.
     """
-    places = df.where(mask).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("py", "px"))).alias("ps"))
-    start = F.transform("ps", lambda p: (p["py"] * 1_000_000 + p["px"]).cast("long"))
-
-    def touching(a: Column, b: Column) -> Column:
-        return (F.abs(a["px"] - b["px"]) <= 1) & (F.abs(a["py"] - b["py"]) <= 1)
-
-    # pixels come in scan order: each joins the labels of the neighbours before it, and equal labels are merged
-    def step(acc: Column, i: Column) -> Column:
-        me = F.get(F.col("ps"), i)
-        near = F.filter(F.sequence(F.lit(0), i), lambda j: touching(F.get(F.col("ps"), j), me))
-        found = F.array_distinct(F.transform(near, lambda j: F.get(acc, j)))
-        both = F.struct(found.alias("all"), F.array_min(found).alias("least"))
-        return let(both, lambda f: F.transform(acc, lambda x: F.when(F.array_contains(f["all"], x), f["least"]).otherwise(x)))
-
-    labels = F.aggregate(F.sequence(F.lit(0), F.size("ps") - 1), start, step)
-    return places.select("page_id", F.explode(F.arrays_zip("ps", labels.alias("l"))).alias("x")).select("page_id", F.col("x.ps.px").alias("px"), F.col("x.ps.py").alias("py"), F.col("x.l").alias("label"))
+
+    def of(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["py", "px"], ignore_index=True)
+        root = _labels(page["py"].to_numpy(), page["px"].to_numpy())
+        page["label"] = page["py"].to_numpy(np.int64)[root] * 1_000_000 + page["px"].to_numpy(np.int64)[root]
+        return page
+
+    places = df.where(mask).select("page_id", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))
+    return places.groupBy("page_id").applyInPandas(of, "page_id bigint, px int, py int, label bigint")
 
 
 def run_components(df: DataFrame, mask: Column) -> DataFrame:

@@ -38,10 +38,12 @@ def relations(elements: DataFrame) -> DataFrame:
     inside = (G.coverage(b, a) >= 0.98) | (G.coverage(a, b) >= 0.98)
     scale = F.greatest(F.least(a.w, a.h, b.w, b.h), F.lit(1.0))
     (ax, ay), (bx, by) = G.center(a), G.center(b)
+    near, level, upright = G.gap(a, b) <= 1.4 * scale, F.abs(ax - bx) <= 4, F.abs(ay - by) <= 4
+    p = p.where(inside | near | level | upright)  # most pairs have no relation, so none is made for them
     kinds = F.array(
-        F.when(inside, F.struct(F.lit("contains").alias("kind"), F.lit(0.78).alias("confidence"))).when(G.gap(a, b) <= 1.4 * scale, F.struct(F.lit("near").alias("kind"), F.lit(0.55).alias("confidence"))),
-        F.when(F.abs(ax - bx) <= 4, F.struct(F.lit("x_aligned").alias("kind"), F.lit(0.62).alias("confidence"))),
-        F.when(F.abs(ay - by) <= 4, F.struct(F.lit("y_aligned").alias("kind"), F.lit(0.62).alias("confidence"))),
+        F.when(inside, F.struct(F.lit("contains").alias("kind"), F.lit(0.78).alias("confidence"))).when(near, F.struct(F.lit("near").alias("kind"), F.lit(0.55).alias("confidence"))),
+        F.when(level, F.struct(F.lit("x_aligned").alias("kind"), F.lit(0.62).alias("confidence"))),
+        F.when(upright, F.struct(F.lit("y_aligned").alias("kind"), F.lit(0.62).alias("confidence"))),
     )
     return p.select("page_id", "a_pos", "b_pos", F.explode(F.array_compact(kinds)).alias("r")).select("page_id", "a_pos", "b_pos", "r.*")
 

@@ -51,17 +51,6 @@ add("prj16_refine_text", lambda s, d: elements(s, d).where(TEXTS).select("page_i
 # joins
 
 
-@query("joi25_align_to_icon", q("a_group_id = b_group_id", TEXTS, "type = 'ellipse'") + f", g AS (SELECT page_id, a_pos, min(b_pos) AS icon FROM q GROUP BY page_id, a_pos) SELECT t.page_id, t.pos, CASE WHEN o.pos IS NULL THEN t.x1 ELSE least(greatest(greatest(t.x1 - 24.0, least(t.x1 + 24.0, o.x1 + o.width / 2 - t.width / 2)), 0.0), {W}.0) END AS x FROM e t LEFT JOIN g ON g.page_id = t.page_id AND g.a_pos = t.pos LEFT JOIN e o ON o.page_id = t.page_id AND o.pos = g.icon WHERE t.type = 'text'")
-def align_to_icon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text moves by up to 24 pixels towards the middle of its group's first icon."""
-    e = elements(spark, sf_dir)
-    p = R.pairs(e.where(TEXTS), e.where("type = 'ellipse'"), F.col("a_group_id") == F.col("b_group_id"))
-    icon = R.best(p, ["page_id", "a_pos"], F.col("b_pos"), middle=F.col("b_x1") + F.col("b_width") / 2).withColumnRenamed("a_pos", "pos")
-    x = F.col("x1")
-    return e.where(TEXTS).join(icon, ["page_id", "pos"], "left").select("page_id", "pos", F.when(F.col("middle").isNull(), x).otherwise(G.bounded_move(x, F.col("middle") - F.col("width") / 2, F.lit(24.0), F.lit(0.0), F.lit(float(W)))).alias("x"))
-
-
-add("joi27_group_anchor", lambda s, d: R.best(R.pairs(elements(s, d).where("type = 'ellipse'"), elements(s, d).where(TEXTS), F.col("a_group_id") == F.col("b_group_id")), ["page_id", "a_pos"], -F.col("b_pos"), b_pos=F.col("b_pos")), q("a_group_id = b_group_id", "type = 'ellipse'", TEXTS) + _arg("page_id, a_pos", "-b_pos", "b_pos"))
 
 # aggregates
 add("agg06_movable_assets", lambda s, d: elements(s, d).where("type <> 'text'").groupBy("page_id").agg(F.count_if(F.col("visible")).alias("assets"), F.count_if(~F.col("visible")).alias("residual"), (F.sum(F.when(F.col("visible"), F.col("width") * F.col("height")).otherwise(0.0)) / F.sum(F.col("width") * F.col("height"))).alias("coverage")), f"WITH {ELEMENTS} SELECT page_id, count_if(visible) AS assets, count_if(NOT visible) AS residual, sum(CASE WHEN visible THEN width * height ELSE 0.0 END) / sum(width * height) AS coverage FROM e WHERE type <> 'text' GROUP BY page_id")
@@ -80,15 +69,3 @@ add("win14_seam", lambda s, d: pixels(s, d).groupBy("page_id", "px").agg(F.count
 # versions
 add("sta12_routing_record", lambda s, d: elements(s, d).groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]), ">").alias("tried"), F.count_if(F.col("confidence") < 0.1).alias("fallbacks")), f"WITH {ELEMENTS} SELECT page_id, array_to_string(list(type ORDER BY pos), '>') AS tried, count_if(confidence < 0.1) AS fallbacks FROM e GROUP BY page_id")
 
-
-@query("sta02_revision", f"WITH {ELEMENTS}{EDITED}, g AS (SELECT e.page_id, count_if(f.x2 > {W}) <= count_if(e.x2 > {W}) AS good FROM e LEFT JOIN f ON e.page_id = f.page_id AND e.pos = f.pos GROUP BY e.page_id) SELECT e.page_id, e.pos, e.x1 FROM e JOIN g ON e.page_id = g.page_id WHERE NOT good UNION ALL SELECT f.page_id, f.pos, f.x1 FROM f JOIN g ON f.page_id = g.page_id WHERE good")
-def revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each page the new version if no more of its rows leave the canvas, else the old one."""
-    e = elements(spark, sf_dir)
-    f = edited(e)
-    both = e.join(f.select("page_id", "pos", F.col("x2").alias("n2")), ["page_id", "pos"], "left")
-    good = both.groupBy("page_id").agg((F.count_if(F.col("n2") > W) <= F.count_if(F.col("x2") > W)).alias("good"))
-    cols = ["page_id", "pos", "x1"]
-    return e.join(good.where("NOT good"), "page_id", "left_semi").select(*cols).union(f.join(good.where("good"), "page_id", "left_semi").select(*cols))
-
-

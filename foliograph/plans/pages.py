@@ -152,21 +152,9 @@ simple("srt05_page_names", lambda e: e.select("page_id").distinct().select("page
 
 # versions
 _LATEST = f"WITH {ELEMENTS} SELECT group_id, max(element_id) AS last, arg_max(type, element_id) AS type, count(*) AS events FROM e WHERE group_id IS NOT NULL GROUP BY group_id"
-add("sta01_latest_state", lambda s, d: elements(s, d).where("group_id IS NOT NULL").groupBy("group_id").agg(F.max("element_id").alias("last"), F.max_by("type", "element_id").alias("type"), F.count("*").alias("events")), _LATEST)
 _METRICS = "SELECT page_id, CAST(sum(CAST(x2 <= 960 AND y2 <= 540 AS INT)) AS BIGINT) AS inside, count_if(suppressed) AS bad, count(*) AS n"
 
 
-@query("sta03_accept", f"WITH {ELEMENTS}{EDITED}, a AS ({_METRICS} FROM e GROUP BY page_id), b AS ({_METRICS} FROM f GROUP BY page_id) SELECT a.page_id, b.n > 0 AND (b.inside > a.inside OR b.bad < a.bad) AND b.bad <= a.bad + 1 AS accepted FROM a JOIN b ON a.page_id = b.page_id")
-def accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a new version of a page is taken: something is better and issues don't grow by more than one."""
-    e = elements(spark, sf_dir)
-    metrics = lambda d, t: d.groupBy("page_id").agg(F.count_if((F.col("x2") <= W) & (F.col("y2") <= H)).alias(f"{t}_inside"), F.count_if(F.col("suppressed")).alias(f"{t}_bad"), F.count("*").alias(f"{t}_n"))
-    both = metrics(e, "a").join(metrics(edited(e), "b"), "page_id")
-    return both.select("page_id", ((F.col("b_n") > 0) & ((F.col("b_inside") > F.col("a_inside")) | (F.col("b_bad") < F.col("a_bad"))) & (F.col("b_bad") <= F.col("a_bad") + 1)).alias("accepted"))
-
-
-simple("sta04_verdict", lambda e: e.groupBy("page_id").agg(F.count_if(F.col("suppressed")).alias("s"), F.count_if(F.col("x2") > W).alias("o"), F.min("confidence").alias("c")).select("page_id", F.array_join(F.array_compact(F.array(F.when(F.col("s") > 3, F.lit("ghosting")), F.when(F.col("o") > 2, F.lit("bounds")), F.when(F.col("c") < 0.01, F.lit("confidence")))), ",").alias("errors")), f"SELECT page_id, concat_ws(',', CASE WHEN count_if(suppressed) > 3 THEN 'ghosting' END, CASE WHEN count_if(x2 > {W}) > 2 THEN 'bounds' END, CASE WHEN min(confidence) < 0.01 THEN 'confidence' END) AS errors FROM e GROUP BY page_id")
-simple("sta05_regression", lambda e: e.groupBy("page_id").agg((F.count_if(F.col("pos") >= 20) > 2 * F.count_if((F.col("pos") < 20) & F.col("visible"))).alias("grown"), F.bool_or((F.col("confidence") < 0.02) & F.col("visible")).alias("pale")).select("page_id", (F.col("grown") | F.col("pale")).alias("worse")), "SELECT page_id, count_if(pos >= 20) > 2 * count_if(pos < 20 AND visible) OR bool_or(confidence < 0.02 AND visible) AS worse FROM e GROUP BY page_id")
 add("sta06_discard", lambda s, d: edited(elements(s, d)).select("page_id", "pos").join(elements(s, d).select("page_id", "pos"), ["page_id", "pos"], "left_anti"), f"WITH {ELEMENTS}{EDITED} SELECT page_id, pos FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.page_id = f.page_id AND e.pos = f.pos)")
 simple("sta09_unsuppress", lambda e: e.where(TEXTS).withColumn("shown", F.max(F.col("visible").cast("int")).over(Window.partitionBy("page_id", "text"))).select("page_id", "pos", (F.col("visible") | (F.col("shown") == 0)).alias("visible")), "SELECT page_id, pos, visible OR max(CAST(visible AS INT)) OVER (PARTITION BY page_id, text) = 0 AS visible FROM e WHERE type = 'text'")
 

@@ -71,7 +71,6 @@ pair("ras35_support", lambda c: c.where("px IN (1, 6) OR py IN (0, 7)").groupBy(
 pair("ras46_region_difference", lambda c: c.where("px BETWEEN 2 AND 6").groupBy("page_id").agg(F.avg(F.abs(diff())).alias("mean"), F.max(F.abs(diff())).alias("most")), "SELECT page_id, avg(abs(v - w)) AS mean, max(abs(v - w)) AS most FROM c WHERE px BETWEEN 2 AND 6 GROUP BY page_id")
 tile("ras50_flat_surface", lambda p: p.groupBy("page_id").agg((F.count_if(F.abs(F.col("v") - 127) <= 16) / F.count("*") >= 0.5).alias("flat")), "SELECT page_id, count_if(abs(v - 127) <= 16) / count(*) >= 0.5 AS flat FROM px GROUP BY page_id")
 tile("ras56_colour_sample", lambda p: p.where("px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6").groupBy("page_id").agg(F.median("v").alias("mid"), F.percentile("v", 0.9).alias("p90")), "SELECT page_id, median(v) AS mid, quantile_cont(v, 0.9) AS p90 FROM px WHERE px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6 GROUP BY page_id")
-tile("agg16_histogram", lambda p: p.groupBy("page_id", F.floor(F.col("v") / 16).alias("bucket")).agg(F.count("*").alias("n")), "SELECT page_id, CAST(v // 16 AS BIGINT) AS bucket, count(*) AS n FROM px GROUP BY page_id, bucket")
 tile("win13_runs", lambda p: P.runs(p, F.expr(INK)), f"SELECT page_id, py, min(px) AS first, max(px) AS last FROM (SELECT *, px - row_number() OVER (PARTITION BY page_id, py ORDER BY px) AS island FROM px WHERE {INK}) GROUP BY page_id, py, island")
 # a page's labels go round by round to the least label among neighbours; UNION drops what is known already
 ITR02 = f"""WITH RECURSIVE {PIXELS}, m AS (SELECT page_id, px, py, CAST(py AS BIGINT) * 1000000 + px AS id FROM px WHERE {INK}),

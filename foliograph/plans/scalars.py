@@ -47,7 +47,7 @@ doc("sca02_strip_key", lambda: {"key": F.md5(S.fold_case(S.strip(F.concat(F.lit(
 doc("sca03_cjk", lambda: {"n": S.n_cjk(F.concat(T(), F.lit("版面ab"))).cast("long"), "has": T().rlike("[㐀-鿿]")}, {"n": "CAST(len(regexp_extract_all(text || '版面ab', '[㐀-鿿]')) AS BIGINT)", "has": "regexp_matches(text, '[㐀-鿿]')"})
 ocr("sca04_line_width", lambda: {"width": S.line_width(F.concat(T(), F.lit("版")), F.lit(12.0))}, {"width": "1 * 12.0 + length(text) * 12.0 * 0.56"})
 ocr("sca05_fit_textbox", lambda: {"size": S.fit_size(T(), SIZE(), (F.col("x2") - F.col("x1")) * 4)}, {"size": "greatest(5.0, coalesce(list_extract([s FOR s IN [(y2 - y1) * pow(0.98, CAST(k AS DOUBLE)) FOR k IN range(0, 12)] IF length(text) * s * 0.56 <= (x2 - x1) * 4 OR s <= (y2 - y1) * 0.8], 1), (y2 - y1) * 0.8))"})
-ocr("sca07_font_size", lambda: {"size": S.font_size(T(), F.col("role"), F.col("x2") - F.col("x1"), SIZE())}, {"size": f"least(greatest(least((y2 - y1) * {case('role', S.ROLE_FACTORS, '0.82')}, 0.97 * (x2 - x1) / greatest(length(text) * 1.0 * 0.56, 1.0)), 7.0), 120.0)"})
+ocr("sca07_font_size", lambda: {"size": F.round(S.font_size(T(), F.col("role"), F.col("x2") - F.col("x1"), SIZE()) + 1e-9, 1)}, {"size": f"round(least(greatest(least((y2 - y1) * {case('role', S.ROLE_FACTORS, '0.82')}::DOUBLE, 0.97::DOUBLE * (x2 - x1) / greatest(length(text) * 1.0 * 0.56::DOUBLE, 1.0)), 7.0), 120.0) + 1e-9, 1)"})
 ocr("sca08_text_role", lambda: {"kind": F.when((F.col("y1") < 60) & (SIZE() >= 18), "title").when(F.length("text") < 40, "label").when(F.col("y1") > 480, "footer").otherwise("body")}, {"kind": "CASE WHEN y1 < 60 AND y2 - y1 >= 18 THEN 'title' WHEN length(text) < 40 THEN 'label' WHEN y1 > 480 THEN 'footer' ELSE 'body' END"})
 ele("sca09_colourful", lambda: {"yes": F.greatest(*RGB()) - F.least(*RGB()) >= 28}, {"yes": f"greatest({R}, {G}, {B}) - least({R}, {G}, {B}) >= 28"})
 ocr("sca10_font_class", lambda: {"kind": S.font_class(T(), F.col("role"))}, {"kind": "CASE WHEN regexp_matches(text, '^[0-9\\s.,%+\\-/:]+$') THEN 'monospace' WHEN role = 'main_title' THEN 'display' WHEN role = 'caption' THEN 'serif' ELSE 'sans' END"})

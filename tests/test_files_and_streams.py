@@ -34,7 +34,7 @@ def test_stream_of_pages(spark, tmp_path):
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = live.arriving(spark, str(tmp_path / "in"), rows.schema, 1)
     live.run_available(live.progress(stream, late="10 hours"), str(tmp_path / "out"), str(tmp_path / "c1"))
-    live.latest(spark, live.arriving(spark, str(tmp_path / "in"), rows.schema, 100), str(tmp_path / "state"), str(tmp_path / "c2"))
+    live.latest(spark, live.arriving(spark, str(tmp_path / "in"), rows.schema, 1), str(tmp_path / "state"), str(tmp_path / "c2"))
     state = spark.read.parquet(str(tmp_path / "state"))
     assert state.count() == rows.select("page_id", "pos").distinct().count()
     assert state.agg(F.max("ts")).first()[0] == rows.agg(F.max("ts")).first()[0]
