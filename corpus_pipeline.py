@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage takes what the one before it kept, written as Parquet and read again."""
+"""The corpus pipeline: each stage takes what the one before it kept, written as Parquet and read again.
+
+Rows without an id or a text, repeated rows, texts of any length, empty tables and further columns go through as the
+operators' docstrings say; all stages but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliograph.llm._common import spare
 from foliograph.llm.line_dedup import line_dedup
 from foliograph.llm.mixing import mix
 from foliograph.llm.near_duplicates import keep_one
@@ -21,8 +26,9 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    return quality_rules(docs, out_col="__quality").where("__quality.kept").drop("__quality")
+    """The documents that the quality rules keep; a null or empty text fails them."""
+    (verdict,) = spare(docs, "quality")
+    return quality_rules(docs, out_col=verdict).where(f"{verdict}.kept").drop(verdict)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +48,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     domain = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
-    mixed = mix(docs, labels.select("doc_id", domain.alias("domain")), TARGETS, out_col="__mix", whole="clean", once=True)
-    return mixed.where("__mix.copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __mix.copies)"))).drop("__mix", "__copy")
+    mixed_col, copy = spare(docs, "mix", "copy")
+    mixed = mix(docs, labels.select("doc_id", domain.alias("domain")), TARGETS, out_col=mixed_col, whole="clean", once=True)
+    return mixed.where(f"{mixed_col}.copies > 0").withColumn(copy, F.explode(F.expr(f"sequence(1, {mixed_col}.copies)"))).drop(mixed_col, copy)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import with_struct
+from ._common import spare
 
 # Magic bytes of the formats and where they stand from the start of a file.
 MAGIC = {
@@ -237,7 +238,7 @@ def media_column(df: DataFrame, bytes_col: str, declared_col: str | None = None,
     """
     kinds = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     fields = pa.struct([("kind", pa.string()), ("media_type", pa.string()), ("corrected", pa.bool_()), ("found", pa.list_(kinds)), ("carved", pa.list_(pa.binary()))])
-    pair = "__media_in"
+    (pair,) = spare(df, "media_in")
     declared = F.col(declared_col) if declared_col else F.lit(None).cast("string")
 
     def of(column: pa.Array) -> list[dict]:
@@ -249,7 +250,7 @@ def media_column(df: DataFrame, bytes_col: str, declared_col: str | None = None,
             out.append({"kind": next((f.kind for f in found if f.start == 0), None), "media_type": kind, "corrected": changed, "found": [vars(f) for f in found], "carved": [data[f.start : f.end] for f in found if f.start]})
         return out
 
-    return with_struct(df.withColumn(pair, F.struct(F.col(bytes_col).alias("data"), declared.alias("declared"))), pair, out_col, fields, of).drop(pair)
+    return with_struct(df.withColumn(pair, F.struct(F.col(f"`{bytes_col}`").alias("data"), declared.alias("declared"))), pair, out_col, fields, of).drop(pair)
 
 
 # The header of a RIFF/WAVE file of 8-bit mono PCM.
@@ -299,5 +300,9 @@ AS_MEDIA = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("
 
 
 def text_as_media(df: DataFrame, text_col: str = "text", out_col: str = "media") -> DataFrame:
-    """df with out_col: each text stored as a sound file, read back and sniffed; a null text counts as empty."""
+    """df with out_col: each whole text stored as a sound file, read back and sniffed; a null text counts as empty.
+
+    Rows are independent: repeats get equal results, an empty df stays empty, a text of any length is one file. An out_col
+    already there is replaced; other columns pass through, whatever their names.
+    """
     return with_struct(df, text_col, out_col, AS_MEDIA, lambda column: [as_media(t) for t in column.to_pylist()])

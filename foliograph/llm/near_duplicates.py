@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ._arrow import slices, small_batches
-from ._common import cut
+from ._common import cut, spare
 from ._hash import shingles
 
 TREES, DEPTH = 16, 8
@@ -204,8 +204,8 @@ def _dealt(members: DataFrame, key: str, blocks) -> DataFrame:
 
 def fingerprinted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(uid, id, text); uid is the text's MD5, null counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.unhex(F.md5(text)).alias("uid"), F.col(id_col).alias("id"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return df.select(F.unhex(F.md5(text)).alias("uid"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
 
 
 def text_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, target_recall: float = 0.9995, start_depth: int = 6) -> DataFrame:
@@ -233,7 +233,8 @@ def text_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = cut(components(edges, "uid", "root").withColumnRenamed("root", "grp"))
     members = groups.withColumnRenamed("node", "uid").join(texts.select("uid", "id", "copies", "n"), "uid")
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("all"))
-    with_text = members.join(sizes, "grp").join(docs.select("uid", F.col("id").alias("row_id"), "text"), "uid").where("row_id <=> id")
+    own = docs.select(F.col("uid").alias("row_uid"), F.col("id").alias("row_id"), "text")
+    with_text = members.join(sizes, "grp").join(own, (F.col("uid") == F.col("row_uid")) & F.col("id").eqNullSafe(F.col("row_id")))  # by both, so the copies of a text don't meet
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("all") / BLOCK_SHINGLES))
     tasks = _dealt(with_text, "grp", blocks).select("gid", "block", "two", "uid", "copies", "text")
     found = cut(tasks.mapInArrow(_verified(Fraction(str(threshold))), "uid binary, root binary, links bigint"))
@@ -249,16 +250,21 @@ def text_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, target_recall: float = 0.9995) -> DataFrame:
     """(id_col, class_id, n_links), a row for each row of df; see text_classes() for what they hold.
 
-    Rows with a null id keep their place and share classes like others; repeated rows give repeated results.
+    Rows with a null id keep their place and share classes like others; repeated rows give repeated results, an empty df
+    gives none, and null and empty texts are equal. Other columns of df don't matter. A text of any length is compared whole.
     """
     classes = text_classes(df, id_col, text_col, threshold, target_recall).select("uid", "class_id", "n_links")
     return fingerprinted(df, id_col, text_col).select("uid", "id").join(classes, "uid").select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, target_recall: float = 0.9995) -> DataFrame:
-    """The row with the least id of every class, with df's own columns; of rows alike in id and text one stays."""
+    """The row with the least id of every class, with df's own columns, whatever their names; of rows alike in id and text one stays.
+
+    Null and empty texts are one class, a null id comes first, an empty df gives no rows, and a text of any length is compared whole.
+    """
+    own, first_id, first_uid = spare(df, "own", "first_id", "first_uid")
     classes = text_classes(df, id_col, text_col, threshold, target_recall)
-    first = classes.groupBy("root").agg(F.min(F.struct("id", "uid")).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.uid").alias("__uid"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumn("__own", F.unhex(F.md5(text))).join(first, (F.col("__own") == F.col("__uid")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    return rows.dropDuplicates(["__uid"]).select(*(F.col(f"`{c}`") for c in df.columns))
+    first = classes.groupBy("root").agg(F.min(F.struct("id", "uid")).alias("first")).select(F.col("first.id").alias(first_id), F.col("first.uid").alias(first_uid))
+    uid, row_id = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))), F.col(f"`{id_col}`")
+    rows = df.withColumn(own, uid).join(first, (F.col(own) == F.col(first_uid)) & row_id.eqNullSafe(F.col(first_id)))
+    return rows.dropDuplicates([first_uid]).select(*(F.col(f"`{c}`") for c in df.columns))
