@@ -1,6 +1,6 @@
 """The layout queries by name."""
 
-from . import files, geometry, inputs, loops, more, pages, raster, relations, rules, scalars
+from . import files, geometry, inputs, kernels, loops, more, pages, raster, relations, rules, scalars
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "files", "geometry", "inputs", "loops", "more", "pages", "raster", "relations", "rules", "scalars"]
+__all__ = ["QUERIES", "SQL", "files", "geometry", "inputs", "kernels", "loops", "more", "pages", "raster", "relations", "rules", "scalars"]

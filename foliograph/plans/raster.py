@@ -64,13 +64,8 @@ pair("ras15_mask_f1", lambda c: c.groupBy("page_id").agg(F.count_if(F.expr(INK)
 pair("ras16_changed_centroid", lambda c: c.where(F.abs(diff()) > 12).groupBy("page_id").agg(F.count("*").alias("n"), F.median("px").alias("mx"), F.median("py").alias("my")), "SELECT page_id, count(*) AS n, median(px) AS mx, median(py) AS my FROM c WHERE abs(v - w) > 12 GROUP BY page_id")
 pair("ras17_edges_retained", lambda c: c.where(INK).groupBy("page_id").agg((F.count_if(F.abs(diff()) <= 8) / F.count("*")).alias("share")), f"SELECT page_id, count_if(abs(v - w) <= 8) / count(*) AS share FROM c WHERE {INK} GROUP BY page_id")
 pair("ras20_composite", lambda c: c.select(*KEY, P.composite(F.col("v").cast("double"), F.col("w").cast("double"), F.col("px") / 8).alias("out")), "SELECT page_id, px, py, CAST(w AS DOUBLE) * (px / 8) + CAST(v AS DOUBLE) * (1 - px / 8) AS out FROM c")
-pair("ras21_outside_change", lambda c: c.where("NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5)").groupBy("page_id").agg((F.count_if(F.abs(diff()) > 16) / F.count("*")).alias("share")), "SELECT page_id, count_if(abs(v - w) > 16) / count(*) AS share FROM c WHERE NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5) GROUP BY page_id")
 pair("ras23_agreement", lambda c: c.groupBy("page_id").agg((F.count_if(F.abs(diff()) <= 16) / F.count("*") >= 0.6).alias("agrees")), "SELECT page_id, count_if(abs(v - w) <= 16) / count(*) >= 0.6 AS agrees FROM c GROUP BY page_id")
-pair("ras24_region_error", lambda c: c.withColumn("region", F.floor(F.col("px") / 4) + 2 * F.floor(F.col("py") / 4)).groupBy("page_id", "region").agg(F.avg(F.abs(diff())).alias("error")), "SELECT page_id, CAST(px // 4 + 2 * (py // 4) AS BIGINT) AS region, avg(abs(v - w)) AS error FROM c GROUP BY page_id, region")
-pair("ras35_support", lambda c: c.where("px IN (1, 6) OR py IN (0, 7)").groupBy("page_id").agg((F.count_if(F.abs(diff()) <= 24) / F.count("*")).alias("share")), "SELECT page_id, count_if(abs(v - w) <= 24) / count(*) AS share FROM c WHERE px IN (1, 6) OR py IN (0, 7) GROUP BY page_id")
 pair("ras46_region_difference", lambda c: c.where("px BETWEEN 2 AND 6").groupBy("page_id").agg(F.avg(F.abs(diff())).alias("mean"), F.max(F.abs(diff())).alias("most")), "SELECT page_id, avg(abs(v - w)) AS mean, max(abs(v - w)) AS most FROM c WHERE px BETWEEN 2 AND 6 GROUP BY page_id")
-tile("ras50_flat_surface", lambda p: p.groupBy("page_id").agg((F.count_if(F.abs(F.col("v") - 127) <= 16) / F.count("*") >= 0.5).alias("flat")), "SELECT page_id, count_if(abs(v - 127) <= 16) / count(*) >= 0.5 AS flat FROM px GROUP BY page_id")
-tile("ras56_colour_sample", lambda p: p.where("px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6").groupBy("page_id").agg(F.median("v").alias("mid"), F.percentile("v", 0.9).alias("p90")), "SELECT page_id, median(v) AS mid, quantile_cont(v, 0.9) AS p90 FROM px WHERE px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6 GROUP BY page_id")
 tile("win13_runs", lambda p: P.runs(p, F.expr(INK)), f"SELECT page_id, py, min(px) AS first, max(px) AS last FROM (SELECT *, px - row_number() OVER (PARTITION BY page_id, py ORDER BY px) AS island FROM px WHERE {INK}) GROUP BY page_id, py, island")
 # a page's labels go round by round to the least label among neighbours; UNION drops what is known already
 ITR02 = f"""WITH RECURSIVE {PIXELS}, m AS (SELECT page_id, px, py, CAST(py AS BIGINT) * 1000000 + px AS id FROM px WHERE {INK}),
@@ -85,21 +80,9 @@ add("itr03_holes", lambda s, d: P.components(pixels(s, d), F.expr("v < 136")).gr
 _ELLIPSE = "(px - 3.5) * (px - 3.5) / 12.25 + (py - 3.5) * (py - 3.5) / 9.0 <= 1.0"
 tile("ras49_ellipse_mask", lambda p: p.where(_ELLIPSE).groupBy("page_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), f"SELECT page_id, count(*) AS n, avg(v) AS mean FROM px WHERE {_ELLIPSE} GROUP BY page_id")
 tile("ras52_profiles", lambda p: p.groupBy("page_id", "py").agg(F.count_if(F.expr(INK)).alias("n")).groupBy("page_id").agg(F.max("n").alias("fullest"), F.count_if(F.col("n") == 0).alias("blank")), f"SELECT page_id, max(n) AS fullest, count_if(n = 0) AS blank FROM (SELECT page_id, py, count_if({INK}) AS n FROM px GROUP BY page_id, py) GROUP BY page_id")
-pair("ras57_still_original", lambda c: c.groupBy("page_id").agg(((F.avg(F.abs(diff())) < 35) & (F.stddev_pop("v") > 10)).alias("original")), "SELECT page_id, avg(abs(v - w)) < 35 AND stddev_pop(v) > 10 AS original FROM c GROUP BY page_id")
 tile("ras58_ring", lambda p: p.where("(px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6) AND NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5)").groupBy("page_id").agg(F.median("v").alias("ring")), "SELECT page_id, median(v) AS ring FROM px WHERE px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6 AND NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5) GROUP BY page_id")
-pair("ras22_new_loss", lambda c: c.where("v >= 150 AND w < 120").groupBy("page_id").agg(F.count("*").alias("lost")), "SELECT page_id, count(*) AS lost FROM c WHERE v >= 150 AND w < 120 GROUP BY page_id")
-pair(
-    "ras25_audit",
-    lambda c: c.groupBy("page_id").agg(F.count_if(F.abs(diff()) > 48).alias("mismatch"), F.count_if((F.col("v") < 110) & (F.col("w") > 140)).alias("pale")).select("page_id", F.explode(F.array_compact(F.array(F.when(F.col("mismatch") >= 2, F.lit("visualContentMismatch")), F.when(F.col("pale") >= 3, F.lit("paleAssetGap"))))).alias("problem")),
-    "SELECT page_id, 'visualContentMismatch' AS problem FROM c GROUP BY page_id HAVING count_if(abs(v - w) > 48) >= 2 UNION ALL SELECT page_id, 'paleAssetGap' FROM c GROUP BY page_id HAVING count_if(v < 110 AND w > 140) >= 3",
-)
 pair("ras38_duplicate_contour", lambda c: c.groupBy("page_id").agg((F.count_if(F.expr(INK) & (F.col("w") >= 136)) / F.greatest(F.least(F.count_if(F.expr(INK)), F.count_if(F.col("w") >= 136)), F.lit(1)) >= 0.94).alias("same")), f"SELECT page_id, count_if({INK} AND w >= 136) / greatest(least(count_if({INK}), count_if(w >= 136)), 1) >= 0.94 AS same FROM c GROUP BY page_id")
-tile("ras36_occupancy", lambda p: p.where("px BETWEEN 2 AND 5").groupBy("page_id").agg((F.count_if(F.expr(INK)) / F.count("*")).alias("share")), f"SELECT page_id, count_if({INK}) / count(*) AS share FROM px WHERE px BETWEEN 2 AND 5 GROUP BY page_id")
 DOMINANT = "SELECT page_id, CAST(max(n) AS DOUBLE) / sum(n) AS share, count(*) AS parts FROM (SELECT page_id, label, count(*) AS n FROM l GROUP BY page_id, label) GROUP BY page_id"
-add("ras41_dominant_component", lambda s, d: P.components(pixels(s, d), F.expr(INK)).groupBy("page_id", "label").agg(F.count("*").alias("n")).groupBy("page_id").agg((F.max("n").cast("double") / F.sum("n")).alias("share"), F.count("*").alias("parts")),
-    ITR02.replace("SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py", f", l AS (SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py) {DOMINANT}"))
-add("ras32_island_counts", lambda s, d: P.components(pixels(s, d), F.expr("v >= 150")).groupBy("page_id", "label").agg(F.count("*").alias("n"), F.max("px").alias("r"), F.min("px").alias("l")).where("n >= 2").groupBy("page_id").agg(F.count("*").alias("islands"), F.max(F.col("r") - F.col("l") + 1).alias("widest")),
-    ITR02.replace(INK, "v >= 150").replace("SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py", ", l AS (SELECT page_id, px, py, min(root) AS label FROM r GROUP BY page_id, px, py), g AS (SELECT page_id, label, count(*) AS n, max(px) AS r2, min(px) AS l2 FROM l GROUP BY page_id, label HAVING count(*) >= 2) SELECT page_id, count(*) AS islands, max(r2 - l2 + 1) AS widest FROM g GROUP BY page_id"))
 
 
 @query(
