@@ -82,7 +82,6 @@ simple("agg05_text_coverage", lambda e: e.where(TEXTS).groupBy("page_id").agg(F.
 simple("agg08_critical", lambda e: e.groupBy("page_id").agg(C.weighted_mean(F.floor(F.col("confidence") * 100).cast("double"), S.lookup(F.col("type"), S.REGION_WEIGHTS, F.lit(1.0))).alias("score")), f"SELECT page_id, sum(floor(confidence * 100) * {case('type', S.REGION_WEIGHTS, '1.0')}) / greatest(1.0, sum({case('type', S.REGION_WEIGHTS, '1.0')})) AS score FROM e GROUP BY page_id")
 simple("agg11_badge_penalty", lambda e: e.groupBy("page_id").agg(C.capped(F.count_if(F.col("visible") & (F.col("type") == "ellipse") & F.col("group_id").isNotNull()), 0.05, 0.25).alias("penalty")), "SELECT page_id, least(count_if(visible AND type = 'ellipse' AND group_id IS NOT NULL) * 0.05, 0.25) AS penalty FROM e GROUP BY page_id")
 simple("agg13_layout_counters", lambda e: e.agg(F.count_if(F.col("suppressed")).alias("suppressed"), F.count_if(F.col("owned_by").isNotNull()).alias("owned"), F.count_if(F.col("group_id").isNotNull()).alias("grouped"), F.count_if(F.col("confidence") < 0.5).alias("unsure"), F.count_if(F.col("visible")).alias("visible")), "SELECT count_if(suppressed) AS suppressed, count_if(owned_by IS NOT NULL) AS owned, count_if(group_id IS NOT NULL) AS grouped, count_if(confidence < 0.5) AS unsure, count_if(visible) AS visible FROM e")
-simple("agg14_stage_rollup", lambda e: e.groupBy("page_id").pivot("type", ["text", "image", "line"]).agg(F.count(F.lit(1))).na.fill(0), "SELECT page_id, count_if(type = 'text') AS text, count_if(type = 'image') AS image, count_if(type = 'line') AS line FROM e GROUP BY page_id")
 simple("agg15_statistics", lambda e: e.groupBy("page_id").agg(F.median("width").alias("mid"), F.percentile("height", 0.85).alias("p85")), "SELECT page_id, median(width) AS mid, quantile_cont(height, 0.85) AS p85 FROM e GROUP BY page_id")
 simple("agg18_majority", lambda e: C.mode_first(e, ["page_id"], "group_id"), "SELECT page_id, group_id, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, group_id) AS rn FROM (SELECT page_id, group_id, count(*) AS n FROM e WHERE group_id IS NOT NULL GROUP BY page_id, group_id)) WHERE rn = 1")
 add("agg19_text_occupancy", lambda s, d: R.pairs(elements(s, d).where(RECTS), elements(s, d).where(TEXTS), G.intersects(A(), B())).groupBy("page_id", F.col("a_pos").alias("pos")).agg((F.sum(G.intersection(A(), B())) / F.max(G.area(A()))).alias("share")), q(f"{INTER} > 0", RECTS, TEXTS) + f" SELECT page_id, a_pos AS pos, sum({INTER}) / max({AREA_A}) AS share FROM q GROUP BY page_id, a_pos")

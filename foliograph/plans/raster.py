@@ -63,9 +63,7 @@ tile("ras13_background_profile", lambda p: p.where("px IN (0, 7) OR py IN (0, 7)
 pair("ras15_mask_f1", lambda c: c.groupBy("page_id").agg(F.count_if(F.expr(INK) & (F.col("w") >= 136)).alias("tp"), F.count_if(F.expr(INK)).alias("a"), F.count_if(F.col("w") >= 136).alias("b")).select("page_id", (2 * F.col("tp") / F.greatest(F.col("a") + F.col("b"), F.lit(1))).alias("f1")), f"SELECT page_id, 2 * count_if({INK} AND w >= 136) / greatest(count_if({INK}) + count_if(w >= 136), 1) AS f1 FROM c GROUP BY page_id")
 pair("ras16_changed_centroid", lambda c: c.where(F.abs(diff()) > 12).groupBy("page_id").agg(F.count("*").alias("n"), F.median("px").alias("mx"), F.median("py").alias("my")), "SELECT page_id, count(*) AS n, median(px) AS mx, median(py) AS my FROM c WHERE abs(v - w) > 12 GROUP BY page_id")
 pair("ras17_edges_retained", lambda c: c.where(INK).groupBy("page_id").agg((F.count_if(F.abs(diff()) <= 8) / F.count("*")).alias("share")), f"SELECT page_id, count_if(abs(v - w) <= 8) / count(*) AS share FROM c WHERE {INK} GROUP BY page_id")
-pair("ras20_composite", lambda c: c.select(*KEY, P.composite(F.col("v").cast("double"), F.col("w").cast("double"), F.col("px") / 8).alias("out")), "SELECT page_id, px, py, CAST(w AS DOUBLE) * (px / 8) + CAST(v AS DOUBLE) * (1 - px / 8) AS out FROM c")
 pair("ras23_agreement", lambda c: c.groupBy("page_id").agg((F.count_if(F.abs(diff()) <= 16) / F.count("*") >= 0.6).alias("agrees")), "SELECT page_id, count_if(abs(v - w) <= 16) / count(*) >= 0.6 AS agrees FROM c GROUP BY page_id")
-pair("ras46_region_difference", lambda c: c.where("px BETWEEN 2 AND 6").groupBy("page_id").agg(F.avg(F.abs(diff())).alias("mean"), F.max(F.abs(diff())).alias("most")), "SELECT page_id, avg(abs(v - w)) AS mean, max(abs(v - w)) AS most FROM c WHERE px BETWEEN 2 AND 6 GROUP BY page_id")
 tile("win13_runs", lambda p: P.runs(p, F.expr(INK)), f"SELECT page_id, py, min(px) AS first, max(px) AS last FROM (SELECT *, px - row_number() OVER (PARTITION BY page_id, py ORDER BY px) AS island FROM px WHERE {INK}) GROUP BY page_id, py, island")
 # a page's labels go round by round to the least label among neighbours; UNION drops what is known already
 ITR02 = f"""WITH RECURSIVE {PIXELS}, m AS (SELECT page_id, px, py, CAST(py AS BIGINT) * 1000000 + px AS id FROM px WHERE {INK}),
@@ -79,20 +77,6 @@ add("itr03_holes", lambda s, d: P.components(pixels(s, d), F.expr("v < 136")).gr
 # shapes, profiles, audits
 _ELLIPSE = "(px - 3.5) * (px - 3.5) / 12.25 + (py - 3.5) * (py - 3.5) / 9.0 <= 1.0"
 tile("ras49_ellipse_mask", lambda p: p.where(_ELLIPSE).groupBy("page_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), f"SELECT page_id, count(*) AS n, avg(v) AS mean FROM px WHERE {_ELLIPSE} GROUP BY page_id")
-tile("ras52_profiles", lambda p: p.groupBy("page_id", "py").agg(F.count_if(F.expr(INK)).alias("n")).groupBy("page_id").agg(F.max("n").alias("fullest"), F.count_if(F.col("n") == 0).alias("blank")), f"SELECT page_id, max(n) AS fullest, count_if(n = 0) AS blank FROM (SELECT page_id, py, count_if({INK}) AS n FROM px GROUP BY page_id, py) GROUP BY page_id")
-tile("ras58_ring", lambda p: p.where("(px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6) AND NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5)").groupBy("page_id").agg(F.median("v").alias("ring")), "SELECT page_id, median(v) AS ring FROM px WHERE px BETWEEN 1 AND 6 AND py BETWEEN 1 AND 6 AND NOT (px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5) GROUP BY page_id")
-pair("ras38_duplicate_contour", lambda c: c.groupBy("page_id").agg((F.count_if(F.expr(INK) & (F.col("w") >= 136)) / F.greatest(F.least(F.count_if(F.expr(INK)), F.count_if(F.col("w") >= 136)), F.lit(1)) >= 0.94).alias("same")), f"SELECT page_id, count_if({INK} AND w >= 136) / greatest(least(count_if({INK}), count_if(w >= 136)), 1) >= 0.94 AS same FROM c GROUP BY page_id")
 DOMINANT = "SELECT page_id, CAST(max(n) AS DOUBLE) / sum(n) AS share, count(*) AS parts FROM (SELECT page_id, label, count(*) AS n FROM l GROUP BY page_id, label) GROUP BY page_id"
 
 
-@query(
-    "snk03_preview",
-    f"""WITH {ELEMENTS}, c AS (SELECT page_id, pos, z_index, cx, unnest(range(CAST(floor(y1 / 20) AS INT), CAST(floor((y2 - 1) / 20) AS INT) + 1)) AS cy FROM (SELECT *, unnest(range(CAST(floor(x1 / 20) AS INT), CAST(floor((x2 - 1) / 20) AS INT) + 1)) AS cx FROM e WHERE visible))
-    SELECT page_id, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, arg_max(pos, struct_pack(z := z_index, p := pos)) AS top FROM c GROUP BY page_id, cx, cy""",
-)
-def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each cell of 20 x 20 pixels shows: the element that is painted last there."""
-    e = elements(spark, sf_dir).where("visible")
-    span = lambda c: F.sequence(F.floor(F.col(f"{c}1") / 20), F.floor((F.col(f"{c}2") - 1) / 20))
-    cells = e.select("page_id", "pos", "z_index", "y1", "y2", F.explode(span("x")).alias("cx")).select("page_id", "pos", "z_index", "cx", F.explode(span("y")).alias("cy"))
-    return cells.groupBy("page_id", "cx", "cy").agg(F.max_by("pos", F.struct("z_index", "pos")).alias("top"))
