@@ -86,14 +86,14 @@ add(
     lambda s, d: segments(pixels(s, d)),
     f"{RPIX}, {_EDGES}, dl AS (SELECT DISTINCT p.page_id, p.px, p.py FROM px p JOIN ed ON p.page_id = ed.page_id AND abs(p.px - ed.px) <= 1 AND abs(p.py - ed.py) <= 1){labelled('true', 'dl')}, {_BOXES}, t AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY page_id ORDER BY (x2 - x1) * (y2 - y1) DESC, label) AS nth FROM k) SELECT page_id, label, area, round(n / area, 6) AS fill FROM t WHERE nth <= 30 AND area BETWEEN 0.64 AND 58.88",
 )
-_REPLY = """CASE event_id % 4 WHEN 0 THEN 'Here: {"elements":[{"id":"e' || user_id || '"}]}' WHEN 1 THEN replace('{~elements~:[{~id~:~q' || user_id || '~}]}', '~', chr(39)) WHEN 2 THEN 'no json at all' ELSE '{"elements":[]} thanks' END"""
+_REPLY = """CASE event_id % 4 WHEN 0 THEN 'Here: {"elements":[{"id":"e' || user_id || '"}]}' WHEN 1 THEN '{`elements`:[{`id`:`q' || user_id || '`}]}' WHEN 2 THEN 'no json at all' ELSE '{"elements":[]} thanks' END"""
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's answer: the JSON inside it, once mended if it can't be read, then checked for its elements."""
     e = table(spark, sf_dir, "events").select("event_id", F.expr(_REPLY).alias("raw"))
     inner = S.outer_json(F.col("raw"))
-    mended = F.regexp_replace(inner, "'", '"')
+    mended = F.regexp_replace(inner, "`", '"')
     told = e.select("event_id", F.get_json_object(inner, "$.elements").alias("plain"), F.get_json_object(mended, "$.elements").alias("again"))
     items = F.from_json(F.coalesce("plain", "again"), "array<struct<id:string>>")
     return told.select("event_id", F.when(F.col("plain").isNotNull(), "read").when(F.col("again").isNotNull(), "mended").otherwise("failed").alias("state"), F.get(items["id"], F.lit(0)).alias("first"))
@@ -102,7 +102,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 add(
     "src07_vision_replies",
     replies,
-    f"""WITH r AS (SELECT event_id, regexp_extract({_REPLY}, '\\{{[\\s\\S]*\\}}') AS raw FROM events), t AS (SELECT event_id, CASE WHEN json_valid(raw) THEN 'read' WHEN json_valid(replace(raw, chr(39), '"')) THEN 'mended' ELSE 'failed' END AS state, replace(raw, chr(39), '"') AS j FROM r)
+    f"""WITH r AS (SELECT event_id, regexp_extract({_REPLY}, '\\{{[\\s\\S]*\\}}') AS raw FROM events), t AS (SELECT event_id, CASE WHEN json_valid(raw) THEN 'read' WHEN json_valid(replace(raw, '`', '"')) THEN 'mended' ELSE 'failed' END AS state, replace(raw, '`', '"') AS j FROM r)
     SELECT event_id, state, CASE WHEN state <> 'failed' THEN json_extract_string(j, '$.elements[0].id') END AS first FROM t""",
 )
 
@@ -117,10 +117,10 @@ def layered(x: DataFrame) -> DataFrame:
     cells = x.where(fits).withColumn("cx", F.explode(at("x1", "x2"))).withColumn("cy", F.explode(at("y1", "y2"))).where(F.col("cx").between(0, W // 40 - 1) & F.col("cy").between(0, H // 40 - 1))
     stack = cells.groupBy("page_id", "cx", "cy").agg(F.sort_array(F.collect_list(F.struct("z_index", "pos", (F.col("element_id") % 256).cast("double").alias("ink"), (F.col("confidence") * 0.9).alias("alpha")))).alias("s"))
     over = F.aggregate("s", F.lit(255.0), lambda ground, e: e["ink"] * e["alpha"] + ground * (1 - e["alpha"]))
-    return stack.select("page_id", "cx", "cy", F.size("s").cast("long").alias("layers"), F.round(over, 3).alias("value"))
+    return stack.select("page_id", "cx", "cy", F.size("s").cast("long").alias("layers"), F.round(over + 1e-7, 3).alias("value"))
 
 
-_OVER = "SELECT page_id, cx, cy, count(*) AS layers, round(sum(ink * alpha * above) + 255 * exp(sum(ln(1 - alpha))), 3) AS value FROM (SELECT *, exp(coalesce(sum(ln(1 - alpha)) OVER (PARTITION BY page_id, cx, cy ORDER BY z_index, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS above FROM c) GROUP BY page_id, cx, cy"
+_OVER = "SELECT page_id, cx, cy, count(*) AS layers, round(sum(ink * alpha * above) + 255 * exp(sum(ln(1 - alpha))) + 1e-7, 3) AS value FROM (SELECT *, exp(coalesce(sum(ln(1 - alpha)) OVER (PARTITION BY page_id, cx, cy ORDER BY z_index, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS above FROM c) GROUP BY page_id, cx, cy"
 add("ras20_composite", lambda s, d: layered(rich(s, d)), f"WITH {ELEMENTS}, {RICH}, {_CELL}) {_OVER}")
 add("snk03_preview", lambda s, d: layered(rich(s, d).where("NOT suppressed AND strategy <> 'ignore'")), f"WITH {ELEMENTS}, {RICH}, {_CELL} AND NOT suppressed AND strategy <> 'ignore') {_OVER}")
 
