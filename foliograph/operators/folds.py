@@ -18,23 +18,16 @@ def _assigned(pages: DataFrame, state: str, step, label: str) -> DataFrame:
     return pages.select("page_id", F.explode(F.arrays_zip(F.col("rows"), out["of"].alias("of"))).alias("x")).select("page_id", F.col("x.rows.pos").alias("pos"), F.col("x.of").alias(label))
 
 
-def merged_lines(lines: DataFrame, last: int = 8) -> DataFrame:
-    """(page_id, pos, block): a line joins the latest of the last open blocks with its role that ends a little above it and overlaps it by a fifth; else it opens one."""
+def _merged(lines: DataFrame, order: list[str], fits, last: int) -> DataFrame:
+    """(page_id, pos, block): a line joins the latest of the last open blocks that fits(block, line), which then holds both; else it opens one."""
     box = "x1:double,y1:double,x2:double,y2:double,role:string"
-    pages = ordered(lines, ["pos"], ["x1", "y1", "x2", "y2", "role"])
+    pages = ordered(lines, order, [c for c in ("x1", "y1", "x2", "y2", "role") if c not in order])
 
     def step(acc: Column, r: Column) -> Column:
         blocks = F.coalesce(acc["blocks"], F.array().cast(f"array<struct<{box}>>"))
         n = F.size(blocks)
-        high = r["y2"] - r["y1"]
-
-        def fits(k: Column) -> Column:
-            b = F.get(blocks, k)
-            gap, shared = r["y1"] - b["y2"], F.least(r["x2"], b["x2"]) - F.greatest(r["x1"], b["x1"])
-            return (b["role"] == r["role"]) & (gap >= -0.25 * high) & (gap <= F.greatest(F.lit(10.0), 0.9 * high)) & (shared > 0.2 * F.least(r["x2"] - r["x1"], b["x2"] - b["x1"]))
-
         # the latest first: positions n - 1 down to n - last
-        open_ = F.filter(F.sequence(F.lit(1), F.lit(last)), lambda j: (j <= n) & F.coalesce(fits(n - j), F.lit(False)))
+        open_ = F.filter(F.sequence(F.lit(1), F.lit(last)), lambda j: (j <= n) & F.coalesce(fits(F.get(blocks, n - j), r), F.lit(False)))
         wide = lambda b: F.struct(F.least(b["x1"], r["x1"]).alias("x1"), F.least(b["y1"], r["y1"]).alias("y1"), F.greatest(b["x2"], r["x2"]).alias("x2"), F.greatest(b["y2"], r["y2"]).alias("y2"), b["role"].alias("role"))
         fresh = F.struct(*(r[c].alias(c) for c in ("x1", "y1", "x2", "y2", "role")))
 
@@ -47,9 +40,34 @@ def merged_lines(lines: DataFrame, last: int = 8) -> DataFrame:
     return _assigned(pages, f"blocks array<struct<{box}>>, of array<int>", step, "block")
 
 
+def merged_lines(lines: DataFrame, last: int = 8) -> DataFrame:
+    """Paragraphs: a line goes on a block of its role that ends a little above it, and overlaps it by a fifth or begins near its edge."""
+
+    def fits(b: Column, r: Column) -> Column:
+        high = r["y2"] - r["y1"]
+        gap, shared = r["y1"] - b["y2"], F.least(r["x2"], b["x2"]) - F.greatest(r["x1"], b["x1"])
+        beside = (shared > 0.2 * F.least(r["x2"] - r["x1"], b["x2"] - b["x1"])) | (F.abs(b["x1"] - r["x1"]) <= F.greatest(F.lit(18.0), 1.4 * high))
+        return (b["role"] == r["role"]) & (gap >= -0.25 * high) & (gap <= F.greatest(F.lit(10.0), 0.9 * high)) & beside
+
+    return _merged(lines, ["pos"], fits, last)
+
+
+def same_lines(lines: DataFrame, last: int = 8) -> DataFrame:
+    """Lines: a piece goes on a line of its role and about its height and middle that ends a little left of it; over wider gaps the sizes have to agree."""
+
+    def fits(b: Column, r: Column) -> Column:
+        bh, rh = b["y2"] - b["y1"], r["y2"] - r["y1"]
+        most, ratio = F.greatest(bh, rh), F.greatest(bh, rh) / F.greatest(F.lit(1.0), F.least(bh, rh))
+        gap = r["x1"] - b["x2"]
+        level = F.abs((b["y1"] + bh / 2) - (r["y1"] + rh / 2)) <= 0.38 * most
+        return (b["role"] == r["role"]) & (ratio <= 1.45) & level & (gap >= -0.4 * most) & (gap <= F.greatest(F.lit(10.0), F.least(F.lit(72.0), 2.2 * most))) & (ratio <= 1.35)
+
+    return _merged(lines, ["y1", "x1", "pos"], fits, last)
+
+
 def row_clusters(elements: DataFrame, tolerance: float) -> DataFrame:
-    """(page_id, pos, row_no): by rising centre, an element joins the first row whose middle centre is within tolerance, else it opens one."""
-    pages = ordered(elements.withColumn("cy", (F.col("y1") + F.col("y2")) / 2), ["cy", "pos"], [])
+    """(page_id, pos, row_no): from the top, an element joins the first row whose middle centre is within tolerance, else it opens one."""
+    pages = ordered(elements.withColumn("cy", (F.col("y1") + F.col("y2")) / 2), ["y1", "pos"], ["cy"])
 
     def middle(xs: Column) -> Column:
         s, n = F.sort_array(xs), F.size(xs)

@@ -1,6 +1,6 @@
 """The layout queries by name."""
 
-from . import files, geometry, inputs, kernels, loops, more, pages, raster, relations, rules, scalars, surfaces
+from . import files, geometry, inputs, kernels, loops, more, pages, raster, relations, rules, scalars, surfaces, text_rows
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "files", "geometry", "inputs", "kernels", "loops", "more", "pages", "raster", "relations", "rules", "scalars", "surfaces"]
+__all__ = ["QUERIES", "SQL", "files", "geometry", "inputs", "kernels", "loops", "more", "pages", "raster", "relations", "rules", "scalars", "surfaces", "text_rows"]

@@ -55,11 +55,7 @@ add("prj16_refine_text", lambda s, d: elements(s, d).where(TEXTS).select("page_i
 add("agg06_movable_assets", lambda s, d: elements(s, d).where("type <> 'text'").groupBy("page_id").agg(F.count_if(F.col("visible")).alias("assets"), F.count_if(~F.col("visible")).alias("residual"), (F.sum(F.when(F.col("visible"), F.col("width") * F.col("height")).otherwise(0.0)) / F.sum(F.col("width") * F.col("height"))).alias("coverage")), f"WITH {ELEMENTS} SELECT page_id, count_if(visible) AS assets, count_if(NOT visible) AS residual, sum(CASE WHEN visible THEN width * height ELSE 0.0 END) / sum(width * height) AS coverage FROM e WHERE type <> 'text' GROUP BY page_id")
 
 # folds
-add("win02_paragraph_merge", lambda s, d: K.merged_lines(ocr_lines(s, d)))
-add("win04_row_clusters", lambda s, d: K.row_clusters(elements(s, d), 18.0))
 add("win08_duplicate_owner", lambda s, d: K.winners(elements(s, d).where(TEXTS), "text"), f"WITH {ELEMENTS} SELECT page_id, text, arg_min(pos, struct_pack(c := -confidence, p := pos)) AS pos FROM e WHERE type = 'text' GROUP BY page_id, text")
-add("win11_layered_z", lambda s, d: K.layered(elements(s, d)), q(f"{INTER} > 0", TEXTS, "type <> 'text'") + ", m AS (SELECT page_id, a_pos, max(b_z_index) AS top FROM q GROUP BY page_id, a_pos) SELECT e.page_id, e.pos, CASE WHEN e.type = 'text' THEN greatest(e.z_index, coalesce(m.top + 1, e.z_index)) ELSE e.z_index END AS z FROM e LEFT JOIN m ON m.page_id = e.page_id AND m.a_pos = e.pos")
-add("win15_text_grouping", lambda s, d: K.merged_lines(ocr_lines(s, d)).groupBy("page_id").agg(F.count("*").alias("lines"), F.count_distinct("block").alias("blocks")))
 add("itr01_component_grouping", lambda s, d: K.grouped_by_gap(elements(s, d).where(IMAGES), 12.0), f"""WITH RECURSIVE {ELEMENTS}, i AS (SELECT * FROM e WHERE type = 'image'),
  n AS (SELECT a.page_id, a.pos AS a, b.pos AS b FROM i a JOIN i b ON a.page_id = b.page_id AND greatest(a.x1 - b.x2, b.x1 - a.x2, a.y1 - b.y2, b.y1 - a.y2, 0.0) <= 12.0),
  r AS (SELECT page_id, a AS root, b AS pos FROM n UNION SELECT r.page_id, r.root, n.b FROM r JOIN n ON n.page_id = r.page_id AND n.a = r.pos) SELECT page_id, pos, min(root) AS grp FROM r GROUP BY page_id, pos""")

@@ -91,12 +91,6 @@ add("agg22_module_extent", lambda s, d: R.pairs(elements(s, d).where(RECTS), ele
 
 
 # sequences
-@query("win01_same_line", f"WITH {OCR_LINES}, l AS (SELECT *, lag(y1) OVER w AS py, lag(y2) OVER w AS pz, lag(role) OVER w AS pr FROM o WINDOW w AS (PARTITION BY page_id ORDER BY pos)), n AS (SELECT *, CASE WHEN py IS NULL OR role <> pr OR abs((y1 + y2) / 2 - (py + pz) / 2) > 1.6 * (pz - py) THEN 1 ELSE 0 END AS new FROM l) SELECT page_id, pos, CAST(sum(new) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS block FROM n")
-def same_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that go on where the one before left off."""
-    o = ocr_lines(spark, sf_dir)
-    breaks = lambda p: (F.col("role") != p["role"]) | (F.abs((F.col("y1") + F.col("y2")) / 2 - (p["y1"] + p["y2"]) / 2) > 1.6 * (p["y2"] - p["y1"]))
-    return Q.islands(o, breaks).select("page_id", "pos", "block")
 
 
 @query("win03_paragraphs", f"WITH {OCR_LINES}, l AS (SELECT *, lag(x1) OVER w AS px1, lag(x2) OVER w AS px2, lag(y1) OVER w AS py, lag(y2) OVER w AS pz FROM o WINDOW w AS (PARTITION BY page_id ORDER BY pos)), n AS (SELECT *, CASE WHEN py IS NULL OR y1 - pz > greatest(6.0, 0.75 * (pz - py)) OR least(x2, px2) - greatest(x1, px1) <= -2 * (pz - py) THEN 1 ELSE 0 END AS new FROM l) SELECT page_id, pos, CAST(sum(new) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS block FROM n")
@@ -110,19 +104,8 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.islands(o, breaks).select("page_id", "pos", "block")
 
 
-@query("win05_row_snap", f"WITH {ELEMENTS}, r AS (SELECT *, floor(y1 / 20) AS row_no FROM e), m AS (SELECT *, median(y1) OVER (PARTITION BY page_id, row_no) AS mid, count(*) OVER (PARTITION BY page_id, row_no) AS n FROM r) SELECT page_id, pos, CASE WHEN n >= 3 THEN greatest(y1 - 6.48, least(y1 + 6.48, mid)) ELSE y1 END AS y FROM m")
-def row_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("page_id", "row_no")
-    r = elements(spark, sf_dir).withColumn("row_no", F.floor(F.col("y1") / 20)).withColumns({"mid": F.median("y1").over(w), "n": F.count("*").over(w)})
-    return r.select("page_id", "pos", F.when(F.col("n") >= 3, F.greatest(F.col("y1") - 6.48, F.least(F.col("y1") + 6.48, F.col("mid")))).otherwise(F.col("y1")).alias("y"))
 
 
-@query("win06_even_spacing", f"WITH {ELEMENTS}, r AS (SELECT *, floor(y1 / 60) AS row_no FROM e WHERE type = 'text'), m AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER v AS n, min(x1) OVER v AS lo, max(x1) OVER v AS hi FROM r WINDOW w AS (PARTITION BY page_id, row_no ORDER BY x1, pos), v AS (PARTITION BY page_id, row_no)) SELECT page_id, pos, CASE WHEN n >= 3 THEN greatest(x1 - 14.4, least(x1 + 14.4, lo + (hi - lo) * i / (n - 1))) ELSE x1 END AS x FROM m")
-def even_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = Window.partitionBy("page_id", "row_no")
-    r = elements(spark, sf_dir).where(TEXTS).withColumn("row_no", F.floor(F.col("y1") / 60)).withColumns({"i": F.row_number().over(v.orderBy("x1", "pos")) - 1, "n": F.count("*").over(v), "lo": F.min("x1").over(v), "hi": F.max("x1").over(v)})
-    even = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))
-    return r.select("page_id", "pos", F.when(F.col("n") >= 3, F.greatest(F.col("x1") - 14.4, F.least(F.col("x1") + 14.4, even))).otherwise(F.col("x1")).alias("x"))
 
 
 simple("win07_draw_order", lambda e: e.where("visible").select("page_id", "pos", F.row_number().over(Window.partitionBy("page_id").orderBy("z_index", "pos")).alias("nth")), "SELECT page_id, pos, CAST(row_number() OVER (PARTITION BY page_id ORDER BY z_index, pos) AS INT) AS nth FROM e WHERE visible")

@@ -31,7 +31,7 @@ def test_merged_lines(spark):
         bs, h = blocks.setdefault(p, []), y2 - y1
         for k in range(len(bs) - 1, max(-1, len(bs) - 9), -1):
             b = bs[k]
-            if b[4] == role and -0.25 * h <= y1 - b[3] <= max(10, 0.9 * h) and min(x2, b[2]) - max(x1, b[0]) > 0.2 * min(x2 - x1, b[2] - b[0]):
+            if b[4] == role and -0.25 * h <= y1 - b[3] <= max(10, 0.9 * h) and (min(x2, b[2]) - max(x1, b[0]) > 0.2 * min(x2 - x1, b[2] - b[0]) or abs(x1 - b[0]) <= max(18, 1.4 * h)):
                 bs[k] = [min(b[0], x1), min(b[1], y1), max(b[2], x2), max(b[3], y2), role]
                 break
         else:
@@ -45,7 +45,7 @@ def test_merged_lines(spark):
 def test_row_clusters(spark):
     rows = lines(2)
     want, found = {}, {}
-    for p, pos, _, y1, _, y2, *_ in sorted(rows, key=lambda r: (r[0], (r[3] + r[5]) / 2, r[1])):
+    for p, pos, _, y1, _, y2, *_ in sorted(rows, key=lambda r: (r[0], r[3], r[1])):
         rs, cy = found.setdefault(p, []), (y1 + y2) / 2
         k = next((k for k, r in enumerate(rs) if abs(median(r) - cy) <= 15), len(rs))
         if k == len(rs):
