@@ -17,8 +17,8 @@ FIT_ROWS = 20_000
 FEATURES, OWN_G, SHARED = 256, 20.0, 4096
 #: The steps of a fit; how far one moves an own and a shared weight.
 FIT_STEPS, RATE, SHARED_RATE, DECAY = 30, 0.4, 0.002, 1e-5
-#: Steps for the rates at most; they end before at this residual, or where a step lowers it by less than this share.
-STEPS, TOLERANCE, STALL = 40, 1e-3, 1e-3
+#: Steps for the rates at most; they end before at this residual.
+STEPS, TOLERANCE = 25, 1e-3
 SEED = 11
 
 
@@ -68,10 +68,15 @@ def _texts(values: Sequence[str]) -> Column:
 
 
 def _rows_of(found: Column, names: Sequence[str], shared: int) -> Column:
-    """The numbers of a text's features among the weights: 1 and on for names, then those of the shared weights."""
-    own = _texts(names)
-    rest = F.transform(F.array_except(found, own), lambda f: (F.pmod(F.xxhash64(F.lit(SEED), f), F.lit(shared)) + len(names) + 1).cast("int"))
-    return F.concat(F.transform(F.array_intersect(found, own), lambda f: F.array_position(own, f).cast("int")), F.array_distinct(rest))
+    """The numbers of a text's features among the weights: 1 and on for names, then those of the shared weights. Features meet by a 64-bit hash."""
+    coded = lambda texts: F.transform(texts, lambda f: F.xxhash64(F.lit(SEED), f))
+    own = coded(_texts(names))  # one constant
+
+    def of(codes: Column) -> Column:
+        rest = F.transform(F.array_except(codes, own), lambda h: (F.pmod(h, F.lit(shared)) + len(names) + 1).cast("int"))
+        return F.concat(F.transform(F.array_intersect(codes, own), lambda h: F.array_position(own, h).cast("int")), rest)
+
+    return let(coded(found), of)
 
 
 def _softmax(logs: Column) -> Column:
@@ -161,16 +166,22 @@ def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
 
 
 def _rate(p: Column, steps: Sequence[Sequence[float]], once: int | None = None) -> Column:
-    """The rate of a document after projected steps from 1; each step is a vector over the domains.
+    """The rate of a document after projected steps from 1; each step is a vector over the domains and the momentum before it.
 
     once: the number of a domain. Documents for which no other is likelier keep rate 1, and no rate goes above 1. A fold over a constant, so that the plan and its compiled code stay the same size for any number of steps.
     """
     if not steps:
         return F.lit(1.0)
+    k = len(steps[0]) - 1
     said = F.expr("array(" + ", ".join("array(" + ", ".join(f"double('{x!r}')" for x in step) + ")" for step in steps) + ")")
-    along = lambda s: sum((F.get(p, F.lit(k)) * F.get(s, F.lit(k)) for k in range(len(steps[0]))), F.lit(0.0))
     most = F.lit(math.inf if once is None else 1.0)
-    rate = F.aggregate(said, F.lit(1.0), lambda rate, s: F.least(most, F.greatest(F.lit(0.0), rate - along(s))))
+
+    def moved(at: Column, s: Column) -> Column:
+        ahead = at["r"] + F.get(s, F.lit(k)) * (at["r"] - at["q"])
+        along = sum((F.get(p, F.lit(i)) * F.get(s, F.lit(i)) for i in range(k)), F.lit(0.0))
+        return F.struct(F.least(most, F.greatest(F.lit(0.0), ahead - along)).alias("r"), at["r"].alias("q"))
+
+    rate = F.aggregate(said, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("q")), moved, lambda at: at["r"])
     return rate if once is None else F.when(F.get(p, F.lit(once)) >= F.array_max(p), F.lit(1.0)).otherwise(rate)
 
 
@@ -191,8 +202,8 @@ def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None =
     """Steps of projected-gradient least squares for rates r >= 0 of documents; posteriors has n_tokens and p.
 
     With c[k] = sum of n * p[k], the expected tokens of domain k, it lessens the sum over k of (S[k] - T[k])^2 / c[k], where
-    S[k] = sum of r * n * p[k] and T[k] = scale * weight[k] * (all tokens). All documents move at once, each by p . (S - T) / c,
-    so a step is a vector over the domains and one aggregate gives the next. scale None: the most for which no domain
+    S[k] = sum of r * n * p[k] and T[k] = scale * weight[k] * (all tokens). All documents move at once, each by p . (S - T) / c
+    with the momentum of accelerated projected gradients, so a step is a vector over the domains and one aggregate gives the next. scale None: the most for which no domain
     needs more tokens than it has. A domain without tokens is left out. Where the targets can't be met (a domain's tokens
     all stand in documents of another), the residual says so.
 
@@ -218,15 +229,16 @@ def solve(posteriors: DataFrame, targets: Sequence[float], scale: float | None =
     bound = max(sum((row[f"m{min(i, j)}_{max(i, j)}"] or 0.0) / mass[j] for j in live) for i in live)
     steps: list[list[float]] = []
     off = lambda now: sum(abs(now[i] - aim[i]) for i in live) / (sum(aim) or total)
-    now, residual = list(mass), off(mass)
+    now, last, residual, pace = list(mass), list(mass), off(mass), 1.0
     while len(steps) < STEPS and residual >= TOLERANCE:
-        steps.append([round((now[i] - aim[i]) / mass[i] / bound, 12) if i in live else 0.0 for i in range(k)])
+        quicker = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum, pace = round((pace - 1) / quicker, 12), quicker
+        ahead = [x + momentum * (x - y) for x, y in zip(now, last, strict=True)]  # totals are linear in the rates
+        steps.append([*(round((ahead[i] - aim[i]) / mass[i] / bound, 12) if i in live else 0.0 for i in range(k)), momentum])
         moved = posteriors.select("p", (n * _rate(F.col("p"), steps, whole if once else None)).alias("kept"))
         got = moved.agg(*(_exact(F.col("kept") * x).alias(f"s{i}") for i, x in enumerate(p))).first()
-        now = [got[f"s{i}"] or 0.0 for i in range(k)]
-        before, residual = residual, off(now)
-        if abs(before - residual) < STALL * before:
-            break
+        last, now = now, [got[f"s{i}"] or 0.0 for i in range(k)]
+        residual = off(now)
     return Rates(steps, residual)
 
 

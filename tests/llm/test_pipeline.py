@@ -1,6 +1,7 @@
 """The pipeline stage by stage over the smallest tables, each held against what it should have kept."""
 
 import os
+import random
 
 import pytest
 
@@ -75,3 +76,25 @@ def test_run(spark, stages):
     import corpus_pipeline
 
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r["doc_id"] for r in stages[-1][2].collect())
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empties, repeats, a long text and further columns go through all stages; an empty table stays empty."""
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    clean = lambda n: ". ".join(" ".join(rnd.choice(["ba", "lo", "mi", "tu", "re"]) + rnd.choice(["nor", "stel", "vick", "drum"]) + str(rnd.randrange(99)) for _ in range(9)) for _ in range(n // 9))
+    plain, long = clean(200), clean(30_000)
+    rows = [(1, plain), (2, clean(180)), (2, None), (None, clean(160)), (None, None), (4, ""), (5, long), (6, plain), (7, "x" * 40_000), (8, " \n\t "), (9, clean(120)), (9, clean(90))]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, quality int, mix string, own string"
+    for name, table in (("odd", rows), ("none", [])):
+        at = tmp_path / name
+        spark.createDataFrame([(i, t, "en", None, len(t or ""), 1, "m", "o") for i, t in table], kind).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+        docs = spark.read.parquet(str(at / "documents.parquet"))
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            assert run(spark, docs, str(at)).columns == docs.columns, stage
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        ids = [r["doc_id"] for r in got]
+        assert ids == [] if name == "none" else {1, 5, None} <= set(ids) and not {4, 6, 7, 8} & set(ids) and len(ids) == len(set(ids)) + ids.count(9) - (9 in ids)
+        assert all(r["round_trip"] for r in got)
