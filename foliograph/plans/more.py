@@ -45,7 +45,6 @@ def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
 # filters, projections
 _STRATEGY = {"rectangle": "surface", "image": "asset", "ellipse": "badge"}
 add("prj15_text_style", lambda s, d: ocr_lines(s, d).select("page_id", "pos", S.font_class(F.col("text"), F.col("role")).alias("kind"), S.lookup(F.col("role"), {"main_title": 700}, F.lit(400)).alias("weight"), S.lookup(F.col("role"), S.LINE_SPACINGS, F.lit(1.0)).alias("spacing")), f"WITH {OCR_LINES} SELECT page_id, pos, CASE WHEN regexp_matches(text, '^[0-9\\s.,%+\\-/:]+$') THEN 'monospace' WHEN role = 'main_title' THEN 'display' WHEN role = 'caption' THEN 'serif' ELSE 'sans' END AS kind, CASE role WHEN 'main_title' THEN 700 ELSE 400 END AS weight, {case('role', S.LINE_SPACINGS, '1.0')} AS spacing FROM o")
-add("prj16_refine_text", lambda s, d: elements(s, d).where(TEXTS).select("page_id", "pos", F.least(F.col("width") * 1.15, F.lit(float(W)) - F.col("x1")).alias("w"), (F.col("height") * F.least(F.greatest(F.col("width") / 100, F.lit(0.85)), F.lit(1.15))).alias("size")), f"WITH {ELEMENTS} SELECT page_id, pos, least(width * 1.15, {W}.0 - x1) AS w, height * least(greatest(width / 100, 0.85), 1.15) AS size FROM e WHERE type = 'text'")
 
 # joins
 
@@ -59,7 +58,6 @@ add("win08_duplicate_owner", lambda s, d: K.winners(elements(s, d).where(TEXTS),
 add("itr01_component_grouping", lambda s, d: K.grouped_by_gap(elements(s, d).where(IMAGES), 12.0), f"""WITH RECURSIVE {ELEMENTS}, i AS (SELECT * FROM e WHERE type = 'image'),
  n AS (SELECT a.page_id, a.pos AS a, b.pos AS b FROM i a JOIN i b ON a.page_id = b.page_id AND greatest(a.x1 - b.x2, b.x1 - a.x2, a.y1 - b.y2, b.y1 - a.y2, 0.0) <= 12.0),
  r AS (SELECT page_id, a AS root, b AS pos FROM n UNION SELECT r.page_id, r.root, n.b FROM r JOIN n ON n.page_id = r.page_id AND n.a = r.pos) SELECT page_id, pos, min(root) AS grp FROM r GROUP BY page_id, pos""")
-add("win14_seam", lambda s, d: pixels(s, d).groupBy("page_id", "px").agg(F.count_if(F.col("v") >= 136).alias("n")).groupBy("page_id").agg(F.min(F.struct("n", "px")).alias("m")).select("page_id", F.col("m.px").alias("seam"), F.col("m.n").alias("n")), f"WITH {PIXELS}, c AS (SELECT page_id, px, count_if(v >= 136) AS n FROM px GROUP BY page_id, px) SELECT page_id, arg_min(px, struct_pack(n := n, p := px)) AS seam, min(n) AS n FROM c GROUP BY page_id")
 
 # versions
 

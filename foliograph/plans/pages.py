@@ -141,11 +141,3 @@ add("sta06_discard", lambda s, d: edited(elements(s, d)).select("page_id", "pos"
 simple("sta09_unsuppress", lambda e: e.where(TEXTS).withColumn("shown", F.max(F.col("visible").cast("int")).over(Window.partitionBy("page_id", "text"))).select("page_id", "pos", (F.col("visible") | (F.col("shown") == 0)).alias("visible")), "SELECT page_id, pos, visible OR max(CAST(visible AS INT)) OVER (PARTITION BY page_id, text) = 0 AS visible FROM e WHERE type = 'text'")
 
 
-@query("sta11_issue_collection", q(f"a_pos < b_pos AND a_type = b_type AND a_text IS NOT DISTINCT FROM b_text AND {OVERLAP} > 0.7") + f", i AS (SELECT page_id, b_pos AS pos, 'duplicate' AS problem FROM q UNION ALL SELECT page_id, pos, 'bounds' FROM e WHERE x2 > {W} OR y2 > {H} UNION ALL SELECT page_id, pos, 'lost_text' FROM e WHERE type = 'text' AND suppressed) SELECT DISTINCT page_id, pos, problem FROM i")
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All issues of a page, each once."""
-    e = elements(spark, sf_dir)
-    same = R.pairs(e, on=(F.col("a_type") == F.col("b_type")) & F.col("a_text").eqNullSafe(F.col("b_text")) & (G.overlap_min(A(), B()) > 0.7)).select("page_id", F.col("b_pos").alias("pos"), F.lit("duplicate").alias("problem"))
-    outside = e.where((F.col("x2") > W) | (F.col("y2") > H)).select("page_id", "pos", F.lit("bounds").alias("problem"))
-    lost = e.where(TEXTS + " AND suppressed").select("page_id", "pos", F.lit("lost_text").alias("problem"))
-    return same.unionByName(outside).unionByName(lost).distinct()

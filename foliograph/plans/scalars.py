@@ -84,7 +84,6 @@ pay("sca32_plan_score", lambda: {"s": S.plan_score(F.col("probability"))}, {"s":
 pay("sca33_font_weight", lambda: {"w": S.font_weight(F.col("weight"))}, {"w": "CASE weight WHEN 'bold' THEN 700 WHEN 'regular' THEN 400 WHEN '650' THEN 600 END"})
 pay("sca34_alignment", lambda: {"a": S.alignment(F.col("alignment"))}, {"a": "CASE lower(alignment) WHEN 'centre' THEN 'center' WHEN 'right' THEN 'right' ELSE 'left' END"})
 pay("sca36_keep_objects", lambda: {"n": F.size(F.filter(F.array(F.col("probability"), F.col("weight"), F.col("alignment")), lambda x: x.isNotNull())).cast("long")}, {"n": "CAST(1 + CAST(weight IS NOT NULL AS INT) + CAST(alignment IS NOT NULL AS INT) AS BIGINT)"})
-pay("sca38_scene_element", lambda: {"p": S.probability(F.col("weight"), 0.7), "w": F.coalesce(S.font_weight(F.col("weight")), F.lit(400)), "a": S.alignment(F.col("alignment"))}, {"p": "0.7", "w": "CASE weight WHEN 'bold' THEN 700 WHEN '650' THEN 600 ELSE 400 END", "a": "CASE lower(alignment) WHEN 'centre' THEN 'center' WHEN 'right' THEN 'right' ELSE 'left' END"})
 pay("sca42_first_set", lambda: {"proxy": F.coalesce(F.col("weight"), F.col("alignment"), F.lit("direct"))}, {"proxy": "coalesce(weight, alignment, 'direct')"})
 doc("sca43_asset_name", lambda: {"name": S.asset_name(F.concat(F.lit("/media/"), F.when(F.col("doc_id") % 7 == 0, "../").otherwise(""), F.col("source"), F.lit("/a"), F.col("doc_id").cast("string"), F.lit(".png?v=1/2")))}, {"name": "CASE WHEN doc_id % 7 <> 0 THEN 'a' || CAST(doc_id AS VARCHAR) || '.png' END"})
 pay("sca44_number", lambda: {"n": S.number(F.col("weight"))}, {"n": "coalesce(TRY_CAST(weight AS DOUBLE), 0.0)"})
