@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
 from . import graph
 
 STEPS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]

@@ -7,13 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from ..operators import relations as R
 from ..session import cut
 from ..sources.views import ELEMENTS, OCR_LINES, PIXELS, RICH, elements, ocr_lines, pixels, rich
 from .geometry import H, W
 from .registry import add, query
-from .relations import A, B
 
 KEY = ["page_id", "pos"]
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from ..functions import scalars as S
 from ..operators import folds as K
 from ..operators import relations as R
-from ..sources.views import ELEMENTS, OCR_LINES, PAYLOADS, PIXELS, elements, ocr_lines, payloads, pixels
-from .geometry import AREA_A, AREA_B, INTER, W
+from ..sources.views import ELEMENTS, OCR_LINES, elements, ocr_lines, payloads
 from .registry import add, query
-from .relations import EDITED, IMAGES, RECTS, TEXTS, A, B, _arg, edited, q
+from .relations import IMAGES, TEXTS, A, B
 from .scalars import case
 
 

@@ -13,7 +13,7 @@ from ..operators import sequence as Q
 from ..sources.views import ELEMENTS, OCR_LINES, elements, ocr_lines
 from .geometry import AREA_A, AREA_B, CX, CY, EDGES, H, INTER, W
 from .registry import add, query
-from .relations import EDITED, IMAGES, OVERLAP, RECTS, TEXTS, A, B, edited, q
+from .relations import EDITED, IMAGES, RECTS, TEXTS, A, B, edited, q
 from .scalars import case
 
 BOX = list(EDGES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import relations as R
-from ..sources.views import ELEMENTS, RICH, elements, rich
+from ..sources.views import ELEMENTS, RICH, rich
 from .geometry import H, W
 from .registry import add, query
 from .relations import A, B

@@ -12,9 +12,8 @@ from ..operators import images
 from ..operators import raster as P
 from ..sources.views import ELEMENTS, PIXELS, RICH, elements, pixels, rich, table
 from .geometry import H, W
-from .kernels import BORDER, KEY, RCTE, RPIX, TEXT, labelled, n, pair
+from .kernels import BORDER, KEY, RPIX, TEXT, labelled, n, pair
 from .loops import _EDGES, edges
-from .raster import CTE, both
 from .registry import add, query
 
 
