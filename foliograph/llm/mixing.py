@@ -67,16 +67,19 @@ def _texts(values: Sequence[str]) -> Column:
     return F.split(F.lit(chr(0).join(values)), chr(0)) if values else F.array().cast("array<string>")
 
 
-def _rows_of(found: Column, names: Sequence[str], shared: int) -> Column:
-    """The numbers of a text's features among the weights: 1 and on for names, then those of the shared weights. Features meet by a 64-bit hash."""
-    coded = lambda texts: F.transform(texts, lambda f: F.xxhash64(F.lit(SEED), f))
-    own = coded(_texts(names))  # one constant
+def _coded(found: Column) -> Column:
+    return F.transform(found, lambda f: F.xxhash64(F.lit(SEED), f))
+
+
+def _rows_of(found: Column, own_codes: Sequence[int], shared: int) -> Column:
+    """The numbers of a text's features among the weights: 1 and on for those with own_codes, then those of the shared weights. Features meet by a 64-bit hash."""
+    own = F.split(F.lit(",".join(map(str, own_codes))), ",").cast("array<bigint>") if own_codes else F.array().cast("array<bigint>")  # one constant
 
     def of(codes: Column) -> Column:
-        rest = F.transform(F.array_except(codes, own), lambda h: (F.pmod(h, F.lit(shared)) + len(names) + 1).cast("int"))
+        rest = F.transform(F.array_except(codes, own), lambda h: (F.pmod(h, F.lit(shared)) + len(own_codes) + 1).cast("int"))
         return F.concat(F.transform(F.array_intersect(codes, own), lambda h: F.array_position(own, h).cast("int")), rest)
 
-    return let(coded(found), of)
+    return let(_coded(found), of)
 
 
 def _softmax(logs: Column) -> Column:
@@ -95,12 +98,13 @@ class Classifier:
     score: tuple[float, ...]
     weight: Mapping[str, tuple[float, ...]]
     shared: tuple[tuple[float, ...], ...] = ()
+    codes: tuple[int, ...] = ()  # the hashes of the features in weight
 
     def posterior(self, text: Column) -> Column:
         """array<double>: the probability of each domain."""
         if not self.shared:
             return _softmax(F.array(*(F.lit(float(x)) for x in self.score)))
-        had = let(features(text), lambda found: _rows_of(found, list(self.weight), len(self.shared)))
+        had = let(features(text), lambda found: _rows_of(found, self.codes, len(self.shared)))
         rows = [self.score, *self.weight.values(), *self.shared]
         return _softmax(let(had, lambda x: _logs(x, rows, len(self.domains))))
 
@@ -145,7 +149,8 @@ def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
     Slopes are summed as whole numbers of 1e-9, so their sums don't depend on the order of rows.
     """
     own, k = list(model.weight), len(model.domains)
-    rows = cut(known.select("domain", _rows_of(F.col("f"), own, SHARED).alias("had")))
+    codes = tuple(known.sparkSession.range(1).select(_coded(_texts(own))).first()[0])
+    rows = cut(known.select("domain", _rows_of(F.col("f"), codes, SHARED).alias("had")))
     w = [list(model.score), *([0.0] * k for _ in range(len(own) + SHARED))]  # row 0 is the constant
     first, second = [[0.0] * k for _ in w], [[0.0] * k for _ in w]
     for step in range(1, FIT_STEPS + 1):
@@ -162,7 +167,7 @@ def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
                 rate = RATE if f <= len(own) else SHARED_RATE
                 x[i] -= rate * (first[f][i] / (1 - 0.9**step)) / (math.sqrt(second[f][i] / (1 - 0.99**step)) + 1e-8)
     at = [tuple(round(y, 9) for y in x) for x in w]
-    return Classifier(model.domains, at[0], dict(zip(own, at[1:], strict=False)), tuple(at[len(own) + 1 :]))
+    return Classifier(model.domains, at[0], dict(zip(own, at[1:], strict=False)), tuple(at[len(own) + 1 :]), codes)
 
 
 def _rate(p: Column, steps: Sequence[Sequence[float]], once: int | None = None) -> Column:
