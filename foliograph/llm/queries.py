@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read
+from .filter_audit import filter_audit
 from .html import html_text
 from .licenses import license_scan
 from .line_dedup import line_dedup
@@ -76,7 +77,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_as_media(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_license_scans, op4_token_counts, op5_line_dedup, op6_mixing, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_license_scans, op4_token_counts, op5_line_dedup, op6_mixing, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns, op11_filter_audit)}
 
 SQL: dict[str, str] = {}
 
@@ -121,3 +126,30 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
      x AS (SELECT r, any_value(doc_id) AS doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed FROM g GROUP BY r)
 SELECT doc_id, coalesce(text, '') AS text, n_removed FROM x LEFT JOIN t USING (r)
 """
+
+SQL["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+     w AS (SELECT *, [x FOR x IN regexp_split_to_array(t, '[ \t-\r]+') IF x <> ''] AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+     l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+     f AS (SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+                  (CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END)
+                  || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END)
+                  || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails
+           FROM w LEFT JOIN l USING (doc_id)),
+     c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+     e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+     o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM e a, e b, e c, e d, e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+     s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS me, substr(filter_order, 1, step - 1) AS earlier
+           FROM (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o)),
+     x AS (SELECT part, filter_order, step, me, n, good, toxic, contains(fails, me) AS hit, fails = me AS alone,
+                  earlier <> '' AND translate(fails, earlier, '') <> fails AS gone FROM c, s),
+     g AS (SELECT part, filter_order, step, me, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+                  sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+                  sum(CASE WHEN NOT gone AND hit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND hit THEN toxic ELSE 0 END) AS toxic_lost
+           FROM x GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, me) AS BIGINT) AS shapley
+FROM g
+"""
