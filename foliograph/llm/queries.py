@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._common import read
 from .filter_audit import filter_audit
 from .html import html_text
+from .languages import detect_language, fit_languages, held_out
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .media import text_as_media
@@ -81,7 +82,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_license_scans, op4_token_counts, op5_line_dedup, op6_mixing, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns, op11_filter_audit)}
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    languages = fit_languages(docs.where(~out))  # a null id teaches nothing
+    found = detect_language(docs.select("doc_id", "text"), languages, out_col="text")
+    return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "text.*")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_license_scans, op4_token_counts, op5_line_dedup, op6_mixing, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns, op11_filter_audit, op12_language_id)}
 
 SQL: dict[str, str] = {}
 
