@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read
+from .collocations import collocations
 from .filter_audit import filter_audit
 from .html import html_text
 from .languages import detect_language, fit_languages, held_out
@@ -90,7 +91,11 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "text.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_license_scans, op4_token_counts, op5_line_dedup, op6_mixing, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns, op11_filter_audit, op12_language_id)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_license_scans, op4_token_counts, op5_line_dedup, op6_mixing, op7_html_extraction, op8_quality_rules, op9_secret_scans, op10_media_columns, op11_filter_audit, op12_language_id, op13_collocations)}
 
 SQL: dict[str, str] = {}
 
@@ -162,3 +167,25 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(sum(removed) OVER (PARTITION BY part, me) AS BIGINT) AS shapley
 FROM g
 """
+
+SQL["op13_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\n-\r]')) AS piece FROM d),
+     w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[ \t]+') IF x <> ''] AS ws FROM p),
+     n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+     k AS (SELECT *, unnest(range(1, 6)) AS size FROM w),
+     i AS (SELECT lang, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM k WHERE len(ws) >= size),
+     f AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS a FROM i GROUP BY ALL HAVING count(*) >= 100),
+     c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+     h AS (SELECT lang, size, phrase, a, ws, unnest(range(1, size)) AS cut FROM c),
+     s AS (SELECT h.lang, h.phrase, h.a, cut, l.a AS l, r.a AS r, n.n, CAST((1000 * CAST(h.a AS HUGEINT) * n.n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+           FROM h JOIN f l ON l.lang = h.lang AND l.phrase = array_to_string(h.ws[1:cut], ' ') JOIN f r ON r.lang = h.lang AND r.phrase = array_to_string(h.ws[cut + 1:h.size], ' ')
+           JOIN n ON n.lang = h.lang),
+     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+     m AS (SELECT lang, a, size, ws, unnest(range(2, size)) AS part FROM c),
+     o AS (SELECT lang, a, array_to_string(ws[q:q + part - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - part + 2)) AS q FROM m)),
+     x AS (SELECT lang, phrase, max(a) AS around FROM o GROUP BY lang, phrase)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b LEFT JOIN x USING (lang, phrase) WHERE x.around IS NULL OR 100 * x.around < 100 * a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
