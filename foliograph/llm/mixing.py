@@ -29,18 +29,19 @@ def features(text: Column) -> Column:
     def share(name: str, part: Column, whole: Column) -> Column:
         return F.concat(F.lit(f"<{name} "), F.floor(10 * part / F.greatest(whole, F.lit(1))).cast("string"), F.lit(">"))
 
-    def count(kind: str) -> Column:
-        return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+    # capitals and symbols are few, so what is left of one pass over the text is short
+    marks = F.regexp_replace(text, "[^\\p{Lu}#*$%&|<>!]+", "")
 
     def of(words: Column) -> Column:
         def both(distinct: Column) -> Column:
             shapes = F.array(
                 F.concat(F.lit("<words "), F.floor(F.log2(1.0 + F.size(words))).cast("string"), F.lit(">")),
                 share("distinct", F.size(distinct), F.size(words)),
-                share("upper", count("\\p{Lu}"), F.length(text)),
-                share("symbols", count("[#*$%&|<>!]"), F.length(text)),
             )
-            return F.concat(distinct, shapes)
+            return F.concat(distinct, shapes, let(marks, told))
+
+        def told(found: Column) -> Column:
+            return let(F.length(F.regexp_replace(found, "\\p{Lu}+", "")), lambda n: F.array(share("upper", F.length(found) - n, F.length(text)), share("symbols", n, F.length(text))))
 
         return let(F.array_distinct(words), both)
 
@@ -53,13 +54,10 @@ def _numbers(values: Sequence[float]) -> Column:
 
 
 def _logs(had: Column, rows: Sequence[Sequence[float]], k: int) -> Column:
-    """For each domain the sum of row 0, the constant, and of the rows whose numbers are in had."""
-
-    def of(i: int) -> Column:
-        weights = _numbers([row[i] for row in rows])
-        return F.aggregate(had, F.lit(float(rows[0][i])), lambda acc, f: acc + F.get(weights, f))
-
-    return F.array(*map(of, range(k)))
+    """For each domain the sum of row 0, the constant, and of the rows whose numbers are in had: one fold for all domains."""
+    weights = [_numbers([row[i] for row in rows]) for i in range(k)]
+    start = F.struct(*(F.lit(float(rows[0][i])).alias(f"s{i}") for i in range(k)))
+    return F.aggregate(had, start, lambda acc, f: F.struct(*((acc[f"s{i}"] + F.get(weights[i], f)).alias(f"s{i}") for i in range(k))), lambda acc: F.array(*(acc[f"s{i}"] for i in range(k))))
 
 
 def _texts(values: Sequence[str]) -> Column:
@@ -71,15 +69,39 @@ def _coded(found: Column) -> Column:
     return F.transform(found, lambda f: F.xxhash64(F.lit(SEED), f))
 
 
+#: Slots of the table by which a hash finds its own weight.
+SLOTS = 1 << 14
+
+
+def _slots(codes: Sequence[int]) -> tuple[int, list[int]]:
+    """(shift, table): the number of each code, from 1, at its bits from shift on, so that no two share a slot; codes that can't be told apart so keep the first."""
+    best: tuple[int, dict[int, int]] = (0, {})
+    for shift in range(50):
+        at: dict[int, int] = {}
+        for i, c in enumerate(codes, 1):
+            at.setdefault((c >> shift) & (SLOTS - 1), i)
+        best = (shift, at) if len(at) > len(best[1]) else best
+        if len(at) == len(codes):
+            break
+    return best[0], [best[1].get(i, 0) for i in range(SLOTS)]
+
+
 def _rows_of(found: Column, own_codes: Sequence[int], shared: int) -> Column:
     """The numbers of a text's features among the weights: 1 and on for those with own_codes, then those of the shared weights. Features meet by a 64-bit hash."""
-    own = F.split(F.lit(",".join(map(str, own_codes))), ",").cast("array<bigint>") if own_codes else F.array().cast("array<bigint>")  # one constant
 
-    def of(codes: Column) -> Column:
-        rest = F.transform(F.array_except(codes, own), lambda h: (F.pmod(h, F.lit(shared)) + len(own_codes) + 1).cast("int"))
-        return F.concat(F.transform(F.array_intersect(codes, own), lambda h: F.array_position(own, h).cast("int")), rest)
+    def rest(h: Column) -> Column:
+        return (F.pmod(h, F.lit(shared)) + len(own_codes) + 1).cast("int")
+
+    if not own_codes:
+        return F.transform(found, lambda f: let(F.xxhash64(F.lit(SEED), f), rest))
+    shift, table = _slots(own_codes)
+    own = F.split(F.lit("0," + ",".join(map(str, own_codes))), ",").cast("array<bigint>")  # constants
+    slots = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+
+    def of(h: Column) -> Column:
+        return let(F.get(slots, F.shiftright(h, shift).bitwiseAND(F.lit(SLOTS - 1)).cast("int")), lambda i: F.when((i > 0) & (F.get(own, i) == h), i).otherwise(rest(h)))
 
-    return let(_coded(found), of)
+    return F.transform(F.transform(found, lambda f: F.xxhash64(F.lit(SEED), f)), of)
 
 
 def _softmax(logs: Column) -> Column:
