@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance down the directories.
 
 Built-in functions only. A line, or a block of lines up to an empty one, is a header if its cosine to a template is
-high enough; a whole text is a licence file if its cosine to one of TEXTS is, or if one of its blocks is a licence's title.
+high enough, or an SPDX line names it; a whole text is a licence file if its cosine to one of TEXTS is, if one of its
+blocks is a licence's title, or if it is named like a licence file and states a licence as a whole.
 """
 
 from __future__ import annotations
@@ -56,6 +57,10 @@ TITLES: dict[str, tuple[str, ...]] = {
 }
 #: The least cosine that counts, and that of a title.
 THRESHOLD, TITLE_THRESHOLD = 0.75, 0.9
+#: Names of files whose notice is the licence of their directory.
+NAMED = "(?i)(^|/)(licen[cs]e|copying|copyright|unlicense)([.-][^/]*)?$"
+#: An SPDX line; what follows the first identifier of an expression isn't looked at.
+SPDX = "SPDX-License-Identifier:[ \\t]*[(]?([A-Za-z0-9.+-]+)"
 SPLIT = "[^\\p{L}\\p{N}.+-]+"
 
 
@@ -133,8 +138,9 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, path_col, header, header_score, header_line, file, file_score, inherited, inherited_from, license), a row for each row of df.
 
     header: the licence of the best line or block of lines, the first of equals (header_line, its first line, counts
-    from 0); file: that of the whole text, by templates and texts, or of a block that is a licence's title. A row with
-    a file licence gives it to its directory; the best score names it if there are several, then the least name.
+    from 0); an SPDX line has score 1 and names its first identifier, without -only, -or-later or +. file: that of the
+    whole text by texts, of a block that is a licence's title, or, in a file whose name says so (NAMED), of the whole
+    text by templates; a notice in any other file speaks for that file alone. A row with a file licence gives it to its directory; the best score names it if there are several, then the least name.
     inherited: what the nearest directory above, the row's own first, has. license: header, else file, else inherited.
     Null and empty texts state nothing; a null path has no directories; a null id is an id like others. Rows alike in
     id, path and text get equal results, columns of df beside these three don't matter, an empty df gives no rows, and
@@ -152,16 +158,21 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = {r["w"]: r["count"] for r in rows}
     n = seen.pop("", 0)
     idf = {t: math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
-    made, made_whole, made_titles = (vectors(x, idf) for x in (templates, whole, titles))
-    must = _list(sorted({*needed(made_whole, idf, threshold), *needed(made_titles, idf, TITLE_THRESHOLD)}))
+    made, made_texts, made_titles = (vectors(x, idf) for x in (templates, texts, titles))
+    must = _list(sorted({*needed(vectors(whole, idf), idf, threshold), *needed(made_titles, idf, TITLE_THRESHOLD)}))
     unseen = math.log(1 + n) + 1
 
-    hopeful = cut(docs.where(F.arrays_overlap(tokens(F.col("text")), must)).dropDuplicates(key).select(*key, "text"))
+    tagged = F.col("text").contains("SPDX-License-Identifier:")
+    hopeful = cut(docs.where(tagged | F.arrays_overlap(tokens(F.col("text")), must)).dropDuplicates(key).select(*key, "text", F.coalesce(F.col("path").rlike(NAMED), F.lit(False)).alias("named")))
     blocks = hopeful.select(*key, F.explode(_blocks(F.col("text"))).alias("b")).select(*key, "b.line", F.octet_length("b.text").alias("size"), tokens(F.col("b.text")).alias("ws")).where(F.arrays_overlap("ws", must))
     by_block = _matches(blocks, made, idf, unseen, [*key, "line", "size"], threshold)
+    spdx = hopeful.where(tagged).select(*key, F.posexplode(F.split("text", "\n")).alias("line", "x")).withColumn("said", F.regexp_extract("x", SPDX, 1)).where("said <> ''")
+    spdx = spdx.select(*key, "line", F.octet_length("x").alias("size"), F.regexp_replace("said", "(?i)(-only|-or-later|[+])$", "").alias("license"), F.lit(1.0).alias("score"))
+    by_block = by_block.join(spdx.select(*key, "line"), [*key, "line"], "left_anti").unionByName(spdx)
     header = by_block.groupBy(*key).agg(F.max(F.struct("score", (-F.col("line")).alias("first"), "license")).alias("m")).select(*key, F.col("m.license").alias("header"), F.col("m.score").alias("header_score"), (-F.col("m.first")).alias("header_line"))
     titled = _matches(blocks, made_titles, idf, unseen, [*key, "line", "size"], TITLE_THRESHOLD).select(*key, "license", "score")
-    matched = _matches(hopeful.select(*key, tokens(F.col("text")).alias("ws")), made_whole, idf, unseen, key, threshold)
+    wholes = hopeful.select(*key, "named", tokens(F.col("text")).alias("ws"))
+    matched = _matches(wholes, made_texts, idf, unseen, key, threshold).union(_matches(wholes.where("named"), made, idf, unseen, key, threshold))
     files = matched.union(titled).groupBy(*key).agg(F.max("score").alias("file_score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("file"))
     own = cut(docs.select(*key, "id", "path").join(header, key, "left").join(files, key, "left"))
 

@@ -326,9 +326,9 @@ def test_licenses(spark):
 def test_licenses_without_ids_or_paths(spark):
     """Null ids and paths lose nothing, and null isn't the other's value."""
     said = "Released under the MIT License."
-    rows = [(None, "d/x", said), (None, "d/x", said), (7, None, said), (None, None, said), (8, "d/y", "words"), (9, None, "words")]
+    rows = [(None, "d/COPYING.txt", said), (None, "d/COPYING.txt", said), (7, None, said), (None, None, said), (8, "d/y", "words"), (9, None, "words")]
     got = Counter((r["doc_id"], r["path"], r["header"], r["file"], r["inherited"], r["license"]) for r in L.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect())
-    assert got == Counter({(None, "d/x", "MIT", "MIT", "MIT", "MIT"): 2, (7, None, "MIT", "MIT", None, "MIT"): 1, (None, None, "MIT", "MIT", None, "MIT"): 1, (8, "d/y", None, None, "MIT", "MIT"): 1, (9, None, None, None, None, None): 1})
+    assert got == Counter({(None, "d/COPYING.txt", "MIT", "MIT", "MIT", "MIT"): 2, (7, None, "MIT", None, None, "MIT"): 1, (None, None, "MIT", None, None, "MIT"): 1, (8, "d/y", None, None, "MIT", "MIT"): 1, (9, None, None, None, None, None): 1})
 
 
 def test_licence_texts_and_blocks(spark):
@@ -345,6 +345,17 @@ def test_licence_texts_and_blocks(spark):
     assert (got[7]["header"], got[7]["header_line"], got[7]["license"]) == ("Apache-2.0", 0, "Apache-2.0") and got[20]["license"] is None
 
 
+def test_notices_speak_for_their_own_file(spark):
+    """A headed source file gives nothing to its folder; SPDX lines name licences that no template has."""
+    header = "Licensed under the Apache License, Version 2.0 (the License);\nyou may not use this file except in compliance with the License."
+    rows = [(1, "p/a.py", "# SPDX-License-Identifier: MIT"), (2, "p/b.py", "import os"), (3, "q/n.txt", "All rights reserved."), (4, "q/m.txt", "my own notes"), (5, "s/a.c", header), (6, "s/b.c", "int x;")]
+    rows += [(7, "t/a", "x\n/* SPDX-License-Identifier: GPL-2.0-or-later */"), (8, "t/b", "// SPDX-License-Identifier: (LGPL-2.1-only OR MIT)"), (9, "t/c", "SPDX-License-Identifier: Unlicense\nAll rights reserved.")]
+    rows += [(k, f"z/{k}", " ".join(f"w{k}x{j}" for j in range(40))) for k in range(10, 60)]
+    got = {r["doc_id"]: r for r in L.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert {k: got[k]["license"] for k in range(1, 10)} == {1: "MIT", 2: None, 3: "proprietary", 4: None, 5: "Apache-2.0", 6: None, 7: "GPL-2.0", 8: "LGPL-2.1", 9: "Unlicense"}
+    assert all(got[k]["file"] is None and got[k]["inherited"] is None for k in range(1, 10)) and got[7]["header_line"] == 1
+
+
 def test_licenses_as_brute_force(spark):
     """Cosines of every line to every template by dictionaries."""
     import math
@@ -367,7 +378,7 @@ def test_licenses_as_brute_force(spark):
     for r in L.license_scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect():
         text = rows[r["doc_id"]][2]
         parts = text.split("\n") + [text] * ("\n" in text)  # no line is empty, so all of them are one block
-        said = [x for x in [best(text, whole)] if x[0] >= L.THRESHOLD] + [x for x in (best(p, L.TITLES) for p in parts) if x[0] >= L.TITLE_THRESHOLD]
+        said = [x for x in [best(text, L.TEXTS)] if x[0] >= L.THRESHOLD] + [x for x in (best(p, L.TITLES) for p in parts) if x[0] >= L.TITLE_THRESHOLD]
         top = max((x[0] for x in said), default=None)
         assert (r["file"], r["file_score"]) == (min((x[1] for x in said if x[0] == top), default=None), top and pytest.approx(top))
         lines = [best(x) for x in parts]
