@@ -132,13 +132,13 @@ def image_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select(*KEY, "name", F.when(fine, 201).otherwise(415).alias("status"), F.when(fine, F.concat(F.lit("uploads/"), "id", "suffix")).alias("path"), S.lookup(F.col("suffix"), UPLOADS).alias("content_type"))
 
 
-@query("snk01_store_write", f"WITH {ELEMENTS} SELECT page_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS at FROM e WHERE page_id % 10 = 0 GROUP BY page_id")
+@query("snk01_store_write", f"WITH {ELEMENTS} SELECT page_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS at FROM e GROUP BY page_id")
 def store_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth page through files: each page a folder of JSON that is complete or not there."""
+    """Every page through files: each page a folder of JSON that is complete or not there."""
     from ..session import new_folder
 
     at = new_folder(spark, "pages")
-    elements(spark, sf_dir).where("page_id % 10 = 0").select(*KEY, "type").write.partitionBy("page_id").json(f"{at}/rows")
+    elements(spark, sf_dir).select(*KEY, "type").write.partitionBy("page_id").json(f"{at}/rows")
     return spark.read.schema("pos int, type string, page_id bigint").json(f"{at}/rows").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("pos").alias("at"))
 
 
@@ -314,7 +314,7 @@ add("sta08_accept_result", lambda s, d: elements(s, d).groupBy("page_id").agg(F.
 
 # providers: the first that is ready does the work, in Arrow batches on the executors
 _TAKE = ["missing", "none", "words", "mean", "types", "halves", "boxes", "spaces"]
-add("udf01_ocr_provider", lambda s, d: P.OCR.apply(ocr_lines(s, d).where("text <> ''").select(*KEY, "text", "x1"), _TAKE), f"WITH {OCR_LINES}, w AS (SELECT page_id, pos, x1, string_split(text, ' ') AS ws FROM o WHERE text <> ''), k AS (SELECT *, unnest(range(0, least(3, len(ws)))) AS nth FROM w) SELECT page_id, pos, CAST(nth AS INT) AS nth, ws[nth + 1] AS word, x1 + 9.0 * nth AS x1, 0.8 AS confidence FROM k WHERE ws[nth + 1] <> ''")
+add("udf01_ocr_provider", lambda s, d: P.OCR.apply(ocr_lines(s, d).where("text <> ''").select(*KEY, "text", "x1"), _TAKE), f"WITH {OCR_LINES}, w AS (SELECT page_id, pos, x1, string_split(text, ' ') AS ws FROM o WHERE text <> ''), k AS (SELECT *, unnest(range(0, len(ws))) AS nth FROM w) SELECT page_id, pos, CAST(nth AS INT) AS nth, ws[nth + 1] AS word, x1 + 9.0 * nth AS x1, 0.8 AS confidence FROM k WHERE ws[nth + 1] <> ''")
 add("udf02_inpainting_provider", lambda s, d: P.INPAINTING.apply(pixels(s, d).groupBy("page_id").agg(F.sum("v").alias("total"), F.count("*").alias("n")), _TAKE), f"WITH {PIXELS} SELECT page_id, CAST(sum(v) AS DOUBLE) / count(*) AS v FROM px GROUP BY page_id")
 add("udf03_vision_provider", lambda s, d: P.VISION.apply(elements(s, d).select(*KEY, "type", "confidence"), _TAKE), f"WITH {ELEMENTS} SELECT page_id, pos, 'a ' || type AS label, CASE WHEN type <> 'line' THEN confidence ELSE 0.5 END AS confidence FROM e")
 add("udf04_layout_provider", lambda s, d: P.LAYOUT.apply(elements(s, d).select(*KEY, "x1", "x2"), _TAKE), f"WITH {ELEMENTS} SELECT page_id, pos, CASE WHEN (x1 + x2) / 2 < 480 THEN 'left' ELSE 'right' END AS region FROM e")

@@ -175,7 +175,7 @@ def downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select(*KEY, name.alias("module"), "role", F.greatest(F.lit(0.0), F.col("x1") / W).alias("left"), F.greatest(F.lit(0.0), F.col("y1") / H).alias("top"), share("width", W).alias("width"), share("height", H).alias("height"))
 
 
-_STATE = "SELECT page_id // 8 AS project, event, page_id, stamp FROM (SELECT page_id, CASE element_id % 3 WHEN 0 THEN 'append' WHEN 1 THEN 'approve' ELSE 'save' END AS event, element_id AS stamp FROM e WHERE pos % 7 = 0)"
+_STATE = "SELECT page_id // 8 AS project, event, page_id, stamp FROM (SELECT page_id, CASE element_id % 3 WHEN 0 THEN 'append' WHEN 1 THEN 'approve' ELSE 'save' END AS event, element_id AS stamp FROM e)"
 
 
 @query(
@@ -185,7 +185,7 @@ _STATE = "SELECT page_id // 8 AS project, event, page_id, stamp FROM (SELECT pag
 )
 def project_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project's state from its events: images are appended, approved pages are a sorted set, of saves the last counts."""
-    e = elements(spark, sf_dir).where("pos % 7 = 0")
+    e = elements(spark, sf_dir)
     event = F.get(F.array(F.lit("append"), F.lit("approve"), F.lit("save")), (F.col("element_id") % 3).cast("int"))
     v = e.select(F.expr("page_id div 8").alias("project"), event.alias("event"), "page_id", F.col("element_id").alias("at"))
     pages = F.array_join(F.sort_array(F.collect_set(F.when(F.col("event") == "approve", F.col("page_id")))).cast("array<string>"), ",")

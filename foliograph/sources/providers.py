@@ -80,7 +80,7 @@ class WordBoxes(_Ready):
     name, schema = "words", "page_id bigint, pos int, nth int, word string, x1 double, confidence double"
 
     def run(self, rows: pd.DataFrame) -> pd.DataFrame:
-        words = [(p, q, k, w, float(x) + 9.0 * k, 0.8) for p, q, t, x in zip(rows["page_id"], rows["pos"], rows["text"], rows["x1"], strict=True) for k, w in enumerate(t.split(" ")[:3]) if w]
+        words = [(p, q, k, w, float(x) + 9.0 * k, 0.8) for p, q, t, x in zip(rows["page_id"], rows["pos"], rows["text"], rows["x1"], strict=True) for k, w in enumerate(t.split(" ")) if w]
         return pd.DataFrame(words, columns=["page_id", "pos", "nth", "word", "x1", "confidence"]).astype({"pos": "int32", "nth": "int32"})
 
 
