@@ -157,6 +157,9 @@ def bitmap(pairs: DataFrame, n_pairs: int) -> np.ndarray:
 
 def _ids(keys: pa.Array) -> np.ndarray:
     """The ids (n, LONGEST) of packed keys, 0 after the last."""
+    if pa.types.is_integer(keys.type):
+        both = keys.to_numpy(zero_copy_only=False)
+        return np.stack([both >> 32, both & 0xFFFFFFFF, *[np.zeros_like(both)] * (LONGEST - 2)], 1).astype(np.uint32)
     _, _, data = keys.buffers()
     width = WIDTH * LONGEST
     raw = np.frombuffer(data, np.uint8)[keys.offset * width : (keys.offset + len(keys)) * width] if len(keys) else np.zeros(0, np.uint8)
@@ -171,6 +174,11 @@ def _keys(ids: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(wide.tobytes())])
 
 
+def _short_keys(ids: np.ndarray) -> pa.Array:
+    """The same for pairs, as whole numbers: less than half as long in a shuffle."""
+    return pa.array(ids[:, 0].astype(np.int64) << 32 | ids[:, 1].astype(np.int64))
+
+
 def _sorted_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(different rows (n, m) in order, how often each occurs) by a radix sort over 16-bit digits, which is what numpy's stable sort of them is."""
     order = None
@@ -194,6 +202,7 @@ def counted(ids: DataFrame, sizes: tuple[int, ...], least: int, pairs: np.ndarra
     keys, sorted, and the runs of equal keys summed.
     """
     held = ids.sparkSession.sparkContext.broadcast(pairs)
+    packed, kind = (_short_keys, "bigint") if sizes == (2,) else (_keys, "binary")
 
     def windows(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         there = x != 0
@@ -208,7 +217,7 @@ def counted(ids: DataFrame, sizes: tuple[int, ...], least: int, pairs: np.ndarra
             at = np.flatnonzero(now)
             if m in sizes and len(at):
                 kinds, counts = _sorted_runs([x[at + k] for k in range(m)])
-                yield pa.RecordBatch.from_arrays([_keys(kinds), pa.array(np.full(len(kinds), m, np.int32)), pa.array(counts.astype(np.int64))], names=["key", "size", "n"])
+                yield pa.RecordBatch.from_arrays([packed(kinds), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_ids, n = [], 0
@@ -227,24 +236,27 @@ def counted(ids: DataFrame, sizes: tuple[int, ...], least: int, pairs: np.ndarra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, size, n = _ids(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            keys, n = _ids(batch.column(0)), batch.column(1).to_numpy()
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]).any(1)
             at = np.flatnonzero(new)
-            sums = np.add.reduceat(n, at)
-            kinds, sizes_ = keys[at], size[at]
+            sums, kinds = np.add.reduceat(n, at), keys[at]
             if last is not None:
-                if (last[0] == kinds[0]).all():
+                if (last == kinds[0]).all():
                     sums[0] += total
-                elif total >= least:
-                    yield pa.RecordBatch.from_arrays([_keys(last[0][None]), pa.array([last[1]], pa.int32()), pa.array([total], pa.int64())], names=["key", "size", "a"])
-            last, total = (kinds[-1], int(sizes_[-1])), int(sums[-1])  # its run may go on in the next batch
-            often = np.flatnonzero(sums[:-1] >= least)
-            yield pa.RecordBatch.from_arrays([_keys(kinds[often]), pa.array(sizes_[often].astype(np.int32)), pa.array(sums[often])], names=["key", "size", "a"])
-        if last is not None and total >= least:
-            yield pa.RecordBatch.from_arrays([_keys(last[0][None]), pa.array([last[1]], pa.int32()), pa.array([total], pa.int64())], names=["key", "size", "a"])
-
-    found = stored(ids.mapInArrow(runs, "key binary, size int, n bigint"))  # read twice: for the ranges, and to be dealt
+                else:
+                    yield told(last[None], np.array([total]))
+            last, total = kinds[-1], int(sums[-1])  # its run may go on in the next batch
+            yield told(kinds[:-1], sums[:-1])
+        if last is not None:
+            yield told(last[None], np.array([total]))
+
+    def told(kinds: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        often = np.flatnonzero(sums >= least)
+        kinds = kinds[often]
+        return pa.RecordBatch.from_arrays([_keys(kinds), pa.array((kinds != 0).sum(1).astype(np.int32)), pa.array(sums[often].astype(np.int64))], names=["key", "size", "a"])
+
+    found = stored(ids.mapInArrow(runs, f"key {kind}, n bigint"))  # read twice: for the ranges, and to be dealt
     return stored(found.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(summed, "key binary, size int, a bigint"))
 
 
