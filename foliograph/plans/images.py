@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
+from ..operators import audit as A
 from ..operators import inpaint, pieces
-from ..sources.pictures import MOSAICS, mosaics, per_image, pictures
+from ..sources.pictures import MOSAICS, mosaics, per_image, pictures, placed
 from ..sources.views import ELEMENTS, elements
+from .loops import accepted, errors, regressed
 from .registry import query
 
 W, H = 480, 270
@@ -160,3 +162,63 @@ def capped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([page] * len(rows), pa.int64()), pa.array([r["pos"] for r in rows], pa.int32()), pa.array(roots, pa.int32())], names=["page_id", "pos", "root"])
 
     return pages.mapInArrow(run, "page_id bigint, pos int, root int")
+
+
+# the audit of a reconstruction, and what it decides
+
+#: What a first and a second reconstruction show of a page, and what was left in the background.
+FIRST, SECOND, BAKED = "element_id % 7 <> 3", "element_id % 7 <> 3 OR element_id % 2 = 0", "element_id % 29 = 0"
+
+
+def audited(spark: SparkSession, sf_dir: str, shown: str = FIRST, before: str | None = None) -> DataFrame:
+    """Measures of each page's reconstruction that shows some of its elements; before: what an earlier one showed."""
+    e = placed(spark, sf_dir, W, H).where("visible")
+    changed = F.expr(f"({shown}) <> ({before})") if before else F.lit(False)
+    active = e.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "element_id", "type", "x1", "y1", "x2", "y2", "rgb", (F.col("element_id") % 2 == 0).alias("residual"), changed.alias("changed")))).alias("elements"))
+    images = pictures(spark, sf_dir, W, H)
+    for sql, n in ((shown, "preview"), (BAKED, "background"), *([(before, "earlier")] if before else [])):
+        images = images.join(pictures(spark, sf_dir, W, H, sql).select("page_id", F.col("data").alias(n)), "page_id")
+    return A.measured(images.join(active, "page_id", "left"))
+
+
+@query("ras25_audit_issues")
+def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.issues(audited(spark, sf_dir))
+
+
+@query("ras25_audit_report")
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.report(audited(spark, sf_dir))
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit counted on each page before and after an edit that brings some elements back and takes others away."""
+    def named(report: DataFrame, when: str) -> DataFrame:
+        return report.select("page_id", *(F.col(c).alias(f"{c}_{when}") for c in report.columns if c != "page_id"))
+
+    counted = elements(spark, sf_dir).where("visible").groupBy("page_id").agg(
+        *(F.count_if(F.expr(f"type IN {kinds} AND ({sql})")).alias(f"{n}_{t}") for n, kinds in (("assets", "('image', '')"), ("shapes", "('rectangle', 'ellipse', 'line')")) for t, sql in (("before", FIRST), ("after", SECOND))),
+        F.count_if(F.expr(f"({FIRST}) <> ({SECOND})")).alias("changed"), F.count_if(F.expr(f"type = 'image' AND NOT ({FIRST}) AND ({SECOND})")).alias("restored"),
+    )
+    was, now = named(A.report(audited(spark, sf_dir, FIRST)), "before"), named(A.report(audited(spark, sf_dir, SECOND, FIRST)), "after")
+    r = was.join(now, "page_id").join(counted, "page_id")
+    score = lambda t: F.round((F.col(f"coverage_{t}") + 1 - F.col(f"mismatch_{t}") / F.greatest(F.lit(1), F.col(f"salient_{t}"))) / 2, 4)
+    more = {f"{new}_{t}": F.col(f"{old}_{t}") for t in ("before", "after") for new, old in (("background_white", "white_background"), ("preview_white", "white_preview"))}
+    more |= {"overall_before": score("before"), "overall_after": score("after"), "visuals_before": F.col("assets_before") + F.col("shapes_before"), "visuals_after": F.col("assets_after") + F.col("shapes_after"), "absent": F.lit(0), "unreplaced": F.lit(0)}
+    more |= {"outside": F.col("outside_change_after"), "newly_lost": F.col("newly_lost_after"), "new_loss": F.col("largest_new_loss_after"), "resolved": F.greatest(F.lit(0), F.col("issues_before") - F.col("issues_after"))}
+    return r.withColumns(more)
+
+
+@query("sta03_measured_accept")
+def measured_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicates of versions over measures of pixels: what was lost, the errors, and whether the version is taken."""
+    return revisions(spark, sf_dir).select("page_id", regressed().alias("regressed"), F.array_join(errors(), ",").alias("errors"), accepted().alias("accepted"), "missing_before", "missing_after", "overall_before", "overall_after", "new_loss", F.round("outside", 6).alias("outside"))
+
+
+@query("sta02_measured_revision")
+def measured_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of each page in the version that its pointer names: the edit's if it was accepted, else those before it."""
+    e = elements(spark, sf_dir).where("visible")
+    old, new = (e.where(sql).select("page_id", "pos", F.lit(v).alias("version")) for v, sql in ((1, FIRST), (2, SECOND)))
+    pointer = revisions(spark, sf_dir).select("page_id", F.when(accepted(), 2).otherwise(1).alias("version"))
+    return old.unionByName(new).join(pointer, ["page_id", "version"]).select("page_id", "pos", "version")

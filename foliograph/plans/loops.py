@@ -55,9 +55,9 @@ _REGRESSED = f"""((missing_after - missing_before > {_NEAR_WHITE} AND largest_af
 add("sta05_regression", lambda s, d: audits(s, d).select("page_id", regressed().alias("regressed")), f"WITH {ELEMENTS}, {AUDITS} SELECT page_id, {_REGRESSED} AS regressed FROM au")
 
 ERRORS: dict[str, str] = {
-    "missing_assets": "absent > 4", "lost_existing_images": "unreplaced > 5 OR assets_after < assets_before", "lost_existing_shapes": "shapes_after < shapes_before", "background_over_whitened": "background_white_after > background_white_before + 0.0355",
-    "preview_over_whitened": "preview_white_after > preview_white_before + 0.0355", "new_source_visual_loss": "new_loss >= 24 OR newly_lost >= 64", "untargeted_preview_change": "outside > 0.0155", "lost_visual_objects": "visuals_after < visuals_before - 1",
-    "coverage_dropped": "coverage_after < coverage_before - 0.205", "score_dropped": "overall_after < overall_before - 0.305", "nothing_changed": "changed = 0",
+    "missing_assets": "absent > 4", "lost_existing_images": "unreplaced > 5 OR assets_after < assets_before", "lost_existing_shapes": "shapes_after < shapes_before", "background_over_whitened": "round(background_white_after - background_white_before, 6) > 0.035",
+    "preview_over_whitened": "round(preview_white_after - preview_white_before, 6) > 0.035", "new_source_visual_loss": "new_loss >= 24 OR newly_lost >= 64", "untargeted_preview_change": "outside > 0.015", "lost_visual_objects": "visuals_after < visuals_before - 1",
+    "coverage_dropped": "round(coverage_after - coverage_before, 6) < -0.20", "score_dropped": "round(overall_after - overall_before, 6) < -0.30", "nothing_changed": "changed = 0",
 }
 
 
@@ -72,17 +72,17 @@ add("sta04_verdict", lambda s, d: audits(s, d).select("page_id", F.array_join(er
 
 def accepted() -> Column:
     """No error, something changed, one of five things is better, and at most one issue more."""
-    visual, cover = grown("overall"), grown("coverage")
-    better = ((visual > 0.0035) & (cover >= -0.0105)) | ((cover > 0.0205) & (visual >= -0.1205)) | ((F.col("resolved") > 0) & (visual >= -0.0055) & (cover >= -0.0105))
-    better = better | ((F.col("restored") > 0) & (F.col("mismatch_before") > 0) & (F.col("mismatch_after") * 5 < F.col("mismatch_before")) & (cover >= -0.0105))
-    better = better | ((F.col("pale_before") - F.col("pale_after") >= 120) & (visual >= -0.0055) & (cover >= -0.0105))
+    visual, cover = F.round(grown("overall"), 6), F.round(grown("coverage"), 6)
+    better = ((visual > 0.003) & (cover >= -0.01)) | ((cover > 0.02) & (visual >= -0.12)) | ((F.col("resolved") > 0) & (visual >= -0.005) & (cover >= -0.01))
+    better = better | ((F.col("restored") > 0) & (F.col("mismatch_before") > 0) & (F.col("mismatch_after") * 5 < F.col("mismatch_before")) & (cover >= -0.01))
+    better = better | ((F.col("pale_before") - F.col("pale_after") >= 120) & (visual >= -0.005) & (cover >= -0.01))
     return (F.size(F.filter(errors(), lambda x: ~x.isin("score_dropped", "preview_over_whitened", "lost_existing_shapes", "lost_existing_images"))) == 0) & (F.col("changed") > 0) & better & (grown("issues") <= 1)
 
 
-_V, _C = "(overall_after - overall_before)", "(coverage_after - coverage_before)"
+_V, _C = "round(overall_after - overall_before, 6)", "round(coverage_after - coverage_before, 6)"
 _HARD = " OR ".join(f"({sql})" for name, sql in ERRORS.items() if name not in ("score_dropped", "preview_over_whitened", "lost_existing_shapes", "lost_existing_images"))
-_ACCEPTED = f"""(NOT ({_HARD} OR {_REGRESSED}) AND changed > 0 AND issues_after - issues_before <= 1 AND (({_V} > 0.0035 AND {_C} >= -0.0105) OR ({_C} > 0.0205 AND {_V} >= -0.1205) OR (resolved > 0 AND {_V} >= -0.0055 AND {_C} >= -0.0105)
-  OR (restored > 0 AND mismatch_before > 0 AND mismatch_after * 5 < mismatch_before AND {_C} >= -0.0105) OR (pale_before - pale_after >= 120 AND {_V} >= -0.0055 AND {_C} >= -0.0105)))"""
+_ACCEPTED = f"""(NOT ({_HARD} OR {_REGRESSED}) AND changed > 0 AND issues_after - issues_before <= 1 AND (({_V} > 0.003 AND {_C} >= -0.01) OR ({_C} > 0.02 AND {_V} >= -0.12) OR (resolved > 0 AND {_V} >= -0.005 AND {_C} >= -0.01)
+  OR (restored > 0 AND mismatch_before > 0 AND mismatch_after * 5 < mismatch_before AND {_C} >= -0.01) OR (pale_before - pale_after >= 120 AND {_V} >= -0.005 AND {_C} >= -0.01)))"""
 add("sta03_accept", lambda s, d: audits(s, d).select("page_id", accepted().alias("accepted")), f"WITH {ELEMENTS}, {AUDITS} SELECT page_id, {_ACCEPTED} AS accepted FROM au")
 
 

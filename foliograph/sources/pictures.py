@@ -14,7 +14,7 @@ from .views import elements, table
 
 #: Vectors of an embedding that make one image, a row of pixels each.
 ROWS = 64
-GROUND = 250
+GROUND = 255
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -55,15 +55,21 @@ def drawn(width: int, height: int, shapes: Sequence[dict]) -> np.ndarray:
     return image
 
 
-def pictures(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270) -> DataFrame:
-    """Colour images of the pages: what is visible, drawn from the lowest layer up. Ellipses that are nearly as wide as high are drawn as circles."""
-    e = elements(spark, sf_dir).where("visible")
+def placed(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270) -> DataFrame:
+    """elements in pixels of their picture, with a colour. Every second ellipse is a circle."""
+    e = elements(spark, sf_dir)
     at = {c: (F.col(c) * (width if c[0] == "x" else height) / (960 if c[0] == "x" else 540)).cast("int") for c in ("x1", "y1", "x2", "y2")}
     round_ = F.least(at["x2"] - at["x1"], F.lit(36)) + 26
     circle = (F.col("type") == "ellipse") & (F.col("element_id") % 2 == 0)
     x2, y2 = F.when(circle, at["x1"] + round_).otherwise(at["x2"]), F.when(circle, at["y1"] + round_).otherwise(at["y2"])
     rgb = (F.col("element_id") * 67 % 200) * 65536 + (F.col("element_id") * 131 % 200) * 256 + F.col("element_id") * 193 % 200
-    shape = F.struct("z_index", "pos", "type", at["x1"].alias("x1"), at["y1"].alias("y1"), x2.alias("x2"), y2.alias("y2"), rgb.cast("int").alias("rgb"))
+    return e.withColumns({"x1": at["x1"], "y1": at["y1"], "x2": x2, "y2": y2, "rgb": rgb.cast("int")})
+
+
+def pictures(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270, shown: str = "true") -> DataFrame:
+    """Colour images of the pages: what is visible, drawn from the lowest layer up. shown: a further condition; a page without any such element is blank."""
+    e = placed(spark, sf_dir, width, height)
+    shape = F.when(F.expr(f"visible AND ({shown})"), F.struct("z_index", "pos", "type", "x1", "y1", "x2", "y2", "rgb"))
     pages = spread(e.select("page_id", shape.alias("s")), "page_id").groupBy("page_id").agg(F.sort_array(F.collect_list("s")).alias("shapes"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
