@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..operators import edges as E
 from ..operators import audit as A
 from ..operators import inpaint, pieces
-from ..sources.pictures import MOSAICS, mosaics, per_image, pictures, placed
-from ..sources.views import ELEMENTS, elements
+from ..operators import palette as C
+from ..operators import strokes as S
+from ..sources.pictures import MOSAICS, lettered, mosaics, per_image, pictures, placed, spread
+from ..sources.views import ELEMENTS, elements, ocr_lines
 from .loops import accepted, errors, regressed
 from .registry import query
 
@@ -222,3 +224,23 @@ def measured_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (e.where(sql).select("page_id", "pos", F.lit(v).alias("version")) for v, sql in ((1, FIRST), (2, SECOND)))
     pointer = revisions(spark, sf_dir).select("page_id", F.when(accepted(), 2).otherwise(1).alias("version"))
     return old.unionByName(new).join(pointer, ["page_id", "version"]).select("page_id", "pos", "version")
+
+
+@query("agg17_kmeans_palette")
+def kmeans_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The palette of each page's picture: clusters of its colours over three tries from far starts."""
+    return C.palette(C.clusters(C.colours(pictures(spark, sf_dir))))
+
+
+@query("ras55_stroke_weight")
+def stroke_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether lines are bold, by the ink they are drawn with; titles have the heavier pen."""
+    pen = F.when(F.col("role") == "main_title", 5).when(F.col("role") == "body_text", 3).otherwise(2)
+    lines = spread(ocr_lines(spark, sf_dir).where("text IS NOT NULL").select("page_id", "pos", "text", pen.alias("pen")), "page_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [S.weight(lettered(t.as_py(), p.as_py()), (30, 30, 60)) for t, p in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([m[k] for m in made], kind) for k, kind in ((0, pa.float64()), (1, pa.float64()), (2, pa.bool_())))], names=["page_id", "pos", "level", "upright", "bold"])
+
+    return lines.mapInArrow(run, "page_id bigint, pos int, level double, upright double, bold boolean")

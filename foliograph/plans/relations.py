@@ -103,6 +103,13 @@ def nearest_same(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nearest(e, e, (F.col("a_type") == F.col("b_type")) & (F.col("a_pos") != F.col("b_pos")))
 
 
+@query("joi06_nearest_in_rings", q("a_pos <> b_pos AND a_type = b_type") + _arg("page_id, a_pos", f"{D2}, b_pos", f"b_pos, {D2} AS distance2"))
+def nearest_same_in_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by cells and widening rings instead of all pairs of a page."""
+    e = elements(spark, sf_dir)
+    return R.nearest_in_rings(e, e, "type").drop("looked")
+
+
 @query("joi07_nearest_badge", q("abs(a_y1 - b_y1) <= 60 OR b_y1 >= a_y2", TEXTS, "type = 'ellipse'") + _arg("page_id, a_pos", f"{D2}, b_pos", f"b_pos, {D2} AS distance2"))
 def nearest_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements(spark, sf_dir)

@@ -81,6 +81,23 @@ def pictures(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 2
     return pages.mapInArrow(draw, "page_id bigint, width int, height int, data binary")
 
 
+def lettered(text: str, pen: int, height: int = 36, ink: tuple[int, int, int] = (30, 30, 60)) -> np.ndarray:
+    """A line of text as upright bars, level bars and gaps by each letter's code, drawn with a pen of so many pixels."""
+    step = 5 * pen + 6
+    image = np.full((height, max(1, step * len(text) + 8), 3), GROUND, np.uint8)
+    for k, c in enumerate(text):
+        x, code = 4 + k * step, ord(c)
+        if c.isspace():
+            continue
+        image[4 : height - 4, x : x + pen] = ink  # a stem
+        for bit, y in enumerate((4, height // 2 - pen // 2, height - 4 - pen)):
+            if code >> bit & 1 or bit == 1:
+                image[y : y + pen, x : x + step - 4] = ink
+        if code >> 3 & 1:
+            image[4 : height - 4, x + step - 4 - pen : x + step - 4] = ink
+    return image
+
+
 def per_image(images: DataFrame, fields: Sequence[tuple[str, pa.DataType]], of: Callable[..., dict[str, Sequence]]) -> DataFrame:
     """page_id and fields: the rows that of(image, **further columns) makes of each image. An image is what a task holds at a time."""
     schema = pa.schema([("page_id", pa.int64()), *fields])
