@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,18 +80,31 @@ def _labels(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
 def components(df: DataFrame, mask: Column) -> DataFrame:
     """(page_id, px, py, label): 8-connected components; the label is the least place, py * 1000000 + px, of the component.
 
-    A page's masked pixels are one group, which an image's size bounds; they are labelled by array operations in a
-    number of rounds that grows with the logarithm of a component's reach. run_components() spreads one image over tasks.
+    Pages are dealt over tasks and labelled many at a time, as many as an Arrow batch holds, by array operations in a
+    number of rounds that grows with the logarithm of a component's reach; what a task holds is a batch and one page,
+    which an image's size bounds. run_components() spreads one image over tasks.
     """
 
-    def of(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["py", "px"], ignore_index=True)
-        root = _labels(page["py"].to_numpy(), page["px"].to_numpy())
-        page["label"] = page["py"].to_numpy(np.int64)[root] * 1_000_000 + page["px"].to_numpy(np.int64)[root]
-        return page
+    def labelled(pages: pd.DataFrame) -> pd.DataFrame:
+        py, px = pages["py"].to_numpy(np.int64), pages["px"].to_numpy(np.int64)
+        own = pd.factorize(pages["page_id"])[0] * (py.max() + 3)  # a free row between pages, so none touch
+        root = _labels(own + py, px)
+        return pages.assign(label=py[root] * 1_000_000 + px[root])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(rows):
+                open_ = (rows["page_id"] == rows["page_id"].iloc[-1]).to_numpy()  # may go on in the next batch
+                held = rows[open_]
+                if not open_.all():
+                    yield labelled(rows[~open_])
+        if held is not None:
+            yield labelled(held)
 
     places = df.where(mask).select("page_id", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))
-    return places.groupBy("page_id").applyInPandas(of, "page_id bigint, px int, py int, label bigint")
+    return places.repartition("page_id").sortWithinPartitions("page_id", "py", "px").mapInPandas(run, "page_id bigint, px int, py int, label bigint")
 
 
 def run_components(df: DataFrame, mask: Column) -> DataFrame:
