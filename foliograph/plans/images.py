@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
@@ -14,7 +14,8 @@ from ..operators import audit as A
 from ..operators import inpaint, pieces
 from ..operators import palette as C
 from ..operators import strokes as S
-from ..sources.pictures import MOSAICS, lettered, mosaics, per_image, pictures, placed, spread
+from ..session import cut
+from ..sources.pictures import MOSAICS, lettered, mosaics, per_image, painted, pictures, placed, spread
 from ..sources.views import ELEMENTS, elements, ocr_lines
 from .loops import accepted, errors, regressed
 from .registry import query
@@ -172,15 +173,18 @@ def capped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST, SECOND, BAKED = "element_id % 7 <> 3", "element_id % 7 <> 3 OR element_id % 2 = 0", "element_id % 29 = 0"
 
 
-def audited(spark: SparkSession, sf_dir: str, shown: str = FIRST, before: str | None = None) -> DataFrame:
-    """Measures of each page's reconstruction that shows some of its elements; before: what an earlier one showed."""
-    e = placed(spark, sf_dir, W, H).where("visible")
-    changed = F.expr(f"({shown}) <> ({before})") if before else F.lit(False)
+def audit_of(e: DataFrame, shown: Column, before: Column | None = None) -> DataFrame:
+    """Measures of a reconstruction that shows some of the placed, visible elements e; before: what an earlier one showed."""
+    changed = F.lit(False) if before is None else shown != before
     active = e.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "element_id", "type", "x1", "y1", "x2", "y2", "rgb", (F.col("element_id") % 2 == 0).alias("residual"), changed.alias("changed")))).alias("elements"))
-    images = pictures(spark, sf_dir, W, H)
-    for sql, n in ((shown, "preview"), (BAKED, "background"), *([(before, "earlier")] if before else [])):
-        images = images.join(pictures(spark, sf_dir, W, H, sql).select("page_id", F.col("data").alias(n)), "page_id")
-    return A.measured(images.join(active, "page_id", "left"))
+    images = painted(e, F.lit(True), W, H)
+    for what, n in ((shown, "preview"), (F.expr(BAKED), "background"), *([] if before is None else [(before, "earlier")])):
+        images = images.join(painted(e, what, W, H).select("page_id", F.col("data").alias(n)), "page_id")
+    return A.measured(images.join(active, "page_id"))
+
+
+def audited(spark: SparkSession, sf_dir: str, shown: str = FIRST, before: str | None = None) -> DataFrame:
+    return audit_of(placed(spark, sf_dir, W, H).where("visible"), F.expr(shown), None if before is None else F.expr(before))
 
 
 @query("ras25_audit_issues")
@@ -193,24 +197,34 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.report(audited(spark, sf_dir))
 
 
-def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the audit counted on each page before and after an edit that brings some elements back and takes others away."""
+def overall(t: str) -> Column:
+    """One score of a report: what is retained, and what of it has its colour."""
+    return F.round((F.col(f"coverage{t}") + 1 - F.col(f"mismatch{t}") / F.greatest(F.lit(1), F.col(f"salient{t}"))) / 2, 4)
+
+
+def compared(e: DataFrame, was: DataFrame, now: DataFrame, before: Column, after: Column) -> DataFrame:
+    """Two reports of each page side by side, with what the predicates of versions ask for; before and after say which elements e were shown."""
     def named(report: DataFrame, when: str) -> DataFrame:
         return report.select("page_id", *(F.col(c).alias(f"{c}_{when}") for c in report.columns if c != "page_id"))
 
-    counted = elements(spark, sf_dir).where("visible").groupBy("page_id").agg(
-        *(F.count_if(F.expr(f"type IN {kinds} AND ({sql})")).alias(f"{n}_{t}") for n, kinds in (("assets", "('image', '')"), ("shapes", "('rectangle', 'ellipse', 'line')")) for t, sql in (("before", FIRST), ("after", SECOND))),
-        F.count_if(F.expr(f"({FIRST}) <> ({SECOND})")).alias("changed"), F.count_if(F.expr(f"type = 'image' AND NOT ({FIRST}) AND ({SECOND})")).alias("restored"),
+    kinds = (("assets", F.col("type") == "image"), ("shapes", F.col("type").isin("rectangle", "ellipse", "line")))
+    counted = e.groupBy("page_id").agg(
+        *(F.count_if(of & shown).alias(f"{n}_{t}") for n, of in kinds for t, shown in (("before", before), ("after", after))),
+        F.count_if(before != after).alias("changed"), F.count_if((F.col("type") == "image") & ~before & after).alias("restored"),
     )
-    was, now = named(A.report(audited(spark, sf_dir, FIRST)), "before"), named(A.report(audited(spark, sf_dir, SECOND, FIRST)), "after")
-    r = was.join(now, "page_id").join(counted, "page_id")
-    score = lambda t: F.round((F.col(f"coverage_{t}") + 1 - F.col(f"mismatch_{t}") / F.greatest(F.lit(1), F.col(f"salient_{t}"))) / 2, 4)
+    r = named(was, "before").join(named(now, "after"), "page_id").join(counted, "page_id")
     more = {f"{new}_{t}": F.col(f"{old}_{t}") for t in ("before", "after") for new, old in (("background_white", "white_background"), ("preview_white", "white_preview"))}
-    more |= {"overall_before": score("before"), "overall_after": score("after"), "visuals_before": F.col("assets_before") + F.col("shapes_before"), "visuals_after": F.col("assets_after") + F.col("shapes_after"), "absent": F.lit(0), "unreplaced": F.lit(0)}
+    more |= {"overall_before": overall("_before"), "overall_after": overall("_after"), "visuals_before": F.col("assets_before") + F.col("shapes_before"), "visuals_after": F.col("assets_after") + F.col("shapes_after"), "absent": F.lit(0), "unreplaced": F.lit(0)}
     more |= {"outside": F.col("outside_change_after"), "newly_lost": F.col("newly_lost_after"), "new_loss": F.col("largest_new_loss_after"), "resolved": F.greatest(F.lit(0), F.col("issues_before") - F.col("issues_after"))}
     return r.withColumns(more)
 
 
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit counted on each page before and after an edit that brings some elements back and takes others away."""
+    e, before, after = placed(spark, sf_dir, W, H).where("visible"), F.expr(FIRST), F.expr(SECOND)
+    return compared(e, A.report(audit_of(e, before)), A.report(audit_of(e, after, before)), before, after)
+
+
 @query("sta03_measured_accept")
 def measured_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicates of versions over measures of pixels: what was lost, the errors, and whether the version is taken."""
@@ -244,3 +258,73 @@ def stroke_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([m[k] for m in made], kind) for k, kind in ((0, pa.float64()), (1, pa.float64()), (2, pa.bool_())))], names=["page_id", "pos", "level", "upright", "bold"])
 
     return lines.mapInArrow(run, "page_id bigint, pos int, level double, upright double, bold boolean")
+
+
+# rounds of criticism: what the audit complains of is brought back, a few elements at a time
+
+TARGETS = ("missingVisualObject", "missingBackplate", "blankVisualOwner", "largeVisualLoss")
+
+
+def targeted(e: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """(page_id, targets): the hidden elements of each page that lie in regions complained of, those of the largest regions first."""
+    boxes = found.where(F.col("problem").isin(*TARGETS)).select("page_id", *(F.col(c).alias(f"i_{c}") for c in ("x1", "y1", "x2", "y2", "pixels")))
+    over = lambda a: F.greatest(F.lit(0), F.least(f"{a}2", f"i_{a}2") - F.greatest(f"{a}1", f"i_{a}1"))
+    size = F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    hits = e.where("NOT shown").join(boxes, "page_id").where(2 * over("x") * over("y") >= size)
+    ranked = hits.groupBy("page_id", "pos").agg(F.max("i_pixels").alias("pixels")).selectExpr("*", "row_number() OVER (PARTITION BY page_id ORDER BY pixels DESC, pos) AS k").where(F.col("k") <= most)
+    return ranked.groupBy("page_id").agg(F.sort_array(F.collect_set("pos")).alias("targets"))
+
+
+def rounds(e: DataFrame, taken: Callable[[], Column], limit: int, most: int = 3, idle: int = 2) -> DataFrame:
+    """(page_id, rounds, kept, best, issues, on, shown, status) of all pages at once; on are the places of what is shown in the end.
+
+    e: placed elements with shown. In a round each page that goes on shows its next targets too, is drawn and audited
+    anew, and keeps that if taken() holds over compared(); else those targets aren't tried again. A page ends without
+    targets, after `idle` rounds in a row that weren't taken, or at the limit; only pages that go on are drawn. Each
+    round is stored.
+    """
+    e = cut(e)
+    report = A.report(cut(audit_of(e, F.col("shown"))))
+    now = report.select("page_id", F.lit(0).alias("rounds"), F.lit(0).alias("kept"), F.lit(0).alias("idle"), overall("").alias("best"), "issues", F.lit("limit").alias("status"), F.lit(None).cast("array<int>").alias("tried"))
+    now = cut(now.join(e.groupBy("page_id").agg(F.sort_array(F.collect_list(F.when(F.col("shown"), F.col("pos")))).alias("on")), "page_id"))
+    ended = None
+    for _ in range(limit):
+        at = e.drop("shown").join(now.select("page_id", "on", "tried"), "page_id").withColumn("shown", F.array_contains("on", F.col("pos"))).where(F.coalesce(~F.array_contains("tried", F.col("pos")), F.lit(True)) | F.col("shown"))
+        measured = cut(audit_of(e.drop("shown").join(now.select("page_id", "on"), "page_id"), F.array_contains("on", F.col("pos"))))
+        now = cut(now.join(targeted(at, A.issues(measured), most), "page_id", "left"))
+        stop = now.where("targets IS NULL").withColumn("status", F.when(F.col("issues") == 0, "converged").otherwise("no target")).drop("targets")
+        ended = stop if ended is None else ended.unionByName(stop)
+        now = now.where("targets IS NOT NULL")
+        if now.isEmpty():
+            break
+        moved = e.drop("shown").join(now.select("page_id", "on", "targets"), "page_id").withColumns({"was": F.array_contains("on", F.col("pos")), "is": F.array_contains("on", F.col("pos")) | F.array_contains("targets", F.col("pos"))})
+        again = cut(audit_of(moved, F.col("is"), F.col("was")))
+        both = compared(moved, A.report(measured.join(now.select("page_id"), "page_id", "left_semi")), A.report(again), F.col("was"), F.col("is"))
+        verdict = both.select("page_id", taken().alias("ok"), "overall_after", "issues_after")
+        ok = F.col("ok")
+        now = now.join(verdict, "page_id").select(
+            "page_id", (F.col("rounds") + 1).alias("rounds"), (F.col("kept") + ok.cast("int")).alias("kept"), F.when(ok, 0).otherwise(F.col("idle") + 1).alias("idle"), F.when(ok, F.col("overall_after")).otherwise(F.col("best")).alias("best"), F.when(ok, F.col("issues_after")).otherwise(F.col("issues")).alias("issues"), "status",
+            F.when(ok, F.col("tried")).otherwise(F.concat(F.coalesce("tried", F.array().cast("array<int>")), "targets")).alias("tried"), F.when(ok, F.array_sort(F.array_union("on", "targets"))).otherwise(F.col("on")).alias("on"),
+        )
+        now = cut(now)
+        ended = ended.unionByName(now.where(F.col("idle") >= idle).withColumn("status", F.lit("stagnated")))
+        now = now.where(F.col("idle") < idle)
+    now = now.drop("targets")
+    out = now if ended is None else ended.unionByName(now)
+    return out.select("page_id", "rounds", "kept", "best", "issues", "on", F.size("on").alias("shown"), "status")
+
+
+def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(spark, sf_dir, W, H).where("visible").withColumn("shown", F.expr(FIRST))
+
+
+@query("itr05_critic_rounds")
+def critic_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of criticism: a page is drawn, audited, mended where it lost most, and a round that betters its score is kept."""
+    return rounds(_first(spark, sf_dir), lambda: F.round(F.col("overall_after") - F.col("overall_before"), 6) > 0.002, 3).drop("on")
+
+
+@query("itr06_revision_rounds")
+def revision_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same loop with the whole predicate of versions: a round is a version that is taken or not."""
+    return rounds(_first(spark, sf_dir), accepted, 3).drop("on")

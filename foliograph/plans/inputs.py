@@ -331,4 +331,16 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("udf07_injected_factory", injected, f"WITH {ELEMENTS} SELECT page_id, pos, 'a image' AS label, confidence FROM e WHERE type = 'image'")
-add("udf08_provider_choice", lambda s, d: s.range(1).select(F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.take(_TAKE)[0]).alias("chosen"), F.lit(len(r.made)).alias("known")) for r in (P.OCR, P.INPAINTING, P.VISION, P.LAYOUT, P.SEGMENTS, P.CLEANERS)))).alias("p")).select("p.*"), "SELECT kind, chosen, 2 AS known FROM (VALUES ('recogniser', 'words'), ('painter', 'mean'), ('vision model', 'types'), ('layout finder', 'halves'), ('segment finder', 'boxes'), ('text cleaner', 'spaces')) v(kind, chosen)")
+#: Which kind of engine looks at an element of a type.
+_ENGINE_OF = {"text": P.OCR, "image": P.VISION, "rectangle": P.SEGMENTS, "ellipse": P.LAYOUT, "line": P.INPAINTING}
+_NAME_OF = {"text": ("recogniser", "words"), "image": ("vision model", "types"), "rectangle": ("segment finder", "boxes"), "ellipse": ("layout finder", "halves"), "line": ("painter", "mean")}
+
+
+def provider_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each element the kind of engine that looks at it, and the first engine of that kind that is ready."""
+    kinds = {t: r.kind for t, r in _ENGINE_OF.items()}
+    chosen = {t: r.take(_TAKE)[0] for t, r in _ENGINE_OF.items()}
+    return elements(spark, sf_dir).select(*KEY, S.lookup(F.col("type"), kinds).alias("kind"), S.lookup(F.col("type"), chosen).alias("chosen"))
+
+
+add("udf08_provider_choice", provider_choice, f"WITH {ELEMENTS} SELECT page_id, pos, CASE type " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, (k, _) in _NAME_OF.items()) + " END AS kind, CASE type " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, (_, c) in _NAME_OF.items()) + " END AS chosen FROM e")

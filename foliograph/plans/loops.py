@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relations as R
-from ..session import cut
 from ..sources.views import ELEMENTS, OCR_LINES, PIXELS, RICH, elements, ocr_lines, pixels, rich
 from .geometry import H, W
 from .registry import add, query
@@ -103,58 +102,6 @@ def revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(new).join(pointer, ["page_id", "version"]).select(*KEY, "version", "x1")
 
 
-_ROUND = "(page_id * 37 + k * k * 11 + k * 5) % 100"  # what a round would score
-
-
-@query(
-    "itr05_critic_rounds",
-    f"""WITH RECURSIVE {ELEMENTS}, p AS (SELECT DISTINCT page_id, CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 8 ELSE 12 END AS most FROM e),
-    r AS (SELECT page_id, most, 0 AS k, CAST(page_id * 37 % 100 AS DOUBLE) / 100 AS best, 0 AS idle, 0 AS kept FROM p
-      UNION ALL SELECT page_id, most, k, CASE WHEN s > best + 0.002 THEN s ELSE best END, CASE WHEN s > best + 0.002 THEN 0 ELSE idle + 1 END, kept + CASE WHEN s > best + 0.002 THEN 1 ELSE 0 END
-        FROM (SELECT page_id, most, k, best, idle, kept, CAST({_ROUND} AS DOUBLE) / 100 AS s FROM (SELECT page_id, most, k + 1 AS k, best, idle, kept FROM r WHERE k < most AND idle < 2)))
-    SELECT page_id, CAST(max(k) AS INT) AS rounds, CAST(max(kept) AS INT) AS kept, max(best) AS best FROM r GROUP BY page_id""",
-)
-def critic_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounds of criticism for all pages at once: a round that betters a page is kept; a page stops at its mode's limit or after two idle rounds."""
-    page = elements(spark, sf_dir).select("page_id").distinct()
-    most = F.get(F.array(F.lit(0), F.lit(1), F.lit(8), F.lit(12)), F.col("page_id") % 4)
-    now = page.select("page_id", most.alias("most"), F.lit(0).alias("rounds"), F.lit(0).alias("idle"), F.lit(0).alias("kept"), ((F.col("page_id") * 37 % 100) / 100).alias("best"))
-    for k in range(1, 13):
-        goes = (F.col("rounds") == k - 1) & (F.col("rounds") < F.col("most")) & (F.col("idle") < 2)
-        scored = ((F.col("page_id") * 37 + k * k * 11 + k * 5) % 100) / 100
-        better = goes & (scored > F.col("best") + 0.002)
-        now = now.select("page_id", "most", F.when(goes, k).otherwise(F.col("rounds")).alias("rounds"), F.when(better, 0).when(goes, F.col("idle") + 1).otherwise(F.col("idle")).alias("idle"), F.when(better, F.col("kept") + 1).otherwise(F.col("kept")).alias("kept"), F.when(better, scored).otherwise(F.col("best")).alias("best"))
-    return now.select("page_id", "rounds", "kept", "best")
-
-
-_TAKEN = "(page_id * 7 + k * 13) % 5 < 2"  # whether a round is taken
-
-
-@query(
-    "itr06_revision_rounds",
-    f"""WITH RECURSIVE {ELEMENTS}, p AS (SELECT page_id, count_if(suppressed) AS issues FROM e GROUP BY page_id),
-    r AS (SELECT page_id, issues, 0 AS k, 0 AS failed, false AS any_taken FROM p
-      UNION ALL SELECT page_id, CASE WHEN ok THEN greatest(issues - 2, 0) ELSE issues END, k, CASE WHEN ok THEN 0 ELSE failed + 1 END, any_taken OR ok
-        FROM (SELECT page_id, issues, k, failed, any_taken, {_TAKEN} AS ok FROM (SELECT page_id, issues, k + 1 AS k, failed, any_taken FROM r WHERE k < CASE WHEN page_id % 3 = 0 THEN 1 ELSE 6 END AND failed < 2 AND (issues > 0 OR k = 0)))),
-    l AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k DESC) AS last FROM r)
-    SELECT page_id, CAST(k AS INT) AS rounds, issues, any_taken AS accepted, CASE WHEN failed >= 2 THEN 'stagnated' WHEN issues = 0 THEN 'converged' ELSE 'limit' END AS status FROM l WHERE last = 1""",
-)
-def revision_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to six rounds for pages of a high mode, one for others; two failures in a row end them, and so does the last issue.
-
-    The state is a row for each page; it is stored after each round, and pages that have ended aren't worked on any more.
-    """
-    page = elements(spark, sf_dir).groupBy("page_id").agg(F.count_if("suppressed").alias("issues"))
-    now = page.select("page_id", "issues", F.lit(0).alias("rounds"), F.lit(0).alias("failed"), F.lit(False).alias("accepted"))
-    for k in range(1, 7):
-        goes = (F.col("rounds") == k - 1) & (F.col("rounds") < F.when(F.col("page_id") % 3 == 0, 1).otherwise(6)) & (F.col("failed") < 2) & ((F.col("issues") > 0) | (F.col("rounds") == 0))
-        ok = (F.col("page_id") * 7 + k * 13) % 5 < 2
-        now = now.select("page_id", F.when(goes & ok, F.greatest(F.col("issues") - 2, F.lit(0))).otherwise(F.col("issues")).alias("issues"), F.when(goes, k).otherwise(F.col("rounds")).alias("rounds"), F.when(goes, F.when(ok, 0).otherwise(F.col("failed") + 1)).otherwise(F.col("failed")).alias("failed"), (F.col("accepted") | (goes & ok)).alias("accepted"))
-        if k % 3 == 0:
-            now = cut(now)
-    return now.select("page_id", "rounds", "issues", "accepted", F.when(F.col("failed") >= 2, "stagnated").when(F.col("issues") == 0, "converged").otherwise("limit").alias("status"))
-
-
 _PROBLEMS = ("criticalRegionMismatch", "ghosting", "brokenChartOrModule", "textOverlap", "backgroundResidual", "wrongBBox")
 _BAD = ("criticalRegionMismatch", "brokenChartOrModule", "assetBakedIntoBackground", "backgroundResidual", "professionalInpaintingPending")
 

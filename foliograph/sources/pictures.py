@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -66,10 +66,9 @@ def placed(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270
     return e.withColumns({"x1": at["x1"], "y1": at["y1"], "x2": x2, "y2": y2, "rgb": rgb.cast("int")})
 
 
-def pictures(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270, shown: str = "true") -> DataFrame:
-    """Colour images of the pages: what is visible, drawn from the lowest layer up. shown: a further condition; a page without any such element is blank."""
-    e = placed(spark, sf_dir, width, height)
-    shape = F.when(F.expr(f"visible AND ({shown})"), F.struct("z_index", "pos", "type", "x1", "y1", "x2", "y2", "rgb"))
+def painted(e: DataFrame, shown: Column, width: int = 480, height: int = 270) -> DataFrame:
+    """Colour images of placed elements, those for which shown is true, from the lowest layer up; a page without any is blank."""
+    shape = F.when(shown, F.struct("z_index", "pos", "type", "x1", "y1", "x2", "y2", "rgb"))
     pages = spread(e.select("page_id", shape.alias("s")), "page_id").groupBy("page_id").agg(F.sort_array(F.collect_list("s")).alias("shapes"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +80,11 @@ def pictures(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 2
     return pages.mapInArrow(draw, "page_id bigint, width int, height int, data binary")
 
 
+def pictures(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270) -> DataFrame:
+    """Colour images of the pages: what is visible."""
+    return painted(placed(spark, sf_dir, width, height), F.col("visible"), width, height)
+
+
 def lettered(text: str, pen: int, height: int = 36, ink: tuple[int, int, int] = (30, 30, 60)) -> np.ndarray:
     """A line of text as upright bars, level bars and gaps by each letter's code, drawn with a pen of so many pixels."""
     step = 5 * pen + 6

@@ -125,3 +125,19 @@ def test_versions_by_what_was_measured(spark):
     for r in Q.measured_revision(spark, sf).collect():
         pointers.setdefault(r.page_id, set()).add(r.version)
     assert all(v == {2 if told[p].accepted else 1} for p, v in pointers.items())
+
+
+def test_rounds_are_kept_only_if_they_better_a_page(spark):
+    """What a page shows in the end, drawn and audited anew, has the score that the rounds say; only what was hidden is brought back."""
+    e = Q._first(spark, "/root/testdata/sf0.001")
+    got = {r.page_id: r for r in Q.rounds(e, lambda: F.round(F.col("overall_after") - F.col("overall_before"), 6) > 0.002, 2).collect()}
+    first = {r.page_id: r.score for r in A.report(Q.audit_of(e, F.col("shown"))).select("page_id", Q.overall("").alias("score")).collect()}
+    on = spark.createDataFrame([(p, r.on) for p, r in got.items()], "page_id bigint, on array<int>")
+    last = {r.page_id: (r.score, r.issues) for r in A.report(Q.audit_of(e.drop("shown").join(on, "page_id"), F.array_contains("on", F.col("pos")))).select("page_id", Q.overall("").alias("score"), "issues").collect()}
+    shown = {}
+    for r in e.where("shown").select("page_id", "pos").collect():
+        shown.setdefault(r.page_id, set()).add(r.pos)
+    assert set(got) == set(first) and any(r.kept for r in got.values())
+    for p, r in got.items():
+        assert (r.best, r.issues) == last[p] and set(r.on) >= shown[p] and len(set(r.on) - shown[p]) <= 3 * r.kept
+        assert r.best >= first[p] + 0.002 * r.kept - 1e-9 and (r.kept > 0 or set(r.on) == shown[p]) and r.rounds <= 2
