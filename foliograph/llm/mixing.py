@@ -1,4 +1,4 @@
-"""Mixing to target weights with soft domain membership, in built-in functions only."""
+"""Mixing to target weights with soft domain membership, in built-in functions and Spark's own regression only: no row leaves the JVM."""
 
 from __future__ import annotations
 
@@ -6,17 +6,20 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, let, stored, words_of
+from ._common import cut, let, spare, stored, words_of
 
 #: The classifier is fitted on so many labelled rows at most, chosen by a hash of the row.
 FIT_ROWS = 20_000
-#: The features that tell domains apart best, by more than this G statistic, have a weight of their own, so many; all others share this many weights by a hash.
-FEATURES, OWN_G, SHARED = 256, 20.0, 4096
-#: The steps of a fit; how far one moves an own and a shared weight.
-FIT_STEPS, RATE, SHARED_RATE, DECAY = 30, 0.4, 0.002, 1e-5
+#: Features are told apart by a hash of so many values; the penalty of large weights against all rows together, so that few rows make small weights; the steps of a fit at most.
+HASHED, PENALTY, FIT_STEPS = 1 << 16, 0.2, 50
+#: A domain with fewer labelled rows than this isn't told by words: its probability is its share of all labelled rows.
+LEAST_ROWS = 10
 #: Steps for the rates at most; they end before at this residual.
 STEPS, TOLERANCE = 25, 1e-3
 SEED = 11
@@ -48,94 +51,37 @@ def features(text: Column) -> Column:
     return let(F.split(F.lower(text), "[ \\t-\\r.,;:]+"), of)
 
 
-def _numbers(values: Sequence[float]) -> Column:
-    """array<double> as one constant."""
-    return F.split(F.lit(",".join(f"{x:.6g}" for x in values)), ",").cast("array<double>")
-
-
-def _logs(had: Column, rows: Sequence[Sequence[float]], k: int) -> Column:
-    """For each domain the sum of row 0, the constant, and of the rows whose numbers are in had: one fold for all domains."""
-    weights = [_numbers([row[i] for row in rows]) for i in range(k)]
-    start = F.struct(*(F.lit(float(rows[0][i])).alias(f"s{i}") for i in range(k)))
-    return F.aggregate(had, start, lambda acc, f: F.struct(*((acc[f"s{i}"] + F.get(weights[i], f)).alias(f"s{i}") for i in range(k))), lambda acc: F.array(*(acc[f"s{i}"] for i in range(k))))
-
-
-def _texts(values: Sequence[str]) -> Column:
-    """array<string> as one constant."""
-    return F.split(F.lit(chr(0).join(values)), chr(0)) if values else F.array().cast("array<string>")
-
-
-def _coded(found: Column) -> Column:
-    return F.transform(found, lambda f: F.xxhash64(F.lit(SEED), f))
-
-
-#: Slots of the table by which a hash finds its own weight.
-SLOTS = 1 << 14
-
-
-def _slots(codes: Sequence[int]) -> tuple[int, list[int]]:
-    """(shift, table): the number of each code, from 1, at its bits from shift on, so that no two share a slot; codes that can't be told apart so keep the first."""
-    best: tuple[int, dict[int, int]] = (0, {})
-    for shift in range(50):
-        at: dict[int, int] = {}
-        for i, c in enumerate(codes, 1):
-            at.setdefault((c >> shift) & (SLOTS - 1), i)
-        best = (shift, at) if len(at) > len(best[1]) else best
-        if len(at) == len(codes):
-            break
-    return best[0], [best[1].get(i, 0) for i in range(SLOTS)]
-
-
-def _rows_of(found: Column, own_codes: Sequence[int], shared: int) -> Column:
-    """The numbers of a text's features among the weights: 1 and on for those with own_codes, then those of the shared weights. Features meet by a 64-bit hash."""
-
-    def rest(h: Column) -> Column:
-        return (F.pmod(h, F.lit(shared)) + len(own_codes) + 1).cast("int")
-
-    if not own_codes:
-        return F.transform(found, lambda f: let(F.xxhash64(F.lit(SEED), f), rest))
-    shift, table = _slots(own_codes)
-    own = F.split(F.lit("0," + ",".join(map(str, own_codes))), ",").cast("array<bigint>")  # constants
-    slots = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-
-    def of(h: Column) -> Column:
-        return let(F.get(slots, F.shiftright(h, shift).bitwiseAND(F.lit(SLOTS - 1)).cast("int")), lambda i: F.when((i > 0) & (F.get(own, i) == h), i).otherwise(rest(h)))
-
-    return F.transform(F.transform(found, lambda f: F.xxhash64(F.lit(SEED), f)), of)
-
-
-def _softmax(logs: Column) -> Column:
-    def normal(x: Column) -> Column:
-        raised = F.transform(x, lambda y: F.exp(y - F.array_max(x)))
-        return let(raised, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda y: y / total)))
-
-    return let(logs, normal)
-
-
 @dataclass(frozen=True)
 class Classifier:
-    """Log scores of domains: score[d], plus weight[f][d] of every feature f in weight that a text has, plus shared[h][d] of the hash h of every other one."""
+    """The share of each domain in the labelled rows, and a regression over the domains (their numbers are in told) that have enough of them."""
 
     domains: tuple[str, ...]
-    score: tuple[float, ...]
-    weight: Mapping[str, tuple[float, ...]]
-    shared: tuple[tuple[float, ...], ...] = ()
-    codes: tuple[int, ...] = ()  # the hashes of the features in weight
+    shares: tuple[float, ...]
+    told: tuple[int, ...] = ()
+    model: LogisticRegressionModel | None = None
+
+    def with_posterior(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+        """df with out_col, array<double>: the probability of each domain."""
+        if self.model is None:
+            return df.withColumn(out_col, F.array(*map(F.lit, self.shares)))
+        found, hashed, p = spare(df, "found", "hashed", "p")
+        model = self.model.copy().setFeaturesCol(hashed).setProbabilityCol(p).setRawPredictionCol("").setPredictionCol("")
+        judged = model.transform(_hashing(found, hashed).transform(df.withColumn(found, features(F.col(f"`{text_col}`")))))
+        at, left = {d: k for k, d in enumerate(self.told)}, sum(self.shares[d] for d in self.told)
+        each = F.array(*(left * F.get(F.col(p), F.lit(at[d])) if d in at else F.lit(self.shares[d]) for d in range(len(self.domains))))
+        return judged.withColumn(p, vector_to_array(p)).withColumn(out_col, each).drop(found, hashed, p)
+
 
-    def posterior(self, text: Column) -> Column:
-        """array<double>: the probability of each domain."""
-        if not self.shared:
-            return _softmax(F.array(*(F.lit(float(x)) for x in self.score)))
-        had = let(features(text), lambda found: _rows_of(found, self.codes, len(self.shared)))
-        rows = [self.score, *self.weight.values(), *self.shared]
-        return _softmax(let(had, lambda x: _logs(x, rows, len(self.domains))))
+def _hashing(found: str, hashed: str) -> HashingTF:
+    return HashingTF(numFeatures=HASHED, binary=True, inputCol=found, outputCol=hashed)
 
 
-def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", domains: Sequence[str] | None = None, fit_rows: int = FIT_ROWS, n_features: int = FEATURES) -> Classifier:
-    """A logistic regression over all features; the n_features that tell domains apart best, by their G statistic, have own weights.
+def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", domains: Sequence[str] | None = None, fit_rows: int = FIT_ROWS) -> Classifier:
+    """A multinomial logistic regression over all features, by a quasi-Newton method until it converges.
 
     labelled has id_col and domain_col; rows of it without a domain or without a text don't count. At most about
-    fit_rows rows are used. What reaches the driver are the weights' slopes and a count for each domain.
+    fit_rows rows are used. A step is one aggregate over them; what reaches the driver are the weights' slopes and a
+    count for each domain.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labelled.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain")).where("domain IS NOT NULL"), "id").where("text IS NOT NULL")
     if domains is not None:
@@ -143,53 +89,18 @@ def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, fit_rows / max(1, labelled.count()))
     sample = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     parts = df.sparkSession.sparkContext.defaultParallelism
-    known = cut(sample.repartition(parts).select("domain", features(F.col("text")).alias("f")))
+    known = cut(sample.repartition(parts).select("domain", features(F.col("text")).alias("found")))
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     names = tuple(domains) if domains is not None else tuple(sorted(sizes))
     n = sum(sizes.values())
-    if n == 0:
-        return Classifier(names, tuple(0.0 for _ in names), {})
-    have = [F.count_if(F.col("domain") == d).alias(f"d{k}") for k, d in enumerate(names)]
-    table = known.select("domain", F.explode("f").alias("feature")).groupBy("feature").agg(F.count("*").alias("all"), *have)
-
-    def g(k: int, d: str) -> Column:
-        def part(seen: Column, expected: Column) -> Column:
-            return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
-
-        with_it, size = F.col(f"d{k}").cast("double"), float(sizes.get(d, 0))
-        return part(with_it, F.col("all") * size / n) + part(size - with_it, (n - F.col("all")) * size / n)
-
-    score = sum((g(k, d) for k, d in enumerate(names) if sizes.get(d)), F.lit(0.0))
-    best = [r["feature"] for r in table.withColumn("g", score).where(F.col("g") > OWN_G).orderBy(F.desc("g"), "feature").limit(n_features).select("feature").collect()]
-    start = tuple(math.log((sizes.get(d, 0) + 1) / (n + len(names))) for d in names)
-    return _descend(known, Classifier(names, start, {f: (0.0,) * len(names) for f in best}), n)
-
-
-def _descend(known: DataFrame, model: Classifier, n: int) -> Classifier:
-    """Multinomial logistic regression by Adam on the whole fitted sample; a step is one aggregate of a row for each feature.
-
-    Slopes are summed as whole numbers of 1e-9, so their sums don't depend on the order of rows.
-    """
-    own, k = list(model.weight), len(model.domains)
-    codes = tuple(known.sparkSession.range(1).select(_coded(_texts(own))).first()[0])
-    rows = cut(known.select("domain", _rows_of(F.col("f"), codes, SHARED).alias("had")))
-    w = [list(model.score), *([0.0] * k for _ in range(len(own) + SHARED))]  # row 0 is the constant
-    first, second = [[0.0] * k for _ in w], [[0.0] * k for _ in w]
-    for step in range(1, FIT_STEPS + 1):
-        p = _softmax(_logs(F.col("had"), w, k))
-        off = F.array(*(F.round(1e9 * (F.get("p", F.lit(i)) - (F.col("domain") == d).cast("double"))).cast("long") for i, d in enumerate(model.domains)))
-        judged = rows.select(p.alias("p"), "domain", "had").select(off.alias("off"), F.concat(F.array(F.lit(0)), F.col("had")).alias("had"))
-        each = judged.select("off", F.explode("had").alias("f"))  # apart, or p would be computed for each feature
-        slope = {r["f"]: r for r in each.groupBy("f").agg(*(F.sum(F.get("off", F.lit(i))).alias(f"g{i}") for i in range(k))).collect()}
-        for f, x in enumerate(w):
-            for i in range(k):
-                g = (slope[f][f"g{i}"] / 1e9 if f in slope else 0.0) / n + (DECAY * x[i] if f else 0.0)
-                first[f][i] = 0.9 * first[f][i] + 0.1 * g
-                second[f][i] = 0.99 * second[f][i] + 0.01 * g * g
-                rate = RATE if f <= len(own) else SHARED_RATE
-                x[i] -= rate * (first[f][i] / (1 - 0.9**step)) / (math.sqrt(second[f][i] / (1 - 0.99**step)) + 1e-8)
-    at = [tuple(round(y, 9) for y in x) for x in w]
-    return Classifier(model.domains, at[0], dict(zip(own, at[1:], strict=False)), tuple(at[len(own) + 1 :]), codes)
+    shares = tuple((sizes.get(d, 0) + 1) / (n + len(names)) for d in names)
+    told = tuple(i for i, d in enumerate(names) if sizes.get(d, 0) >= LEAST_ROWS)
+    if len(told) < 2:
+        return Classifier(names, shares)
+    label = F.element_at(F.create_map(*(x for k, i in enumerate(told) for x in (F.lit(names[i]), F.lit(float(k))))), F.col("domain"))
+    rows = known.where(F.col("domain").isin(*(names[i] for i in told))).withColumn("label", label)
+    regression = LogisticRegression(featuresCol="hashed", labelCol="label", family="multinomial", regParam=PENALTY / n, maxIter=FIT_STEPS, standardization=False)
+    return Classifier(names, shares, told, regression.fit(_hashing("found", "hashed").transform(rows).select("label", "hashed")))
 
 
 def _rate(p: Column, steps: Sequence[Sequence[float]], once: int | None = None) -> Column:
@@ -275,7 +186,7 @@ def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col
     Tokens are words. copies is rate rounded up or down by a hash of id and text, with an expectation of rate. residual,
     the same in every row, is how far the expected totals are from the targets, as a share of them. A null or empty text
     has no tokens and is judged like a text with no words. Repeated rows get equal results. An empty df gives no
-    rows; with no labelled rows the domains are equally likely. An out_col already there is replaced, other columns pass
+    rows; with no labelled rows the domains are equally likely, and a domain with few has its share as its probability. An out_col already there is replaced, other columns pass
     through, whatever their names. Posteriors are computed once and stored by columns next to the row in the shared
     folder; the sums that fit the rates read those columns alone. A text of any length is one row.
 
@@ -287,8 +198,9 @@ def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col
     model = fit(df, labelled, id_col, text_col, domain_col, domains, fit_rows)
     text = F.col(f"`{text_col}`")
     chance = F.pmod(F.xxhash64(F.lit(SEED), F.col(f"`{id_col}`"), text), F.lit(1 << 52)) / float(1 << 52)
-    p = F.transform(model.posterior(text), lambda x: F.round(x, 9))
-    judged = df.withColumn(out_col, F.struct(F.size(words_of(text)).cast("long").alias("n_tokens"), p.alias("p"), chance.alias("u")))
+    (posterior_col,) = spare(df, "posterior")
+    p = F.transform(posterior_col, lambda x: F.round(x, 9))
+    judged = model.with_posterior(df, text_col, posterior_col).withColumn(out_col, F.struct(F.size(words_of(text)).cast("long").alias("n_tokens"), p.alias("p"), chance.alias("u"))).drop(posterior_col)
     judged = stored(judged if with_text else judged.drop(text_col))
     rates = solve(judged.select(f"{out_col}.*"), [targets[d] for d in domains], scale, kept, once)
 
