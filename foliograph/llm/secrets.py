@@ -40,6 +40,12 @@ LONGEST, LEAST = 24, 3
 KIND = math.log10(7)
 DATES, YEARS, KEYS, TURN, SEQUENCES = math.log10(365 * 120), math.log10(120), math.log10(47), math.log10(5), math.log10(2 * 62)
 
+# How values look that name something else: a time, a placeholder; and an address, a path or a reference in code, which is as hard to guess as its hardest part.
+TIME = re.compile(r"\d{4}-?\d\d-?\d\d(?:[T_ ]?\d\d:?\d\d(?::?\d\d(?:[.,]\d+)?)?(?:Z|[+-]\d\d:?\d\d)?)?", re.ASCII)
+PLACEHOLDER = re.compile(r"[$%]?[{(<\[]+\s*[\w.: -]+\s*[})>\]]+|\$\w+|%\w+%", re.ASCII)
+NAMED = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?:~|\.{1,2}|[A-Za-z]:)?(?:[/\\][\w.+-]+){2,}[/\\]?|[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+[\[(]?\S*", re.ASCII)
+PART = re.compile(r"[\w+]+")
+
 PLACES = {key: (r, c) for r, both in enumerate(ROWS) for row in both for c, key in enumerate(row)}
 
 
@@ -163,6 +169,15 @@ def guess_cost(value: str, words: Mapping[str, int] | None = None) -> float:
     return _cost(value, words)
 
 
+def value_cost(value: str, words: Mapping[str, int] | None = None) -> float:
+    """guess_cost(), but 0 for times and placeholders, and for addresses, paths and references in code that of their hardest part."""
+    if TIME.fullmatch(value) or PLACEHOLDER.fullmatch(value):
+        return 0.0
+    if NAMED.fullmatch(value):
+        return max((guess_cost(p, words) for p in PART.findall(value)), default=0.0)
+    return guess_cost(value, words)
+
+
 @cache
 def _default(path: str) -> _Memo:
     return _Memo(ranked_words(path))
@@ -193,7 +208,7 @@ def more_spans(text: str, base: list[tuple[int, int, int]], hard: float = HARD,
         k = bisect_left(starts, b)
         return not k or reach[k - 1] <= a
 
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if free(m.start(1), m.end(1)) and guess_cost(m[1], _default(path)) >= hard]
+    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if free(m.start(1), m.end(1)) and value_cost(m[1], _default(path)) >= hard]
 
 
 def scan(text: str | None, path: str = VOCABULARY) -> dict:

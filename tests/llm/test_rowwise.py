@@ -172,6 +172,16 @@ industrial inflation information infrastructure initiative institution instructi
 investment invitation knowledge laboratory landscape language leadership legislation literature maintenance management manufacturing marketing mathematics measurement medicine""".split()
 
 
+@pytest.mark.parametrize("text", ["login: someone.else@example.org", "login: https://example.com/signin", "pin: 2024-01-31T10:00:00Z", "credentials: /home/user/.aws/credentials", 'secret = os.environ["API_KEY_NAME"]', "private_key: ./config/keys/server.pem", "pwd: ${DATABASE_PASSWORD}", "bearer <your-access-token>", "passphrase = settings.auth.passphrase"])
+def test_what_names_something_else_is_no_secret(text):
+    assert "guess" not in S.scan(text)["spans"]
+
+
+@pytest.mark.parametrize("value", ["xK9#mQ2$vL7!pW4z", "https://example.com/hook/Zk3vQ9xT7mB2wR8sLp4Y", "/aB3xQ9zK/Lm7vT2wR/pY5nD8sF1gH6jC4"])
+def test_hard_values_are_secrets_wherever_they_stand(value):
+    assert f"guess:5:{5 + len(value)}" in S.scan(f"pwd: {value}")["spans"]
+
+
 def test_ordinary_words_are_no_secrets():
     assert len(ORDINARY) >= 200
     for shape in ("login: {}", "pin = {}", "bearer {}", "credentials: {}."):
