@@ -128,6 +128,12 @@ def covered(a: DataFrame, b: DataFrame, share: float, how: str = "left_semi") ->
     return a.join(right, (F.col("page_id") == F.col("b_page")) & (F.col("pos") != F.col("b_pos")) & (G.coverage(G.box(), G.box("b_")) >= share), how)
 
 
+def covering(a: DataFrame, b: DataFrame, share: float, how: str = "left_semi") -> DataFrame:
+    """The rows of a that cover so much of a b of the page; or, with left_anti, the others."""
+    right = b.select(F.col("page_id").alias("b_page"), *(F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
+    return a.join(right, (F.col("page_id") == F.col("b_page")) & (G.coverage(G.box("b_"), G.box()) >= share), how)
+
+
 def overlapping(a: DataFrame, b: DataFrame, cell: float = 96.0) -> DataFrame:
     """Pairs whose insides meet, through a grid: rows meet in the cells that both touch, and count in the first of those."""
 

@@ -21,11 +21,11 @@ def overlap_of(a: Column, b: Column) -> Column:
     return common / F.greatest(F.least(size(a), size(b)), F.lit(1.0))
 
 
-def select_greedily(df: DataFrame, order: list[str], clashes: Callable[[Column, Column], Column], fields: list[str]) -> DataFrame:
-    """(page_id, pos) of rows taken in order, each unless it clashes with one taken before."""
+def select_greedily(df: DataFrame, order: list[str], clashes: Callable[[Column, Column], Column], fields: list[str], most: int | None = None) -> DataFrame:
+    """(page_id, pos) of rows taken in order, each unless it clashes with one taken before; `most` of a page if that is given."""
     pages = ordered(df, order, ["pos", *fields])
     kind = pages.schema["rows"].dataType.simpleString()
-    taken = F.aggregate("rows", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: clashes(y, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    taken = F.aggregate("rows", F.array().cast(kind), lambda acc, x: F.when((F.size(acc) >= (most or 2**31 - 1)) | F.exists(acc, lambda y: clashes(y, x)), acc).otherwise(F.concat(acc, F.array(x))))
     return pages.select("page_id", F.explode(taken).alias("x")).select("page_id", F.col("x.pos").alias("pos"))
 
 

@@ -13,10 +13,13 @@ from ..operators import edges as E
 from ..operators import audit as A
 from ..operators import inpaint, pieces
 from ..operators import palette as C
+from ..operators import relations as R
+from ..operators import stats as T
 from ..operators import strokes as S
+from ..operators.images import to_png
 from ..session import cut
 from ..sources.pictures import MOSAICS, lettered, mosaics, per_image, painted, pictures, placed, spread
-from ..sources.views import ELEMENTS, elements, ocr_lines
+from ..sources.views import ELEMENTS, elements, ocr_lines, rich
 from .loops import accepted, errors, regressed
 from .registry import query
 
@@ -328,3 +331,74 @@ def critic_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revision_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same loop with the whole predicate of versions: a round is a version that is taken or not."""
     return rounds(_first(spark, sf_dir), accepted, 3).drop("on")
+
+
+# rules that ask what elements look like
+
+def element_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible elements with a role, their boxes in pixels, and what is measured in their picture."""
+    e = placed(spark, sf_dir, W, H).where("visible")
+    boxes = e.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "element_id", "type", "x1", "y1", "x2", "y2"))).alias("elements"))
+    measured = T.element_stats(pictures(spark, sf_dir).join(boxes, "page_id"))
+    named = rich(spark, sf_dir).select("page_id", "element_id", "role")
+    return e.select("page_id", "pos", "element_id", "type", "x1", "y1", "x2", "y2").join(measured, ["page_id", "element_id"]).join(named, ["page_id", "element_id"]).withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")})
+
+
+@query("fil13_measured_solid")
+def measured_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small, filled decorations of one strong colour."""
+    return element_stats(spark, sf_dir).where("w >= 3 AND h >= 3 AND pixels >= 9 AND fill >= 0.75 AND saturation >= 45 AND delta >= 40 AND alike >= 0.8").select("page_id", "pos")
+
+
+@query("fil14_measured_icon")
+def measured_icon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements named as icons whose crop is opaque: filled, but not of one colour."""
+    return element_stats(spark, sf_dir).where("lower(role) RLIKE 'icon|badge|emblem|decorative' AND w >= 12 AND h >= 12 AND fill >= 0.85 AND 1 - alike > 0.15").select("page_id", "pos")
+
+
+@query("ras09_measured_artwork")
+def measured_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an image is dense artwork rather than a smooth wash: full, and with edges or varied colours."""
+    s = element_stats(spark, sf_dir).where("type = 'image'")
+    return s.select("page_id", "pos", F.expr("fill >= 0.85 AND (edges / greatest(1, w * h) >= 0.025 OR spread >= 18)").alias("dense"))
+
+
+@query("ras51_measured_visual")
+def measured_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a module holds more than text: pixels off the page's colour, edges outside its texts, or a visual that lies in it."""
+    s = element_stats(spark, sf_dir)
+    held = R.covering(s.where("type = 'rectangle'"), s.where("type IN ('image', 'ellipse')"), 0.6).select("page_id", "pos").withColumn("held", F.lit(True))
+    enough = F.expr("differs > 0 AND delta >= 8 OR edges >= greatest(24, 0.001 * w * h)")
+    return s.where("type = 'rectangle'").join(held, ["page_id", "pos"], "left").select("page_id", "pos", (enough | F.coalesce("held", F.lit(False))).alias("visual"))
+
+
+@query("ras06_measured_ghosting")
+def measured_ghosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalty of each page's first reconstruction for edges that appear in its texts' boxes."""
+    e = placed(spark, sf_dir, W, H).where("visible")
+    texts = e.where("type = 'text'").groupBy("page_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("texts"))
+    both = painted(e, F.lit(True), W, H).join(painted(e, F.expr(FIRST), W, H).select("page_id", F.col("data").alias("preview")), "page_id").join(texts, "page_id", "left")
+
+    def of(image: np.ndarray, preview: bytes, texts: list[dict] | None) -> dict:
+        mask = np.zeros(image.shape[:2], bool)
+        for t in texts or []:
+            mask[max(0, t["y1"]) : max(0, t["y2"]), max(0, t["x1"]) : max(0, t["x2"])] = True
+        return {"penalty": [T.ghosting(image, np.frombuffer(preview, np.uint8).reshape(image.shape), mask)]}
+
+    return per_image(both, [("penalty", pa.float64())], of)
+
+
+@query("snk03_rgba_preview")
+def rgba_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preview of each page with opacities, as a PNG: its digest, and the sums of its channels."""
+    e = placed(spark, sf_dir, W, H).where("visible").withColumn("alpha", (96 + F.col("element_id") * 37 % 160).cast("int"))
+    layers = spread(e.select("page_id", F.struct("z_index", "pos", "type", "x1", "y1", "x2", "y2", "rgb", "alpha").alias("s")), "page_id").groupBy("page_id").agg(F.sort_array(F.collect_list("s")).alias("layers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [T.composited(W, H, s.as_py()) for s in batch.column(1)]
+            sums = [m.reshape(-1, 3).sum(0, dtype=np.int64) for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_png(m) for m in made]), *(pa.array([int(s[k]) for s in sums]) for k in range(3))], names=["page_id", "png", "red", "green", "blue"])
+
+    out = layers.mapInArrow(run, "page_id bigint, png binary, red bigint, green bigint, blue bigint")
+    return out.select("page_id", F.sha2("png", 256).alias("sha256"), F.length("png").alias("size"), "red", "green", "blue")

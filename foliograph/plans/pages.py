@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import relations as R
 from ..operators import scores as C
 from ..operators import sequence as Q
-from ..sources.views import ELEMENTS, OCR_LINES, elements, ocr_lines
+from ..sources.views import ELEMENTS, OCR_LINES, RICH, elements, ocr_lines, rich
 from .geometry import AREA_A, AREA_B, CX, CY, EDGES, H, INTER, W
 from .registry import add, query
 from .relations import EDITED, IMAGES, RECTS, TEXTS, A, B, edited, q
@@ -112,17 +112,30 @@ simple("win07_draw_order", lambda e: e.where("visible").select("page_id", "pos",
 _BOX_OF = ", ".join(f"{c} := {c}" for c in EDGES)
 
 
-def greedy_sql(order: str, least: str) -> str:
+def greedy_sql(order: str, least: str, frm: str = "e", more: str = "", most: int | None = None) -> str:
     """A recursion over a page's rows in order that carries the boxes taken so far."""
     common = "greatest(least(r.x2, b.x2) - greatest(r.x1, b.x1), 0) * greatest(least(r.y2, b.y2) - greatest(r.y1, b.y1), 0) / greatest(least((r.x2 - r.x1) * (r.y2 - r.y1), (b.x2 - b.x1) * (b.y2 - b.y1)), 1.0)"
-    return f"""WITH RECURSIVE {ELEMENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS i FROM e),
+    return f"""WITH RECURSIVE {ELEMENTS}{more}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS i FROM {frm}),
     g AS (SELECT page_id, i, pos, [struct_pack({_BOX_OF})] AS kept, true AS ok FROM r WHERE i = 1
       UNION ALL SELECT page_id, i, pos, CASE WHEN ok THEN list_append(kept, me) ELSE kept END, ok FROM (
-        SELECT r.page_id, r.i, r.pos, g.kept, struct_pack(x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2) AS me, len([b FOR b IN g.kept IF {common} >= {least}]) = 0 AS ok FROM g JOIN r ON g.page_id = r.page_id AND r.i = g.i + 1))
+        SELECT r.page_id, r.i, r.pos, g.kept, struct_pack(x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2) AS me, len([b FOR b IN g.kept IF {common} >= {least}]) = 0{f" AND len(g.kept) < {most}" if most else ""} AS ok FROM g JOIN r ON g.page_id = r.page_id AND r.i = g.i + 1))
     SELECT page_id, pos FROM g WHERE ok"""
 
 
 add("win09_greedy_selection", lambda s, d: Q.select_greedily(elements(s, d), ["pos"], lambda a, b: Q.overlap_of(a, b) >= 0.05, BOX), greedy_sql("pos", "0.05"))
+#: Image owners of a page at most; a box that covers so much of a wide title's text is none.
+OWNERS, TITLE_SHARE, TITLE_WIDTH = 40, 0.55, 240.0
+_TITLED = f""", {RICH}, t AS (SELECT page_id, x1, y1, x2, y2 FROM x WHERE type = 'text' AND role = 'title' AND width >= {TITLE_WIDTH / 2}),
+    o AS (SELECT * FROM e WHERE type <> 'text' AND NOT EXISTS (SELECT 1 FROM t WHERE t.page_id = e.page_id AND greatest(least(t.x2, e.x2) - greatest(t.x1, e.x1), 0) * greatest(least(t.y2, e.y2) - greatest(t.y1, e.y1), 0) / greatest((t.x2 - t.x1) * (t.y2 - t.y1), 1.0) >= {TITLE_SHARE}))"""
+
+
+def planned_owners(elements: DataFrame, titles: DataFrame, most: int = OWNERS) -> DataFrame:
+    """(page_id, pos): boxes that become image owners, in order: none that covers a title, none that meets one before it, so many at most."""
+    return Q.select_greedily(R.covering(elements, titles, TITLE_SHARE, "left_anti"), ["pos"], lambda a, b: Q.overlap_of(a, b) >= 0.05, BOX, most)
+
+
+# titles of these pages are half as wide as those of slides
+add("win09_planned_owners", lambda s, d: planned_owners(elements(s, d).where("type <> 'text'"), rich(s, d).where(f"type = 'text' AND role = 'title' AND width >= {TITLE_WIDTH / 2}"), 9), greedy_sql("pos", "0.05", "o", _TITLED, 9))
 add("win10_container_selection", lambda s, d: Q.select_greedily(elements(s, d).withColumn("size", -F.col("width") * F.col("height")), ["size", "pos"], lambda a, b: Q.overlap_of(a, b) >= 0.75, BOX), greedy_sql("-(width * height), pos", "0.75"))
 add("set09_candidate_dedup", lambda s, d: Q.select_greedily(elements(s, d).withColumn("sure", -F.col("confidence")), ["sure", "pos"], lambda a, b: Q.overlap_of(a, b) >= 0.85, BOX), greedy_sql("-confidence, pos", "0.85"))
 

@@ -141,3 +141,35 @@ def test_rounds_are_kept_only_if_they_better_a_page(spark):
     for p, r in got.items():
         assert (r.best, r.issues) == last[p] and set(r.on) >= shown[p] and len(set(r.on) - shown[p]) <= 3 * r.kept
         assert r.best >= first[p] + 0.002 * r.kept - 1e-9 and (r.kept > 0 or set(r.on) == shown[p]) and r.rounds <= 2
+
+
+def test_stats_of_elements():
+    from foliograph.operators import stats as T
+
+    two = shape(5, "image", 100, 100, 140, 130, 0xD02020)
+    image = drawn(W, H, [*ALL, two, {**two, "x1": 120, "rgb": 0x20D020}])
+    got = T.stats_of(image, [*ALL, two, shape(6, "image", 200, 10, 230, 20, 0)])
+    by = {i: {n: got[n][k] for n in got} for k, i in enumerate(got["element_id"])}
+    assert by[1]["pixels"] == 2400 and by[1]["fill"] == 1.0 and by[1]["alike"] == 1.0 and by[1]["delta"] == 255 - 0x20 and by[1]["spread"] == 0.0
+    assert by[1]["saturation"] == (2 * 255 * (0xB0 - 0x20) + 0xB0) // (2 * 0xB0)
+    assert by[5]["alike"] in (0.5, 0.0) and by[5]["spread"] > 80 and by[5]["edges"] >= 25
+    assert by[3]["differs"] == 0 and by[3]["edges"] == 0  # a text's own pixels are left out
+    assert by[6]["pixels"] == 0 and by[6]["fill"] == 0.0 and by[6]["differs"] == 0
+
+
+def test_ghosting_and_layers():
+    from foliograph.operators import stats as T
+
+    text = np.zeros((H, W), bool)
+    text[85:115, 15:105] = True
+    source, ghost = drawn(W, H, ALL[:2]), drawn(W, H, ALL[:3])
+    assert T.ghosting(source, source, text) == 0 and T.ghosting(ghost, source, text) == 0 and 0 < T.ghosting(source, ghost, text) <= 0.3
+    layers = [{**ALL[0], "alpha": 128}, {**ALL[1], "x1": 50, "alpha": 255}, {**ALL[3], "alpha": 64}, {**ALL[0], "x1": -9, "x2": 5, "alpha": 0}]
+    got = T.composited(W, H, layers)
+    plain = np.full((H, W, 3), 255)
+    for s in layers:
+        inside = np.zeros((H, W), bool)
+        inside[max(0, s["y1"]) : s["y2"], max(0, s["x1"]) : s["x2"]] = A.shown(s, H, W)
+        for c, shift in enumerate((16, 8, 0)):
+            plain[..., c] = np.where(inside, ((s["rgb"] >> shift & 255) * s["alpha"] + plain[..., c] * (255 - s["alpha"]) + 127) // 255, plain[..., c])
+    assert (got == plain).all() and (got[30, 100] == [0xC0, 0x30, 0x20]).all() and (got[5, 2] == 255).all()
