@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
+from ..operators import assets as A2
 from ..operators import audit as A
 from ..operators import inpaint, pieces
 from ..operators import palette as C
@@ -21,7 +22,9 @@ from ..session import cut
 from ..sources.pictures import MOSAICS, lettered, mosaics, per_image, painted, pictures, placed, spread
 from ..sources.views import ELEMENTS, elements, ocr_lines, rich
 from .loops import accepted, errors, regressed
+from .pages import planned_owners
 from .registry import query
+from .rules import admissible
 
 W, H = 480, 270
 LOW, HIGH = 50, 150
@@ -402,3 +405,15 @@ def rgba_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = layers.mapInArrow(run, "page_id bigint, png binary, red bigint, green bigint, blue bigint")
     return out.select("page_id", F.sha2("png", 256).alias("sha256"), F.length("png").alias("size"), "red", "green", "blue")
+
+
+@query("ras37_planned_assets")
+def planned_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan end to end: modules that are admissible as images, snapped to regions, each in place of what it owns unless one before it or a title is in the way; cut out, without their editable texts."""
+    e = placed(spark, sf_dir, W, H).join(rich(spark, sf_dir).select("page_id", "pos", "role"), ["page_id", "pos"])
+    modules = e.join(admissible(rich(spark, sf_dir)), ["page_id", "pos"]).where("visible AND strategy IN ('cutout_image', 'mixed_component')")
+    boxes = A2.snapped_boxes(modules, e.where("visible AND type = 'image'"))
+    titles = e.where(f"type = 'text' AND role = 'title' AND x2 - x1 >= {W / 4}")
+    owners = boxes.join(planned_owners(boxes, titles), ["page_id", "pos"]).select("page_id", "pos", "strategy", "x1", "y1", "x2", "y2")
+    found = A2.held(owners, e.where("visible"))
+    return A2.cut_out(pictures(spark, sf_dir), owners.join(found, ["page_id", "pos"]))

@@ -146,8 +146,6 @@ simple("srt04_first_best", lambda e: e.groupBy("page_id").agg(F.min_by("pos", F.
 simple("srt05_page_names", lambda e: e.select("page_id").distinct().select("page_id", F.row_number().over(Window.partitionBy(F.floor(F.col("page_id") / 100)).orderBy(F.regexp_extract(F.concat(F.lit("page_"), F.col("page_id").cast("string")), "(\\d+)$", 1).cast("int"))).alias("nth")), "SELECT page_id, CAST(row_number() OVER (PARTITION BY floor(page_id / 100.0) ORDER BY page_id) AS INT) AS nth FROM (SELECT DISTINCT page_id FROM e)")
 
 # versions
-_LATEST = f"WITH {ELEMENTS} SELECT group_id, max(element_id) AS last, arg_max(type, element_id) AS type, count(*) AS events FROM e WHERE group_id IS NOT NULL GROUP BY group_id"
-_METRICS = "SELECT page_id, CAST(sum(CAST(x2 <= 960 AND y2 <= 540 AS INT)) AS BIGINT) AS inside, count_if(suppressed) AS bad, count(*) AS n"
 
 
 add("sta06_discard", lambda s, d: edited(elements(s, d)).select("page_id", "pos").join(elements(s, d).select("page_id", "pos"), ["page_id", "pos"], "left_anti"), f"WITH {ELEMENTS}{EDITED} SELECT page_id, pos FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.page_id = f.page_id AND e.pos = f.pos)")

@@ -34,8 +34,6 @@ def pair(name: str, run, sql: str) -> None:
     add(name, lambda spark, sf_dir: run(both(spark, sf_dir)), f"{CTE} {sql}")
 
 
-
-
 def diff() -> Column:
     return F.col("v") - F.col("w")
 
@@ -77,6 +75,3 @@ add("itr03_holes", lambda s, d: P.components(pixels(s, d), F.expr("v < 136")).gr
 # shapes, profiles, audits
 _ELLIPSE = "(px - 3.5) * (px - 3.5) / 12.25 + (py - 3.5) * (py - 3.5) / 9.0 <= 1.0"
 tile("ras49_ellipse_mask", lambda p: p.where(_ELLIPSE).groupBy("page_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), f"SELECT page_id, count(*) AS n, avg(v) AS mean FROM px WHERE {_ELLIPSE} GROUP BY page_id")
-DOMINANT = "SELECT page_id, CAST(max(n) AS DOUBLE) / sum(n) AS share, count(*) AS parts FROM (SELECT page_id, label, count(*) AS n FROM l GROUP BY page_id, label) GROUP BY page_id"
-
-

@@ -173,3 +173,27 @@ def test_ghosting_and_layers():
         for c, shift in enumerate((16, 8, 0)):
             plain[..., c] = np.where(inside, ((s["rgb"] >> shift & 255) * s["alpha"] + plain[..., c] * (255 - s["alpha"]) + 127) // 255, plain[..., c])
     assert (got == plain).all() and (got[30, 100] == [0xC0, 0x30, 0x20]).all() and (got[5, 2] == 255).all()
+
+
+def test_planned_assets(spark):
+    """Crops without their editable texts, clear around a single ellipse; partly images with much text are none; owners are capped and give way."""
+    from foliograph.operators import assets as P
+    from foliograph.plans.pages import planned_owners
+
+    image = drawn(W, H, [shape(1, "image", 20, 20, 120, 80, 0x2050B0), shape(2, "ellipse", 150, 20, 200, 70, 0xC03020), shape(3, "text", 40, 40, 60, 48, 0)])
+    owner = {"pos": 1, "strategy": "cutout_image", "x1": 20, "y1": 20, "x2": 120, "y2": 80, "z": 3, "others": 0, "texts": [{"pos": 3, "x1": 40, "y1": 40, "x2": 60, "y2": 48}], "ellipses": []}
+    got = P.crop_of(image, owner)
+    mask = (25, 13)  # the text's box, two pixels wider each way and one more at its ends
+    assert got["cleaned"] and got["painted"] == 0 and got["text_share"] == round(mask[0] * mask[1] / 6000, 6) and (got["z"], got["texts"], got["clear"]) == (4, 1, 0)
+    plain = P.crop_of(drawn(W, H, [shape(1, "image", 20, 20, 120, 80, 0x2050B0)]), {**owner, "texts": []})
+    assert got["sha256"] == plain["sha256"]  # nothing of the text is left
+    wide = {**owner, "texts": [{"pos": 3, "x1": 20, "y1": 20, "x2": 110, "y2": 60}]}
+    assert not P.crop_of(image, wide)["cleaned"] and P.crop_of(image, {**wide, "strategy": "mixed_component"}) is None
+    disc = {**owner, "x1": 150, "x2": 200, "y2": 70, "texts": [], "ellipses": [{"pos": 2, "x1": 150, "y1": 20, "x2": 200, "y2": 70}]}
+    assert P.crop_of(image, disc)["clear"] == 2500 - int(A.shown(shape(2, "ellipse", 150, 20, 200, 70, 0), H, W).sum()) and P.crop_of(image, {**disc, "others": 1})["clear"] == 0
+    assert P.crop_of(image, {**owner, "x1": 300, "x2": 320}) is None
+
+    rows = [(0, k, 40.0 * k, 0.0, 40.0 * k + 30, 30.0) for k in range(6)] + [(0, 6, 5.0, 5.0, 25.0, 25.0)]
+    boxes = spark.createDataFrame(rows, "page_id bigint, pos int, x1 double, y1 double, x2 double, y2 double")
+    titles = spark.createDataFrame([(0, 82.0, 2.0, 110.0, 20.0)], "page_id bigint, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r.pos for r in planned_owners(boxes, titles).collect()) == [0, 1, 3, 4, 5] and sorted(r.pos for r in planned_owners(boxes, titles, 2).collect()) == [0, 1]
