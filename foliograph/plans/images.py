@@ -19,6 +19,7 @@ from ..operators import stats as T
 from ..operators import strokes as S
 from ..operators.images import to_png
 from ..session import cut
+from ..sources import providers as P
 from ..sources.pictures import MOSAICS, lettered, mosaics, per_image, painted, pictures, placed, spread
 from ..sources.views import ELEMENTS, elements, ocr_lines, rich
 from .loops import accepted, errors, regressed
@@ -417,3 +418,23 @@ def planned_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = boxes.join(planned_owners(boxes, titles), ["page_id", "pos"]).select("page_id", "pos", "strategy", "x1", "y1", "x2", "y2")
     found = A2.held(owners, e.where("visible"))
     return A2.cut_out(pictures(spark, sf_dir), owners.join(found, ["page_id", "pos"]))
+
+
+# engines without a model, through the registries that users plug others into
+
+@query("udf02_marching_painter")
+def marching_painter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's picture without the boxes of its texts, by the first painter that is available."""
+    texts = placed(spark, sf_dir, W, H).where("visible AND type = 'text'").groupBy("page_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
+    made = P.INPAINTING.apply(pictures(spark, sf_dir).join(texts, "page_id", "left"), ["missing", "marching"])
+    return made.select("page_id", "width", "height", "painted", F.sha2("data", 256).alias("sha256"))
+
+
+@query("udf04_contour_layout")
+def contour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.LAYOUT.apply(pictures(spark, sf_dir), ["missing", "contours"])
+
+
+@query("udf05_piece_segments")
+def piece_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.SEGMENTS.apply(pictures(spark, sf_dir), ["missing", "pieces"])

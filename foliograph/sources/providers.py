@@ -1,7 +1,9 @@
 """What a user may plug in: recognisers, painters, layout and segment finders, vision models, text cleaners, by name.
 
-A provider is a class whose objects say whether they can run and turn a batch of rows into a batch of rows. It is made
-once in each task, on the executor, so a model is loaded there and never shipped; rows go through in Arrow batches.
+A provider is a class that says whether it can run, and whose objects turn a batch of rows into a batch of rows. What it
+returns and whether it is available are asked of the class; an object is made once in each task, on the executor, so a
+model is loaded there and never shipped. Rows go through in Arrow batches. Beside stand-ins for models there are engines
+without one: a painter, a layout finder and a segment finder over whole images.
 """
 
 from __future__ import annotations
@@ -9,17 +11,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import ClassVar, Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..operators import edges, inpaint, pieces
+
 
 class Provider(Protocol):
-    """name: what a registry knows it by; schema: what run() returns; an object that isn't ready is passed over."""
+    """name: what a registry knows it by; schema: what run() returns; one that isn't available is passed over."""
 
     name: ClassVar[str]
     schema: ClassVar[str]
 
-    def ready(self) -> bool: ...
+    @classmethod
+    def available(cls) -> bool: ...
 
     def run(self, rows: pd.DataFrame) -> pd.DataFrame: ...
 
@@ -36,10 +42,10 @@ class Registry:
         self.made[name] = make
 
     def take(self, names: list[str]) -> tuple[str, Callable[[], Provider]]:
-        """The first of names that is there and ready."""
+        """The first of names that is there and available. Classes are asked without an object being made; of another factory one is made and asked."""
         for name in names:
-            if name in self.made and self.made[name]().ready():
-                return name, self.made[name]
+            if (make := self.made.get(name)) and (make if hasattr(make, "available") else make()).available():
+                return name, make
         raise LookupError(f"no {self.kind} among {names} is ready")
 
     def apply(self, df: DataFrame, names: list[str]) -> DataFrame:
@@ -51,14 +57,15 @@ class Registry:
             for rows in batches:
                 yield provider.run(rows)
 
-        return df.mapInPandas(run, make().schema)
+        return df.mapInPandas(run, (make if hasattr(make, "schema") else make()).schema)
 
 
 OCR, INPAINTING, VISION, LAYOUT, SEGMENTS, CLEANERS = (Registry(k) for k in ("recogniser", "painter", "vision model", "layout finder", "segment finder", "text cleaner"))
 
 
 class _Ready:
-    def ready(self) -> bool:
+    @classmethod
+    def available(cls) -> bool:
         return True
 
 
@@ -67,7 +74,8 @@ class Missing:
 
     name, schema = "missing", "page_id bigint"
 
-    def ready(self) -> bool:
+    @classmethod
+    def available(cls) -> bool:
         return False
 
     def run(self, rows: pd.DataFrame) -> pd.DataFrame:
@@ -129,6 +137,62 @@ class Spaces(_Ready):
         return pd.DataFrame({"page_id": rows["page_id"], "pos": rows["pos"], "text": rows["text"].str.strip().str.upper()})
 
 
+def _image(row: pd.Series) -> np.ndarray:
+    data = np.frombuffer(row["data"], np.uint8)
+    return data.reshape(row["height"], row["width"], -1) if len(data) != row["height"] * row["width"] else data.reshape(row["height"], row["width"])
+
+
+class Marching(_Ready):
+    """Paints the boxes of each image: flat surroundings by their median, others from the rim inwards. Returns the image."""
+
+    name, schema = "marching", "page_id bigint, width int, height int, data binary, painted bigint"
+
+    def run(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in rows.iterrows():
+            image = _image(r)
+            mask = np.zeros(image.shape[:2], bool)
+            for b in r["boxes"] if r["boxes"] is not None else []:
+                mask[max(0, b["y1"]) : max(0, b["y2"]), max(0, b["x1"]) : max(0, b["x2"])] = True
+            painted, n = inpaint.cleaned(image, mask)
+            out.append((r["page_id"], r["width"], r["height"], painted.tobytes(), n))
+        return pd.DataFrame(out, columns=["page_id", "width", "height", "data", "painted"])
+
+
+class Contours(_Ready):
+    """Regions of a page: the boxes of its outermost contours that are 1.5 % of it and more, the largest first."""
+
+    name, schema = "contours", "page_id bigint, nth int, role string, x int, y int, width int, height int"
+
+    def run(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in rows.iterrows():
+            image = _image(r)
+            boxes = []
+            for points, outermost in edges.borders(edges.canny(image, 60, 160)):
+                (x1, y1), (x2, y2) = np.min(points, axis=0).tolist(), np.max(points, axis=0).tolist()
+                w, h = x2 - x1 + 1, y2 - y1 + 1
+                if outermost and w * h >= r["width"] * r["height"] * 0.015 and w >= 24 and h >= 18:
+                    boxes.append((w * h, x1, y1, w, h))
+            for k, (_, x, y, w, h) in enumerate(sorted(boxes, key=lambda b: (-b[0], b[2], b[1]))[:40]):
+                out.append((r["page_id"], k + 1, "wide_region" if w / h > 2.8 else "tall_region" if w / h < 0.35 else "content_region", x, y, w, h))
+        return pd.DataFrame(out, columns=["page_id", "nth", "role", "x", "y", "width", "height"]).astype({c: "int32" for c in ("nth", "x", "y", "width", "height")})
+
+
+class Pieces(_Ready):
+    """Segments of a page: its pieces off the ground's colour, with the first of each one's group."""
+
+    name, schema = "pieces", "page_id bigint, piece int, x1 int, y1 int, x2 int, y2 int, pixels bigint, root int"
+
+    def run(self, rows: pd.DataFrame) -> pd.DataFrame:
+        columns = ["piece", "x1", "y1", "x2", "y2", "pixels", "root"]
+        parts = [pd.DataFrame({"page_id": r["page_id"], **{c: v for c, v in pieces.pieces_of(_image(r), np.zeros((r["height"], r["width"]), bool)).items() if c in columns}}) for _, r in rows.iterrows()]
+        out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["page_id", *columns])
+        return out[["page_id", *columns]].astype({c: "int64" if c in ("pixels", "page_id") else "int32" for c in out.columns if c in ("page_id", *columns)})
+
+
 for _registry, _class in ((OCR, WordBoxes), (INPAINTING, MeanPaint), (VISION, TypeVision), (LAYOUT, Halves), (SEGMENTS, Boxes), (CLEANERS, Spaces)):
     _registry.add("missing", Missing)
     _registry.add(_class.name, _class)
+for _registry, _class in ((INPAINTING, Marching), (LAYOUT, Contours), (SEGMENTS, Pieces)):
+    _registry.add(_class.name, _class)

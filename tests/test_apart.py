@@ -50,3 +50,26 @@ def test_providers_are_taken_in_order(spark):
     df = spark.createDataFrame([(1, 2, "line", 0.9), (1, 3, "image", 0.7)], "page_id bigint, pos int, type string, confidence double")
     assert sorted(tuple(r) for r in kind.apply(df, ["broken", "fine"]).collect()) == [(1, 2, "a line", 0.5), (1, 3, "a image", 0.7)]
     assert kind.apply(df.where("false"), ["fine"]).count() == 0
+
+
+def test_engines_over_images(spark):
+    """The class is asked, not an object; a painter leaves nothing of a text, regions and segments are those drawn."""
+    from foliograph.sources.pictures import drawn
+
+    class Costly(providers.Marching):
+        def __init__(self):
+            raise AssertionError("made on the driver")
+
+    kind = providers.Registry("painter")
+    kind.add("costly", Costly)
+    assert kind.take(["costly"])[0] == "costly"
+    box = {"type": "rectangle", "x1": 20, "y1": 20, "x2": 120, "y2": 80, "rgb": 0x2050B0}
+    text = {"type": "text", "x1": 40, "y1": 30, "x2": 70, "y2": 40, "rgb": 0}
+    rows = [(7, 160, 100, drawn(160, 100, [box, text]).tobytes(), [{"x1": 40, "y1": 30, "x2": 70, "y2": 40}])]
+    df = spark.createDataFrame(rows, "page_id bigint, width int, height int, data binary, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    (r,) = providers.INPAINTING.apply(df, ["missing", "marching"]).collect()
+    assert r.data == drawn(160, 100, [box]).tobytes() and r.painted == 0
+    (r,) = providers.LAYOUT.apply(df, ["contours"]).collect()
+    assert (r.nth, r.role) == (1, "content_region") and abs(r.x - 20) <= 1 and abs(r.width - 100) <= 2
+    assert [(r.x1, r.y1, r.x2, r.y2, r.pixels, r.root) for r in providers.SEGMENTS.apply(df, ["pieces"]).collect()] == [(20, 20, 120, 80, 6000, 0)]
+    assert providers.SEGMENTS.apply(df.where("false"), ["pieces"]).count() == 0 and providers.LAYOUT.apply(df.where("false"), ["contours"]).count() == 0
