@@ -209,6 +209,57 @@ add(
     SELECT event_id, coalesce(json_extract_string(raw, '$.issues[0].elementId'), json_extract_string(raw, '$.issues[0].element_id')) AS element, lower(json_extract_string(raw, '$.issues[0].oldTextGhosting')) IN ('true', 'yes', '1') AS ghost,
       CASE WHEN said = 'high' THEN 0.9 WHEN said LIKE '%\\%' ESCAPE '\\' THEN CAST(left(said, len(said) - 1) AS DOUBLE) / 100 ELSE CAST(said AS DOUBLE) END AS layout FROM t""",
 )
+_MODULE = """'{' || CASE event_id % 3 WHEN 0 THEN '"id":"m' || event_id || '"' WHEN 1 THEN '"moduleId":"n' || event_id || '"' ELSE '"id":"i' || user_id || '","moduleId":"k"' END || ',"bbox":' || CASE event_id % 4 WHEN 0 THEN '[1,2.5,' || (user_id % 90) || ',40.25]' WHEN 1 THEN '{"left":3,"top":4,"width":50,"height":6.5}' WHEN 2 THEN '"none"' ELSE '[1,2,3]' END
+  || ',"visualComplexity":' || CASE event_id % 7 WHEN 0 THEN '"High"' WHEN 1 THEN '2' WHEN 2 THEN '0.4' WHEN 3 THEN '"x"' WHEN 4 THEN '7' WHEN 5 THEN 'null' ELSE '-1' END || ',"strategy":' || CASE event_id % 5 WHEN 0 THEN '"image"' WHEN 1 THEN '"odd"' WHEN 2 THEN 'null' WHEN 3 THEN '"hybrid"' ELSE '"cutout_image"' END || '}'"""
+_SCORES = {"low": 0.2, "medium": 0.5, "high": 0.8}
+
+
+def scene_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the first forty modules of a scene's plan: its id by either name, its box from four edges or four fields, its score from a word or a number, and a strategy that counts; one without a box is dropped alone."""
+    raw = table(spark, sf_dir, "events").select(F.expr("event_id div 60").alias("scene"), "event_id", F.expr(_MODULE.replace("VARCHAR", "STRING")).alias("raw"))
+    m = raw.withColumn("nth", F.row_number().over(Window.partitionBy("scene").orderBy("event_id"))).where("nth <= 40")
+    at = lambda name: F.get_json_object("raw", f"$.{name}")
+    edges, fields = F.from_json(at("bbox"), "array<double>"), F.from_json(at("bbox"), "left double, top double, width double, height double")
+    from_edges = F.when(at("bbox").startswith("[") & (F.size(edges) == 4), F.struct(F.get(edges, F.lit(0)).alias("left"), F.get(edges, F.lit(1)).alias("top"), F.round(F.get(edges, F.lit(2)) - F.get(edges, F.lit(0)), 6).alias("width"), F.round(F.get(edges, F.lit(3)) - F.get(edges, F.lit(1)), 6).alias("height")))
+    box = F.coalesce(from_edges, F.when(at("bbox").startswith("{"), fields))
+    number = at("visualComplexity").try_cast("double")
+    share = F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((number > 1) & (number <= 3), number / 3).otherwise(number))))
+    score = F.coalesce(S.lookup(F.lower(at("visualComplexity")), _SCORES, F.lit(None).cast("double")), share, F.lit(0.5))
+    named = S.lookup(at("strategy"), MODULE_ALIAS, at("strategy"))
+    return m.withColumn("box", box).where("box IS NOT NULL").select("scene", "event_id", F.coalesce(at("id"), at("moduleId")).alias("id"), "box.*", F.round(score, 6).alias("complexity"), F.when(named.isin(*MODULE_STRATEGIES), named).otherwise("editable").alias("strategy"))
+
+
+_NAMED = of(MODULE_ALIAS, "said", "said")
+add(
+    "sca37_scene_modules",
+    scene_modules,
+    f"""WITH r AS (SELECT event_id // 60 AS scene, event_id, {_MODULE} AS raw, row_number() OVER (PARTITION BY event_id // 60 ORDER BY event_id) AS nth FROM events),
+    j AS (SELECT scene, event_id, coalesce(json_extract_string(raw, '$.id'), json_extract_string(raw, '$.moduleId')) AS id, json_extract(raw, '$.bbox') AS b, lower(json_extract_string(raw, '$.visualComplexity')) AS c, json_extract_string(raw, '$.strategy') AS said FROM r WHERE nth <= 40),
+    k AS (SELECT *, json_type(b) = 'ARRAY' AND json_array_length(b) = 4 AS four, TRY_CAST(c AS DOUBLE) AS n FROM j)
+    SELECT scene, event_id, id, CASE WHEN four THEN CAST(b[0] AS DOUBLE) ELSE CAST(json_extract(b, '$.left') AS DOUBLE) END AS "left", CASE WHEN four THEN CAST(b[1] AS DOUBLE) ELSE CAST(json_extract(b, '$.top') AS DOUBLE) END AS top,
+      CASE WHEN four THEN round(CAST(b[2] AS DOUBLE) - CAST(b[0] AS DOUBLE), 6) ELSE CAST(json_extract(b, '$.width') AS DOUBLE) END AS width, CASE WHEN four THEN round(CAST(b[3] AS DOUBLE) - CAST(b[1] AS DOUBLE), 6) ELSE CAST(json_extract(b, '$.height') AS DOUBLE) END AS height,
+      round(CASE c WHEN 'low' THEN 0.2 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.8 ELSE CASE WHEN n IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, CASE WHEN n > 1 AND n <= 3 THEN n / 3 ELSE n END)) END END::DOUBLE, 6) AS complexity, CASE WHEN {_NAMED} IN {MODULE_STRATEGIES!r} THEN {_NAMED} ELSE 'editable' END AS strategy
+    FROM k WHERE four OR json_type(b) = 'OBJECT'""",
+)
+_ISSUES = """'{"issues":[' || CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{"elementId":"a' || user_id || '","problem":"p0"}' WHEN 2 THEN '7,{"element_id":' || user_id || ',"oldTextGhosting":"Yes"}' WHEN 3 THEN '{"elementId":"","element_id":"b","oldTextGhosting":0},null,{"problem":"p1","oldTextGhosting":true},"x"' ELSE '{"elementId":"c","element_id":"d","oldTextGhosting":"off"},{"elementId":"e' || event_id || '","oldTextGhosting":"1"},[1]' END || ']}'"""
+
+
+def critic_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every issue of a critic's payload, numbered as it is kept: what isn't an object is dropped, the element by either name, a yes or no in any spelling if there is one."""
+    raw = table(spark, sf_dir, "events").select("event_id", F.expr(_ISSUES.replace("VARCHAR", "STRING")).alias("raw"))
+    kept = F.filter(F.from_json("raw", "issues array<string>")["issues"], lambda x: x.startswith("{"))
+    rows = raw.select("event_id", F.posexplode(kept).alias("nth", "issue"))
+    at = lambda name: F.get_json_object("issue", f"$.{name}")
+    return rows.select("event_id", "nth", F.coalesce(F.nullif(at("elementId"), F.lit("")), at("element_id")).alias("element"), at("problem").alias("problem"), F.lower(at("oldTextGhosting")).isin("true", "yes", "1").alias("ghost"))
+
+
+add(
+    "sca39_critic_issues",
+    critic_issues,
+    f"""WITH r AS (SELECT event_id, json_extract({_ISSUES}, '$.issues[*]') AS xs FROM events),
+    k AS (SELECT event_id, [x FOR x IN xs IF json_type(x) = 'OBJECT'] AS xs FROM r), u AS (SELECT event_id, CAST(n AS INTEGER) AS nth, xs[n + 1] AS x FROM (SELECT event_id, xs, unnest(range(0, len(xs))) AS n FROM k))
+    SELECT event_id, nth, coalesce(nullif(json_extract_string(x, '$.elementId'), ''), json_extract_string(x, '$.element_id')) AS element, json_extract_string(x, '$.problem') AS problem, lower(json_extract_string(x, '$.oldTextGhosting')) IN ('true', 'yes', '1') AS ghost FROM u""",
+)
 _ELEMENT = """'{"id":"e' || event_id || '","confidence":' || CASE event_id % 4 WHEN 0 THEN '0.5' WHEN 1 THEN '1.7' WHEN 2 THEN '"x"' ELSE '1' END || ',"role":' || CASE event_id % 3 WHEN 0 THEN '"title"' WHEN 1 THEN '7' ELSE '"label"' END || CASE WHEN event_id % 6 = 0 THEN ',"ocrId":"o' || user_id || '"' ELSE '' END || '}'"""
 
 
