@@ -76,3 +76,51 @@ def composited(width: int, height: int, layers: Sequence[dict]) -> np.ndarray:
         else:
             box[:] = mixed
     return out.astype(np.uint8)
+
+
+#: What a masked share of pixels and edges counts for in the scores of a page: (pixels, edges).
+SHARES = {"text": (0.35, 0.65), "layout": (0.25, 0.75), "component": (0.45, 0.55), "background": (0.7, 0.3)}
+#: How much an element's region counts for.
+WEIGHTS = {"main_title": 3.0, "text": 2.0, "image": 1.5}
+SCORE = [("what", pa.string()), ("element_id", pa.int64()), ("score", pa.float64()), ("weight", pa.float64())]
+
+
+def alike(source: np.ndarray, preview: np.ndarray, mask: np.ndarray | None = None) -> tuple[float, float]:
+    """How alike two images are in the mask: by their colours and by their edges, from 0 to 1; 1 where there is nothing to compare."""
+    if mask is not None and not mask.any():
+        return 1.0, 1.0
+    off = np.abs(source.astype(np.int64) - preview.astype(np.int64))
+    edges = canny(source, 60, 160) != canny(preview, 60, 160)
+    return max(0.0, 1 - float((off if mask is None else off[mask]).mean()) / 255), 1 - float((edges if mask is None else edges[mask]).mean())
+
+
+def page_scores(source: np.ndarray, preview: np.ndarray, elements: Sequence[dict]) -> list[tuple]:
+    """(what, element, score, weight): text, layout, component and background of the page, its colour and ghosting, and a region for each element."""
+    h, w = source.shape[:2]
+    masks = {n: np.zeros((h, w), bool) for n in ("text", "component")}
+    out: list[tuple] = []
+    for e in elements:
+        box = slice(max(0, e["y1"]), max(0, e["y2"])), slice(max(0, e["x1"]), max(0, e["x2"]))
+        masks["text" if e["type"] == "text" else "component"][box] = True
+        a, b = source[box], preview[box]
+        if min(a.shape[:2]) >= 2:
+            pixel, edge = alike(a, b)
+            out.append(("region", e["element_id"], pixel * 0.35 + edge * 0.65, WEIGHTS.get(e["role"]) or WEIGHTS.get(e["type"], 1.0)))
+    masks["layout"] = masks["text"] | masks["component"]
+    masks["background"] = ~masks["layout"]
+    for what, (p, q) in SHARES.items():
+        pixel, edge = alike(source, preview, masks[what])
+        out.append((what, None, pixel * p + edge * q, None))
+    some = masks["layout"] if masks["layout"].any() else np.ones((h, w), bool)
+    off = float(np.linalg.norm(source[some].mean(0, dtype=float) - preview[some].mean(0, dtype=float)))
+    return [*out, ("colour", None, max(0.0, 1 - off / (255 * np.sqrt(3))), None), ("ghosting", None, ghosting(source, preview, masks["text"]), None)]
+
+
+def image_scores(images: DataFrame) -> DataFrame:
+    """page_id and SCORE; images have preview (data of an image of its size) and elements, array<struct<element_id, type, role, x1, y1, x2, y2>>."""
+
+    def of(source: np.ndarray, preview: bytes, elements: list[dict] | None) -> dict:
+        rows = page_scores(source, np.frombuffer(preview, np.uint8).reshape(source.shape), elements or [])
+        return {n: [r[k] for r in rows] for k, (n, _) in enumerate(SCORE)}
+
+    return per_image(images, SCORE, of)

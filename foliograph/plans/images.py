@@ -24,7 +24,7 @@ from ..sources.pictures import MOSAICS, lettered, mosaics, per_image, painted, p
 from ..sources.views import ELEMENTS, elements, ocr_lines, rich
 from .loops import accepted, errors, regressed
 from .pages import planned_owners
-from .registry import query
+from .registry import QUERIES, query
 from .rules import admissible
 
 W, H = 480, 270
@@ -438,3 +438,21 @@ def contour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("udf05_piece_segments")
 def piece_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.SEGMENTS.apply(pictures(spark, sf_dir), ["missing", "pieces"])
+
+
+@query("agg09_measured_overall")
+def measured_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overall score of each page's first reconstruction and what it is made of: regions by weight, texts, components, layout, colour and ground as measured, the page's structure, and penalties for ghosts, twins and overlapping texts."""
+    e = placed(spark, sf_dir, W, H).where("visible").join(rich(spark, sf_dir).select("page_id", "pos", "role"), ["page_id", "pos"])
+    boxes = e.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "element_id", "type", "role", "x1", "y1", "x2", "y2"))).alias("elements"))
+    both = painted(e, F.lit(True), W, H).join(painted(e, F.expr(FIRST), W, H).select("page_id", F.col("data").alias("preview")), "page_id").join(boxes, "page_id")
+    rows = T.image_scores(both)
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("score")))
+    region = F.col("what") == "region"
+    weighed = F.sum(F.when(region, F.col("score") * F.col("weight"))) / F.greatest(F.lit(1.0), F.sum(F.when(region, F.col("weight"))))
+    made = rows.groupBy("page_id").agg(*(of(w).alias(w) for w in ("text", "layout", "component", "background", "colour", "ghosting")), weighed.alias("critical"))
+    overlaps = QUERIES["set07_text_overlap"](spark, sf_dir).groupBy("page_id").agg(F.least(F.lit(0.2), 0.04 * F.count("*")).alias("overlap"))
+    structure = QUERIES["agg07_structure"](spark, sf_dir).select("page_id", F.col("score").alias("structure"))
+    all_ = made.join(structure, "page_id", "left").join(QUERIES["agg11_badge_penalty"](spark, sf_dir), "page_id", "left").join(overlaps, "page_id", "left").na.fill(0.0, ["structure", "penalty", "overlap"]).withColumn("critical", F.coalesce("critical", "layout"))
+    total = 0.23 * F.col("critical") + 0.18 * F.col("text") + 0.14 * F.col("component") + 0.10 * F.col("layout") + 0.05 * F.col("colour") + 0.05 * F.col("background") + 0.25 * F.col("structure") - F.col("ghosting") - F.col("penalty") - F.col("overlap")
+    return all_.select("page_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("overall"), *(F.round(c, 4).alias(c) for c in ("critical", "text", "component", "layout", "colour", "background", "structure", "ghosting", "penalty", "overlap")))

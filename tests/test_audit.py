@@ -197,3 +197,26 @@ def test_planned_assets(spark):
     boxes = spark.createDataFrame(rows, "page_id bigint, pos int, x1 double, y1 double, x2 double, y2 double")
     titles = spark.createDataFrame([(0, 82.0, 2.0, 110.0, 20.0)], "page_id bigint, x1 double, y1 double, x2 double, y2 double")
     assert sorted(r.pos for r in planned_owners(boxes, titles).collect()) == [0, 1, 3, 4, 5] and sorted(r.pos for r in planned_owners(boxes, titles, 2).collect()) == [0, 1]
+
+
+def test_scores_of_a_page():
+    from foliograph.operators import stats as T
+
+    parts = [{**s, "role": "main_title" if s["type"] == "text" else "x"} for s in ALL]
+    source = drawn(W, H, parts)
+    same = {(r[0], r[1]): r[2:] for r in T.page_scores(source, source, parts)}
+    assert all(score == (0.0 if what == "ghosting" else 1.0) for (what, _), (score, _) in same.items())
+    assert {i: w for (what, i), (_, w) in same.items() if what == "region"} == {1: 1.5, 2: 1.0, 3: 3.0, 4: 1.0}
+    lost = drawn(W, H, parts[1:])
+    got = {(r[0], r[1]): r[2] for r in T.page_scores(source, lost, parts)}
+    off = np.abs(source.astype(int) - lost.astype(int))
+    edges = T.canny(source, 60, 160) != T.canny(lost, 60, 160)
+    mask = np.zeros((H, W), bool)
+    for s in (ALL[0], ALL[1], ALL[3]):
+        mask[s["y1"] : s["y2"], s["x1"] : s["x2"]] = True
+    assert got["component", None] == pytest.approx(0.45 * (1 - off[mask].mean() / 255) + 0.55 * (1 - edges[mask].mean()))
+    assert got["text", None] == got["region", 2] == got["region", 3] == 1.0 and got["region", 1] < 0.9 and got["background", None] > got["component", None]
+    mean = np.linalg.norm(source[mask | (got is None)].mean(0) - lost[mask].mean(0)) / (255 * np.sqrt(3))
+    assert 0 < 1 - got["colour", None] <= mean  # the text's box is in it, and the same
+    empty = {r[0]: r[2] for r in T.page_scores(source, source, [])}
+    assert empty["text"] == empty["component"] == 1.0 and "region" not in empty
