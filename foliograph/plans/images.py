@@ -13,6 +13,7 @@ from ..operators import edges as E
 from ..operators import assets as A2
 from ..operators import audit as A
 from ..operators import inpaint, pieces
+from ..operators import objects as O
 from ..operators import palette as C
 from ..operators import relations as R
 from ..operators import stats as T
@@ -456,3 +457,11 @@ def measured_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = made.join(structure, "page_id", "left").join(QUERIES["agg11_badge_penalty"](spark, sf_dir), "page_id", "left").join(overlaps, "page_id", "left").na.fill(0.0, ["structure", "penalty", "overlap"]).withColumn("critical", F.coalesce("critical", "layout"))
     total = 0.23 * F.col("critical") + 0.18 * F.col("text") + 0.14 * F.col("component") + 0.10 * F.col("layout") + 0.05 * F.col("colour") + 0.05 * F.col("background") + 0.25 * F.col("structure") - F.col("ghosting") - F.col("penalty") - F.col("overlap")
     return all_.select("page_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("overall"), *(F.round(c, 4).alias(c) for c in ("critical", "text", "component", "layout", "colour", "background", "structure", "ghosting", "penalty", "overlap")))
+
+
+@query("ras30_objectized")
+def objectized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's picture as objects where only texts and shapes have owners: its panels, its round assets, and what is left in groups of pieces."""
+    e = placed(spark, sf_dir, W, H).where("visible AND type IN ('text', 'rectangle', 'line')")
+    boxes = e.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "type", "x1", "y1", "x2", "y2"))).alias("elements"))
+    return O.objectized(pictures(spark, sf_dir).join(boxes, "page_id", "left"))
