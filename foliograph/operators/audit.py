@@ -18,6 +18,7 @@ from .edges import labels, saturation
 from .pieces import border_colour, closed, stroke
 
 INT = np.int64
+# The levels, counts and shares in the measures and rules below are those by which reconstructions are judged.
 
 
 def summed(mask: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ from .audit import components, windowed
 from .edges import borders, corners, labels, saturation
 from .pieces import border_colour, pieces_of
 
+# The levels, counts and shares in the rules below.
 Box = tuple[int, int, int, int]
 
 

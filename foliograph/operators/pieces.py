@@ -13,6 +13,9 @@ from ..sources.pictures import per_image
 from .edges import canny, labels
 
 
+# The levels, counts and shares in the rules below.
+
+
 def border_colour(image: np.ndarray) -> np.ndarray:
     """The median of the commonest of the border's colours, which are told apart in 16 steps."""
     band = max(2, min(image.shape[:2]) // 100)

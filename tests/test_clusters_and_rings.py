@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliograph.operators import palette as C
@@ -130,3 +131,27 @@ def test_rings_as_all_pairs(spark):
     assert {(r.page_id, r.a_pos): (r.distance2, r.b_pos) for r in got} == want and len(got) == len(want)
     pairs = sum(1 for a in rows for b in rows if a[0] == b[0] == 3 and a[2] == b[2] and a[1] != b[1])
     assert sum(r.looked for r in got if r.page_id == 3) < pairs / 2
+
+
+def test_palette_of_tiles_as_plain_loops(spark):
+    from foliograph.plans import QUERIES
+    from foliograph.sources.views import pixels
+
+    sf, tiles = "/root/testdata/sf0.001", {}
+    for r in pixels(spark, sf).collect():
+        tiles.setdefault(r.page_id, []).append(float(r.v))
+    got = {r.page_id: r for r in QUERIES["agg17_palette"](spark, sf).collect()}
+    assert set(got) == set(tiles)
+    for p, values in tiles.items():
+        v = sorted(values)
+        k = max(2, min(6, len(set(v)) // 8))
+        means = [v[int(i * (len(v) - 1) / (k - 1))] for i in range(k)]
+        for _ in range(30):
+            near = [min(range(k), key=lambda i: (abs(x - means[i]), i)) for x in v]  # noqa: B023
+            again = [float(np.mean([x for x, i in zip(v, near, strict=True) if i == c])) if c in near else means[c] for c in range(k)]
+            if again == means:
+                break
+            means = again
+        main = means[max(range(k), key=lambda c: (near.count(c), -c))]  # noqa: B023
+        accent = means[max(range(k), key=lambda c: (abs(means[c] - main), -c))]  # noqa: B023
+        assert (got[p].clusters, got[p].dominant, got[p].dark, got[p].accent) == (k, *(pytest.approx(x) for x in (main, min(means), accent)))
