@@ -17,7 +17,7 @@ from ._common import cut, let, spare, stored, words_of
 #: The classifier is fitted on so many labelled rows at most, chosen by a hash of the row.
 FIT_ROWS = 20_000
 #: Features are told apart by a hash of so many values; the penalty of large weights against all rows together, so that few rows make small weights; the steps of a fit at most.
-HASHED, PENALTY, FIT_STEPS = 1 << 16, 0.2, 50
+HASHED, PENALTY, FIT_STEPS = 1 << 14, 1.0, 50
 #: A domain with fewer labelled rows than this isn't told by words: its probability is its share of all labelled rows.
 LEAST_ROWS = 10
 #: Steps for the rates at most; they end before at this residual.
