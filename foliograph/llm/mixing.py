@@ -64,7 +64,7 @@ class Classifier:
         """df with out_col, array<double>: the probability of each domain."""
         if self.model is None:
             return df.withColumn(out_col, F.array(*map(F.lit, self.shares)))
-        found, hashed, p = spare(df, "found", "hashed", "p")
+        found, hashed, p = spare(df.withColumn(out_col, F.lit(None)), "found", "hashed", "p")
         model = self.model.copy().setFeaturesCol(hashed).setProbabilityCol(p).setRawPredictionCol("").setPredictionCol("")
         judged = model.transform(_hashing(found, hashed).transform(df.withColumn(found, features(F.col(f"`{text_col}`")))))
         at, left = {d: k for k, d in enumerate(self.told)}, sum(self.shares[d] for d in self.told)
