@@ -233,8 +233,9 @@ def media_column(df: DataFrame, bytes_col: str, declared_col: str | None = None,
     """df with out_col: struct<kind, media_type, corrected, found: array<struct<kind, start, end>>, carved: array<binary>>.
 
     found has every confirmed file in the value, carved the bytes of those that don't start at 0. Null or empty
-    values have no kind and empty lists. Rows are independent: repeats get equal results and other columns pass
-    through; an out_col already there is replaced.
+    values have no kind and empty lists, and keep what was declared. A value of any length is read whole. Rows are
+    independent: repeats get equal results, an empty df stays empty, and other columns pass through, whatever their
+    names; an out_col already there is replaced.
     """
     kinds = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     fields = pa.struct([("kind", pa.string()), ("media_type", pa.string()), ("corrected", pa.bool_()), ("found", pa.list_(kinds)), ("carved", pa.list_(pa.binary()))])

@@ -410,3 +410,16 @@ def test_token_attribution(rule):
 def test_token_sections(spark):
     got = T.token_counts(spark.createDataFrame([("a b\nc\n",)], "text string")).select("token_counts.*").first()
     assert (got["starts"], got["ends"]) == ([0, 4], [4, 6]) and sum(got["tokens"]) == got["n_tokens"]
+
+
+def test_media_and_ids_of_odd_rows(odd, nothing):
+    """Null, empty and very long values, repeats, empty tables, and columns with names that the operators use."""
+    df = odd.select("*", F.col("text").cast("binary").alias("data"), F.lit("image/png").alias("media_in"), F.lit(1).alias("media"))
+    got = M.media_column(df, "data", "media_in").select("id", "data", "media.*", "media_in").collect()
+    assert len(got) == odd.count() and all(r.media_in == "image/png" and r.carved == [] and r.found == [] for r in got)
+    assert all(r.kind is None and (r.media_type, r.corrected) == ("image/png", False) for r in got)
+    assert M.media_column(nothing.withColumn("data", F.col("text").cast("binary")), "data").count() == 0
+    ids = odd.select("*", F.when(F.col("text").isNotNull(), F.transform(F.split("text", " "), lambda w: F.lit(5))).alias("ids"), F.lit(2).alias("ids_in"), F.lit(3).alias("ids_out"))
+    back = P.decode_column(ids, "ids", "back").collect()
+    assert len(back) == odd.count() and all((r.ids_in, r.ids_out) == (2, 3) and (r.back == "") == (r.ids is None) for r in back)
+    assert P.decode_column(ids.where("false"), "ids", "back").count() == 0
