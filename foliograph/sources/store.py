@@ -52,7 +52,9 @@ def may_be_fetched(name: Column) -> Column:
 
 
 def repaired_urls(elements: DataFrame, kept: DataFrame) -> DataFrame:
-    """elements with src pointing at a kept file of the same name where one is; kept has name and url."""
+    """elements with src pointing at a kept file of the same name where one is; kept has name and url. Other columns pass through, whatever their names."""
+    taken = {c.lower() for c in elements.columns}
+    own, new = (next(n for k in range(len(taken) + 1) if (n := "_" * k + base) not in taken) for base in ("kept_name", "kept_url"))
+    found = kept.select(F.col("name").alias(own), F.col("url").alias(new))
     name = F.regexp_extract("src", r"([^/?]+)(?:\?.*)?$", 1)
-    own = elements.withColumn("__name", name).join(kept.select(F.col("name").alias("__name"), "url"), "__name", "left")
-    return own.withColumn("src", F.coalesce("url", "src")).drop("__name", "url")
+    return elements.withColumn(own, name).join(found, own, "left").withColumn("src", F.coalesce(new, "src")).drop(own, new)

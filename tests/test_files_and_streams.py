@@ -38,3 +38,10 @@ def test_stream_of_pages(spark, tmp_path):
     state = spark.read.parquet(str(tmp_path / "state"))
     assert state.count() == rows.select("page_id", "pos").distinct().count()
     assert state.agg(F.max("ts")).first()[0] == rows.agg(F.max("ts")).first()[0]
+
+
+def test_repaired_urls_keep_other_columns(spark):
+    e = spark.createDataFrame([(1, "/old/a.png?v=2", "n", "u"), (2, "/old/c.png", "n", "u"), (3, None, "n", "u")], "id int, src string, kept_name string, url string")
+    kept = spark.createDataFrame([("a.png", "/new/a.png"), ("b.png", "/new/b.png")], "name string, url string")
+    got = {r.id: tuple(r)[1:] for r in store.repaired_urls(e, kept).select("id", "src", "kept_name", "url").collect()}
+    assert got == {1: ("/new/a.png", "n", "u"), 2: ("/old/c.png", "n", "u"), 3: (None, "n", "u")}
