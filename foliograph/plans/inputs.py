@@ -278,7 +278,7 @@ add(
     f"""WITH r AS (SELECT event_id, {_ELEMENT} AS raw FROM events), t AS (SELECT event_id, json_extract_string(raw, '$.id') AS id, json_extract_string(raw, '$.ocrId') AS ocr_id, json_extract_string(raw, '$.role') AS role, TRY_CAST(json_extract_string(raw, '$.confidence') AS DOUBLE) AS c, json_type(raw, '$.role') = 'VARCHAR' AS named FROM r),
     v AS (SELECT *, coalesce(c BETWEEN 0 AND 1, false) AND named AS valid FROM t) SELECT event_id, id, ocr_id, CASE WHEN valid THEN c ELSE 0.5 END AS confidence, CASE WHEN valid THEN role END AS role, valid FROM v""",
 )
-_FAULT = {"status": "string_split('401,403,404,429,400,500,503,0,0,0,0,418', ',')[CAST(event_id % 12 + 1 AS INT)]::INT", "body": "CASE event_id % 5 WHEN 0 THEN 'insufficient_quota' WHEN 1 THEN 'SSL certificate' WHEN 2 THEN 'Read timed out' WHEN 3 THEN 'connection reset' ELSE 'Arrearage' END"}
+_FAULT = {"status": "string_split('401,403,404,429,400,500,503,0,0,0,0,418', ',')[CAST(event_id % 12 + 1 AS INT)]::INT", "body": "CASE event_id % 5 WHEN 0 THEN 'insufficient_quota' WHEN 1 THEN 'SSL certificate' WHEN 2 THEN 'Read timed out' WHEN 3 THEN 'connection reset' ELSE CASE event_id % 2 WHEN 0 THEN 'Arrearage' ELSE '余额不足' END END"}
 
 
 def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,14 +294,14 @@ def fault_class(status: Column, body: Column) -> Column:
     low = F.lower(body)
     return (
         F.when(status == 401, "auth:authentication_error").when(status == 403, "auth:permission_denied").when(status == 404, "model:model_not_found")
-        .when(status == 429, F.when(low.contains("quota"), "request:insufficient_quota").otherwise("request:rate_limit"))
+        .when(status == 429, F.when(low.rlike("quota|余额"), "request:insufficient_quota").otherwise("request:rate_limit"))
         .when(status == 400, F.when(low.contains("arrearage") | low.contains("account balance"), "request:insufficient_quota").otherwise("request:invalid_request"))
         .when(status >= 500, "request:server_error").when(low.rlike("ssl|tls|certificate"), "network:tls_error").when(low.rlike("timeout|timed out|deadline"), "network:connection_timeout")
         .when(low.rlike("connect|network"), "network:connect_error").otherwise("request:request_error")
     )
 
 
-_CLASS = """CASE WHEN status = 401 THEN 'auth:authentication_error' WHEN status = 403 THEN 'auth:permission_denied' WHEN status = 404 THEN 'model:model_not_found' WHEN status = 429 AND contains(lower(body), 'quota') THEN 'request:insufficient_quota' WHEN status = 429 THEN 'request:rate_limit'
+_CLASS = """CASE WHEN status = 401 THEN 'auth:authentication_error' WHEN status = 403 THEN 'auth:permission_denied' WHEN status = 404 THEN 'model:model_not_found' WHEN status = 429 AND regexp_matches(lower(body), 'quota|余额') THEN 'request:insufficient_quota' WHEN status = 429 THEN 'request:rate_limit'
   WHEN status = 400 AND (contains(lower(body), 'arrearage') OR contains(lower(body), 'account balance')) THEN 'request:insufficient_quota' WHEN status = 400 THEN 'request:invalid_request' WHEN status >= 500 THEN 'request:server_error' WHEN regexp_matches(lower(body), 'ssl|tls|certificate') THEN 'network:tls_error'
   WHEN regexp_matches(lower(body), 'timeout|timed out|deadline') THEN 'network:connection_timeout' WHEN regexp_matches(lower(body), 'connect|network') THEN 'network:connect_error' ELSE 'request:request_error' END"""
 add("sca41_error_class", lambda s, d: faults(s, d).select("event_id", fault_class(F.col("status"), F.col("body")).alias("kind")), f"WITH {_FAULTS} SELECT event_id, {_CLASS} AS kind FROM f")
