@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..sources.pictures import GROUND, per_image
+from ..sources.pictures import GROUND, image_of, per_image
 from .audit import box_sum, summed
-from .edges import canny, saturation
+from .edges import apart, canny, saturation
 from .pieces import border_colour
 
 STATS = [("element_id", pa.int64()), ("pixels", pa.int64()), *((n, pa.float64()) for n in ("fill", "saturation", "delta", "alike", "spread")), ("edges", pa.int64()), ("differs", pa.int64())]
@@ -24,7 +24,7 @@ def stats_of(image: np.ndarray, elements: Sequence[dict]) -> dict[str, list]:
     """
     h, w = image.shape[:2]
     ground, p = border_colour(image), image.astype(np.int64)
-    off = np.abs(p - ground).max(2)
+    off = apart(image, ground)
     texts = np.zeros((h, w), bool)
     for e in elements:
         if e["type"] == "text":
@@ -117,10 +117,10 @@ def page_scores(source: np.ndarray, preview: np.ndarray, elements: Sequence[dict
 
 
 def image_scores(images: DataFrame) -> DataFrame:
-    """page_id and SCORE; images have preview (data of an image of its size) and elements, array<struct<element_id, type, role, x1, y1, x2, y2>>."""
+    """page_id and SCORE; images have preview (data or shapes of an image of its size) and elements, array<struct<element_id, type, role, x1, y1, x2, y2>>."""
 
     def of(source: np.ndarray, preview: bytes, elements: list[dict] | None) -> dict:
-        rows = page_scores(source, np.frombuffer(preview, np.uint8).reshape(source.shape), elements or [])
+        rows = page_scores(source, image_of(preview, source.shape[1], source.shape[0]), elements or [])
         return {n: [r[k] for r in rows] for k, (n, _) in enumerate(SCORE)}
 
     return per_image(images, SCORE, of)

@@ -1,4 +1,4 @@
-"""Whole images, one a row: page_id, width, height, data - a byte for each pixel of a grey image, three for a colour one."""
+"""Whole images, one a row: page_id, width, height, and data - a byte for each pixel of a grey image, three for a colour one - or shapes to draw it from."""
 
 from __future__ import annotations
 
@@ -66,23 +66,37 @@ def placed(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270
     return e.withColumns({"x1": at["x1"], "y1": at["y1"], "x2": x2, "y2": y2, "rgb": rgb.cast("int")})
 
 
-def painted(e: DataFrame, shown: Column, width: int = 480, height: int = 270) -> DataFrame:
-    """Colour images of placed elements, those for which shown is true, from the lowest layer up; a page without any is blank."""
-    shape = F.when(shown, F.struct("z_index", "pos", "type", "x1", "y1", "x2", "y2", "rgb"))
-    pages = spread(e.select("page_id", shape.alias("s")), "page_id").groupBy("page_id").agg(F.sort_array(F.collect_list("s")).alias("shapes"))
+def rows_where(shown: Column | str, *fields: Column | str) -> Column:
+    """The fields of a page's rows for which shown is true, as an array in their order."""
+    return F.sort_array(F.collect_list(F.when(F.expr(shown) if isinstance(shown, str) else shown, F.struct(*fields))))
+
+
+def layers(shown: Column) -> Column:
+    """What is to be drawn of a page's placed elements, from the lowest layer up."""
+    return rows_where(shown, "z_index", "pos", "type", "x1", "y1", "x2", "y2", "rgb")
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for page, shapes in zip(batch.column(0), batch.column(1), strict=True):
-                image = drawn(width, height, shapes.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([page.as_py()]), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([image.tobytes()])], names=["page_id", "width", "height", "data"])
 
-    return pages.mapInArrow(draw, "page_id bigint, width int, height int, data binary")
+def sketched(e: DataFrame, shown: Column, width: int = 480, height: int = 270, **more: Column) -> DataFrame:
+    """Colour images of placed elements as the shapes that they are drawn from, and further aggregates of a page's rows; a page without shapes is blank.
 
+    A picture is drawn by the task that looks at it. Pixels are never shuffled or joined: of so few colours they are
+    compressed to so little that Spark would take whole tables of them for small ones, and broadcast those.
+    """
+    pages = spread(e, "page_id").groupBy("page_id").agg(layers(shown).alias("shapes"), *(c.alias(n) for n, c in more.items()))
+    return pages.select("page_id", F.lit(width).alias("width"), F.lit(height).alias("height"), "shapes", *more)
 
-def pictures(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270) -> DataFrame:
+
+def pictures(spark: SparkSession, sf_dir: str, width: int = 480, height: int = 270, **more: Column) -> DataFrame:
     """Colour images of the pages: what is visible."""
-    return painted(placed(spark, sf_dir, width, height), F.col("visible"), width, height)
+    return sketched(placed(spark, sf_dir, width, height), F.col("visible"), width, height, **more)
+
+
+def image_of(given: bytes | np.ndarray | Sequence[dict], width: int, height: int) -> np.ndarray:
+    """An image of its pixels' bytes, or drawn from shapes."""
+    if not isinstance(given, (bytes, memoryview, pa.Buffer)):
+        return drawn(width, height, given)
+    flat = np.frombuffer(given, np.uint8)
+    return flat.reshape(height, width, 3) if len(flat) == 3 * width * height else flat.reshape(height, width)
 
 
 def lettered(text: str, pen: int, height: int = 36, ink: tuple[int, int, int] = (30, 30, 60)) -> np.ndarray:
@@ -105,15 +119,15 @@ def lettered(text: str, pen: int, height: int = 36, ink: tuple[int, int, int] =
 def per_image(images: DataFrame, fields: Sequence[tuple[str, pa.DataType]], of: Callable[..., dict[str, Sequence]]) -> DataFrame:
     """page_id and fields: the rows that of(image, **further columns) makes of each image. An image is what a task holds at a time."""
     schema = pa.schema([("page_id", pa.int64()), *fields])
-    more = [c for c in images.columns if c not in ("page_id", "width", "height", "data")]
+    more = [c for c in images.columns if c not in ("page_id", "width", "height", "data", "shapes")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for k in range(batch.num_rows):
                 page, width, height = (column[n][k].as_py() for n in ("page_id", "width", "height"))
-                flat = np.frombuffer(column["data"][k].as_buffer(), np.uint8)
-                image = flat.reshape(height, width, 3) if len(flat) == 3 * width * height else flat.reshape(height, width)
+                pixels = column["data"][k] if "data" in column else None
+                image = image_of(column["shapes"][k].as_py() if pixels is None or not pixels.is_valid else pixels.as_buffer(), width, height)
                 made = of(image, **{n: column[n][k].as_py() for n in more})
                 n = len(made[fields[0][0]])
                 yield pa.RecordBatch.from_arrays([pa.array([page] * n, pa.int64()), *(pa.array(made[c], kind) for c, kind in fields)], schema=schema)

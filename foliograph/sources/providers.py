@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators import edges, inpaint, pieces
+from .pictures import image_of
 
 
 class Provider(Protocol):
@@ -30,6 +31,25 @@ class Provider(Protocol):
     def run(self, rows: pd.DataFrame) -> pd.DataFrame: ...
 
 
+#: Bytes, about, that a provider gets at a time.
+PART_BYTES = 4 << 20
+
+
+def parts(rows: pd.DataFrame, most: int = PART_BYTES) -> Iterator[pd.DataFrame]:
+    """rows in parts of about so many bytes of texts and pixels, for what is made of them can be many times as large; a larger row is a part of its own."""
+    size = sum((rows[c].map(lambda v: len(v) if isinstance(v, (str, bytes)) else 0) for c in rows.columns if rows[c].dtype == object and c != "data"), pd.Series(64, rows.index))
+    if {"data", "shapes"} & set(rows.columns):
+        size = size + 3 * rows["width"].astype("int64") * rows["height"]
+    begin = held = 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > most:
+            yield rows.iloc[begin:i].reset_index(drop=True)
+            begin, held = i, 0
+        held += n
+    if held:
+        yield rows.iloc[begin:].reset_index(drop=True)
+
+
 class Registry:
     """Providers of one kind, in the order in which they are tried."""
 
@@ -55,7 +75,7 @@ class Registry:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             provider = make()
             for rows in batches:
-                yield provider.run(rows)
+                yield from map(provider.run, parts(rows))
 
         return df.mapInPandas(run, (make if hasattr(make, "schema") else make()).schema)
 
@@ -138,8 +158,7 @@ class Spaces(_Ready):
 
 
 def _image(row: pd.Series) -> np.ndarray:
-    data = np.frombuffer(row["data"], np.uint8)
-    return data.reshape(row["height"], row["width"], -1) if len(data) != row["height"] * row["width"] else data.reshape(row["height"], row["width"])
+    return image_of(row["shapes"] if row.get("data") is None else row["data"], row["width"], row["height"])
 
 
 class Marching(_Ready):
