@@ -179,8 +179,9 @@ def preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("joi19_uncovered_region", q("true", RECTS, IMAGES) + f", m AS (SELECT page_id, a_pos, max({COVER_A}) AS best FROM q GROUP BY page_id, a_pos) SELECT e.page_id, e.pos, coalesce(m.best, 0.0) AS best FROM e LEFT JOIN m ON e.page_id = m.page_id AND e.pos = m.a_pos WHERE e.type = 'rectangle' AND coalesce(m.best, 0.0) < 0.6")
 def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements(spark, sf_dir)
-    p = R.pairs(e.where(RECTS), e.where(IMAGES), how="left")
-    return p.groupBy("page_id", F.col("a_pos").alias("pos")).agg(F.coalesce(F.max(G.coverage(A(), B())), F.lit(0.0)).alias("best")).where("best < 0.6")
+    most = R.pairs(e.where(RECTS), e.where(IMAGES)).groupBy("page_id", F.col("a_pos").alias("pos")).agg(F.max(G.coverage(A(), B())).alias("most"))
+    met = e.where(RECTS).select("page_id", "pos").join(most, ["page_id", "pos"], "left")  # every rectangle is a row, also those of one place
+    return met.select("page_id", "pos", F.coalesce("most", F.lit(0.0)).alias("best")).where("best < 0.6")
 
 
 @query("joi20_reconcile", f"WITH {ELEMENTS}{EDITED} SELECT coalesce(e.page_id, f.page_id) AS page_id, coalesce(e.pos, f.pos) AS pos, CASE WHEN e.pos IS NULL THEN 'added' WHEN f.pos IS NULL THEN 'lost' WHEN e.x1 = f.x1 AND e.y1 = f.y1 AND e.x2 = f.x2 AND e.y2 = f.y2 AND e.type = f.type THEN 'kept' ELSE 'changed' END AS status FROM e FULL JOIN f ON e.page_id = f.page_id AND e.pos = f.pos")
