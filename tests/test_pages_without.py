@@ -13,3 +13,17 @@ def test_rectangles_of_pages_without_images(spark, tmp_path):
     want = sorted(duck.execute(plans.SQL["joi19_uncovered_region"]).fetchall())
     got = sorted(tuple(r) for r in plans.QUERIES["joi19_uncovered_region"](spark, str(tmp_path)).collect())
     assert got == want and sum(r[0] == 0 for r in got) == 40 and len(got) > len({r[:2] for r in got})
+
+
+def test_a_large_hole_is_filled_alike_in_any_portions(monkeypatch):
+    import numpy as np
+
+    from foliograph.operators import inpaint
+
+    image = np.random.default_rng(2).integers(0, 256, (60, 70, 3)).astype(np.uint8)
+    mask = np.zeros((60, 70), bool)
+    mask[5:50, 8:66] = True
+    mask[20:24, 30:40] = False
+    whole = inpaint.fast_marching(image, mask)
+    monkeypatch.setattr(inpaint, "CHUNK", 7)
+    assert (inpaint.fast_marching(image, mask) == whole).all() and (whole[~mask] == image[~mask]).all()
