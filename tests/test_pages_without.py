@@ -27,3 +27,13 @@ def test_a_large_hole_is_filled_alike_in_any_portions(monkeypatch):
     whole = inpaint.fast_marching(image, mask)
     monkeypatch.setattr(inpaint, "CHUNK", 7)
     assert (inpaint.fast_marching(image, mask) == whole).all() and (whole[~mask] == image[~mask]).all()
+
+
+def test_rows_are_ranked_in_ranges(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT CASE WHEN i % 3 = 0 THEN 'O' ELSE 'F' END AS l_linestatus, CAST(i * 7919 % 30011 // 2 AS BIGINT) AS l_orderkey, CAST(i % 5 AS INT) AS l_linenumber, i AS l_partkey, i % 11 AS l_suppkey FROM (SELECT unnest(range(0, 90000)) AS i)) TO '{tmp_path}/lineitem.parquet'")
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    df = plans.QUERIES["srt06_even_sample"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == sorted(duck.execute(plans.SQL["srt06_even_sample"]).fetchall())
+    ranking = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line and "Window" in line]
+    assert ranking and all("range#" in line for line in ranking)
