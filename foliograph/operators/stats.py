@@ -20,35 +20,46 @@ def stats_of(image: np.ndarray, elements: Sequence[dict]) -> dict[str, list]:
     """For each element: pixels off the ground's colour and their share of its box; of those the median's saturation and distance from the ground, the
     share within 12 of the median and the largest deviation of a channel; edges outside texts, and pixels off the ground by 8 outside texts.
 
-    Counts over boxes are looked up in summed-area tables.
+    Counts over boxes are looked up in summed-area tables; all else follows from how often each element has each level of a channel.
     """
     h, w = image.shape[:2]
-    ground, p = border_colour(image), image.astype(np.int64)
+    ground = border_colour(image)
     off = apart(image, ground)
-    texts = np.zeros((h, w), bool)
+    texts, boxes = np.zeros((h, w), bool), []
     for e in elements:
+        x1, y1, x2, y2 = box = max(0, e["x1"]), max(0, e["y1"]), min(w, e["x2"]), min(h, e["y2"])
+        boxes.append(box)
         if e["type"] == "text":
-            texts[max(0, e["y1"]) : max(0, e["y2"]), max(0, e["x1"]) : max(0, e["x2"])] = True
+            texts[y1 : max(y1, y2), x1 : max(x1, x2)] = True
     edges, far = summed(canny(image, 50, 130) & ~texts), summed((off >= 8) & ~texts)
-    out: dict[str, list] = {n: [] for n, _ in STATS}
-    for e in elements:
-        x1, y1, x2, y2 = max(0, e["x1"]), max(0, e["y1"]), min(w, e["x2"]), min(h, e["y2"])
-        box = slice(y1, max(y1, y2)), slice(x1, max(x1, x2))
-        values = p[box][off[box] >= 5]
-        middle = np.median(values, axis=0) if len(values) else ground.astype(float)
-        strength = float(saturation(middle.astype(np.uint8)[None, None])[0, 0]) if len(values) else 0.0
-        row = (
-            e["element_id"], len(values), len(values) / max(1, (x2 - x1) * (y2 - y1)), strength, float(np.abs(middle - ground).max()),
-            float((np.abs(values - middle).max(1) <= 12).mean()) if len(values) else 0.0, float(values.std(0).max()) if len(values) else 0.0, box_sum(edges, x1, y1, x2, y2), box_sum(far, x1, y1, x2, y2),
-        )
-        for n, v in zip(out, row, strict=True):
-            out[n].append(v)
-    return out
-
-
-def element_stats(images: DataFrame) -> DataFrame:
-    """page_id and STATS; images have elements, array<struct<element_id, type, x1, y1, x2, y2>>."""
-    return per_image(images, STATS, lambda image, elements: stats_of(image, elements or []))
+    colour, on = image[..., 0].astype(np.int32) << 16 | image[..., 1].astype(np.int32) << 8 | image[..., 2], off >= 5
+    parts = [colour[y1 : max(y1, y2), x1 : max(x1, x2)][on[y1 : max(y1, y2), x1 : max(x1, x2)]] for x1, y1, x2, y2 in boxes]
+    n = np.array([len(p) for p in parts], np.int64)
+    whose, values = np.repeat(np.arange(len(n)), n), np.concatenate([*parts, np.zeros(0, np.int32)])
+    middle, spread = np.empty((len(n), 3)), np.zeros(len(n))
+    alike = np.ones(len(values), bool)
+    for k, level in enumerate((values >> 16, values >> 8 & 255, values & 255)):
+        counts = np.bincount(whose * 256 + level, minlength=256 * len(n)).reshape(-1, 256)
+        upto = counts.cumsum(1)
+        low, high = ((upto <= m[:, None]).sum(1) for m in ((n - 1) // 2, n // 2))
+        middle[:, k] = np.where(n > 0, (low + high) / 2, ground[k])
+        total, squares = counts @ np.arange(256), counts @ np.arange(256) ** 2
+        spread = np.maximum(spread, np.sqrt(n * squares - total**2) / np.maximum(n, 1))
+        alike &= np.abs(level - middle[whose, k]) <= 12
+    strength = np.where(n > 0, saturation(middle.astype(np.uint8)[None])[0], 0).astype(float)
+    near = np.bincount(whose[alike], minlength=len(n)) / np.maximum(n, 1)
+    x1, y1, x2, y2 = np.array(boxes, np.int64).reshape(-1, 4).T
+    made = [e["element_id"] for e in elements], n, n / np.maximum(1, (x2 - x1) * (y2 - y1)), strength, np.abs(middle - ground).max(1, initial=0.0), near, spread, [box_sum(edges, *b) for b in boxes], [box_sum(far, *b) for b in boxes]
+    return {name: v if isinstance(v, list) else v.tolist() for (name, _), v in zip(STATS, made, strict=True)}
+
+
+def element_stats(images: DataFrame, *kept: tuple[str, pa.DataType]) -> DataFrame:
+    """page_id, STATS and kept, further fields of the elements; images have elements, array<struct<element_id, type, x1, y1, x2, y2>>."""
+
+    def of(image: np.ndarray, elements: list[dict] | None) -> dict:
+        return stats_of(image, elements or []) | {n: [e[n] for e in elements or []] for n, _ in kept}
+
+    return per_image(images, [*STATS, *kept], of)
 
 
 def ghosting(source: np.ndarray, preview: np.ndarray, texts: np.ndarray) -> float:

@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from foliograph import plans
 from foliograph.operators import edges as E
+from foliograph.operators import stats as T
 from foliograph.plans import images as Q
 from foliograph.sources import pictures as S
 
@@ -46,6 +48,22 @@ def test_corners_of_outlines_are_those_of_borders():
             assert o == outermost[k] and E.corners(points) == list(zip(x[at][corner[at]].tolist(), y[at][corner[at]].tolist(), strict=True))
 
 
+def test_statistics_by_counts_as_from_values():
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 256, (40, 60, 3)).astype(np.uint8)
+    image[:3] = image[-3:] = image[:, :3] = image[:, -3:] = 255
+    elements = [{"element_id": k, "type": "image", "x1": x, "y1": y, "x2": x + w, "y2": y + h} for k, (x, y, w, h) in enumerate(((-4, 2, 20, 9), (30, 20, 50, 50), (5, 5, 0, 4), (70, 5, 5, 5), (0, 0, 3, 3)))]
+    got = T.stats_of(image, elements)
+    for k, e in enumerate(elements):
+        x1, y1, x2, y2 = max(0, e["x1"]), max(0, e["y1"]), min(60, e["x2"]), min(40, e["y2"])
+        box = image[y1 : max(y1, y2), x1 : max(x1, x2)].astype(int)
+        v = box[np.abs(box - 255).max(2, initial=0) >= 5]
+        middle = np.median(v, axis=0) if len(v) else np.array([255.0] * 3)
+        want = len(v), np.abs(middle - 255).max(), (np.abs(v - middle).max(1) <= 12).mean() if len(v) else 0, v.std(0).max() if len(v) else 0
+        assert np.allclose([got[n][k] for n in ("pixels", "delta", "alike", "spread")], want)
+    assert all(v == [] for v in T.stats_of(image, []).values())
+
+
 def test_images_share_a_batch(spark):
     """Each image was a batch of its own."""
     ran = []
@@ -63,6 +81,12 @@ def test_plain_as_arrow_says():
         assert S.plain(c) == c.to_pylist()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_statistics_are_not_joined(spark):
+    for name in ("fil13_measured_solid", "fil14_measured_icon"):
+        assert "Join" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_a_round_draws_once(spark):
     """Two rounds took five audits: what was kept was drawn and measured again."""
