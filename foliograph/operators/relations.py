@@ -65,12 +65,17 @@ def nearest(a: DataFrame, b: DataFrame, on: Column | None = None) -> DataFrame:
     return best(p, ["page_id", "a_pos"], F.struct(d.alias("d"), F.col("b_pos").alias("p")), b_pos=F.col("b_pos"), distance2=d)
 
 
+#: Rows of a page and value up to which they are compared with each other at once.
+FEW = 32
+
+
 def nearest_in_rings(a: DataFrame, b: DataFrame, same: str, cell: float = 64.0) -> DataFrame:
     """(page_id, a_pos, b_pos, distance2, looked): nearest() among rows with the same value of `same` and another pos, through a grid.
 
     A row looks into its own cell and the ones around it, then into rings that widen, and is done when its best is
     nearer than any cell it hasn't looked into, or when no cell of its page and value is left. looked counts the rows it
-    compared. A page of many rows costs what its dense places cost, not its pairs; each round is stored.
+    compared. A page of many rows costs what its dense places cost, not its pairs; each round is stored. Where a page and
+    value have FEW rows and less, nearly all cells of a ring are empty, so a row meets those few without a grid.
     """
     centre = lambda p: G.center(G.box(p))
     (ax, ay), (bx, by) = centre("a_"), centre("b_")
@@ -78,20 +83,27 @@ def nearest_in_rings(a: DataFrame, b: DataFrame, same: str, cell: float = 64.0)
     left = left.select("page_id", "a_pos", same, ax.alias("ax"), ay.alias("ay"))
     right = right.select("page_id", "b_pos", same, bx.alias("bx"), by.alias("by"))
     at = lambda c: F.floor(F.col(c) / cell)
-    right = cut(right.withColumns({"cx": at("bx"), "cy": at("by")}))
-    reach = right.groupBy("page_id", same).agg(*(f(c).alias(f"{n}_{c}") for c in ("cx", "cy") for n, f in (("lo", F.min), ("hi", F.max))))
-    start = left.join(reach, ["page_id", same])
+    d = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
+    closest = F.min(F.struct(d.alias("d"), F.col("b_pos").alias("p")))
+    right = right.withColumns({"cx": at("bx"), "cy": at("by")})
+    sizes = cut(right.groupBy("page_id", same).agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in ("cx", "cy") for n, f in (("lo", F.min), ("hi", F.max)))))
+    few, many = (sizes.where(F.col("rows") <= FEW).select("page_id", same), sizes.where(F.col("rows") > FEW).drop("rows"))
+    met = left.join(right.drop("cx", "cy").join(few, ["page_id", same], "left_semi"), ["page_id", same]).where("a_pos <> b_pos")
+    done = met.groupBy("page_id", "a_pos").agg(closest.alias("m"), F.count("*").alias("looked")).select("page_id", "a_pos", F.col("m.p").alias("b_pos"), F.col("m.d").alias("distance2"), "looked")
+    if many.isEmpty():
+        return done
+    right = cut(right.join(many.select("page_id", same), ["page_id", same], "left_semi"))
+    start = left.join(many, ["page_id", same])
     last = F.greatest(*(F.abs(at(c) - F.col(f"{n}_{g}")) for c, g in (("ax", "cx"), ("ay", "cy")) for n in ("lo", "hi")))
     none = "struct<d:double,p:int>"
     open_ = cut(start.select("page_id", "a_pos", same, "ax", "ay", last.alias("last"), F.lit(None).cast(none).alias("best"), F.lit(0).cast("long").alias("looked")))
-    done, inner, outer = None, -1, 1
+    inner, outer = -1, 1
     while True:
         square = lambda r: F.sequence(F.lit(-r), F.lit(r))
         cells = open_.select("page_id", same, "a_pos", "ax", "ay", F.explode(square(outer)).alias("dx")).withColumn("dy", F.explode(square(outer)))
         ring = cells.where(F.greatest(F.abs("dx"), F.abs("dy")) > inner).select("page_id", same, "a_pos", "ax", "ay", (at("ax") + F.col("dx")).alias("cx"), (at("ay") + F.col("dy")).alias("cy"))
         met = ring.join(right, ["page_id", same, "cx", "cy"]).where("a_pos <> b_pos")
-        d = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-        found = met.groupBy("page_id", "a_pos").agg(F.min(F.struct(d.alias("d"), F.col("b_pos").alias("p"))).alias("new"), F.count("*").alias("n"))
+        found = met.groupBy("page_id", "a_pos").agg(closest.alias("new"), F.count("*").alias("n"))
         # a row outside of the square is at least as far as the nearest side of the square
         side = F.least(*(F.least(F.col(c) - at(c) * cell, (at(c) + 1) * cell - F.col(c)) for c in ("ax", "ay"))) + outer * cell
         best = F.when(F.col("new").isNull(), F.col("best")).when(F.col("best").isNull(), F.col("new")).otherwise(F.least("best", "new"))
@@ -99,7 +111,7 @@ def nearest_in_rings(a: DataFrame, b: DataFrame, same: str, cell: float = 64.0)
         ended = (F.col("best.d") < side * side) | (F.col("last") <= outer)
         now = cut(now.withColumn("ended", F.coalesce(ended, F.lit(False))).drop("new", "n"))
         out = now.where("ended AND best IS NOT NULL").select("page_id", "a_pos", F.col("best.p").alias("b_pos"), F.col("best.d").alias("distance2"), "looked")
-        done = out if done is None else done.unionByName(out)
+        done = done.unionByName(out)
         open_ = now.where("NOT ended").drop("ended")
         if open_.isEmpty():
             return done
