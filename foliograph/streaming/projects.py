@@ -47,44 +47,49 @@ class ProjectState(StatefulProcessor):
         staged, until = self.stage.get() if self.stage.exists() else (None, None)
         return version, seq, staged, until
 
-    def _told(self, key: Any, version: int, seq: int) -> Iterator[Row]:
+    def _told(self, key: Any, version: int, seq: int, staged: int | None) -> Iterator[Row]:
         self.pointer.update((version, seq + 1))
         pages = sorted(k[0] for k in self.approved.keys())  # noqa: SIM118
-        staged = self.stage.get()[0] if self.stage.exists() else None
         yield Row(project=key[0], seq=seq + 1, images=sum(1 for _ in self.images.get()), approved=",".join(map(str, pages)), version=version, staged=staged)
 
-    def _unstaged(self, until: int) -> None:
-        self.handle.deleteTimer(until)
-        self.stage.clear()
-
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        """What the rows say is made out first: each look at the state is a message to the JVM, so a value is written once."""
         version, seq, staged, until = self._held()
+        before, images, pages = (staged, until), {}, {}
         for e in sorted(rows, key=lambda r: (r.at, r.id)):
             if e.kind == "image":
-                if not self.known.containsKey((e.id,)):
-                    self.known.updateValue((e.id,), (e.at,))
-                    self.images.appendValue((e.id, f"image_{e.id}"))
+                images.setdefault(e.id, e.at)
             elif e.kind == "approve":
-                self.approved.updateValue((e.value,), (e.at,))
+                pages[e.value] = e.at
             elif e.kind == "stage":
                 if e.value > version and (staged is None or e.value >= staged):
-                    if until is not None:
-                        self._unstaged(until)
                     staged, until = e.value, e.at + self.abandoned
-                    self.stage.update((staged, until))
-                    self.handle.registerTimer(until)
             elif e.kind in ("accept", "discard"):
                 version = max(version, e.value) if e.kind == "accept" else version
                 if staged is not None and (staged == e.value or staged <= version):
-                    self._unstaged(until)
                     staged = until = None
-        yield from self._told(key, version, seq)
+        new = [(i, at) for i, at in images.items() if seq == 0 or not self.known.containsKey((i,))]  # a project's first rows find nothing
+        for i, at in new:
+            self.known.updateValue((i,), (at,))
+        if new:
+            self.images.appendList([(i, f"image_{i}") for i, _ in new])
+        for page, at in pages.items():
+            self.approved.updateValue((page,), (at,))
+        if (staged, until) != before:
+            if before[1] is not None:
+                self.handle.deleteTimer(before[1])
+            if until is None:
+                self.stage.clear()
+            else:
+                self.stage.update((staged, until))
+                self.handle.registerTimer(until)
+        yield from self._told(key, version, seq, staged)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         version, seq, _, until = self._held()
         if until is not None and until <= expiredTimerInfo.getExpiryTimeInMs():
             self.stage.clear()
-            yield from self._told(key, version, seq)
+            yield from self._told(key, version, seq, None)
 
     def close(self) -> None:
         pass
