@@ -40,17 +40,21 @@ def slides(root: str, project: str) -> str:
     return os.path.join(root, project, "slides")
 
 
+#: Partitions of a read; where there are more projects, a partition has several.
+MOST = 1000
+
+
 @dataclass
-class OneProject(InputPartition):
-    project: str
+class Projects(InputPartition):
+    names: list[str]
 
-    def __init__(self, project: str) -> None:
-        super().__init__(project)
-        self.project = project
+    def __init__(self, names: list[str]) -> None:
+        super().__init__(names)
+        self.names = names
 
 
 class PageReader(DataSourceReader):
-    """A partition for each project; conditions on the project are applied before its folder is listed, those on the page before a file is opened."""
+    """A partition for each project, or for several of very many; conditions on the project are applied before its folder is listed, those on the page before a file is opened."""
 
     def __init__(self, root: str, schema: StructType) -> None:
         self.root, self.columns = root, schema.fieldNames()
@@ -75,17 +79,21 @@ class PageReader(DataSourceReader):
             found = [p for p in self.projects if isinstance(p, str) and PROJECT.fullmatch(p)]
         else:
             found = [e.name for e in os.scandir(self.root) if e.is_dir() and PROJECT.fullmatch(e.name)] if os.path.isdir(self.root) else []
-        return [OneProject(p) for p in sorted(found) if os.path.isdir(slides(self.root, p))]
+        names = sorted(p for p in found if os.path.isdir(slides(self.root, p)))
+        size = -(-len(names) // MOST) or 1
+        return [Projects(names[k : k + size]) for k in range(0, len(names), size)]
+
+    def read(self, partition: Projects | None) -> Iterator[tuple]:
+        for project in partition.names if partition is not None else ():  # there may be no project
+            yield from self._pages(project)
 
-    def read(self, partition: OneProject | None) -> Iterator[tuple]:
-        if partition is None:  # there is no project
-            return
-        at = slides(self.root, partition.project)
+    def _pages(self, project: str) -> Iterator[tuple]:
+        at = slides(self.root, project)
         numbers = sorted(int(m[1]) for n in os.listdir(at) if (m := PAGE.fullmatch(n)))
         for n in numbers:
             if self.pages is not None and n not in self.pages:
                 continue
-            row = {"project": partition.project, "page": n}
+            row = {"project": project, "page": n}
             if "document" in self.columns:
                 with open(os.path.join(at, f"page_{n}.json"), encoding="utf-8") as file:
                     row["document"] = file.read()

@@ -163,3 +163,12 @@ def test_abandoned_stages_are_dropped(spark, tmp_path):
     got = run(spark, tmp_path / "b", [first, later, [(9, "image", 10, 1, t + 90_002)]], 60_000, "1 hour")
     assert got[1].staged is None and got[1].version == 0  # by its timer
     assert got[2].version == 4 and got[2].staged is None and got[9].images == 3
+
+
+def test_very_many_projects_share_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "MOST", 3)
+    root = str(tmp_path)
+    P.write_projects(pages(spark, [(f"{k:02x}", n, doc(n)) for k in range(8) for n in (1, 2)]), root)
+    parts = P.PageReader(root, spark.read.format(P.FORMAT).load(root).schema).partitions()
+    assert [p.names for p in parts] == [["00", "01", "02"], ["03", "04", "05"], ["06", "07"]]
+    assert P.read_projects(spark, root).count() == 16
