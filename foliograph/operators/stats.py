@@ -71,22 +71,21 @@ def ghosting(source: np.ndarray, preview: np.ndarray, texts: np.ndarray) -> floa
 
 def composited(width: int, height: int, layers: Sequence[dict]) -> np.ndarray:
     """Boxes and ellipses with an alpha, from the lowest layer up, over a white page: each over what is below it, rounded after each."""
-    out = np.full((height, width, 3), GROUND, np.int64)
+    planes, levels = np.full((3, height, width), GROUND, np.uint8), np.arange(256)
     for s in layers:
         x1, y1, x2, y2 = max(0, s["x1"]), max(0, s["y1"]), min(width, s["x2"]), min(height, s["y2"])
         if x1 >= x2 or y1 >= y2:
             continue
-        rgb, alpha = np.array([s["rgb"] >> 16, s["rgb"] >> 8 & 255, s["rgb"] & 255]), s["alpha"]
-        box = out[y1:y2, x1:x2]
-        mixed = (rgb * alpha + box * (255 - alpha) + 127) // 255
+        alpha, inside = s["alpha"], None
         if s["type"] == "ellipse":
             yy, xx = np.ogrid[y1:y2, x1:x2]
             a, b = max(0.5, (s["x2"] - s["x1"]) / 2), max(0.5, (s["y2"] - s["y1"]) / 2)
             inside = ((xx - (s["x1"] + s["x2"] - 1) / 2) / a) ** 2 + ((yy - (s["y1"] + s["y2"] - 1) / 2) / b) ** 2 <= 1
-            box[inside] = mixed[inside]
-        else:
-            box[:] = mixed
-    return out.astype(np.uint8)
+        for plane, level in zip(planes, (s["rgb"] >> 16, s["rgb"] >> 8 & 255, s["rgb"] & 255), strict=True):
+            over = ((level * alpha + levels * (255 - alpha) + 127) // 255).astype(np.uint8)  # what each level below becomes
+            box = plane[y1:y2, x1:x2]
+            np.copyto(box, over.take(box), where=True if inside is None else inside)
+    return planes.transpose(1, 2, 0)
 
 
 #: What a masked share of pixels and edges counts for in the scores of a page: (pixels, edges).

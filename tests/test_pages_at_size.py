@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliograph import plans
 from foliograph.operators import edges as E
 from foliograph.operators import stats as T
+from foliograph.operators.images import from_png, to_png
 from foliograph.plans import images as Q
 from foliograph.sources import pictures as S
 
@@ -95,3 +96,18 @@ def test_a_round_draws_once(spark):
     with mock.patch.object(Q, "audit_of", lambda *given: looked.append(1) or true(*given)):
         out = Q.rounds(e, lambda: F.col("overall_after") > F.col("overall_before"), 2).collect()
     assert len(out) == 6 and len(looked) <= 3
+
+
+def test_layers_by_tables_as_by_numbers():
+    rng = np.random.default_rng(4)
+    shapes = [{"type": t, "x1": int(x), "y1": int(y), "x2": int(x + w), "y2": int(y + h), "rgb": int(c), "alpha": int(a)} for t, x, y, w, h, c, a in zip(("ellipse", "rectangle", "image") * 4, rng.integers(-5, 30, 12), rng.integers(-5, 20, 12), rng.integers(1, 20, 12), rng.integers(1, 20, 12), rng.integers(0, 1 << 24, 12), rng.integers(0, 256, 12), strict=True)]
+    want = np.full((24, 32, 3), 255, int)
+    for s in shapes:
+        for y in range(max(0, s["y1"]), min(24, s["y2"])):
+            for x in range(max(0, s["x1"]), min(32, s["x2"])):
+                a, b = (s["x2"] - s["x1"]) / 2, (s["y2"] - s["y1"]) / 2
+                if s["type"] != "ellipse" or ((x - (s["x1"] + s["x2"] - 1) / 2) / a) ** 2 + ((y - (s["y1"] + s["y2"] - 1) / 2) / b) ** 2 <= 1:
+                    rgb = np.array([s["rgb"] >> 16, s["rgb"] >> 8 & 255, s["rgb"] & 255])
+                    want[y, x] = (rgb * s["alpha"] + want[y, x] * (255 - s["alpha"]) + 127) // 255
+    made = T.composited(32, 24, shapes)
+    assert made.flags["F_CONTIGUOUS"] is False and made[..., 0].flags["C_CONTIGUOUS"] and (made == want).all() and (from_png(to_png(made)) == want).all()
