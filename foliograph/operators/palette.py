@@ -1,18 +1,22 @@
-"""Palettes of images: clusters of their colours, for all images at once, as joins and aggregates."""
+"""Palettes of images: clusters of their colours, of many images at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from ..sources.pictures import per_image
+from ..sources.pictures import per_image, spread
 
 #: Pixels of an image that are looked at, evenly spaced; tries from other starts; steps of a try, and the move of a centre that ends it.
 SAMPLES, ATTEMPTS, STEPS, STILL = 12_000, 3, 30, 0.2
 SEED = 5
+#: Clusters at most.
+MOST = 6
 CHANNELS = ("r", "g", "b")
 
 
@@ -28,34 +32,73 @@ def colours(images: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return per_image(images, [("rgb", pa.int64()), ("n", pa.int64())], of)
 
 
-def channels(rgb: Column) -> Column:
-    return F.array(F.shiftright(rgb, 16).cast("double"), F.shiftright(rgb, 8).bitwiseAND(F.lit(255)).cast("double"), rgb.bitwiseAND(F.lit(255)).cast("double"))
-
-
-def distance2(a: Column, b: Column) -> Column:
-    return sum((F.pow(F.get(a, F.lit(k)) - F.get(b, F.lit(k)), 2) for k in range(3)), F.lit(0.0))
-
-
 def chance(page: Column, attempt: Column, k: int, seed: int = SEED) -> Column:
     """A number from 0 to 1 that is the same in every run."""
     return F.pmod(F.xxhash64(F.lit(seed), page, attempt, F.lit(k)), F.lit(1 << 52)) / float(1 << 52)
 
 
-def _picked(weighed: DataFrame, k: int) -> DataFrame:
-    """(page_id, attempt, centre): of each try one colour, with a chance in proportion to its weight w."""
-    upto = Window.partitionBy("page_id", "attempt").orderBy("rgb")
-    all_ = Window.partitionBy("page_id", "attempt")
-    run = weighed.withColumns({"upto": F.sum("w").over(upto), "all": F.sum("w").over(all_)})
-    hit = run.where((F.col("w") > 0) & (F.col("upto") > chance(F.col("page_id"), F.col("attempt"), k) * F.col("all")))
-    return hit.groupBy("page_id", "attempt").agg(channels(F.min("rgb")).alias("centre"))
-
-
-def _nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """rows of each page with each try's centres: which centre is nearest, the first of equals, and how far."""
-    met = rows.join(centres, "page_id")
-    to = F.transform("centres", lambda c: distance2(c, F.col("at")))
-    best = F.array_min(F.transform(to, lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
-    return met.withColumn("best", best).select("page_id", "attempt", "rgb", "at", "n", F.col("best.i").alias("i"), F.col("best.d").alias("d2"))
+class _Tries:
+    """All tries of some pages at once: a row is a colour in a try, rows of a try lie side by side, and so do the tries of a page."""
+
+    def __init__(self, sizes: np.ndarray, rgb: np.ndarray, n: np.ndarray, chances: np.ndarray) -> None:
+        """sizes: how many of the colours (rgb, n) each page has; chances[page, try, k]."""
+        self.attempts, self.chances = chances.shape[1], chances.reshape(-1, MOST)
+        ends = np.repeat(np.cumsum(sizes), self.attempts)
+        sizes = np.repeat(sizes, self.attempts)
+        self.first = np.cumsum(sizes) - sizes
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        take = np.arange(len(self.of)) + np.repeat(ends - sizes - self.first, sizes)
+        rgb, self.n = rgb[take], n[take]
+        self.at = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255], 1).astype(float)
+        self.k = np.minimum(np.clip(np.add.reduceat(self.n, self.first) // 1000, 2, MOST), sizes)
+        self.centres = np.full((len(sizes), MOST, 3), np.inf)  # one that isn't there is nearest to nothing
+
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each row's nearest centre, the first of equals, and its squared distance."""
+        to = sum((self.centres[self.of[rows], :, c] - self.at[rows, None, c]) ** 2 for c in range(3))
+        i = to.argmin(1)
+        return i, to[np.arange(len(rows)), i]
+
+    def start(self) -> None:
+        """Colours far from those before them: each with a chance in proportion to its pixels times its squared distance."""
+        for k in range(MOST):
+            rows = np.flatnonzero(self.k[self.of] > k)
+            w = np.zeros(len(self.of), np.int64)
+            w[rows] = self.n[rows] * self.nearest(rows)[1].astype(np.int64) if k else self.n[rows]
+            upto = np.cumsum(w)
+            upto -= (upto - w)[self.first][self.of]
+            hit = np.flatnonzero((w > 0) & (upto > (self.chances[:, k] * np.add.reduceat(w, self.first))[self.of]))
+            tries, nth = np.unique(self.of[hit], return_index=True)
+            self.centres[tries, k] = self.at[hit[nth]]
+
+    def move(self, steps: int) -> None:
+        """Centres to the means of the pixels nearest to them, until none of a try moves by more than STILL."""
+        moves, centres = np.ones(len(self.first), bool), self.centres.reshape(-1, 3)
+        for _ in range(steps):
+            rows = np.flatnonzero(moves[self.of])
+            if not len(rows):
+                return
+            own, n = self.of[rows] * MOST + self.nearest(rows)[0], self.n[rows]
+            total = np.bincount(own, n, len(centres))
+            some = np.flatnonzero(total)
+            mean = np.stack([np.bincount(own, n * self.at[rows, c], len(centres))[some] / total[some] for c in range(3)], 1)
+            by = sum((centres[some, c] - mean[:, c]) ** 2 for c in range(3))
+            centres[some], moves[:] = mean, False
+            moves[some[by > STILL * STILL] // MOST] = True
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(page, nth, centre, pixels) of the try of each page whose pixels are nearest, counted in thousandths; the centres with the most pixels first."""
+        i, d2 = self.nearest(np.arange(len(self.of)))
+        off = self.n * d2 * 1000
+        off = np.floor(off).astype(np.int64) + (off - np.floor(off) >= 0.5)
+        best = np.add.reduceat(off, self.first).reshape(-1, self.attempts).argmin(1)
+        n = np.bincount(self.of * MOST + i, self.n, self.centres.size // 3).astype(np.int64).reshape(-1, self.attempts, MOST)
+        n = np.take_along_axis(n, best[:, None, None], 1)[:, 0]
+        page, c = np.nonzero(n)
+        order = np.lexsort((c, -n[page, c], page))
+        page, c = page[order], c[order]
+        first = np.searchsorted(page, page)
+        return page, np.arange(len(page)) - first + 1, self.centres[page * self.attempts + best[page], c], n[page, c]
 
 
 def clusters(found: DataFrame, attempts: int = ATTEMPTS, steps: int = STEPS) -> DataFrame:
@@ -65,33 +108,38 @@ def clusters(found: DataFrame, attempts: int = ATTEMPTS, steps: int = STEPS) ->
     moves centres to the mean of the pixels nearest to them until none moves by more than STILL; of the tries the one
     whose pixels are nearest to their centres counts. Pixels of one colour are one row from the start. Sums of colours
     are of whole numbers, so the order of rows makes no difference.
+
+    Colours are shuffled once, by page. A task goes through its pages as many at a time as an Arrow batch holds: what it
+    holds is a batch and one page's colours.
     """
-    sized = found.groupBy("page_id").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-    k_of = F.least(F.lit(6), F.greatest(F.lit(2), F.floor(F.col("all") / 1000))).cast("int")
-    rows = cut(found.join(sized.select("page_id", F.least(k_of, F.col("kinds")).cast("int").alias("k")), "page_id").withColumn("at", channels(F.col("rgb"))))
-    tries = rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    centres = _picked(tries.withColumn("w", F.col("n").cast("double")), 0).select("page_id", "attempt", F.array("centre").alias("centres"))
-    for k in range(1, 6):
-        far = _nearest(rows.where(F.col("k") > k), centres).withColumn("w", F.col("n") * F.col("d2"))
-        new = _picked(far, k)
-        centres = cut(centres.join(new, ["page_id", "attempt"], "left").select("page_id", "attempt", F.when(F.col("centre").isNull(), F.col("centres")).otherwise(F.concat("centres", F.array("centre"))).alias("centres")))
-    now = centres.withColumn("moves", F.lit(True))
-    for _ in range(steps):
-        near = _nearest(rows, now.where("moves").select("page_id", "attempt", "centres"))
-        means = near.groupBy("page_id", "attempt", "i").agg(F.array(*(F.sum(F.col("n") * F.get("at", F.lit(c)).cast("long")) / F.sum("n") for c in range(3))).alias("mean"))
-        moved = means.groupBy("page_id", "attempt").agg(F.map_from_entries(F.collect_list(F.struct("i", "mean"))).alias("means"))
-        joined = now.join(moved, ["page_id", "attempt"], "left")
-        next_ = F.when(F.col("means").isNull(), F.col("centres")).otherwise(F.transform("centres", lambda c, i: F.coalesce(F.col("means")[i], c)))
-        still = F.forall(F.arrays_zip(F.col("centres").alias("a"), F.col("next").alias("b")), lambda x: distance2(x["a"], x["b"]) <= STILL * STILL)
-        now = cut(joined.withColumn("next", next_).select("page_id", "attempt", F.col("next").alias("centres"), (F.col("moves") & ~still).alias("moves")))
-        if now.where("moves").isEmpty():
-            break
-    ended = _nearest(rows, now.select("page_id", "attempt", "centres"))
-    per = ended.groupBy("page_id", "attempt", "i").agg(F.sum("n").alias("n"), F.sum(F.round(F.col("n") * F.col("d2") * 1000).cast("long")).alias("off"))
-    best = per.groupBy("page_id", "attempt").agg(F.sum("off").alias("off")).groupBy("page_id").agg(F.min(F.struct("off", "attempt")).alias("b")).select("page_id", F.col("b.attempt").alias("attempt"))
-    kept = per.join(best, ["page_id", "attempt"]).join(now, ["page_id", "attempt"]).select("page_id", "n", "i", F.get("centres", F.col("i")).alias("c"))
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "i"))
-    return kept.select("page_id", nth.alias("nth"), *(F.get("c", F.lit(c)).alias(name) for c, name in enumerate(CHANNELS)), "n")
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        ids, rgb, n = (rows[c].to_numpy() for c in ("page_id", "rgb", "n"))
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        chances = pc.list_flatten(rows["chances"].take(pa.array(first))).to_numpy().reshape(len(first), attempts, MOST)
+        tries = _Tries(np.diff(np.r_[first, len(ids)]), rgb, n, chances)
+        tries.start()
+        tries.move(steps)
+        page, nth, centres, pixels = tries.best()
+        return pa.RecordBatch.from_arrays([pa.array(ids[first[page]]), pa.array(nth, pa.int32()), *(pa.array(centres[:, c]) for c in range(3)), pa.array(pixels)], names=["page_id", "nth", *CHANNELS, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the page that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("page_id").to_numpy()
+            ended = int(np.searchsorted(ids, ids[-1]))
+            if ended or (held and held[-1].column("page_id")[0].as_py() != ids[0]):
+                yield of(pa.Table.from_batches([*held, batch.slice(0, ended)]))
+                held = []
+            held.append(batch.slice(ended))
+        if held:
+            yield of(pa.Table.from_batches(held))
+
+    rows = spread(found.where("page_id IS NOT NULL AND n > 0").select(*(F.col(c).cast("long") for c in ("page_id", "rgb", "n"))), "page_id").sortWithinPartitions("page_id", "rgb")
+    chances = F.array(*(chance(F.col("page_id"), F.lit(a), k) for a in range(1, attempts + 1) for k in range(MOST)))
+    return rows.withColumn("chances", chances).mapInArrow(run, "page_id bigint, nth int, r double, g double, b double, n bigint")
 
 
 def hex_of(r: Column, g: Column, b: Column) -> Column:
