@@ -13,6 +13,8 @@ from typing import ClassVar, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..operators import edges, inpaint, pieces
@@ -31,13 +33,13 @@ class Provider(Protocol):
     def run(self, rows: pd.DataFrame) -> pd.DataFrame: ...
 
 
-#: Bytes, about, that a provider gets at a time.
-PART_BYTES = 4 << 20
+#: Bytes, about, that a provider gets at a time, and for how many of them a letter counts: words of it are objects that take tens of bytes a letter.
+PART_BYTES, LETTER = 4 << 20, 16
 
 
 def parts(rows: pd.DataFrame, most: int = PART_BYTES) -> Iterator[pd.DataFrame]:
     """rows in parts of about so many bytes of texts and pixels, for what is made of them can be many times as large; a larger row is a part of its own."""
-    size = sum((rows[c].map(lambda v: len(v) if isinstance(v, (str, bytes)) else 0) for c in rows.columns if rows[c].dtype == object and c != "data"), pd.Series(64, rows.index))
+    size = sum((rows[c].map(lambda v: LETTER * len(v) if isinstance(v, str) else len(v) if isinstance(v, bytes) else 0) for c in rows.columns if rows[c].dtype == object and c != "data"), pd.Series(64, rows.index))
     if {"data", "shapes"} & set(rows.columns):
         size = size + 3 * rows["width"].astype("int64") * rows["height"]
     begin = held = 0
@@ -108,8 +110,15 @@ class WordBoxes(_Ready):
     name, schema = "words", "page_id bigint, pos int, nth int, word string, x1 double, confidence double"
 
     def run(self, rows: pd.DataFrame) -> pd.DataFrame:
-        words = [(p, q, k, w, float(x) + 9.0 * k, 0.8) for p, q, t, x in zip(rows["page_id"], rows["pos"], rows["text"], rows["x1"], strict=True) for k, w in enumerate(t.split(" ")) if w]
-        return pd.DataFrame(words, columns=["page_id", "pos", "nth", "word", "x1", "confidence"]).astype({"pos": "int32", "nth": "int32"})
+        words = pc.split_pattern(pa.array(rows["text"], pa.large_string()), " ")
+        word, row = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy()
+        nth = np.arange(len(word)) - words.offsets.to_numpy()[row]
+        some = pc.not_equal(word, "").to_numpy(False)
+        row, nth = row[some], nth[some]
+        return pd.DataFrame({
+            "page_id": rows["page_id"].to_numpy()[row], "pos": rows["pos"].to_numpy()[row].astype("int32"), "nth": nth.astype("int32"),
+            "word": word.filter(pa.array(some)).to_pandas(), "x1": rows["x1"].to_numpy(float)[row] + 9.0 * nth, "confidence": 0.8,
+        })
 
 
 class MeanPaint(_Ready):
