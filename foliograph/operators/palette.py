@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.pictures import per_image, spread
+from ..sources.pictures import per_image, spread, whole_pages
 
 #: Pixels of an image that are looked at, evenly spaced; tries from other starts; steps of a try, and the move of a centre that ends it.
 SAMPLES, ATTEMPTS, STEPS, STILL = 12_000, 3, 30, 0.2
@@ -124,18 +124,7 @@ def clusters(found: DataFrame, attempts: int = ATTEMPTS, steps: int = STEPS) ->
         return pa.RecordBatch.from_arrays([pa.array(ids[first[page]]), pa.array(nth, pa.int32()), *(pa.array(centres[:, c]) for c in range(3)), pa.array(pixels)], names=["page_id", "nth", *CHANNELS, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the page that may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("page_id").to_numpy()
-            ended = int(np.searchsorted(ids, ids[-1]))
-            if ended or (held and held[-1].column("page_id")[0].as_py() != ids[0]):
-                yield of(pa.Table.from_batches([*held, batch.slice(0, ended)]))
-                held = []
-            held.append(batch.slice(ended))
-        if held:
-            yield of(pa.Table.from_batches(held))
+        yield from map(of, whole_pages(batches))
 
     rows = spread(found.where("page_id IS NOT NULL AND n > 0").select(*(F.col(c).cast("long") for c in ("page_id", "rgb", "n"))), "page_id").sortWithinPartitions("page_id", "rgb")
     chances = F.array(*(chance(F.col("page_id"), F.lit(a), k) for a in range(1, attempts + 1) for k in range(MOST)))

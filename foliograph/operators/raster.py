@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.pictures import whole_pages
 from . import graph
 
 STEPS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
@@ -121,6 +123,64 @@ def run_components(df: DataFrame, mask: Column) -> DataFrame:
     return r.join(roots, "node", "left").select("page_id", "py", "first", "last", (label["py"] * 1_000_000 + label["first"]).cast("long").alias("label"))
 
 
+#: A level is counted in so many parts.
+PARTS = 10**9
+
+
+def _ring(key: np.ndarray, wide: int, level: np.ndarray, known: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The missing rows with a known one in the 3 x 3 places around theirs, and the mean of these, halves upwards. key: a row's place, of which neighbours lie 1 and wide apart."""
+    places, of = np.unique(key[known], return_inverse=True)
+    total, count = np.zeros(len(places), np.int64), np.bincount(of, minlength=len(places))
+    np.add.at(total, of, level[known])
+    sums, counts = np.zeros((2, len(missing)), np.int64)
+    for step in (dy * wide + dx for dx, dy in STEPS):
+        at = np.minimum(np.searchsorted(places, key[missing] + step), len(places) - 1)
+        hit = places[at] == key[missing] + step
+        sums += np.where(hit, total[at], 0)
+        counts += np.where(hit, count[at], 0)
+    made = counts > 0
+    return missing[made], (2 * sums[made] + counts[made]) // (2 * counts[made])
+
+
+def inpainted(p: DataFrame, mask: str, rounds: int = 3) -> DataFrame:
+    """(page_id, px, py, x): masked pixels from the mean of the known ones around them, ring by ring; what no ring reaches stays null.
+
+    Pixels are shuffled once, by page, and a task makes all rings of as many pages at a time as an Arrow batch holds; what
+    it holds is a batch and one page. Means are of whole billionths, so the order of rows makes no difference.
+    """
+
+    def of(pages: pa.Table) -> pa.Table:
+        page, px, py = (pages[c].combine_chunks() for c in ("page_id", "px", "py"))
+        x = pages["x"].combine_chunks()
+        placed = np.logical_and.reduce([c.is_valid().to_numpy(False) for c in (page, px, py)])
+        known = x.is_valid().to_numpy(False)
+        level = np.rint(x.fill_null(0).to_numpy(False) * PARTS).astype(np.int64)
+        ids, across, down = (c.fill_null(0).to_numpy(False).astype(np.int64) for c in (page, px, py))
+        across, down = across - across.min(), down - down.min()
+        wide, high = int(across.max()) + 2, int(down.max()) + 2  # a free column between rows and a free row between pages, so none touch
+        nth = np.cumsum(np.r_[0, ids[1:] != ids[:-1]])
+        key = (nth * high + down) * wide + across
+        missing = np.flatnonzero(placed & ~known)
+        filled = np.zeros(len(key), bool)
+        for _ in range(rounds):
+            have = np.flatnonzero(placed & (known | filled))
+            if not len(missing) or not len(have):
+                break
+            some, mean = _ring(key, wide, level, have, missing)
+            level[some], filled[some] = mean, True
+            missing = missing[~filled[missing]]
+        out = np.where(filled, level / PARTS, x.fill_null(0).to_numpy(False))
+        return pa.table({"page_id": page, "px": px, "py": py, "x": pa.array(out, mask=~(known | filled))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in whole_pages(batches):
+            yield from of(pages).to_batches()
+
+    rows = p.select("page_id", "px", "py", F.when(~F.expr(mask), F.col("v").cast("double")).alias("x"))
+    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "py", "px")
+    return ordered.mapInArrow(run, rows.schema)
+
+
 def composite(below: Column, above: Column, alpha: Column) -> Column:
     """Source over ground, alpha from 0 to 1."""
     return above * alpha + below * (1 - alpha)

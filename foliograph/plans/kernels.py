@@ -152,20 +152,10 @@ pair(
 _IDX = "page_id, px, py"
 
 
-def inpainted(p: DataFrame, mask: str, rounds: int = 3) -> DataFrame:
-    """Masked pixels from the mean of the known ones around them, ring by ring."""
-    now = p.select(*KEY, F.when(~F.expr(mask), F.col("v").cast("double")).alias("x"))
-    for _ in range(rounds):
-        around = now.where("x IS NOT NULL").select("page_id", "x", F.explode(F.expr("flatten(transform(sequence(px - 1, px + 1), a -> transform(sequence(py - 1, py + 1), b -> struct(a AS px, b AS py))))")).alias("t"))
-        mean_of = around.groupBy("page_id", F.col("t.px").alias("px"), F.col("t.py").alias("py")).agg(F.avg("x").alias("m"))
-        now = now.join(mean_of, KEY, "left").select(*KEY, F.coalesce("x", F.round("m", 9)).alias("x"))
-    return now
-
-
 _ROUNDS = ", i0 AS (SELECT page_id, px, py, CASE WHEN NOT ({mask}) THEN CAST(v AS DOUBLE) END AS x FROM px)" + "".join(f", i{k} AS (SELECT a.page_id, a.px, a.py, coalesce(any_value(a.x), round(avg(b.x), 9)) AS x FROM i{k - 1} a LEFT JOIN i{k - 1} b ON a.page_id = b.page_id AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 AND b.x IS NOT NULL GROUP BY a.page_id, a.px, a.py)" for k in (1, 2, 3))
 _HOLE = "px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5"
-tile("ras12_inpaint", lambda p: inpainted(p, _HOLE).select(*KEY, F.round("x", 4).alias("x")), f"SELECT {_IDX}, round(x, 4) AS x FROM i3", _ROUNDS.format(mask=_HOLE))
-tile("ras54_inpainting", lambda p: inpainted(p, TEXT).join(p, KEY).groupBy("page_id").agg(F.round(F.avg(F.abs(F.col("x") - F.col("v"))), 3).alias("error"), F.count_if(F.col("x").isNull()).alias("pending")), "SELECT page_id, round(avg(abs(x - v)), 3) AS error, count_if(x IS NULL) AS pending FROM i3 JOIN px USING (page_id, px, py) GROUP BY page_id", _ROUNDS.format(mask=TEXT))
+tile("ras12_inpaint", lambda p: P.inpainted(p, _HOLE).select(*KEY, F.round("x", 4).alias("x")), f"SELECT {_IDX}, round(x, 4) AS x FROM i3", _ROUNDS.format(mask=_HOLE))
+tile("ras54_inpainting", lambda p: P.inpainted(p, TEXT).join(p, KEY).groupBy("page_id").agg(F.round(F.avg(F.abs(F.col("x") - F.col("v"))), 3).alias("error"), F.count_if(F.col("x").isNull()).alias("pending")), "SELECT page_id, round(avg(abs(x - v)), 3) AS error, count_if(x IS NULL) AS pending FROM i3 JOIN px USING (page_id, px, py) GROUP BY page_id", _ROUNDS.format(mask=TEXT))
 
 
 def filled(p: DataFrame) -> DataFrame:

@@ -23,6 +23,25 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come ordered by page_id, as tables of whole pages: as many as a batch holds, and the page that went on from the batch before."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("page_id").cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()
+        ended = int(np.searchsorted(ids, ids[-1]))
+        if held and (ended or held[-1].column("page_id")[0] != batch.column("page_id")[0]):
+            held.append(batch.slice(0, ended))
+            yield pa.Table.from_batches(held)
+            held = []
+        elif ended:
+            yield pa.Table.from_batches([batch.slice(0, ended)])
+        held.append(batch.slice(ended))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grey images of the embeddings: ROWS vectors in a row are the rows of an image; the last image may have fewer."""
     grey = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 1) * 127.5).cast("int"))))
