@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..sources.pictures import GROUND, image_of, per_image
+from ..sources.pictures import GROUND, grey, image_of, per_image
 from .audit import box_sum, summed
-from .edges import apart, canny, saturation
+from .edges import apart, cannies, canny, edges_apart, saturation
 from .pieces import border_colour
 
 STATS = [("element_id", pa.int64()), ("pixels", pa.int64()), *((n, pa.float64()) for n in ("fill", "saturation", "delta", "alike", "spread")), ("edges", pa.int64()), ("differs", pa.int64())]
@@ -62,11 +62,19 @@ def element_stats(images: DataFrame, *kept: tuple[str, pa.DataType]) -> DataFram
     return per_image(images, [*STATS, *kept], of)
 
 
+#: The levels of edges that count as ghosts, and of those that two images are compared by.
+GHOSTS, COMPARED = (45, 135), (60, 160)
+
+
+def ghosts(source: np.ndarray, preview: np.ndarray, texts: np.ndarray) -> float:
+    """How much denser a preview's edges are in the texts' boxes than the source's, 1.8 times, 0.3 at most."""
+    n = np.count_nonzero(texts)
+    return min(0.3, 1.8 * max(0.0, np.count_nonzero(preview & texts) / n - np.count_nonzero(source & texts) / n)) if n else 0.0
+
+
 def ghosting(source: np.ndarray, preview: np.ndarray, texts: np.ndarray) -> float:
-    """How much denser edges are in the texts' boxes of the preview than in the source's, 1.8 times, 0.3 at most."""
-    if not texts.any():
-        return 0.0
-    return min(0.3, 1.8 * max(0.0, float(canny(preview, 45, 135)[texts].mean()) - float(canny(source, 45, 135)[texts].mean())))
+    """ghosts() of two images."""
+    return ghosts(canny(source, *GHOSTS), canny(preview, *GHOSTS), texts) if texts.any() else 0.0
 
 
 def composited(width: int, height: int, layers: Sequence[dict]) -> np.ndarray:
@@ -95,35 +103,45 @@ WEIGHTS = {"main_title": 3.0, "text": 2.0, "image": 1.5}
 SCORE = [("what", pa.string()), ("element_id", pa.int64()), ("score", pa.float64()), ("weight", pa.float64())]
 
 
-def alike(source: np.ndarray, preview: np.ndarray, mask: np.ndarray | None = None) -> tuple[float, float]:
-    """How alike two images are in the mask: by their colours and by their edges, from 0 to 1; 1 where there is nothing to compare."""
-    if mask is not None and not mask.any():
-        return 1.0, 1.0
-    off = np.abs(source.astype(np.int64) - preview.astype(np.int64))
-    edges = canny(source, 60, 160) != canny(preview, 60, 160)
-    return max(0.0, 1 - float((off if mask is None else off[mask]).mean()) / 255), 1 - float((edges if mask is None else edges[mask]).mean())
-
-
 def page_scores(source: np.ndarray, preview: np.ndarray, elements: Sequence[dict]) -> list[tuple]:
-    """(what, element, score, weight): text, layout, component and background of the page, its colour and ghosting, and a region for each element."""
+    """(what, element, score, weight): text, layout, component and background of the page, its colour and ghosting, and a region for each element.
+
+    Two images are as alike as their colours and their edges are, from 0 to 1, and 1 where there is nothing to compare. The edges of a region are
+    those of its crop, as an image of its own; crops that are the same pixel for pixel need none.
+    """
     h, w = source.shape[:2]
+    planes = [[image[..., k] for k in range(image.shape[2])] if image.ndim == 3 else [image] for image in (source, preview)]
+    off = np.zeros((h, w), np.int16)
+    for a, b in zip(*planes, strict=True):
+        off += np.maximum(a, b) - np.minimum(a, b)
+    deep = len(planes[0])
     masks = {n: np.zeros((h, w), bool) for n in ("text", "component")}
+    boxes = np.array([[min(max(0, e[c]), w if c[0] == "x" else h) for c in ("x1", "y1", "x2", "y2")] for e in elements], np.int64).reshape(-1, 4)
+    changed = np.zeros(len(boxes), np.int64)
+    for k, (e, (x1, y1, x2, y2)) in enumerate(zip(elements, boxes.tolist(), strict=True)):
+        masks["text" if e["type"] == "text" else "component"][y1:y2, x1:x2] = True
+        changed[k] = off[y1 : max(y1, y2), x1 : max(x1, x2)].sum(dtype=np.int64)
+    size = boxes[:, 2:] - boxes[:, :2]
+    some, edges = (size.min(1, initial=w + h) >= 2) & (changed > 0), np.zeros(len(boxes), np.int64)
+    luma = grey(source), grey(preview)
+    edges[some] = edges_apart(*luma, boxes[some], *COMPARED)
     out: list[tuple] = []
-    for e in elements:
-        box = slice(max(0, e["y1"]), max(0, e["y2"])), slice(max(0, e["x1"]), max(0, e["x2"]))
-        masks["text" if e["type"] == "text" else "component"][box] = True
-        a, b = source[box], preview[box]
-        if min(a.shape[:2]) >= 2:
-            pixel, edge = alike(a, b)
-            out.append(("region", e["element_id"], pixel * 0.35 + edge * 0.65, WEIGHTS.get(e["role"]) or WEIGHTS.get(e["type"], 1.0)))
+    for e, (wide, high), total, other in zip(elements, size.tolist(), changed.tolist(), edges.tolist(), strict=True):
+        if min(wide, high) >= 2:
+            out.append(("region", e["element_id"], max(0.0, 1 - total / (wide * high * deep) / 255) * 0.35 + (1 - other / (wide * high)) * 0.65, WEIGHTS.get(e["role"]) or WEIGHTS.get(e["type"], 1.0)))
     masks["layout"] = masks["text"] | masks["component"]
     masks["background"] = ~masks["layout"]
+    (first, was), (second, now) = (cannies(image, COMPARED, GHOSTS) for image in luma)
+    apart_ = first != second
     for what, (p, q) in SHARES.items():
-        pixel, edge = alike(source, preview, masks[what])
+        n = np.count_nonzero(masks[what])
+        pixel, edge = (max(0.0, 1 - int(off[masks[what]].sum(dtype=np.int64)) / (n * deep) / 255), 1 - np.count_nonzero(apart_ & masks[what]) / n) if n else (1.0, 1.0)
         out.append((what, None, pixel * p + edge * q, None))
-    some = masks["layout"] if masks["layout"].any() else np.ones((h, w), bool)
-    off = float(np.linalg.norm(source[some].mean(0, dtype=float) - preview[some].mean(0, dtype=float)))
-    return [*out, ("colour", None, max(0.0, 1 - off / (255 * np.sqrt(3))), None), ("ghosting", None, ghosting(source, preview, masks["text"]), None)]
+    within = masks["layout"] if masks["layout"].any() else np.ones((h, w), bool)
+    n = np.count_nonzero(within)
+    mean = [np.array([int(plane[within].sum(dtype=np.int64)) / n for plane in image]) for image in planes]
+    far = float(np.linalg.norm(mean[0] - mean[1]))
+    return [*out, ("colour", None, max(0.0, 1 - far / (255 * np.sqrt(3))), None), ("ghosting", None, ghosts(was, now, masks["text"]), None)]
 
 
 def image_scores(images: DataFrame) -> DataFrame:

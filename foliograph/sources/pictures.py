@@ -186,5 +186,9 @@ def grey(image: np.ndarray) -> np.ndarray:
     """Luma of a colour image in whole numbers; a grey image is its own."""
     if image.ndim == 2:
         return image
-    r, g, b = (image[:, :, i].astype(np.int32) for i in range(3))
-    return ((r * 4899 + g * 9617 + b * 1868 + 8192) >> 14).astype(np.uint8)
+    luma = np.multiply(image[:, :, 0], 4899, dtype=np.int32)
+    for k, share in ((1, 9617), (2, 1868)):
+        luma += np.multiply(image[:, :, k], share, dtype=np.int32)
+    luma += 8192
+    luma >>= 14
+    return luma.astype(np.uint8)
