@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -121,21 +122,33 @@ def image_of(given: bytes | np.ndarray | Sequence[dict], width: int, height: int
     return flat.reshape(height, width, 3) if len(flat) == 3 * width * height else flat.reshape(height, width)
 
 
+@functools.cache
+def letters(pen: int, height: int) -> np.ndarray:
+    """Where the ink is, (kind, row, column), of the eight kinds of letters, and of a space: upright bars, level bars and gaps by three bits of a letter's code."""
+    step = 5 * pen + 6
+    ink = np.zeros((9, height, step), bool)
+    for kind in range(8):
+        ink[kind, 4 : height - 4, :pen] = True  # a stem
+        for there, y in ((kind & 1, 4), (True, height // 2 - pen // 2), (kind & 2, height - 4 - pen)):
+            if there:
+                ink[kind, y : y + pen, : step - 4] = True
+        if kind & 4:
+            ink[kind, 4 : height - 4, step - 4 - pen : step - 4] = True
+    return ink
+
+
 def lettered(text: str, pen: int, height: int = 36, ink: tuple[int, int, int] = (30, 30, 60)) -> np.ndarray:
-    """A line of text as upright bars, level bars and gaps by each letter's code, drawn with a pen of so many pixels."""
+    """A line of text as upright bars, level bars and gaps by each letter's code, drawn with a pen of so many pixels. Each channel is a stretch of its own in memory."""
     step = 5 * pen + 6
-    image = np.full((height, max(1, step * len(text) + 8), 3), GROUND, np.uint8)
-    for k, c in enumerate(text):
-        x, code = 4 + k * step, ord(c)
-        if c.isspace():
-            continue
-        image[4 : height - 4, x : x + pen] = ink  # a stem
-        for bit, y in enumerate((4, height // 2 - pen // 2, height - 4 - pen)):
-            if code >> bit & 1 or bit == 1:
-                image[y : y + pen, x : x + step - 4] = ink
-        if code >> 3 & 1:
-            image[4 : height - 4, x + step - 4 - pen : x + step - 4] = ink
-    return image
+    planes = np.full((3, height, max(1, step * len(text) + 8)), GROUND, np.uint8)
+    if text:
+        code = np.fromiter(map(ord, text), np.int32, len(text))
+        kind = code & 1 | code >> 1 & 2 | code >> 1 & 4
+        kind[[k for k, c in enumerate(text) if c.isspace()]] = 8
+        drawn_ = letters(pen, height).transpose(1, 0, 2)[:, kind].reshape(height, -1)
+        for plane, level in zip(planes, ink, strict=True):
+            plane[:, 4:-4] -= drawn_ * np.uint8(GROUND - level)
+    return planes.transpose(1, 2, 0)
 
 
 def plain(column: pa.Array) -> list:

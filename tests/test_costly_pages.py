@@ -6,7 +6,8 @@ import numpy as np
 
 from foliograph.operators import edges as E
 from foliograph.operators import stats as T
-from foliograph.sources.pictures import drawn
+from foliograph.operators import strokes as S
+from foliograph.sources.pictures import drawn, lettered
 
 W, H = 240, 160
 
@@ -45,3 +46,22 @@ def test_scores_of_a_page_take_three_looks_at_its_edges():
         edge = (E.canny(source[box], 60, 160) != E.canny(preview[box], 60, 160)).mean()
         assert regions[e["element_id"]] == max(0.0, 1 - off[box].mean() / 255) * 0.35 + (1 - edge) * 0.65
     assert len(regions) > 20 and len({round(v, 3) for v in regions.values()}) > 5
+
+
+def test_lines_are_measured_in_few_bits():
+    """Distances of ink were floats, and inks whole numbers of 64 bits; long, thick or high ones need more than 16."""
+    ink = S.ink_of(lettered("A longer line, in two and more", 3), (30, 30, 60))
+    assert S.squares_to_ground(ink).dtype == np.uint16
+    for shape, hole in (((4, 900), (0, 0)), ((4, 900), (2, 450)), ((200, 9), (199, 0)), ((170, 600), (0, 599))):
+        mask = np.ones(shape, bool)
+        mask[hole] = False
+        y, x = np.mgrid[: shape[0], : shape[1]]
+        assert np.allclose(S.to_ground(mask), np.hypot(y - hole[0], x - hole[1]))
+    assert np.isinf(S.to_ground(np.ones((40, 900), bool))).all() and np.isinf(S.middle(S.squares_to_ground(np.ones((5, 7), bool)).ravel()))
+    rng = np.random.default_rng(2)
+    squares = rng.integers(1, 50, 101).astype(np.uint16)
+    assert S.middle(squares) == np.median(np.sqrt(squares.astype(float))) and S.middle(squares[:100]) == np.median(np.sqrt(squares[:100].astype(float)))
+    crop = rng.integers(0, 256, (30, 90, 3)).astype(np.uint8)
+    for colour in ((30, 30, 60), (200, 170, 90), (255, 255, 255)):
+        p = crop.astype(int)
+        assert (S.ink_of(crop, colour) == ((np.abs(p - colour).max(2) <= S.INK_OFF) & ((p[..., 0] * 4899 + p[..., 1] * 9617 + p[..., 2] * 1868 + 8192) >> 14 < S.INK_GREY))).all()
