@@ -166,8 +166,8 @@ def plain(column: pa.Array) -> list:
 HELD = 4096
 
 
-def per_image(images: DataFrame, fields: Sequence[tuple[str, pa.DataType]], of: Callable[..., dict[str, Sequence]]) -> DataFrame:
-    """page_id and fields: the rows that of(image, **further columns) makes of each image. An image is what a task holds at a time."""
+def per_images(images: DataFrame, fields: Sequence[tuple[str, pa.DataType]], of: Callable[..., Sequence[dict[str, Sequence]]], most: int = 32) -> DataFrame:
+    """page_id and fields: the rows that of(images, **lists of further columns) makes of each image. A task holds so many images at a time as `most` says."""
     schema = pa.schema([("page_id", pa.int64()), *fields])
     more = [c for c in images.columns if c not in ("page_id", "width", "height", "data", "shapes")]
 
@@ -178,14 +178,16 @@ def per_image(images: DataFrame, fields: Sequence[tuple[str, pa.DataType]], of:
             for begin in range(0, batch.num_rows, 64):
                 some = batch.slice(begin, 64)
                 column = {n: some.column(i) if n == "data" else plain(some.column(i)) for i, n in enumerate(some.schema.names)}
-                for k in range(some.num_rows):
-                    page, width, height = (column[n][k] for n in ("page_id", "width", "height"))
-                    pixels = column["data"][k] if "data" in column else None
-                    image = image_of(column["shapes"][k] if pixels is None or not pixels.is_valid else pixels.as_buffer(), width, height)
-                    made = of(image, **{n: column[n][k] for n in more})
-                    n = len(made[fields[0][0]])
-                    held.append(pa.RecordBatch.from_arrays([pa.array([page] * n, pa.int64()), *(made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], kind) for c, kind in fields)], schema=schema))
-                    rows += n
+                for first in range(0, some.num_rows, most):
+                    which = range(first, min(first + most, some.num_rows))
+                    drawn_ = []
+                    for k in which:
+                        pixels = column["data"][k] if "data" in column else None
+                        drawn_.append(image_of(column["shapes"][k] if pixels is None or not pixels.is_valid else pixels.as_buffer(), column["width"][k], column["height"][k]))
+                    for k, made in zip(which, of(drawn_, **{n: [column[n][k] for k in which] for n in more}), strict=True):
+                        n = len(made[fields[0][0]])
+                        held.append(pa.RecordBatch.from_arrays([pa.array([column["page_id"][k]] * n, pa.int64()), *(made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], kind) for c, kind in fields)], schema=schema))
+                        rows += n
                     if rows >= HELD:
                         yield pa.concat_batches(held)
                         held, rows = [], 0
@@ -195,6 +197,11 @@ def per_image(images: DataFrame, fields: Sequence[tuple[str, pa.DataType]], of:
     return images.mapInArrow(run, from_arrow_schema(schema))
 
 
+def per_image(images: DataFrame, fields: Sequence[tuple[str, pa.DataType]], of: Callable[..., dict[str, Sequence]]) -> DataFrame:
+    """page_id and fields: the rows that of(image, **further columns) makes of each image. An image is what a task holds at a time."""
+    return per_images(images, fields, lambda one, **more: [of(one[0], **{n: v[0] for n, v in more.items()})], most=1)
+
+
 def grey(image: np.ndarray) -> np.ndarray:
     """Luma of a colour image in whole numbers; a grey image is its own."""
     if image.ndim == 2:

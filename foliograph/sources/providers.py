@@ -176,15 +176,15 @@ class Marching(_Ready):
     name, schema = "marching", "page_id bigint, width int, height int, data binary, painted bigint"
 
     def run(self, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        images, masks = [], []
         for _, r in rows.iterrows():
-            image = _image(r)
-            mask = np.zeros(image.shape[:2], bool)
+            images.append(_image(r))
+            masks.append(np.zeros(images[-1].shape[:2], bool))
             for b in r["boxes"] if r["boxes"] is not None else []:
-                mask[max(0, b["y1"]) : max(0, b["y2"]), max(0, b["x1"]) : max(0, b["x2"])] = True
-            painted, n = inpaint.cleaned(image, mask)
-            out.append((r["page_id"], r["width"], r["height"], painted.tobytes(), n))
-        return pd.DataFrame(out, columns=["page_id", "width", "height", "data", "painted"])
+                masks[-1][max(0, b["y1"]) : max(0, b["y2"]), max(0, b["x1"]) : max(0, b["x2"])] = True
+        made = inpaint.cleaned_all(images, masks)
+        out = {"data": [image.tobytes() for image, _ in made], "painted": [n for _, n in made]}
+        return rows[["page_id", "width", "height"]].assign(**out)
 
 
 class Contours(_Ready):

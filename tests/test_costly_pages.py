@@ -5,6 +5,7 @@ from unittest import mock
 import numpy as np
 
 from foliograph.operators import edges as E
+from foliograph.operators import inpaint as I
 from foliograph.operators import stats as T
 from foliograph.operators import strokes as S
 from foliograph.sources.pictures import drawn, lettered
@@ -65,3 +66,28 @@ def test_lines_are_measured_in_few_bits():
     for colour in ((30, 30, 60), (200, 170, 90), (255, 255, 255)):
         p = crop.astype(int)
         assert (S.ink_of(crop, colour) == ((np.abs(p - colour).max(2) <= S.INK_OFF) & ((p[..., 0] * 4899 + p[..., 1] * 9617 + p[..., 2] * 1868 + 8192) >> 14 < S.INK_GREY))).all()
+
+
+def test_holes_of_many_images_are_filled_together():
+    """Each pixel of a front was a step of plain Python."""
+    rng = np.random.default_rng(8)
+    images, masks = [], []
+    for h, w in ((160, 240), (90, 70), (160, 240), (20, 30), (20, 30)):
+        shapes = shapes_of(rng, 25, w, h)
+        images.append(drawn(w, h, shapes))
+        masks.append(np.zeros((h, w), bool))
+        for s in shapes[:6]:
+            masks[-1][max(0, s["y1"]) : max(0, s["y2"]), max(0, s["x1"]) : max(0, s["x2"])] = True
+    masks[3][:], masks[4][:] = False, True
+    images.append(images[0][..., 1])
+    masks.append(masks[0])
+    steps = []
+    true = I.np.lexsort
+    with mock.patch.object(I.np, "lexsort", lambda keys: steps.append(1) or true(keys)):
+        whole = I.fast_marching_all(images, masks)
+    assert 10 < len(steps) < 400 < sum(int(m.sum()) for m in masks)
+    for image, mask, made in zip(images, masks, whole, strict=True):
+        assert (made == I.fast_marching(image, mask)).all() and (made[~mask] == image[~mask]).all() and made is not image
+    for image, mask, (out, n) in zip(images, masks, I.cleaned_all(images, masks), strict=True):
+        alone, m = I.cleaned(image, mask)
+        assert (out == alone).all() and n == m <= mask.sum()
