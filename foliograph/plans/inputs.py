@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import relations as R
 from ..sources import providers as P
 from ..sources import store
+from ..sources.pictures import spread
 from ..sources.views import ELEMENTS, OCR_LINES, PIXELS, RICH, elements, ocr_lines, pixels, rich, table
 from .registry import add, query
 
@@ -138,8 +139,10 @@ def store_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import new_folder
 
     at = new_folder(spark, "pages")
-    elements(spark, sf_dir).select(*KEY, "type").write.partitionBy("page_id").json(f"{at}/rows")
-    return spark.read.schema("pos int, type string, page_id bigint").json(f"{at}/rows").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("pos").alias("at"))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "type")))
+    store.write_folders(spread(elements(spark, sf_dir), "page_id").groupBy("page_id").agg(F.to_json(rows).alias("document")), at)
+    found = store.read_folders(spark, at).select("page_id", F.explode(F.from_json("document", "array<struct<pos:int,type:string>>")).alias("e"))
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("e.pos").alias("at"))
 
 
 # payloads, as text; both sides parse what the same rule writes

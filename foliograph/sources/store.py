@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .projects import local
+
 #: An element of a page document; what else its metadata has stays in a map.
 ELEMENT = """id string, type string, x double, y double, width double, height double, rotation double, zIndex int, text string, src string, role string, groupId string, confidence double,
 style struct<fontSize:double,fontFamily:string,fontWeight:int,color:string,fill:string,stroke:string,strokeWidth:double,opacity:double,align:string>, metadata map<string,string>"""
@@ -41,6 +49,58 @@ def localised_name(name: Column, content: Column) -> Column:
     return F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit("_"), F.left(F.sha2(content, 256), F.lit(12)), F.regexp_extract(name, r"(\.[^.]+)$", 1))
 
 
+#: Folders that the pages' folders are dealt over, so that each is listed by a task and never all by the driver; the name of what has no page; documents that a task hands on at a time.
+DEALT, NO_PAGE, AT_ONCE = 1024, "__HIVE_DEFAULT_PARTITION__", 256
+
+
+def write_folders(pages: DataFrame, root: str) -> int:
+    """Each row (page_id, document) as <root>/<part>/page_id=<n>/rows.json by the tasks, and how many there were; root is mounted wherever tasks run.
+
+    A folder is written under another name and then renamed, so it is complete or not there. A page that is there already stays.
+    """
+    root = local(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, document in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = os.path.join(root, f"{(page or 0) % DEALT:03x}")
+                name = f"page_id={NO_PAGE if page is None else page}"
+                new = os.path.join(part, f".{name}.{uuid.uuid4().hex}")
+                os.makedirs(new)
+                with open(os.path.join(new, "rows.json"), "w", encoding="utf-8") as file:
+                    file.write(document.as_py())
+                try:
+                    os.rename(new, os.path.join(part, name))
+                except OSError:
+                    if not os.path.isdir(os.path.join(part, name)):
+                        raise
+                    shutil.rmtree(new)  # another attempt of the task was there before
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return pages.select("page_id", "document").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(page_id, document) of all that write_folders() put under root."""
+    root = local(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (os.path.join(root, f"{k:03x}") for k in batch.column(0).to_pylist()):
+                names = [n for n in os.listdir(part) if n.startswith("page_id=")] if os.path.isdir(part) else []
+                for begin in range(0, len(names), AT_ONCE):
+                    pages, documents = [], []
+                    for name in names[begin : begin + AT_ONCE]:
+                        with open(os.path.join(part, name, "rows.json"), encoding="utf-8") as file:
+                            documents.append(file.read())
+                        number = name.partition("=")[2]
+                        pages.append(None if number == NO_PAGE else int(number))
+                    yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(documents, pa.string())], names=["page_id", "document"])
+
+    parts = min(DEALT, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.range(0, DEALT, 1, parts).mapInArrow(run, "page_id bigint, document string")
+
+
 def report(df: DataFrame) -> DataFrame:
     """Rows as JSON texts, as the report files hold them."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

@@ -1,5 +1,6 @@
 """Pages whose measures took most of a task's time: what is shared is made once, with the results that it had."""
 
+import os
 from unittest import mock
 
 import numpy as np
@@ -8,6 +9,8 @@ from foliograph.operators import edges as E
 from foliograph.operators import inpaint as I
 from foliograph.operators import stats as T
 from foliograph.operators import strokes as S
+from foliograph.plans import QUERIES
+from foliograph.sources import store
 from foliograph.sources.pictures import drawn, lettered
 
 W, H = 240, 160
@@ -91,3 +94,19 @@ def test_holes_of_many_images_are_filled_together():
     for image, mask, (out, n) in zip(images, masks, I.cleaned_all(images, masks), strict=True):
         alone, m = I.cleaned(image, mask)
         assert (out == alone).all() and n == m <= mask.sum()
+
+
+def test_a_page_folder_is_written_and_listed_by_tasks(spark, tmp_path):
+    """The driver had the names of all pages' folders and files, once as they were written and once as they were read."""
+    rows = [(k, f"page {k}") for k in (0, 1, 1023, 1024, 1025, 5000, -7)] + [(None, "none")]
+    pages, root = spark.createDataFrame(rows, "page_id bigint, document string"), str(tmp_path / "a b")
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert store.write_folders(pages, root) == 8 and sorted(map(tuple, store.read_folders(spark, root).collect()), key=key) == sorted(rows, key=key)
+    there = sorted(os.path.relpath(os.path.join(at, f), root) for at, _, files in os.walk(root) for f in files)
+    assert len(there) == 8 and "001/page_id=1025/rows.json" in there and not any("/." in f for f in there)
+    assert store.write_folders(pages.where("page_id = 1"), root) == 1  # a task that is run again
+    assert sorted(map(tuple, store.read_folders(spark, root).collect()), key=key) == sorted(rows, key=key)
+    os.mkdir(f"{root}/001/.page_id=9217.left")  # a task that died
+    assert store.read_folders(spark, root).count() == 8 and store.read_folders(spark, str(tmp_path / "none")).count() == 0
+    made = QUERIES["snk01_store_write"](spark, "/root/testdata/sf0.001")
+    assert not made.inputFiles() and made.count() == 25
