@@ -57,6 +57,25 @@ MOSAICS = f"""mo AS (SELECT vec_id // {ROWS} AS page_id, CAST(p AS INT) AS px, C
   FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS p, unnest(embedding) AS e FROM embeddings))"""
 
 
+#: Ellipses that a task remembers: so many, and of so many pixels at most.
+ELLIPSES, ELLIPSE_PIXELS = 4096, 8192
+
+
+def _round(width: int, height: int) -> np.ndarray:
+    yy, xx = np.ogrid[:height, :width]
+    a, b = max(0.5, width / 2), max(0.5, height / 2)
+    return ((xx - (width - 1) / 2) / a) ** 2 + ((yy - (height - 1) / 2) / b) ** 2 <= 1
+
+
+_remembered = functools.lru_cache(ELLIPSES)(_round)
+
+
+def ellipse(x1: int, y1: int, x2: int, y2: int, width: int, height: int) -> np.ndarray:
+    """The pixels of the ellipse in a box, of that part of the box that lies on an image of a size."""
+    whole = (_remembered if (x2 - x1) * (y2 - y1) <= ELLIPSE_PIXELS else _round)(x2 - x1, y2 - y1)
+    return whole[max(0, -y1) : height - y1, max(0, -x1) : width - x1]
+
+
 def drawn(width: int, height: int, shapes: Sequence[dict]) -> np.ndarray:
     """Filled boxes and ellipses, one over the other, on a light ground. Each channel is a stretch of its own in memory, which numpy goes through much faster."""
     planes = np.full((3, height, width), GROUND, np.uint8)
@@ -67,9 +86,7 @@ def drawn(width: int, height: int, shapes: Sequence[dict]) -> np.ndarray:
         rgb = s["rgb"] >> 16 & 255, s["rgb"] >> 8 & 255, s["rgb"] & 255
         inside: bool | np.ndarray = True
         if s["type"] == "ellipse":
-            yy, xx = np.ogrid[y1:y2, x1:x2]
-            cx, cy, a, b = (s["x1"] + s["x2"] - 1) / 2, (s["y1"] + s["y2"] - 1) / 2, max(0.5, (s["x2"] - s["x1"]) / 2), max(0.5, (s["y2"] - s["y1"]) / 2)
-            inside = ((xx - cx) / a) ** 2 + ((yy - cy) / b) ** 2 <= 1
+            inside = ellipse(s["x1"], s["y1"], s["x2"], s["y2"], width, height)
         for plane, level in zip(planes, rgb, strict=True):
             if inside is True:
                 plane[y1:y2, x1:x2] = level

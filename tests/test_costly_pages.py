@@ -5,6 +5,7 @@ from unittest import mock
 
 import numpy as np
 
+from foliograph.operators import audit as A
 from foliograph.operators import edges as E
 from foliograph.operators import inpaint as I
 from foliograph.operators import stats as T
@@ -110,3 +111,22 @@ def test_a_page_folder_is_written_and_listed_by_tasks(spark, tmp_path):
     assert store.read_folders(spark, root).count() == 8 and store.read_folders(spark, str(tmp_path / "none")).count() == 0
     made = QUERIES["snk01_store_write"](spark, "/root/testdata/sf0.001")
     assert not made.inputFiles() and made.count() == 25
+
+
+def test_an_audit_looks_for_components_only_where_something_is():
+    """Ten masks of each page were searched, empty ones too."""
+    rng = np.random.default_rng(9)
+    shapes = [{**s, "residual": True, "changed": False} for s in shapes_of(rng, 20)]
+    page, blank = drawn(W, H, shapes), drawn(W, H, [])
+    with mock.patch.object(E, "components", side_effect=E.components) as found, mock.patch.object(A, "components", side_effect=A.components) as more:
+        same = A.measures(page, page, blank, shapes, page)
+        assert found.call_count + more.call_count == 0
+        lost = A.measures(page, blank, blank, shapes)
+        assert found.call_count > 0
+    assert {r[6] for r in same if r[0] in ("missing", "mismatched", "newly_lost", "text_support")} == {0} and next(r[6] for r in lost if r[0] == "missing") > 0
+    mask = np.zeros((30, 40), bool)
+    assert E.bounds(mask) is None and E.extents(mask) == []
+    mask[7:9, 30:] = mask[20, 3] = True
+    assert E.bounds(mask) == (3, 7, 40, 21) and E.extents(mask) == [(30, 7, 40, 9, 20), (3, 20, 4, 21, 1)]
+    colours = rng.integers(0, 256, (50, 3)).astype(np.uint8)
+    assert (A.middle_of(colours) == np.median(colours, axis=0)).all() and (A.middle_of(colours[:49]) == np.median(colours[:49], axis=0)).all()
